@@ -1,10 +1,21 @@
 """The queries this subpackage registers, and their SQL."""
 
-from . import langid, mixing
+from . import langid, line_dedup, mih, mixing, mtree, near_dup, packing, quality, window_dedup
 
 QUERIES = {f.__name__: f for f in (
+    mtree.op1_mtree_topk,
+    mih.op2_multi_index_hashing,
+    quality.op4_bradley_terry_quality,
+    packing.op5_length_buckets,
+    near_dup.op6_circulant_minhash,
     mixing.op7_pareto_mixing,
     langid.op8_hyperdimensional_language,
+    line_dedup.op9_winnowed_lines,
+    window_dedup.op10_count_min_windows,
 )}
 
-ORACLES = {"op7_pareto_mixing": mixing.ORACLE}
+ORACLES = {
+    "op1_mtree_topk": mtree.ORACLE,
+    "op7_pareto_mixing": mixing.ORACLE,
+    "op9_winnowed_lines": line_dedup.ORACLE,
+}
