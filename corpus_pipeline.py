@@ -1,8 +1,68 @@
-"""The corpus pipeline: documents through quality, deduplication, mixing and packing."""
+"""The corpus pipeline: documents through quality, deduplication, mixing and packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all
+but the last return the columns of ``documents``. Between stages rows are
+written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from quire.llm import line_dedup, mixing, near_dup, packing, quality
+from quire.llm._spark import id_remainder, shared_folder, table, word_count
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Documents of quality below the threshold go."""
+    labels = table(spark, sf_dir, "labels").where(id_remainder(F.col("doc_id"), 5) != 0)
+    return quality.score(docs, quality.learn(docs, labels), keep=True)
+
+
+def line_stage(spark, docs, sf_dir):
+    """Lines of later copies of repeated runs go."""
+    return line_dedup.dedup_lines(docs)
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Of each group of near-duplicates the document with the smallest id stays; rows with one id stay together."""
+    gone = near_dup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mixing_stage(spark, docs, sf_dir):
+    """Documents appear as often as the mix takes them. Rows of one id, source and size share the largest number of copies."""
+    m = mixing.mix(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").cast("int").alias("copies"))
+    m = m.select(*[F.col(c).alias(f"_mix_{c}") for c in m.columns])
+    size = word_count(F.col("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_mix_doc_id")) & F.col("source").eqNullSafe(F.col("_mix_source")) & (size == F.col("_mix_size"))
+    return docs.join(m, same).where("_mix_copies > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))).alias("_mix_copy")).select(*docs.columns)
+
+
+def packing_stage(spark, docs, sf_dir):
+    """(doc_id, n_tokens, bucket_len, batch, place) for every document, copies included."""
+    return packing.pack(docs, word_count(F.col("text")))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: Learned scores and MinHash are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    """The last stage's rows for the whole table ``documents``."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

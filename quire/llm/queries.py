@@ -1,10 +1,11 @@
 """The queries this subpackage registers, and their SQL."""
 
-from . import langid, line_dedup, mih, mixing, mtree, near_dup, packing, quality, window_dedup
+from . import langid, license_scan, line_dedup, mih, mixing, mtree, near_dup, packing, quality, window_dedup
 
 QUERIES = {f.__name__: f for f in (
     mtree.op1_mtree_topk,
     mih.op2_multi_index_hashing,
+    license_scan.op3_license_sentences,
     quality.op4_bradley_terry_quality,
     packing.op5_length_buckets,
     near_dup.op6_circulant_minhash,
@@ -16,6 +17,7 @@ QUERIES = {f.__name__: f for f in (
 
 ORACLES = {
     "op1_mtree_topk": mtree.ORACLE,
+    "op3_license_sentences": license_scan.ORACLE,
     "op7_pareto_mixing": mixing.ORACLE,
     "op9_winnowed_lines": line_dedup.ORACLE,
 }
