@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import Sizes
-from ..functions.text import clean_text, count_hyphens, output_name, parse_pages
+from ..functions.text import count_hyphens, output_name, parse_pages
 from ..operators import deck, docx, elements, language, markdown, metrics, ocr, pages
 from ..operators import tables as table_rules
 from ..sources import files, pdf
@@ -57,6 +58,11 @@ class Result:
     document_metrics: DataFrame
     errors: DataFrame
     options: Options
+    decoded: DataFrame
+
+    def release(self) -> None:
+        """Drops the decoded pages from the cache; further results are decoded anew."""
+        self.decoded.unpersist()
 
     def exports(self) -> dict[str, DataFrame]:
         """(path, name, content) of each wanted kind; unknown kinds are left out."""
@@ -84,7 +90,8 @@ def process(source: DataFrame, options: Options = Options()) -> Result:
     that is needed but missing is an error, as is an unreadable file's row in
     ``errors``; neither passes as an empty document.
     """
-    decoded = pdf.decode_pages(source, options.wanted()).persist()
+    # the mark keeps Spark from taking an earlier run's cache for this one, which may see other files
+    decoded = pdf.decode_pages(source, options.wanted()).withColumn("run", F.lit(uuid.uuid4().hex)).persist()
     p = decoded.where("error is null").select(F.col("path").alias("doc_id"), "page_num", "width", "height")
     spans = pdf.spans(decoded)
     dense = pages.page_density(spans, p)
@@ -113,18 +120,13 @@ def process(source: DataFrame, options: Options = Options()) -> Result:
     full = dense.select("doc_id", "page_num", "text_density").join(read, pages.PAGE, "left")
     by_page = metrics.page_metrics(full, tables, options.exact_metrics)
     langs = language.with_languages(elements.document_text(found)).select("doc_id", "languages")
-    return Result(dense, found, elements.merge_paragraphs(found), tables, langs, by_page, metrics.document_metrics(by_page), decoded.where("error is not null").select("path", "page_num", "error"), options)
+    return Result(dense, found, elements.merge_paragraphs(found), tables, langs, by_page, metrics.document_metrics(by_page), decoded.where("error is not null").select("path", "page_num", "error"), options, decoded)
 
 
 def process_path(spark: SparkSession, path: str, options: Options = Options()) -> Result:
     return process(files.pdf_files(spark, path).select("path", "content"), options)
 
 
-def clean_page(text):
-    """The recogniser's page text, clean: what the recognised branch classifies."""
-    return clean_text(text)
-
-
 def write_exports(result: Result, folder: str) -> None:
     """One file for each document and kind, named after its source, through Hadoop's file systems.
 

@@ -25,5 +25,6 @@ def process_stream(spark: SparkSession, folder: str, out: str, checkpoint: str,
         r = process(batch.select("path", "content"), options)
         r.merged.write.mode("overwrite").parquet(f"{out}/elements/batch={n}")
         r.errors.write.mode("overwrite").parquet(f"{out}/errors/batch={n}")
+        r.release()
 
     return watch(spark, folder).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
