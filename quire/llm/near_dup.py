@@ -3,17 +3,17 @@
 A document is its set of distinct 5-word shingles. One permutation shuffles the
 shingle universe (2**32 values), the other gives ranks; the k-th coordinate of
 a signature is the smallest rank after a circular shift by k, so two
-permutations make all 128 coordinates. Bands of 4 coordinates make buckets
-(a pair at similarity 0.75 shares none of the 32 with probability 6e-6), and
-pairs of a bucket are confirmed on their full shingle sets.
+permutations make all 256 coordinates. Bands of 4 of the first 128 coordinates
+make buckets (a pair at similarity 0.75 shares none of the 32 with probability
+6e-6), and pairs of a bucket are confirmed on their full shingle sets.
 
 A bucket isn't expanded into all its pairs. Documents with one shingle set are
 one class, and a bucket holds classes. First each member is compared with the
 bucket's smallest id; what that links forms components. Buckets that hold more
 than one component then compare the members of different components, in tiles
 of bounded size, outside the largest component only; signatures that agree
-in fewer than 70 of 128 places (at similarity 0.75 one pair in a million) are
-passed over. So every pair that shares a bucket is compared or already joined.
+in fewer than 160 of 256 places (at similarity 0.75 four pairs in a million)
+are passed over. So every pair that shares a bucket is compared or already joined.
 """
 
 from __future__ import annotations
@@ -27,11 +27,13 @@ from ._spark import cut, partitions, table
 from ._text import mix, shingle_sets
 from .components import components
 
-COORDINATES, ROWS = 128, 4
-AGREE = 70
+COORDINATES, BANDED, ROWS = 256, 128, 4
+AGREE = 160
 TILE = 256
 #: Members that one task compares with a hub's text before the text is sent again.
 GROUP = 64
+#: Size of the bitmap of documents that are in a pair.
+FILTER_BITS = 1 << 26
 
 
 def _permute(x: np.ndarray, first: int, second: int) -> np.ndarray:
@@ -94,7 +96,7 @@ def _sign(batches):
         def flush():
             full = [s for s in waiting if len(s)]
             m = signatures(full) if full else np.zeros((0, COORDINATES), np.uint32)
-            rows = iter(zip(m, bands(m), strict=True)) if full else iter(())
+            rows = iter(zip(m, bands(m[:, :BANDED]), strict=True)) if full else iter(())
             for s in waiting:
                 if len(s):
                     coordinates, k = next(rows)
@@ -143,6 +145,27 @@ def _compare(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose id may be among ``ids``: all that are, and few others.
+
+    A bitmap of ``FILTER_BITS`` bits, whatever the input, is broadcast, so that
+    most texts that are in no pair needn't be shuffled. A fuller bitmap lets
+    more of them through.
+    """
+    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words = ids.groupBy(F.shiftright(h, 6).cast("int").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[np.asarray(words.column("at"))] = np.asarray(words.column("bits"))
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for batch in batches:
+            at = np.asarray(batch.column("h"))
+            yield batch.select(["id", "t"]).filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+
+    return texts.select("id", "t", h.alias("h")).mapInArrow(run, "id long, t binary")
+
+
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The distinct (a, b) of ``pairs`` whose texts, in (id, t), are similar.
 
@@ -150,6 +173,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     compared as it streams by and a b in very many pairs goes to many tasks.
     """
     pairs = cut(pairs.select("a", "b").distinct())
+    texts = _among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     n = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
     hubs = n.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     members = pairs.join(n, "b").select(F.col("a").alias("id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
@@ -163,6 +187,7 @@ def _tile(batches):
     tile, held = None, []
 
     def pairs():
+        band = tile[3]
         cols = [np.concatenate([h[k] for h in held]) for k in range(5)]
         ids, n, comp, block, sig = cols
         low, high = tile[1], tile[2]
@@ -174,7 +199,11 @@ def _tile(batches):
             if low == high:
                 ok &= ids[right] > ids[i]
             near = right[ok]
-            near = near[(sig[near] == sig[i]).sum(1) >= AGREE]
+            same = sig[near] == sig[i]
+            near, same = near[same.sum(1) >= AGREE], same[same.sum(1) >= AGREE, :BANDED]
+            # of the buckets that a pair shares only the first makes it a candidate
+            first = same.reshape(len(near), BANDED // ROWS, ROWS).all(2).argmax(1)
+            near = near[first == band]
             out.append(np.stack([np.maximum(ids[near], ids[i]), np.minimum(ids[near], ids[i])], 1))
         return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
@@ -184,11 +213,11 @@ def _tile(batches):
     for batch in batches:
         if not len(batch):
             continue
-        key, low, high, ids, n, comp, block = (np.asarray(batch.column(c)) for c in ("key", "low", "high", "id", "n", "comp", "block"))
+        key, low, high, ids, n, comp, block, band = (np.asarray(batch.column(c)) for c in ("key", "low", "high", "id", "n", "comp", "block", "band"))
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
         new = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
         for a, b in zip([0, *new], [*new, len(ids)], strict=True):
-            at = int(key[a]), int(low[a]), int(high[a])
+            at = int(key[a]), int(low[a]), int(high[a]), int(band[a])
             if at != tile:
                 if held:
                     yield batch_of(pairs())
@@ -198,18 +227,18 @@ def _tile(batches):
         yield batch_of(pairs())
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs to confirm in buckets of more than one component, from (key, id, n, comp, sig)."""
+def _across(members: DataFrame, signatures_: DataFrame) -> DataFrame:
+    """Pairs to confirm in buckets of more than one component, from (key, band, id, n, comp) and (id, n, sig)."""
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
     live = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("comps")).where("comps > 1")
     live = live.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("top.m") / TILE).alias("mains"), F.ceil((F.col("all") - F.col("top.m")) / TILE).alias("others"))
-    m = members.join(live, "key")
+    m = members.join(live, "key").join(signatures_, ["id", "n"])
     inner = F.col("comp") == F.col("main")
     block = F.when(inner, F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others")))
     m = m.withColumn("block", block)
     # members of the largest component meet all others; those meet everyone
     with_ = F.explode(F.when(inner, F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("mains") + F.col("others") - 1)))
-    m = m.withColumn("with", with_).select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "n", "comp", "block", "sig")
+    m = m.withColumn("with", with_).select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "n", "comp", "block", "band", "sig")
     m = m.repartition(partitions(members.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
     return m.mapInArrow(_tile, "a long, b long")
 
@@ -229,19 +258,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
     of = cut(some.join(classes, ["h1", "h2", "n"]))
     reps = of.where("id = rep").groupBy("id", "n", "h1", "h2").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
-    members = reps.select("id", "n", F.explode("keys").alias("key"))
+    members = reps.select("id", "n", F.posexplode("keys").alias("band", "key"))
     hubs = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where(F.col("hub.id") < F.col("last")).drop("last")
-    hubs = cut(hubs)
+    members = cut(members.join(hubs, "key"))
     sized = 100 * F.least("n", "hub.n") >= 75 * F.greatest("n", "hub.n")
-    pairs = members.join(hubs, "key").where((F.col("id") > F.col("hub.id")) & sized).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+    pairs = members.where((F.col("id") > F.col("hub.id")) & sized).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
     same = of.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     # rows with one id are one node, whatever their texts
     texts = docs.where("id is not null and t is not null")
     links = cut(confirm(pairs, texts))
     joined = components(links)
-    comp = reps.select("id", "n", "sig", "keys").join(joined.withColumnRenamed("node", "id"), "id", "left")
-    comp = comp.select("id", "n", F.coalesce("component", "id").alias("comp"), "sig", F.explode("keys").alias("key")).join(hubs.select("key"), "key", "left_semi")
-    more = cut(confirm(_across(comp), texts))
+    comp = members.drop("hub").join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
+    more = cut(confirm(_across(cut(comp), reps.select("id", "n", "sig")), texts))
     every = components(links.unionByName(more).unionByName(same))
     out = signed.select("id", "n").join(every.withColumnRenamed("node", "id"), "id", "left")
     comp_id = F.coalesce("component", "id")
