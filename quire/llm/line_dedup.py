@@ -65,15 +65,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.join(gone, [own["id"], own["tag"]], "left")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own["gone"]))
     text = F.when(F.col(own["gone"]).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
-    out = []
-    for c in docs.columns:
-        changed = text if c == text_col else F.when(F.col(own["gone"]).isNull(), F.col(c)).otherwise(F.length(text)) if c == "n_chars" else F.col(c)
-        out.append(changed.cast(docs.schema[c].dataType).alias(c))
-    if n_lines:
-        out.append(F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)).cast("long").alias(n_lines))
-    if n_removed:
-        out.append(F.coalesce(F.size(F.when(F.col(own["gone"]).isNotNull(), F.col(own["gone"]))), F.lit(0)).cast("long").alias(n_removed))
-    return rows.select(*out)
+    changed = F.col(own["gone"]).isNotNull()
+    count, removed = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)), F.coalesce(F.size(F.when(changed, F.col(own["gone"]))), F.lit(0))
+    added = [x.cast("long").alias(n) for x, n in ((count, n_lines), (removed, n_removed)) if n]
+    rows = rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], changed.alias(own["id"]), *added)
+    if "n_chars" in docs.columns:  # a step of its own: the text must be made once
+        rows = rows.withColumn("n_chars", F.when(F.col(own["id"]), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.drop(own["id"])
 
 
 def op9_winnowed_lines(spark, sf_dir):
