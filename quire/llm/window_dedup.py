@@ -8,7 +8,7 @@ for each cell that says whether two documents or more fell on it. The sketch
 never says less than the truth. A second pass groups exactly, by the hash of all
 50 words, the windows whose key the sketch estimates to be repeated.
 
-The merged sketch has a fixed size (16 MB), whatever the input. With very many
+The merged sketch has a fixed size (24 MB), whatever the input. With very many
 more keys than cells it lets more windows through to the exact pass, which is
 then slower but no less right.
 """
@@ -26,8 +26,8 @@ from ._spark import partitions, table
 from ._text import chunks, mix, sequence_hashes, word_hashes, words
 
 WINDOW, RUN = 50, 25
-DEPTH, CELL_BITS, BLOCK_BITS = 2, 26, 16
-_SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+DEPTH, CELL_BITS, BLOCK_BITS = 3, 26, 16
+_SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 
 def window_keys(column: pa.Array, window: int = WINDOW, run: int = RUN):
@@ -109,7 +109,7 @@ def _merge(batches):
 
 
 def sketch(docs: DataFrame) -> bytes:
-    """The merged sketch of (id, t): 2 * 2**26 bits."""
+    """The merged sketch of (id, t): 3 * 2**26 bits."""
     filled = docs.select("t").mapInArrow(_fill, "block int, once binary, twice binary")
     merged = filled.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
     out = bytearray(DEPTH << (CELL_BITS - 3))
