@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from . import vectors
 from ._spark import cut, table
 
-PAGE, FANOUT, ROOT = 128, 16, 256
+PAGE, FANOUT, ROOT = 1024, 16, 256
 
 
 class MTree:
