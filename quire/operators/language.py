@@ -17,36 +17,41 @@ FREQUENT = {
 SHORTEST, FALLBACK = 10, "spa"
 
 
-def scores(text: Column) -> Column:
-    """(language, probability) of each language with a frequent word, most probable first, ties by name."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
+def with_scores(docs: DataFrame, text_col: str = "text", into: str = "scores") -> DataFrame:
+    """``docs`` with an array of (lang, prob) of each language with a frequent word, most probable first, ties by name.
+
+    In steps, so that the words are split once.
+    """
+    d = docs.withColumn("_words", F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))
 
     def count(frequent):
-        return F.size(F.filter(words, lambda w: w.isin(frequent.split())))
+        return F.size(F.filter("_words", lambda w: w.isin(frequent.split())))
 
-    counts = F.array(*[F.struct(F.lit(lang).alias("lang"), count(frequent).alias("n")) for lang, frequent in sorted(FREQUENT.items())])
-    total = F.aggregate(counts, F.lit(0), lambda a, c: a + c["n"])
-    shares = F.transform(F.filter(counts, lambda c: c["n"] > 0), lambda c: F.struct((-c["n"] / total).alias("less"), c["lang"].alias("lang")))
-    return F.transform(F.array_sort(shares), lambda c: F.struct(c["lang"].alias("lang"), (-c["less"]).alias("prob")))
+    d = d.withColumn("_counts", F.array(*[F.struct((-count(frequent)).alias("less"), F.lit(lang).alias("lang")) for lang, frequent in sorted(FREQUENT.items())]))
+    d = d.withColumn("_counts", F.array_sort(F.filter("_counts", lambda c: c["less"] < 0)))
+    d = d.withColumn("_total", F.aggregate("_counts", F.lit(0), lambda a, c: a + c["less"]))
+    return d.withColumn(into, F.transform("_counts", lambda c: F.struct(c["lang"].alias("lang"), (c["less"] / F.col("_total")).alias("prob")))).drop("_words", "_counts", "_total")
 
 
-def languages(text: Column, most: int = 2, least: float = 0.1) -> Column:
+def languages(text: Column, scores: Column, most: int = 2, least: float = 0.1) -> Column:
     """The ``most`` probable languages above ``least``; short or undecided texts are Spanish."""
-    found = F.transform(F.filter(F.slice(scores(text), 1, most), lambda s: s["prob"] > least), lambda s: s["lang"])
-    ok = (F.length(strip(text)) >= SHORTEST) & (F.size(found) > 0)
-    return F.when(ok, found).otherwise(F.array(F.lit(FALLBACK)))
+    found = F.transform(F.filter(F.slice(scores, 1, most), lambda s: s["prob"] > least), lambda s: s["lang"])
+    ok = (F.length(strip(text)) >= SHORTEST) & F.coalesce(F.get(scores, F.lit(0))["prob"] > least, F.lit(False))
+    return F.when((F.size(scores) > 0) & ok, found).otherwise(F.array(F.lit(FALLBACK)))
 
 
-def language(text: Column) -> Column:
-    return languages(text, 1, 0.0)[0]
+def language(text: Column, scores: Column) -> Column:
+    """The most probable language; short or undecided texts are Spanish."""
+    return F.get(languages(text, scores, 1, 0.0), F.lit(0))
 
 
-def spanish_dominant(text: Column, share: float = 0.5) -> Column:
+def spanish_dominant(text: Column, scores: Column, share: float = 0.5) -> Column:
     """Short and undecided texts count as Spanish."""
-    s = scores(text)
-    prob = F.get(F.transform(F.filter(s, lambda x: x["lang"] == "es"), lambda x: x["prob"]), F.lit(0))
-    return (F.length(strip(text)) < SHORTEST) | (F.size(s) == 0) | F.coalesce(prob >= share, F.lit(False))
+    spanish = F.exists(scores, lambda x: (x["lang"] == "es") & (x["prob"] >= share))
+    return (F.length(strip(text)) < SHORTEST) | (F.size(scores) == 0) | spanish
 
 
 def with_languages(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.withColumn("languages", languages(F.col(text_col)))
+    """``docs`` with ``languages``."""
+    d = with_scores(docs, text_col, "_scores")
+    return d.withColumn("languages", languages(F.col(text_col), F.col("_scores"))).drop("_scores")

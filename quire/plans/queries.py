@@ -379,8 +379,9 @@ SELECT doc_id, CASE WHEN length(t) < 10 OR len(l) = 0 THEN 'spa' ELSE array_to_s
 
 @query(_language_sql())
 def language_id(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return d.select("doc_id", F.array_join(language.languages(F.col("text")), "+").alias("languages"), language.spanish_dominant(F.col("text")).alias("spanish"))
+    d = language.with_scores(documents(spark, sf_dir).select("doc_id", "text"))
+    text, scores = F.col("text"), F.col("scores")
+    return d.select("doc_id", F.array_join(language.languages(text, scores), "+").alias("languages"), language.spanish_dominant(text, scores).alias("spanish"))
 
 
 def _tables(spark, sf_dir) -> DataFrame:
