@@ -66,9 +66,10 @@ def test_buckets_of_several_components_are_compared_across(spark):
     sets = list(shingle_sets(pa.array([t for _, t in texts])))
     sig = (near_dup.signatures(sets) & 255).astype(np.uint8)
     sig[:, :4] = 7  # all in the bucket of the first band
-    m = spark.createDataFrame([(7, 0, i, len(s), i, bytearray(g.tobytes())) for (i, _), s, g in zip(texts, sets, sig, strict=True)], "key long, band int, id long, n long, comp long, sig binary")
+    m = spark.createDataFrame([(7, 0, i, len(s), i) for (i, _), s in zip(texts, sets, strict=True)], "key long, band int, id long, n long, comp long")
+    g = spark.createDataFrame([(i, len(s), bytearray(x.tobytes())) for (i, _), s, x in zip(texts, sets, sig, strict=True)], "id long, n long, sig binary")
     t = spark.createDataFrame([(i, bytearray(x.encode())) for i, x in texts], "id long, t binary")
-    links = [tuple(r) for r in near_dup.across(m, t).collect()]
+    links = [tuple(r) for r in near_dup.across(m, g, t).collect()]
     of = brute.components(links, [i for i, _ in texts])
     assert of[1] == 1 and {of[i] for i in range(2, 600)} == {2} and len(links) < 6 * 600
 
