@@ -9,7 +9,8 @@ make buckets (a pair at similarity 0.75 shares none of the 32 with probability
 
 A bucket isn't expanded into all its pairs. Documents with one shingle set are
 one class, and a bucket holds classes. First each member is compared with the
-bucket's smallest id; what that links forms components. Buckets that hold more
+bucket's hub, the member that shares most with others; what that links forms
+components. Buckets that hold more
 than one component then compare the members of different components, in tiles
 of bounded size, outside the largest component only; signatures that agree
 in fewer than 160 of 256 places (at similarity 0.75 four pairs in a million)
@@ -29,7 +30,7 @@ from .components import components
 
 COORDINATES, BANDED, ROWS = 256, 128, 4
 AGREE = 160
-TILE = 256
+TILE, TILE_SHINGLES = 256, 1 << 19
 #: Members that one task compares with a hub's text before the text is sent again.
 GROUP = 64
 #: Size of the bitmap of documents that are in a pair.
@@ -182,65 +183,76 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select("hub", "id", "t").mapInArrow(_compare, "a long, b long").distinct()
 
 
-def _tile(batches):
-    """Sorted by (key, low, high): yields the pairs of each tile that lie in different components and may be similar."""
-    tile, held = None, []
+class _Tile:
+    """Rows of a bucket's two blocks; compares those of the one with those of the other."""
 
-    def pairs():
-        band = tile[3]
-        cols = [np.concatenate([h[k] for h in held]) for k in range(5)]
-        ids, n, comp, block, sig = cols
-        low, high = tile[1], tile[2]
-        left = np.flatnonzero(block == low)
-        right = np.flatnonzero(block == high)
-        out = []
-        for i in left:
+    def __init__(self, at):
+        self.at, self.rows = at, []
+
+    def links(self) -> list[tuple[int, int]]:
+        """Similar pairs that join the tile's components, none between rows that others join already."""
+        _, low, high, band = self.at
+        ids, n, comp, block = (np.array([r[k] for r in self.rows]) for k in range(4))
+        sig = np.frombuffer(b"".join(r[4] for r in self.rows), np.uint8).reshape(len(ids), -1)
+        comp = np.unique(comp, return_inverse=True)[1]
+        right, out = np.flatnonzero(block == high), []
+        for i in np.flatnonzero(block == low):
             ok = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= 75 * np.maximum(n[right], n[i]))
             if low == high:
                 ok &= ids[right] > ids[i]
             near = right[ok]
             same = sig[near] == sig[i]
-            near, same = near[same.sum(1) >= AGREE], same[same.sum(1) >= AGREE, :BANDED]
-            # of the buckets that a pair shares only the first makes it a candidate
-            first = same.reshape(len(near), BANDED // ROWS, ROWS).all(2).argmax(1)
-            near = near[first == band]
-            out.append(np.stack([np.maximum(ids[near], ids[i]), np.minimum(ids[near], ids[i])], 1))
-        return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+            agree = same.sum(1)
+            # of the buckets that a pair shares only the first compares it
+            first = same[:, :BANDED].reshape(len(near), BANDED // ROWS, ROWS).all(2).argmax(1)
+            order = np.argsort(-agree, kind="stable")  # the most alike first: they may join the components
+            order = order[(agree[order] >= AGREE) & (first[order] == band)]
+            for j in near[order]:
+                if comp[i] != comp[j] and similar(self.rows[i][5], self.rows[j][5]):
+                    out.append((int(ids[i]), int(ids[j])))
+                    comp[comp == comp[j]] = comp[i]
+        return out
+
 
-    def batch_of(p):
-        return pa.RecordBatch.from_arrays([pa.array(p[:, 0], pa.int64()), pa.array(p[:, 1], pa.int64())], ["a", "b"])
+def _across_tiles(batches):
+    """Sorted by (key, low, high): yields the links of each tile."""
+    tile = None
+
+    def made(links):
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        if not len(batch):
-            continue
-        key, low, high, ids, n, comp, block, band = (np.asarray(batch.column(c)) for c in ("key", "low", "high", "id", "n", "comp", "block", "band"))
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(len(ids), -1)
-        new = np.flatnonzero((key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])) + 1
-        for a, b in zip([0, *new], [*new, len(ids)], strict=True):
-            at = int(key[a]), int(low[a]), int(high[a]), int(band[a])
-            if at != tile:
-                if held:
-                    yield batch_of(pairs())
-                tile, held = at, []
-            held.append((ids[a:b], n[a:b], comp[a:b], block[a:b], sig[a:b]))
-    if held:
-        yield batch_of(pairs())
-
-
-def _across(members: DataFrame, signatures_: DataFrame) -> DataFrame:
-    """Pairs to confirm in buckets of more than one component, from (key, band, id, n, comp) and (id, n, sig)."""
-    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    live = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("comps")).where("comps > 1")
-    live = live.select("key", F.col("top.comp").alias("main"), F.ceil(F.col("top.m") / TILE).alias("mains"), F.ceil((F.col("all") - F.col("top.m")) / TILE).alias("others"))
-    m = members.join(live, "key").join(signatures_, ["id", "n"])
+        cols = [batch.column(c).to_pylist() for c in ("key", "low", "high", "band", "id", "n", "comp", "block", "sig")]
+        for *at, i, n, comp, block, sig, s in zip(*cols, shingle_sets(batch.column("t")), strict=True):
+            if tile is None or tile.at != at:
+                if tile:
+                    yield made(tile.links())
+                tile = _Tile(at)
+            tile.rows.append((i, n, comp, block, sig, s))
+    if tile:
+        yield made(tile.links())
+
+
+def across(members: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links between the components of each bucket, from (key, band, id, n, comp), (id, n, sig) and (id, t).
+
+    The members of the largest component meet all others, and the others each
+    other, in tiles of two blocks. Blocks are bounded in rows and in shingles.
+    """
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    live = sizes.groupBy("key").agg(F.max(F.struct("m", "comp", "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
+    blocks = lambda m, n: F.greatest(F.ceil(m / TILE), F.ceil(n / TILE_SHINGLES))
+    live = live.select("key", F.col("top.comp").alias("main"), blocks(F.col("top.m"), F.col("top.n")).alias("mains"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("others"))
+    m = members.join(live, "key")
     inner = F.col("comp") == F.col("main")
     block = F.when(inner, F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others")))
-    m = m.withColumn("block", block)
-    # members of the largest component meet all others; those meet everyone
-    with_ = F.explode(F.when(inner, F.sequence(F.col("mains"), F.col("mains") + F.col("others") - 1)).otherwise(F.sequence(F.lit(0).cast("long"), F.col("mains") + F.col("others") - 1)))
-    m = m.withColumn("with", with_).select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "n", "comp", "block", "band", "sig")
+    start = F.when(inner, F.col("mains")).otherwise(F.lit(0).cast("long"))
+    m = m.withColumn("block", block).withColumn("with", F.explode(F.sequence(start, F.col("mains") + F.col("others") - 1)))
+    m = cut(m.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "band", "id", "n", "comp", "block"))
+    rows = _among(texts, m.select("id")).join(signed.withColumnRenamed("n", "sig_n"), "id")
+    m = rows.join(m, "id").where("n = sig_n").drop("sig_n")
     m = m.repartition(partitions(members.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return m.mapInArrow(_tile, "a long, b long")
+    return m.mapInArrow(_across_tiles, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,18 +271,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = cut(some.join(classes, ["h1", "h2", "n"]))
     reps = of.where("id = rep").groupBy("id", "n", "h1", "h2").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
     members = reps.select("id", "n", F.posexplode("keys").alias("band", "key"))
-    hubs = members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.max("id").alias("last")).where(F.col("hub.id") < F.col("last")).drop("last")
-    members = cut(members.join(hubs, "key"))
-    sized = 100 * F.least("n", "hub.n") >= 75 * F.greatest("n", "hub.n")
-    pairs = members.where((F.col("id") > F.col("hub.id")) & sized).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+    live = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    members = cut(members.join(live.select("key", "size"), "key"))
+    # the member that shares most buckets with most others is closest to what they are copies of
+    shared = members.groupBy("id").agg(F.sum("size").alias("shared"))
+    members = members.join(shared, "id").drop("size")
+    hubs = members.groupBy("key").agg(F.max(F.struct("shared", (-F.col("id")).alias("back"), "n")).alias("top")).select("key", (-F.col("top.back")).alias("hub"), F.col("top.n").alias("hub_n"))
+    met = members.join(hubs, "key").where(F.col("id") != F.col("hub"))
+    pairs = met.where(100 * F.least("n", "hub_n") >= 75 * F.greatest("n", "hub_n")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
     same = of.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     # rows with one id are one node, whatever their texts
     texts = docs.where("id is not null and t is not null")
     links = cut(confirm(pairs, texts))
     joined = components(links)
-    comp = members.drop("hub").join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "band", "id", "n", F.coalesce("component", "id").alias("comp"))
-    more = cut(confirm(_across(cut(comp), reps.select("id", "n", "sig")), texts))
-    every = components(links.unionByName(more).unionByName(same))
+    comp = members.drop("shared").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    more = cut(across(comp.select("key", "band", "id", "n", "comp"), reps.select("id", "n", "sig"), texts))
+    every = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(same))
     out = signed.select("id", "n").join(every.withColumnRenamed("node", "id"), "id", "left")
     comp_id = F.coalesce("component", "id")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp_id.alias("component_id"), F.coalesce(comp_id == F.col("id"), F.lit(True)).alias("kept"))
