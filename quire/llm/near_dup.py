@@ -191,9 +191,10 @@ class _Tile:
 
     def links(self) -> list[tuple[int, int]]:
         """Similar pairs that join the tile's components, none between rows that others join already."""
-        _, low, high, band = self.at
+        _, low, high, _ = self.at
         ids, n, comp, block = (np.array([r[k] for r in self.rows]) for k in range(4))
         sig = np.frombuffer(b"".join(r[4] for r in self.rows), np.uint8).reshape(len(ids), -1)
+        earlier = np.array([r[6] for r in self.rows], np.int64).reshape(len(ids), -1)
         comp = np.unique(comp, return_inverse=True)[1]
         right, out = np.flatnonzero(block == high), []
         for i in np.flatnonzero(block == low):
@@ -203,10 +204,10 @@ class _Tile:
             near = right[ok]
             same = sig[near] == sig[i]
             agree = same.sum(1)
-            # of the buckets that a pair shares only the first compares it
-            first = same[:, :BANDED].reshape(len(near), BANDED // ROWS, ROWS).all(2).argmax(1)
+            # of the buckets that a pair shares only the first compares it; bytes of coordinates may agree where keys don't
+            before = (earlier[near] == earlier[i]).any(1)
             order = np.argsort(-agree, kind="stable")  # the most alike first: they may join the components
-            order = order[(agree[order] >= AGREE) & (first[order] == band)]
+            order = order[(agree[order] >= AGREE) & ~before[order]]
             for j in near[order]:
                 if comp[i] != comp[j] and similar(self.rows[i][5], self.rows[j][5]):
                     out.append((int(ids[i]), int(ids[j])))
@@ -222,13 +223,13 @@ def _across_tiles(batches):
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("key", "low", "high", "band", "id", "n", "comp", "block", "sig")]
-        for *at, i, n, comp, block, sig, s in zip(*cols, shingle_sets(batch.column("t")), strict=True):
+        cols = [batch.column(c).to_pylist() for c in ("key", "low", "high", "band", "id", "n", "comp", "block", "sig", "earlier")]
+        for *at, i, n, comp, block, sig, earlier, s in zip(*cols, shingle_sets(batch.column("t")), strict=True):
             if tile is None or tile.at != at:
                 if tile:
                     yield made(tile.links())
                 tile = _Tile(at)
-            tile.rows.append((i, n, comp, block, sig, s))
+            tile.rows.append((i, n, comp, block, sig, s, earlier))
     if tile:
         yield made(tile.links())
 
@@ -236,6 +237,8 @@ def _across_tiles(batches):
 def across(members: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b): links between the components of each bucket, from (key, band, id, n, comp), (id, n, sig) and (id, t).
 
+    With the bands' ``keys`` in ``signed``, a pair is compared in the first bucket
+    that it shares; without them, in each.
     The members of the largest component meet all others, and the others each
     other, in tiles of two blocks. Blocks are bounded in rows and in shingles.
     """
@@ -249,8 +252,10 @@ def across(members: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame
     start = F.when(inner, F.col("mains")).otherwise(F.lit(0).cast("long"))
     m = m.withColumn("block", block).withColumn("with", F.explode(F.sequence(start, F.col("mains") + F.col("others") - 1)))
     m = cut(m.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "band", "id", "n", "comp", "block"))
+    if "keys" not in signed.columns:
+        signed = signed.withColumn("keys", F.array().cast("array<long>"))
     rows = _among(texts, m.select("id")).join(signed.withColumnRenamed("n", "sig_n"), "id")
-    m = rows.join(m, "id").where("n = sig_n").drop("sig_n")
+    m = rows.join(m, "id").where("n = sig_n").withColumn("earlier", F.slice("keys", F.lit(1), F.col("band"))).drop("sig_n", "keys")
     m = m.repartition(partitions(members.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
     return m.mapInArrow(_across_tiles, "a long, b long").distinct()
 
@@ -285,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut(confirm(pairs, texts))
     joined = components(links)
     comp = members.drop("shared").join(joined.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    more = cut(across(comp.select("key", "band", "id", "n", "comp"), reps.select("id", "n", "sig"), texts))
+    more = cut(across(comp.select("key", "band", "id", "n", "comp"), reps.select("id", "n", "sig", "keys"), texts))
     every = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more).unionByName(same))
     out = signed.select("id", "n").join(every.withColumnRenamed("node", "id"), "id", "left")
     comp_id = F.coalesce("component", "id")

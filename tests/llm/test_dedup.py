@@ -74,6 +74,27 @@ def test_buckets_of_several_components_are_compared_across(spark):
     assert of[1] == 1 and {of[i] for i in range(2, 600)} == {2} and len(links) < 6 * 600
 
 
+def test_bytes_that_agree_by_chance_hide_no_pair(spark):
+    """The low bytes of a band agree, its coordinates don't, and a later band's bucket is the first that the pair shares."""
+    rng = random.Random(11)
+    for _ in range(20000):
+        base = words(rng, 104, 10**6)
+        texts = [(1, " ".join(base)), (2, " ".join(base[:88] + words(rng, 12, 10**6)))]
+        sets = list(shingle_sets(pa.array([t for _, t in texts])))
+        sig = near_dup.signatures(sets)
+        keys = near_dup.bands(sig[:, : near_dup.BANDED]).view(np.int64)
+        low = (sig & 255).astype(np.uint8)
+        shared, looks = np.flatnonzero(keys[0] == keys[1]), (low[0] == low[1])[: near_dup.BANDED].reshape(-1, near_dup.ROWS).all(1)
+        if near_dup.similar(*sets) and len(shared) and looks.argmax() < shared[0] and (low[0] == low[1]).sum() >= near_dup.AGREE:
+            break
+    else:
+        raise AssertionError("no such pair")
+    m = spark.createDataFrame([(int(keys[0][k]), int(k), i, len(s), i) for k in shared for (i, _), s in zip(texts, sets, strict=True)], "key long, band int, id long, n long, comp long")
+    g = spark.createDataFrame([(i, len(s), bytearray(x.tobytes()), k.tolist()) for (i, _), s, x, k in zip(texts, sets, low, keys, strict=True)], "id long, n long, sig binary, keys array<long>")
+    t = spark.createDataFrame([(i, bytearray(x.encode())) for i, x in texts], "id long, t binary")
+    assert {tuple(sorted(r)) for r in near_dup.across(m, g, t).collect()} == {(1, 2)}
+
+
 def test_similar_at_the_threshold():
     a = np.arange(100, dtype=np.uint64)
     assert near_dup.similar(a, a[:75]) and not near_dup.similar(a, a[:74]) and not near_dup.similar(a[:0], a[:0])
