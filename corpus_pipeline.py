@@ -22,8 +22,8 @@ def quality_stage(spark, docs, sf_dir):
 
 
 def line_stage(spark, docs, sf_dir):
-    """Lines of later copies of repeated runs go."""
-    return line_dedup.dedup_lines(docs)
+    """Lines of later copies of repeated runs go, and of repeated passages of fewer lines."""
+    return line_dedup.dedup_lines(docs, words=line_dedup.PASSAGE)
 
 
 def near_duplicate_stage(spark, docs, sf_dir):

@@ -5,7 +5,9 @@ smallest hash in it, so two equal runs of that many lines always share a
 fingerprint. Fingerprints found at two positions or more are joined with their
 positions and extended to both sides, to every window around them; of equal
 extensions, the first position in order of (id, line) keeps its lines, and the
-lines of later ones go. A longer repeated run is covered by its windows.
+lines of later ones go. A longer repeated run is covered by its windows. With
+``words``, shorter windows of at least that many words count as well, so that a
+passage of one or two long lines is found too.
 
 Only DataFrame functions are used.
 """
@@ -15,27 +17,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, table
+from ._spark import cut, table, word_count
 
 RUN = 3
+#: Words that make a passage of fewer lines than a run.
+PASSAGE = 50
 _NO_ID = -(2**63)
 
 
-def _windows(rows: DataFrame, run: int) -> DataFrame:
+def _windows(rows: DataFrame, run: int, words: int | None = None) -> DataFrame:
     """(id, tag, at, seen, lines, key, check): for each window its first line, its smallest hash and that hash's line, its lines and two hashes of the sequence."""
     lines = F.transform(F.col("lines"), lambda x, i: F.struct(i.alias("at"), x.alias("x")))
     lines = F.filter(lines, lambda s: ~s["x"].rlike(r"^[\x20\x09-\x0D]*$"))
-    rows = rows.select("id", "tag", F.transform(lines, lambda s: F.struct(s["at"].alias("at"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(s["x"], F.lit(1)).alias("g"))).alias("s"))
-    rows = rows.where(F.size("s") >= run).select("id", "tag", "s", F.explode(F.sequence(F.lit(1), F.size("s") - run + 1)).alias("i"))
-    rows = rows.select("id", "tag", F.slice("s", F.col("i"), F.lit(run)).alias("s"))
+    rows = rows.select("id", "tag", F.transform(lines, lambda s: F.struct(s["at"].alias("at"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(s["x"], F.lit(1)).alias("g"), *([] if words is None else [word_count(s["x"]).alias("w")]))).alias("s"))
+    if words is None:
+        rows = rows.where(F.size("s") >= run).select("id", "tag", "s", F.explode(F.sequence(F.lit(1), F.size("s") - run + 1)).alias("i"))
+        rows = rows.select("id", "tag", F.slice("s", F.col("i"), F.lit(run)).alias("s"))
+    else:
+        rows = rows.where(F.size("s") > 0).select("id", "tag", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("i"))
+        rows = rows.select("id", "tag", "s", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(run), F.size("s") - F.col("i") + 1))).alias("k"))
+        rows = rows.select("id", "tag", F.slice("s", F.col("i"), F.col("k")).alias("s"))
+        rows = rows.where((F.size("s") >= run) | (F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + x["w"]) >= words))
     # rightmost of the smallest
     least = F.array_min(F.transform("s", lambda x: F.struct(x["h"].alias("h"), (-x["at"]).alias("back"))))
     return rows.select("id", "tag", F.col("s")[0]["at"].alias("at"), least["h"].alias("print"), (-least["back"]).alias("print_at"), F.col("s")["at"].alias("covers"), F.xxhash64(F.col("s")["h"]).alias("key"), F.xxhash64(F.col("s")["g"]).alias("check"))
 
 
-def repeated_lines(rows: DataFrame, run: int = RUN) -> DataFrame:
+def repeated_lines(rows: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """(id, tag, gone): the numbers of the lines that go, from (id, tag, lines); rows without any don't appear."""
-    w = cut(_windows(rows, run).distinct())
+    w = cut(_windows(rows, run, words).distinct())
     prints = w.groupBy("print", "id", "tag", "print_at").agg(F.count("*")).groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
     w = w.join(prints, "print", "left_semi")
     place = F.struct("id", "tag", "at")
@@ -45,12 +55,12 @@ def repeated_lines(rows: DataFrame, run: int = RUN) -> DataFrame:
     return gone.groupBy("id", "tag").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
-    """``docs`` with the later copies of repeated runs of ``run`` lines or more cut from the text.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = RUN, n_lines: str | None = None, n_removed: str | None = None, words: int | None = None) -> DataFrame:
+    """``docs`` with the later copies of repeated runs of ``run`` lines or more cut from the text, and with ``words`` those of fewer lines and at least so many words.
 
     Lines end at newlines; blank ones are no part of a run and stay. Null texts
     stay null, and texts of fewer than ``run`` non-blank lines stay as they
-    are; a text whose every line goes becomes empty, and its row stays. A null
+    are without ``words``; a text whose every line goes becomes empty, and its row stays. A null
     id comes before all others. Rows with one id and one text are one document:
     they lose the same lines; rows with one id and different texts are told
     apart by a hash of the text. An ``n_chars`` column is set to the new length,
@@ -60,7 +70,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn(own["id"], F.coalesce(F.col(id_col), F.lit(_NO_ID)))
     rows = rows.withColumn(own["tag"], F.xxhash64(text_col))
     lines = F.split(F.col(text_col), "\n", -1)
-    gone = repeated_lines(docs.select(F.coalesce(F.col(id_col), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_col).alias("tag"), lines.alias("lines")), run)
+    gone = repeated_lines(docs.select(F.coalesce(F.col(id_col), F.lit(_NO_ID)).alias("id"), F.xxhash64(text_col).alias("tag"), lines.alias("lines")), run, words)
     gone = gone.select(F.col("id").alias(own["id"]), F.col("tag").alias(own["tag"]), F.col("gone").alias(own["gone"]))
     rows = rows.join(gone, [own["id"], own["tag"]], "left")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own["gone"]))

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from quire.llm import components, line_dedup, near_dup, queries, window_dedup
 from quire.llm._text import shingle_sets
 from tests.conftest import SF
@@ -167,6 +168,16 @@ def test_lines(spark):
     # in document 4 the run starts at lines 0, 1 and 2; the later two cover lines 1 to 4
 
 
+def test_long_lines(spark):
+    """With a number of words, passages of one or two lines go too; shorter ones stay."""
+    one, two, short = " ".join(f"a{i}" for i in range(50)), "\n\n".join(" ".join(f"{c}{i}" for i in range(25)) for c in "bc"), " ".join(f"d{i}" for i in range(49))
+    rows = [(1, one), (2, f"x\n{one}"), (3, two), (4, f"{two}\ny"), (5, short), (6, short), (7, "p\nq\nr"), (8, "p\nq\nr\ns"), (9, one), (10, f"{one}\nz"), (11, f"{one}\nz")]
+    want = {i: t for i, t in rows} | {2: "x", 4: "\ny", 8: "s", 9: "", 10: "z", 11: ""}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs(spark, rows), SF).collect()} == want
+    kept = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, rows)).collect()}
+    assert kept == {i: t for i, t in rows} | {8: "s"}
+
+
 def test_line_columns(spark):
     d = docs(spark, [(1, "a\nb\nc"), (2, "a\nb\nc\nd")]).withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r for r in line_dedup.dedup_lines(d, n_lines="n", n_removed="gone").collect()}
