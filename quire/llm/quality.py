@@ -49,11 +49,13 @@ def features(column: pa.Array) -> np.ndarray:
             x = h[first[i] : first[i + 1]]
             if len(x):
                 out[a + i, _CLASSES] = np.sqrt(repeated[i] / len(x))
-                # the most frequent word of a window of words: independent of length
-                head = x[: len(x) // 256 * 256].reshape(-1, 256) if len(x) >= 256 else x[None, :]
-                y = np.sort(head, axis=1)
+                # the distinct words of a window of words: independent of length; the last window ends with the text
+                whole = x[: len(x) // 256 * 256].reshape(-1, 256) if len(x) >= 256 else x[None, :]
+                if len(x) > whole.size:
+                    whole = np.concatenate((whole, x[None, -256:]))
+                y = np.sort(whole, axis=1)
                 distinct = 1 + (y[:, 1:] != y[:, :-1]).sum(1)
-                out[a + i, _CLASSES + 1] = 1 - distinct.mean() / head.shape[1]
+                out[a + i, _CLASSES + 1] = 1 - distinct.mean() / whole.shape[1]
                 out[a + i, _CLASSES + 2] = np.log1p((size[i] - len(x) + 1) / len(x)) / 4
                 out[a + i, _CLASSES + 3] = np.log1p(len(x)) / 16
                 out[a + i, _CLASSES + 4] = 1

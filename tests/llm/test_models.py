@@ -66,6 +66,16 @@ def test_features_do_not_depend_on_the_batch():
     assert np.allclose(quality.features(t), np.vstack([quality.features(t.slice(i, 1)) for i in range(len(t))]))
 
 
+def test_repetition_reads_the_tail():
+    head = [f"w{i}" for i in range(256)]
+    at = quality.FEATURES - 4
+    for n in (1, 100, 255):
+        clean, junk = quality.features(pa.array([" ".join(head + [f"v{i}" for i in range(n)]), " ".join(head + [head[-1]] * n)]))[:, at]
+        assert clean == 0 and np.isclose(junk, n / 512)
+    short, whole = quality.features(pa.array(["a a b", " ".join(head + head)]))[:, at]
+    assert np.isclose(short, 1 / 3) and whole == 0
+
+
 def test_bradley_terry_orders_pairs():
     rng = np.random.RandomState(0)
     x = rng.randn(400, 3)
