@@ -70,19 +70,17 @@ def bundle(text: str | None, dim: int = DIM) -> np.ndarray | None:
     return out
 
 
-def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = 2000, max_languages: int = 256, dim: int = DIM) -> tuple[list[str], np.ndarray]:
+def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_language: int = 2000, dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """Language names and their unit prototypes.
 
     Learned from a sample of about ``per_language`` documents of each language,
     chosen by a hash of the id; rows with a null language or no letter teach
-    nothing. At most ``max_languages`` languages, the most frequent, are learned.
+    nothing. Every other language is learned: a prototype is ``dim`` numbers.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-    counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(max_languages).collect()}
-    if not counts:
-        return [], np.zeros((0, dim))
-    share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, per_language / n))])
-    rows = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 20)) < share[F.col("l")] * (1 << 20))
+    # one short row a language, less than the prototypes that the driver holds
+    shares = rows.groupBy("l").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
+    rows = rows.join(F.broadcast(shares), "l").where(F.pmod(F.xxhash64("i", "t"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("i", "t", "l")
 
     def sums(batches):
         total: dict[str, np.ndarray] = {}

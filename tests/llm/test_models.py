@@ -33,6 +33,12 @@ def test_language_edge_cases(spark):
     assert {r.lang_pred for r in langid.identify(d, none).collect()} == {"und"} and langid.identify(d.limit(0), none).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    d = spark.createDataFrame([(k, f"{chr(0x4E00 + k)}ab" * 3, f"l{k:03}") for k in range(300)] + [(300, "xyz", None)], "doc_id long, text string, lang string")
+    names, protos = langid.learn(d)
+    assert names == [f"l{k:03}" for k in range(300)] and protos.shape == (300, langid.DIM) and (protos != 0).any(1).all()
+
+
 def test_bundles_bind_and_permute():
     a, b = langid.bundle("abc"), langid.bundle("cba")
     assert abs(a @ b) / np.linalg.norm(a) / np.linalg.norm(b) < 0.3 and (langid.bundle("ABC") == a).all() and langid.bundle("123") is None
