@@ -388,7 +388,7 @@ def _tables(spark, sf_dir) -> DataFrame:
     """The lines with bars of each document as a table, of widths that vary, with null cells."""
     d = documents(spark, sf_dir)
     rows = F.filter(F.split("text", "\n", -1), lambda x: x.contains("|"))
-    cells = F.transform(rows, lambda r: F.transform(F.slice(F.split(r, r"\|"), 1, 6), lambda c: F.when(F.trim(c) != "", c)))
+    cells = F.transform(rows, lambda r: F.transform(F.split(r, r"\|"), lambda c: F.when(F.trim(c) != "", c)))
     return d.select("doc_id", F.lit(0).alias("page_num"), F.lit(0).alias("table_idx"), cells.alias("cells"), ((F.col("doc_id") % 10) / 10).alias("confidence"), F.lit("bars").alias("method")).where(F.size("cells") > 0)
 
 

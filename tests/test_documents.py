@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import deck, docx, elements, imaging, language, markdown, metrics, ocr, pages, scripts, tables
-from quire.plans import pipeline
+from quire.plans import pipeline, queries
 from quire.sources import files, pdf as pdf_source
 from quire.streaming.files import process_stream
 
@@ -154,6 +154,15 @@ def test_tables(spark):
     assert made[1] == ("| a | b |\n|---|---|\n| 1 |  |", [{"a": "1", "b": ""}]) and made[4] == ("", []) and made[5][1] == [{"d": "2"}]
 
 
+def test_table_clean_keeps_every_cell(spark, tmp_path):
+    rows = [(5, "a|b|c|d|e|f|g|h\nno bars\n1|2|3|4|5|6|7|8\n9|| |x||||y")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    r = queries.QUERIES["table_clean"](spark, str(tmp_path)).first()
+    assert r.columns.split("\x1f") == list("abcdefgh")
+    assert [x.split("\x1f") for x in r.cells.split("\x1e")] == [list("12345678"), ["9", "", "", "x", "", "", "", "y"]]
+    assert r.markdown.splitlines()[0] == "| a | b | c | d | e | f | g | h |"
+
+
 def test_metrics(spark):
     p = spark.createDataFrame([(1, 0, 0.5, None, None), (1, 1, 0.0, 0.0, 4), (1, 2, 0.2, None, None), (1, 3, 0.0, 80.0, 1)], "doc_id long, page_num int, text_density double, ocr_confidence double, corrections long")
     rows = metrics.page_metrics(p)
