@@ -5,9 +5,10 @@ Vectors get binary codes of 64 bits: a rotation learned on a bounded sample
 signs. A code is split into four substrings, each indexed. Two codes within
 Hamming distance r differ by at most r // 4 in some substring, so probing the
 four indexes retrieves every code within r; their vectors are reranked by inner
-product in double precision. The radius is the smallest that holds the wanted
-share of true neighbours in the sample. In a block where it finds fewer than k,
-it grows.
+product in double precision, summed in one order whatever the row's place. The
+radius is the smallest that holds the wanted share of true neighbours in the
+sample. Queries for which all blocks together have fewer than k codes within it
+are asked again with a larger one, until each has k.
 
 All rows are indexed, in blocks of bounded size. The largest inner product
 becomes the nearest neighbour when every vector gets one more component that
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
-from ._spark import table
+from ._spark import cut, partitions, table
 
 BITS, PARTS = 64, 4
 WIDTH = BITS // PARTS
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def lifted(x: np.ndarray, norm2: float) -> np.ndarray:
@@ -61,6 +63,11 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
+def inner(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products with q. Equal rows have equal ones: each row is summed alone, in one order, which a matrix product doesn't promise."""
+    return (np.ascontiguousarray(x) * q).sum(1)
+
+
 class MultiIndex:
     def __init__(self, c: np.ndarray):
         self.c = c
@@ -122,7 +129,7 @@ def choose_radius(x: np.ndarray, c: np.ndarray, asked: np.ndarray, k: int, recal
     return int(np.quantile(far, recall, method="higher")) if len(far) else 0
 
 
-def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 8192, recall: float = 0.97, block: int = vectors.BLOCK) -> DataFrame:
+def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", sample_rows: int = 8192, recall: float = 0.97, block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` the k largest inner products found, ties to smaller ids.
 
     Ids and vectors that are null, vectors that hold null or non-finite
@@ -135,36 +142,43 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     v = vectors.clean(rows, id_col, vec_col).where("norm2 > 0")
     n, dim, norm2 = vectors.summary(v)
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], RESULT)
     sample = vectors.matrix(v.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("x").toArrow().column("x"), dim)
     high = lifted(sample, norm2)
     model = learn_rotation(high)
     asked = codes(np.hstack([sample, np.zeros((len(sample), 1))]), model)
     radius = choose_radius(sample, codes(high, model), asked, k, recall)
 
-    def build(ids, x):
-        c = codes(lifted(x, norm2), model)
-        index = MultiIndex(c)
-
-        def find(own, q, least):
-            code = codes(np.append(q, 0.0)[None, :], model)[0]
-            r, want = radius, min(k, len(ids) - int((ids == own).any()))
-            near = index.probe(code, r)
-            near = near[ids[near] != own]
-            while len(near) < want:
-                r = min(BITS, r + 4)
-                near = index.probe(code, r)
+    def probing(radius):
+        def build(ids, x):
+            index = MultiIndex(codes(lifted(x, norm2), model))
+
+            def find(own, q, least):
+                near = index.probe(codes(np.append(q, 0.0)[None, :], model)[0], radius)
                 near = near[ids[near] != own]
-            found = vectors.Best(k, least)
-            found.add(ids[near], x[near] @ q)
-            return found.ids, found.scores
+                found = vectors.Best(k, least)
+                found.add(ids[near], inner(x[near], q))
+                return found.ids, found.scores
+
+            return find
 
-        return find
+        return build
 
-    blocks = {0: -(-n // block)}
+    tasks = partitions(spark)
+    blocks = {0: -(-n // (block or vectors.block_rows(n, dim, tasks)))}
+    data = v.select(F.lit(0).alias("region"), "id", "x")
     asks = v.where(vectors.every_nth(v, every)).select(F.lit(0).alias("region"), "id", "x", F.lit(None).cast("double").alias("least"))
-    copies = {0: max(1, -(-asks.count() // vectors.QUERIES))}
-    return vectors.best(vectors.search(v.select(F.lit(0).alias("region"), "id", "x"), asks, build, k, dim, blocks, copies), k)
+    left, out = asks.count(), None
+    while left:
+        found = cut(vectors.best(vectors.search(data, asks, probing(radius), k, dim, blocks, vectors.copies(blocks, {0: left}, tasks)), k))
+        full = cut(found.groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= min(k, n - 1)).select("query_id"))
+        left = left - full.count() if radius < BITS else 0
+        if left:
+            found = found.join(full, "query_id", "left_semi")
+            asks = cut(asks.join(full, F.col("id") == F.col("query_id"), "left_anti"))
+            radius = min(BITS, radius + PARTS)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], RESULT)
 
 
 def op2_multi_index_hashing(spark, sf_dir):

@@ -22,16 +22,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors
-from ._spark import cut, table
+from ._spark import cut, partitions, table
 
 PAGE, FANOUT, ROOT = 1024, 16, 256
+#: Whole numbers below this are exact as doubles.
+EXACT = 2.0**53
 
 
 class MTree:
-    """Rows (n x d) whose squared norms are at most ``norm2``; scores are inner products."""
+    """Rows (n x d) whose squared norms are at most ``norm2``; scores are inner products.
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, norm2: float, page: int = PAGE, fanout: int = FANOUT):
+    With ``whole``, components are whole numbers and scores are summed as such:
+    exact, as long as they fit 64 bits.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, norm2: float, page: int = PAGE, fanout: int = FANOUT, whole: bool = False):
         self.ids, self.x, self.norm2, self.page, self.fanout = ids, x, norm2, page, fanout
+        self.kind = np.int64 if whole else np.float64
         self.lift = np.sqrt(np.maximum(norm2 - (x * x).sum(1), 0))
         self.slack = 1e-9 * (np.sqrt(norm2) + 1)
         self.pages: list[tuple] = []
@@ -49,7 +56,7 @@ class MTree:
         if len(rows) <= self.page:
             order = np.argsort(to_parent, kind="stable")
             rows = rows[order]
-            self.pages[at] = (True, rows, to_parent[order], None, None, self.x[rows])
+            self.pages[at] = (True, rows, to_parent[order], None, None, self.x[rows].astype(self.kind))
             return at
         routing = rng.choice(rows, self.fanout, replace=False)
         d = np.stack([self._from(rows, c) for c in routing])
@@ -65,7 +72,8 @@ class MTree:
 
     def search(self, own: int, q: np.ndarray, k: int, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k largest inner products with q of at least ``least``, without the row whose id is ``own``."""
-        found = vectors.Best(k, least)
+        found = vectors.Best(k, least, self.kind)
+        own_q = q.astype(self.kind)
         if self.root is None:
             return found.ids, found.scores
         base = float(q @ q) + self.norm2
@@ -88,7 +96,7 @@ class MTree:
                 if a < b:
                     self.computed += b - a
                     ids = self.ids[rows[a:b]]
-                    scores = x[a:b] @ q
+                    scores = x[a:b] @ own_q
                     if own is not None:
                         other = ids != own
                         ids, scores = ids[other], scores[other]
@@ -106,21 +114,25 @@ class MTree:
         return found.ids, found.scores
 
 
-def top_k(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", component=lambda x: F.floor(x * 64).cast("double"), block: int = vectors.BLOCK) -> DataFrame:
+def top_k(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", component=lambda x: F.floor(x * 64).cast("double"), block: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` the k largest inner products with other rows, ties to smaller ids.
 
     Components pass through ``component`` first. Ids and vectors that are null,
     and vectors that hold null or non-finite components, take no part. Of rows
     with one id the smallest vector counts, so repeated rows count once; other
     ids with an equal vector are candidates like any. Vectors of fewer
-    components are read as filled up with zeros. Sums of products are exact
-    below 2**53. No rows, or a single one, give no rows.
+    components are read as filled up with zeros. Scores are long: ``component``
+    makes whole numbers, whose products are summed in doubles where no sum can
+    reach 2**53 and in 64-bit integers otherwise. No rows, or a single one, give
+    no rows.
     """
     spark = rows.sparkSession
     v = vectors.clean(rows, id_col, vec_col, component)
     n, dim, norm2 = vectors.summary(v)
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    tasks = partitions(spark)
+    block = block or vectors.block_rows(n, dim, tasks)
     roots = v.orderBy(F.xxhash64("id"), "id").limit(min(ROOT, -(-n // block))).select("x").toArrow()
     centres = vectors.matrix(roots.column("x"), dim)
     lifts = np.sqrt(np.maximum(norm2 - (centres**2).sum(1), 0))
@@ -142,14 +154,11 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     radius = {r.region: r.far for r in regions}
 
     def build(ids, x):
-        tree = MTree(ids, x, norm2)
+        tree = MTree(ids, x, norm2, whole=norm2 >= EXACT)
         return lambda own, q, least: tree.search(own, q, k, least)
 
-    def copies(asked):
-        return {r: max(1, -(-asked.get(r, 0) // vectors.QUERIES)) for r in blocks}
-
-    queries = placed.where(asks).select("region", "id", "x", F.lit(None).cast("double").alias("least"))
-    near = cut(vectors.best(vectors.search(placed, queries, build, k, dim, blocks, copies({r.region: r.asks for r in regions})), k))
+    queries = placed.where(asks).select("region", "id", "x", F.lit(None).cast("long").alias("least"))
+    near = cut(vectors.best(vectors.search(placed, queries, build, k, dim, blocks, vectors.copies(blocks, {r.region: r.asks for r in regions}, tasks), "long"), k))
     if len(regions) == 1:
         return near
     reached = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
@@ -160,7 +169,7 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
         """The other regions where a query may find a score of at least its k-th."""
         for batch in batches:
             x = vectors.matrix(batch.column("x"), dim)
-            least = np.array([-np.inf if s is None else s for s in batch.column("least").to_pylist()])
+            least = np.array([-np.inf if s is None else float(s) for s in batch.column("least").to_pylist()])
             d = distances(x, np.zeros(len(x)))[:, names]
             base = (x**2).sum(1) + norm2
             reach = np.sqrt(np.maximum(base - 2 * least, 0)) + 1e-6 * (1 + np.sqrt(base))
@@ -169,14 +178,14 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
             rows = pa.RecordBatch.from_arrays([batch.column(c) for c in ("id", "x", "least")], ["id", "x", "least"]).take(pa.array(at))
             yield pa.RecordBatch.from_arrays([pa.array(names[to].astype(np.int32)), *rows.columns], ["region", "id", "x", "least"])
 
-    routed = cut(queries.drop("least").join(reached, "id", "left").select("region", "id", "x", "least").mapInArrow(route, "region int, id long, x array<double>, least double"))
+    routed = cut(queries.drop("least").join(reached, "id", "left").select("region", "id", "x", "least").mapInArrow(route, "region int, id long, x array<double>, least long"))
     asked = {r.region: r.n for r in routed.groupBy("region").agg(F.count("*").alias("n")).collect()}
-    far = vectors.search(placed, routed, build, k, dim, blocks, copies(asked))
+    far = vectors.search(placed, routed, build, k, dim, blocks, vectors.copies(blocks, asked, tasks), "long")
     return vectors.best(near.select("query_id", "vec_id", "score").unionByName(far), k)
 
 
 def op1_mtree_topk(spark, sf_dir):
-    return top_k(table(spark, sf_dir, "embeddings")).withColumn("score", F.col("score").cast("long"))
+    return top_k(table(spark, sf_dir, "embeddings"))
 
 
 ORACLE = """

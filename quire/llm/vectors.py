@@ -1,8 +1,10 @@
 """What both vector searches share: clean vectors, queries dealt to blocks, and the merge of block results.
 
 A block is some thousands of rows, searched through an index built where the
-block lands. Queries stream past it. Blocks and the queries that one copy of a
-block serves are bounded, so no task holds more than a block and its answers.
+block lands. Queries stream past it. Blocks are bounded, so no task holds more
+than a block and its answers. Rows are shuffled once for each copy of their
+block and queries once for each block, so blocks are as large as a task can hold
+where there are many, and of few queries each block has few copies.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from pyspark.sql import functions as F
 
 from ._spark import cut, partitions
 
-#: Rows of a block, and queries that are sent to one copy of it.
-BLOCK, QUERIES = 16384, 8192
+#: Components and rows that a block holds at most, and rows below which it isn't worth dealing them out.
+COMPONENTS, BLOCK, LEAST = 1 << 22, 1 << 16, 4096
+#: Queries that one copy of a block serves at most, and at least where copies only add tasks.
+QUERIES, FEW = 1 << 20, 128
 
 
 def clean(rows: DataFrame, id_col: str, vec_col: str, component=lambda x: x) -> DataFrame:
@@ -51,8 +55,19 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def search(data: DataFrame, queries: DataFrame, build: Callable, k: int, dim: int, blocks: dict[int, int], copies: dict[int, int]) -> DataFrame:
-    """(query_id, vec_id, score): the best k of each block for each query.
+def block_rows(n: int, dim: int, tasks: int) -> int:
+    """Rows of a block: two tasks at least share the work on one, and it is of bounded size."""
+    return max(1, min(BLOCK, COMPONENTS // max(dim, 1), max(LEAST, -(-2 * n // tasks))))
+
+
+def copies(blocks: dict[int, int], asked: dict[int, int], tasks: int) -> dict[int, int]:
+    """Copies of each region's blocks: so many that about ``2 * tasks`` tasks have queries."""
+    live = sum(blocks[r] for r in blocks if asked.get(r))
+    return {r: max(1, -(-asked.get(r, 0) // QUERIES), min(-(-asked.get(r, 0) // FEW), -(-2 * tasks // max(live, 1)))) for r in blocks}
+
+
+def search(data: DataFrame, queries: DataFrame, build: Callable, k: int, dim: int, blocks: dict[int, int], copies: dict[int, int], kind: str = "double") -> DataFrame:
+    """(query_id, vec_id, score): the best k of each block for each query, scores of type ``kind``.
 
     ``data`` has (region, id, x) and ``queries`` (region, id, x, least), where
     region is what the query has to search and ``least`` a score that it has
@@ -63,10 +78,12 @@ def search(data: DataFrame, queries: DataFrame, build: Callable, k: int, dim: in
     n = partitions(data.sparkSession)
     number = lambda of: F.create_map(*[F.lit(v) for r, c in of.items() for v in (r, c)])[F.col("region")].cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), number(of) - 1))
-    d = data.select("region", F.pmod(F.xxhash64("id"), number(blocks)).cast("int").alias("block"), every(copies).alias("copy"), F.lit(0).alias("kind"), "id", "x", F.lit(None).cast("double").alias("least"))
+    d = data.select("region", F.pmod(F.xxhash64("id"), number(blocks)).cast("int").alias("block"), every(copies).alias("copy"), F.lit(0).alias("kind"), "id", "x", F.lit(None).cast(kind).alias("least"))
     q = queries.select("region", every(blocks).alias("block"), F.pmod(F.xxhash64("id", F.lit(1)), number(copies)).cast("int").alias("copy"), F.lit(1).alias("kind"), "id", "x", "least")
     rows = d.unionByName(q).repartition(n, "region", "block", "copy").sortWithinPartitions("region", "block", "copy", "kind")
 
+    types = pa.int64(), pa.int64(), pa.int64() if kind == "long" else pa.float64()
+
     def run(batches):
         at, ids, xs, find = None, [], [], None
         for batch in batches:
@@ -94,9 +111,9 @@ def search(data: DataFrame, queries: DataFrame, build: Callable, k: int, dim: in
                     found, scores = find(int(own[i]), x[i], least[i])
                     out.append((np.full(len(found), own[i]), found, scores))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["query_id", "vec_id", "score"])
 
-    return rows.select("region", "block", "copy", "kind", "id", "x", "least").mapInArrow(run, "query_id long, vec_id long, score double")
+    return rows.select("region", "block", "copy", "kind", "id", "x", "least").mapInArrow(run, f"query_id long, vec_id long, score {kind}")
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -108,8 +125,9 @@ def best(found: DataFrame, k: int) -> DataFrame:
 class Best:
     """The k best (score, id) met so far."""
 
-    def __init__(self, k: int, least: float | None):
-        self.k, self.ids, self.scores = k, np.zeros(0, np.int64), np.zeros(0)
+    def __init__(self, k: int, least: float | None, kind: type = np.float64):
+        """``kind`` is what scores are held as."""
+        self.k, self.ids, self.scores = k, np.zeros(0, np.int64), np.zeros(0, kind)
         self.least = -np.inf if least is None else least
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -121,7 +139,7 @@ class Best:
                 ids, scores = ids[order], scores[order]
             self.ids, self.scores = ids, scores
             if len(ids) == self.k:
-                self.least = max(self.least, float(scores.min()))
+                self.least = max(self.least, scores.min().item())
 
 
 def every_nth(rows: DataFrame, n: int) -> Column:
