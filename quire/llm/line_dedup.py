@@ -1,20 +1,28 @@
 """Removing repeated runs of lines by winnowing.
 
-Every window of ``run`` consecutive non-blank lines is fingerprinted by the
-smallest hash in it, so two equal runs of that many lines always share a
-fingerprint. Fingerprints found at two positions or more are joined with their
-positions and extended to both sides, to every window around them; of equal
-extensions, the first position in order of (id, line) keeps its lines, and the
-lines of later ones go. A longer repeated run is covered by its windows. With
-``words``, shorter windows of at least that many words count as well, so that a
-passage of one or two long lines is found too.
-
-Only DataFrame functions are used.
+Of every window of ``run`` consecutive non-blank lines the smallest line hash is
+selected (the rightmost of equal ones), so two equal runs of that many lines
+always have a selected line in common, at the same place of the run. About half
+of the lines are selected; each keeps the hashes of the ``run - 1`` lines on
+either side. With ``words``, shorter windows of at least that many words have
+their smallest hash selected as well, so that a passage of one or two long lines
+is found too.
+
+Selected lines whose hash is at two positions or more are joined by position:
+each with the first position, in order of (id, line), that has the same window
+around it. The match is extended to both sides as far as lines are equal, and
+the lines of the later position go. Selected lines of a run are at most ``run``
+lines apart, so the extensions of its matches meet and a longer run goes whole.
+
+Only DataFrame functions are used. Counts of groups are tables of their own
+before they are joined, so that Spark can split a hash with very many positions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut, table, word_count
@@ -25,33 +33,59 @@ PASSAGE = 50
 _NO_ID = -(2**63)
 
 
-def _windows(rows: DataFrame, run: int, words: int | None = None) -> DataFrame:
-    """(id, tag, at, seen, lines, key, check): for each window its first line, its smallest hash and that hash's line, its lines and two hashes of the sequence."""
+def _all(conditions) -> Column:
+    return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def _selected(rows: DataFrame, run: int, words: int | None) -> DataFrame:
+    """(id, tag, print, around, windows): the selected lines.
+
+    ``around`` has the line itself and ``run - 1`` lines before and behind it, as
+    (at, h, g) or null beyond the text; ``windows`` are the (first, last) places
+    in it of the windows that selected the line.
+    """
     lines = F.transform(F.col("lines"), lambda x, i: F.struct(i.alias("at"), x.alias("x")))
     lines = F.filter(lines, lambda s: ~s["x"].rlike(r"^[\x20\x09-\x0D]*$"))
-    rows = rows.select("id", "tag", F.transform(lines, lambda s: F.struct(s["at"].alias("at"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(s["x"], F.lit(1)).alias("g"), *([] if words is None else [word_count(s["x"]).alias("w")]))).alias("s"))
-    if words is None:
-        rows = rows.where(F.size("s") >= run).select("id", "tag", "s", F.explode(F.sequence(F.lit(1), F.size("s") - run + 1)).alias("i"))
-        rows = rows.select("id", "tag", F.slice("s", F.col("i"), F.lit(run)).alias("s"))
-    else:
-        rows = rows.where(F.size("s") > 0).select("id", "tag", "s", F.explode(F.sequence(F.lit(1), F.size("s"))).alias("i"))
-        rows = rows.select("id", "tag", "s", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(run), F.size("s") - F.col("i") + 1))).alias("k"))
-        rows = rows.select("id", "tag", F.slice("s", F.col("i"), F.col("k")).alias("s"))
-        rows = rows.where((F.size("s") >= run) | (F.aggregate("s", F.lit(0).cast("long"), lambda n, x: n + x["w"]) >= words))
-    # rightmost of the smallest
-    least = F.array_min(F.transform("s", lambda x: F.struct(x["h"].alias("h"), (-x["at"]).alias("back"))))
-    return rows.select("id", "tag", F.col("s")[0]["at"].alias("at"), least["h"].alias("print"), (-least["back"]).alias("print_at"), F.col("s")["at"].alias("covers"), F.xxhash64(F.col("s")["h"]).alias("key"), F.xxhash64(F.col("s")["g"]).alias("check"))
+    fields = lambda s: [s["at"].alias("at"), F.xxhash64(s["x"]).alias("h"), F.xxhash64(s["x"], F.lit(1)).alias("g"), *([] if words is None else [word_count(s["x"]).alias("w")])]
+    rows = rows.select("id", "tag", F.transform(lines, lambda s: F.struct(*fields(s))).alias("s")).where(F.size("s") > 0)
+    rows = rows.select("id", "tag", "s", F.explode(F.sequence(F.lit(0), F.size("s") - 1)).alias("i"))
+    rows = rows.select("id", "tag", *[(F.get("s", F.col("i") + d) if d >= 0 else F.when(F.col("i") + d >= 0, F.get("s", F.col("i") + d))).alias(f"l{run - 1 + d}") for d in range(1 - run, run)])
+    at = run - 1
+    line = [F.col(f"l{k}") for k in range(2 * run - 1)]
+    windows = []
+    for size in range(1 if words is not None else run, run + 1):
+        for first in range(at - size + 1, at + 1):
+            own = range(first, first + size)
+            inside = [line[k].isNotNull() for k in own if k != at]
+            least = [line[at]["h"] <= line[k]["h"] if k < at else line[at]["h"] < line[k]["h"] for k in own if k != at]
+            enough = [] if size == run else [sum((line[k]["w"] for k in own), F.lit(0).cast("long")) >= words]
+            windows.append(F.when(_all(inside + least + enough), F.struct(F.lit(first).alias("first"), F.lit(first + size - 1).alias("last"))))
+    around = F.array(*[F.when(x.isNotNull(), F.struct(x["at"].alias("at"), x["h"].alias("h"), x["g"].alias("g"))) for x in line])
+    rows = rows.select("id", "tag", line[at]["h"].alias("print"), around.alias("around"), F.array_compact(F.array(*windows)).alias("windows"))
+    return rows.where(F.size("windows") > 0)
+
+
+def _equal(ahead: Column, first: Column) -> Column:
+    """How many lines of two arrays are equal from the start on; lines beyond a text equal none."""
+    pairs = F.zip_with(ahead, first, lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["g"] == b["g"]), F.lit(False)))
+    stop = F.array_position(pairs, False)
+    return F.when(stop > 0, stop - 1).otherwise(F.size(pairs)).cast("int")
 
 
 def repeated_lines(rows: DataFrame, run: int = RUN, words: int | None = None) -> DataFrame:
     """(id, tag, gone): the numbers of the lines that go, from (id, tag, lines); rows without any don't appear."""
-    w = cut(_windows(rows, run, words).distinct())
-    prints = w.groupBy("print", "id", "tag", "print_at").agg(F.count("*")).groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print")
-    w = w.join(prints, "print", "left_semi")
-    place = F.struct("id", "tag", "at")
-    first = w.groupBy("key", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(F.col("first") < F.col("last"))
-    later = w.join(first.drop("last"), ["key", "check"]).where(place > F.col("first"))
-    gone = later.select("id", "tag", F.explode("covers").alias("line"))
+    prints = cut(_selected(rows, run, words))
+    often = cut(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print"))
+    w = prints.join(often, "print", "left_semi").select("id", "tag", "around", F.explode("windows").alias("w"))
+    inside = F.slice("around", F.col("w.first") + 1, F.col("w.last") - F.col("w.first") + 1)
+    before, behind = F.reverse(F.slice("around", F.lit(1), F.col("w.first"))), F.slice("around", F.col("w.last") + 2, F.lit(2 * run - 2) - F.col("w.last"))
+    w = cut(w.select("id", "tag", inside["at"].alias("covers"), before.alias("before"), behind.alias("behind"), F.xxhash64(inside["h"]).alias("key"), F.xxhash64(inside["g"]).alias("check")))
+    place = F.struct("id", "tag", F.col("covers")[0].alias("at"))
+    first = w.groupBy("key", "check").agg(F.min(F.struct("id", "tag", F.col("covers")[0].alias("at"), F.col("before").alias("left"), F.col("behind").alias("right"))).alias("first"), F.max(place).alias("last"))
+    first = cut(first.where(F.struct("first.id", "first.tag", "first.at") < F.col("last")).drop("last"))
+    later = w.join(first, ["key", "check"]).where(place > F.struct("first.id", "first.tag", "first.at"))
+    wider = F.concat("covers", F.slice("before", F.lit(1), _equal(F.col("before"), F.col("first.left")))["at"], F.slice("behind", F.lit(1), _equal(F.col("behind"), F.col("first.right")))["at"])
+    gone = later.select("id", "tag", F.explode(wider).alias("line"))
     return gone.groupBy("id", "tag").agg(F.collect_set("line").alias("gone"))
 
 
