@@ -19,9 +19,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = _rng.randint(0, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
-_power = np.ones(1, np.uint64), np.ones(1, np.uint64)
+_BASES = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_power = {b: (np.ones(1, np.uint64), np.ones(1, np.uint64)) for b in _BASES}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,18 +33,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, base: int = _BASES[0]) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
-    global _power
-    if len(_power[0]) < n:
+    if len(_power[base][0]) < n:
         out = []
-        for base in (_BASE, _BASE_INVERSE):
-            p = np.full(max(n, CHUNK + 1), base, np.uint64)
+        for x in (base, pow(base, -1, 2**64)):
+            p = np.full(max(n, CHUNK + 1), x, np.uint64)
             p[0] = 1
             np.multiply.accumulate(p, out=p)
             out.append(p)
-        _power = out[0], out[1]
-    return _power[0][:n], _power[1][:n]
+        _power[base] = out[0], out[1]
+    return _power[base][0][:n], _power[base][1][:n]
 
 
 def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -105,15 +103,15 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(out)
 
 
-def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words that start at each word; k - 1 fewer than words."""
+def sequence_hashes(h: np.ndarray, k: int, nth: int = 0) -> np.ndarray:
+    """Hash of the k words that start at each word; k - 1 fewer than words. ``nth`` chooses one of two hashes."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.empty(n, np.uint64)
     for a in range(0, n, CHUNK):
         b = min(n, a + CHUNK)
-        p, q = powers(b - a + k)
+        p, q = powers(b - a + k, _BASES[nth])
         total = np.zeros(b - a + k, np.uint64)
         np.cumsum(h[a : b + k - 1] * p[: b - a + k - 1], out=total[1:])
         out[a:b] = (total[k:] - total[: b - a]) * q[: b - a]

@@ -5,12 +5,15 @@ A window is 50 consecutive words. Its key is the smallest hash among the
 share one. A first pass counts in how many documents each key is, in a
 count-min sketch: every partition fills one, and they are merged into a bit
 for each cell that says whether two documents or more fell on it. The sketch
-never says less than the truth. A second pass groups exactly, by the hash of all
-50 words, the windows whose key the sketch estimates to be repeated.
-
-The merged sketch has a fixed size (24 MB), whatever the input. With very many
-more keys than cells it lets more windows through to the exact pass, which is
-then slower but no less right.
+never says less than the truth. A second pass groups exactly, by 96 bits of hash
+of all 50 words, the windows whose key the sketch estimates to be repeated:
+at 10**13 windows a chance collision is expected in fewer than one corpus of a
+thousand. A third pass cuts the words.
+
+The merged sketch is broadcast. It has a cell for every eight bytes that Spark
+estimates for the texts, but at most 3 x 2**29 bits (201 MB). With very many more
+keys than cells it lets more windows through to the exact pass, which is then
+slower but no less right.
 """
 
 from __future__ import annotations
@@ -22,70 +25,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import partitions, table
+from ._spark import bytes_of, cut, partitions, table, written
 from ._text import chunks, mix, sequence_hashes, word_hashes, words
 
 WINDOW, RUN = 50, 25
-DEPTH, CELL_BITS, BLOCK_BITS = 3, 26, 16
+DEPTH, BLOCK_BITS = 3, 16
+#: Cells of a row of the sketch, as a power of 2: for small inputs, and at most.
+LEAST_BITS, MOST_BITS = 20, 29
+#: Cells that a task holds before it hands them on, and windows in a row of candidates.
+HELD, ROW = 1 << 21, 1 << 14
 _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 
-def window_keys(column: pa.Array, window: int = WINDOW, run: int = RUN):
-    """(row, window hashes, keys) for texts with a window, in order; the j-th window starts at word j."""
+def window_keys(column: pa.Array, window: int = WINDOW, run: int = RUN, second: bool = False):
+    """(row, window hashes, second hashes or None, keys) for texts with a window, in order; the j-th window starts at word j."""
     for a, b, data, offsets in chunks(column):
         starts, ends, first = words(data, offsets)
-        h = word_hashes(data, starts, ends)
-        if len(h) < window:
+        long = np.flatnonzero(np.diff(first) >= window)
+        if not len(long):
             continue
+        h = word_hashes(data, starts, ends)
         whole = sequence_hashes(h, window)
+        other = sequence_hashes(h, window, 1) if second else None
         m, have, want = sequence_hashes(h, run), 1, window - run + 1
         while 2 * have <= want:
             m = np.minimum(m[:-have], m[have:])
             have *= 2
         if have < want:
             m = np.minimum(m[: len(m) - (want - have)], m[want - have :])
-        for i in np.flatnonzero(np.diff(first) >= window):
+        for i in long:
             lo, hi = first[i], first[i + 1] - window + 1
-            yield a + int(i), whole[lo:hi], m[lo:hi]
+            yield a + int(i), whole[lo:hi], None if other is None else other[lo:hi], m[lo:hi]
 
 
-def cells(keys: np.ndarray) -> list[np.ndarray]:
-    return [(mix(keys ^ seed) >> np.uint64(64 - CELL_BITS)).astype(np.int64) for seed in _SEEDS[:DEPTH]]
+def cells(keys: np.ndarray, bits: int) -> list[np.ndarray]:
+    return [(mix(keys ^ seed) >> np.uint64(64 - bits)).astype(np.int64) for seed in _SEEDS[:DEPTH]]
 
 
-def _fill(batches):
-    """One partition's sketch: for each block of cells, those that one document fell on and those that more did."""
-    once: list[np.ndarray] = [np.zeros(0, np.int64)] * DEPTH
-    twice: list[np.ndarray] = [np.zeros(0, np.int64)] * DEPTH
-    waiting, held = [], 0
+def cell_bits(texts: DataFrame) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, (bytes_of(texts, "t") // 8).bit_length()))
 
-    def merge():
-        for r in range(DEPTH):
-            own = [np.unique(c[r]) for c in waiting]
-            x, n = np.unique(np.concatenate([*own, once[r]]), return_counts=True)
-            once[r], twice[r] = x, np.union1d(twice[r], x[n > 1])
-        waiting.clear()
 
-    for batch in batches:
-        for _, _, keys in window_keys(batch.column("t")):
-            keys = np.unique(keys[np.concatenate(([True], keys[1:] != keys[:-1]))])
-            waiting.append(cells(keys))
-            held += len(keys)
-            if held > 1 << 18:
-                merge()
-                held = 0
-    merge()
-    for r in range(DEPTH):
-        blocks = once[r] >> BLOCK_BITS
-        cuts = np.flatnonzero(np.concatenate(([True], blocks[1:] != blocks[:-1]))) if len(blocks) else np.zeros(0, np.int64)
-        names = blocks[cuts]
-        one = np.split((once[r] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16), cuts[1:]) if len(cuts) else []
-        at = np.searchsorted(twice[r] >> BLOCK_BITS, np.stack([names, names + 1])) if len(cuts) else np.zeros((2, 0), np.int64)
-        low = (twice[r] & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((names + (r << (CELL_BITS - BLOCK_BITS))).astype(np.int32)), pa.array([x.tobytes() for x in one], pa.binary()), pa.array([low[i:j].tobytes() for i, j in at.T], pa.binary())],
-            ["block", "once", "twice"],
-        )
+def _runs(keys: np.ndarray) -> np.ndarray:
+    return np.concatenate(([True], keys[1:] != keys[:-1]))
+
+
+class _Cells:
+    """For each row of the sketch the cells that one document fell on, and those that more did."""
+
+    def __init__(self, bits: int):
+        self.bits, self.waiting, self.held = bits, [], 0
+        self.once = [np.zeros(0, np.int64)] * DEPTH
+        self.twice = [np.zeros(0, np.int64)] * DEPTH
+
+    def add(self, keys: np.ndarray) -> None:
+        self.waiting.append(cells(np.unique(keys[_runs(keys)]), self.bits))
+        self.held += len(self.waiting[-1][0])
+        if self.held > 1 << 18:
+            self.merge()
+
+    def merge(self) -> None:
+        for r in range(DEPTH):
+            own = [np.unique(c[r]) for c in self.waiting]
+            x, n = np.unique(np.concatenate([*own, self.once[r]]), return_counts=True)
+            self.once[r], self.twice[r] = x, np.union1d(self.twice[r], x[n > 1])
+        self.waiting.clear()
+        self.held = 0
+
+    def batches(self):
+        self.merge()
+        low = lambda x: (x & ((1 << BLOCK_BITS) - 1)).astype(np.uint16)
+        for r in range(DEPTH):
+            once, twice = self.once[r], self.twice[r]
+            blocks = once >> BLOCK_BITS
+            at = np.flatnonzero(_runs(blocks)) if len(blocks) else np.zeros(0, np.int64)
+            names = blocks[at]
+            one = np.split(low(once), at[1:]) if len(at) else []
+            ends = np.searchsorted(twice >> BLOCK_BITS, np.stack([names, names + 1]))
+            two = low(twice)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array((names + (r << max(0, self.bits - BLOCK_BITS))).astype(np.int32)), pa.array([x.tobytes() for x in one], pa.binary()), pa.array([two[i:j].tobytes() for i, j in ends.T], pa.binary())],
+                ["block", "once", "twice"],
+            )
 
 
 def _merge(batches):
@@ -108,100 +129,104 @@ def _merge(batches):
         yield packed()
 
 
-def sketch(docs: DataFrame) -> bytes:
-    """The merged sketch of (id, t): 3 * 2**26 bits."""
-    filled = docs.select("t").mapInArrow(_fill, "block int, once binary, twice binary")
+def sketch(docs: DataFrame, bits: int) -> bytes:
+    """The merged sketch of the texts in ``t``: 3 * 2**bits bits."""
+
+    def fill(batches):
+        held = _Cells(bits)
+        for batch in batches:
+            for _, _, _, keys in window_keys(batch.column("t")):
+                held.add(keys)
+                if len(held.once[0]) > HELD:  # documents of one task fall into several partial sketches, which add up
+                    yield from held.batches()
+                    held = _Cells(bits)
+        yield from held.batches()
+
+    filled = docs.select("t").mapInArrow(fill, "block int, once binary, twice binary")
     merged = filled.repartition(partitions(docs.sparkSession), "block").sortWithinPartitions("block").mapInArrow(_merge, "block int, bits binary")
-    out = bytearray(DEPTH << (CELL_BITS - 3))
+    out = bytearray(DEPTH << (bits - 3))
     size = 1 << (BLOCK_BITS - 3)
-    for r in merged.collect():
+    for r in merged.toLocalIterator():
         out[r.block * size : (r.block + 1) * size] = r.bits
     return bytes(out)
 
 
-def _repeated(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    change = np.concatenate(([True], keys[1:] != keys[:-1]))
+def repeated(sketched: bytes, keys: np.ndarray) -> np.ndarray:
+    """Whether the sketch says that each key is in two documents or more."""
+    view, change = np.frombuffer(sketched, np.uint8), _runs(keys)
+    bits = (len(view) * 8 // DEPTH).bit_length() - 1
     ok = np.ones(int(change.sum()), bool)
-    for r, c in enumerate(cells(keys[change])):
-        c = c + (r << CELL_BITS)
-        ok &= (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+    for r, c in enumerate(cells(keys[change], bits)):
+        c = c + (r << bits)
+        ok &= (view[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
     return ok[np.cumsum(change) - 1]
 
 
+def _finish(batches):
+    for batch in batches:
+        kept, digest, n, removed = [], [], [], []
+        gone = batch.column("gone")
+        for i, t in enumerate(batch.column("t")):
+            w = (t.as_py() or b"").split()
+            n.append(len(w))
+            if gone[i].is_valid:
+                out = np.zeros(len(w) + 1, np.int64)
+                at = np.unique(gone[i].values.to_numpy())
+                out[at] += 1
+                np.subtract.at(out, at + WINDOW, 1)
+                cover = np.cumsum(out)[: len(w)] > 0
+                w = [x for x, c in zip(w, cover.tolist(), strict=True) if not c]
+            removed.append(n[-1] - len(w))
+            kept.append(b" ".join(w))
+            digest.append(hashlib.sha256(kept[-1]).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+
+
 def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept) for every row of ``docs``.
 
     ``kept`` is the text left, words joined by single spaces. Null texts count
     as empty and texts of fewer than 50 words lose nothing. Rows with one id are
-    one document, whose windows aren't later than each other; rows with a
-    null id are neither earlier nor later than any, and lose nothing. Further
-    columns are ignored, no rows give no rows.
+    one document, whose windows aren't later than each other; each row loses
+    the windows of its own text. Rows with a null id are neither earlier nor later
+    than any, and lose nothing. Further columns are ignored, no rows give no rows.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     known = docs.where("id is not null and t is not null")
-    shared = spark.sparkContext.broadcast(sketch(known))
+    shared = docs.sparkSession.sparkContext.broadcast(sketch(known, cell_bits(known)))
 
     def candidates(batches):
-        bits = np.frombuffer(shared.value, np.uint8)
+        """The windows to be grouped, a row for some thousands of a document's."""
         for batch in batches:
-            ids = np.asarray(batch.column("id"))
-            out: list[tuple] = []
-            held = 0
-            for i, whole, keys in window_keys(batch.column("t")):
-                at = np.flatnonzero(_repeated(bits, keys))
-                out.append((whole[at].view(np.int64), np.full(len(at), ids[i]), at.astype(np.int32)))
-                held += len(at)
-                if held > 1 << 18:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["h", "id", "at"])
+            ids, tags = (np.asarray(batch.column(c)) for c in ("id", "tag"))
+            out, held = [], 0
+            for i, whole, other, keys in window_keys(batch.column("t"), second=True):
+                found = np.flatnonzero(repeated(shared.value, keys))
+                for a in range(0, len(found), ROW):
+                    at = found[a : a + ROW]
+                    out.append((ids[i], tags[i], at.astype(np.int32), whole[at].view(np.int64), (other[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                    held += len(at)
+                if held > 1 << 17:
+                    yield rows(out)
                     out, held = [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["h", "id", "at"])
-
-    def row(ids, kept, n, removed):
-        return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array([None if k is None else hashlib.sha256(k).hexdigest() for k in kept], pa.string()), pa.array(kept, pa.binary())],
-            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-        )
-
-    def sort_out(batches):
-        """Finishes the rows without a candidate; the others pass with their text and a null digest."""
-        bits = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            ids, texts = batch.column("id"), batch.column("t")
-            open_ = {i for i, _, keys in window_keys(texts) if ids[i].is_valid and _repeated(bits, keys).any()}
-            kept, n, own = [], [], []
-            for i, t in enumerate(texts.to_pylist()):
-                w = (t or b"").split()
-                n.append(len(w))
-                kept.append(t if i in open_ else b" ".join(w))
-                own.append(i not in open_)
-            done = row(ids, [k if o else None for k, o in zip(kept, own, strict=True)], n, [0] * len(n))
-            yield done.set_column(4, "kept", pa.array(kept, pa.binary()))
-
-    def finish(batches):
-        for batch in batches:
-            kept, n, removed = [], [], []
-            for t, gone in zip(batch.column("kept").to_pylist(), batch.column("gone"), strict=True):
-                w = t.split()
-                out = np.zeros(len(w) + 1, np.int64)
-                if gone.is_valid:
-                    at = np.unique(gone.values.to_numpy())
-                    np.add.at(out, at, 1)
-                    np.add.at(out, at + WINDOW, -1)
-                cover = np.cumsum(out)[: len(w)] > 0
-                kept.append(b" ".join([x for x, c in zip(w, cover.tolist(), strict=True) if not c]))
-                n.append(len(w))
-                removed.append(int(cover.sum()))
-            yield row(batch.column("doc_id"), kept, n, removed)
-
-    found = known.mapInArrow(candidates, "h long, id long, at int")
-    first = found.groupBy("h").agg(F.min("id").alias("first"))
-    gone = found.join(first, "h").where("id > first").groupBy("id").agg(F.collect_list("at").alias("gone"))
+            if out:
+                yield rows(out)
+
+    def rows(out):
+        ends = pa.array(np.concatenate(([0], np.cumsum([len(x[2]) for x in out]))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in out]))) for k in (2, 3, 4)]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), *lists], ["id", "tag", "at", "h", "g"])
+
+    tagged = known.select("id", F.xxhash64("t").alias("tag"), "t")
+    found = written(tagged.mapInArrow(candidates, "id long, tag long, at array<int>, h array<long>, g array<int>"))
+    each = found.select("id", "tag", F.explode(F.arrays_zip("at", "h", "g")).alias("w")).select("id", "tag", "w.at", "w.h", "w.g")
+    # a table of its own: Spark splits an h with very many windows only where the other side isn't an aggregate of the same shuffle
+    first = cut(each.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "g", "first"))
+    gone = each.join(first, ["h", "g"]).where("id > first").groupBy("id", "tag").agg(F.collect_set("at").alias("gone"))
+    hit = docs.where("id is not null").select(F.col("id").alias("doc_id"), F.xxhash64("t").alias("tag"), "t").join(gone.withColumnRenamed("id", "doc_id"), ["doc_id", "tag"], "left")
+    rest = docs.where("id is null").select(F.col("id").alias("doc_id"), "t", F.lit(None).cast("array<int>").alias("gone"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
-    sorted_out = docs.mapInArrow(sort_out, schema)
-    rest = sorted_out.where("kept_sha256 is null").select("doc_id", "kept").join(gone.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return sorted_out.where("kept_sha256 is not null").unionByName(rest.mapInArrow(finish, schema))
+    return hit.select("doc_id", "t", "gone").mapInArrow(_finish, schema).unionByName(rest.mapInArrow(_finish, schema))
 
 
 def op10_count_min_windows(spark, sf_dir):

@@ -135,29 +135,38 @@ def test_windows_against_brute_force(spark):
 
 def test_windows_through_a_full_sketch(spark, monkeypatch):
     """A sketch that says yes to everything loses nothing."""
-    monkeypatch.setattr(window_dedup, "sketch", lambda d: b"\xff" * (window_dedup.DEPTH << (window_dedup.CELL_BITS - 3)))
+    monkeypatch.setattr(window_dedup, "sketch", lambda d, bits: b"\xff" * (window_dedup.DEPTH << (bits - 3)))
     rows = corpus(6, 60)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in window_dedup.dedup_windows(docs(spark, rows)).collect()} == brute.windows(rows)
 
 
+def test_rows_of_one_id_lose_windows_of_their_own_text(spark):
+    passage, other = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(60))
+    rows = [(1, passage), (1, other), (2, f"a b {passage}"), (2, f"{other} c"), (2, "x " * 70), (None, passage)]
+    got = sorted((r.doc_id or 0, r.n_removed, r.kept.decode()) for r in window_dedup.dedup_windows(docs(spark, rows)).collect())
+    assert got == sorted([(1, 0, passage), (1, 0, other), (2, 60, "a b"), (2, 60, "c"), (2, 0, " ".join(["x"] * 70)), (0, 0, passage)])
+
+
 def test_window_keys_are_a_minimum_over_runs():
     t = pa.array([" ".join(f"k{i % 31}" for i in range(130)), "short", None])
-    (row, whole, keys), = list(window_dedup.window_keys(t))
-    assert row == 0 and len(whole) == len(keys) == 81 and (keys[:31] == keys[31:62]).all() and (whole[:31] == whole[31:62]).all()
+    (row, whole, other, keys), = list(window_dedup.window_keys(t, second=True))
+    assert row == 0 and (other[:31] == other[31:62]).all() and not (other == whole).any() and len(whole) == len(keys) == 81 and (keys[:31] == keys[31:62]).all() and (whole[:31] == whole[31:62]).all()
 
 
-def test_sketch_never_says_less(spark):
+def test_sketch_never_says_less(spark, monkeypatch):
     rows = corpus(7, 80)
     d = docs(spark, rows).select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("t"))
-    bits = np.frombuffer(window_dedup.sketch(d.repartition(5)), np.uint8)
+    assert window_dedup.cell_bits(d) == window_dedup.LEAST_BITS
+    monkeypatch.setattr(window_dedup, "HELD", 500)  # partial sketches of a task add up
+    bits = window_dedup.sketch(d.repartition(5), window_dedup.LEAST_BITS)
     seen = {}
-    for i, _, keys in window_dedup.window_keys(pa.array([t for _, t in rows])):
+    for i, _, _, keys in window_dedup.window_keys(pa.array([t for _, t in rows])):
         for k in set(keys.tolist()):
             seen.setdefault(k, set()).add(i)
     twice = np.array([k for k, v in seen.items() if len(v) > 1], np.uint64)
-    assert len(twice) and window_dedup._repeated(bits, twice).all()
+    assert len(twice) and window_dedup.repeated(bits, twice).all()
     once = np.array([k for k, v in seen.items() if len(v) == 1], np.uint64)
-    assert window_dedup._repeated(bits, once).mean() < 0.01
+    assert window_dedup.repeated(bits, once).mean() < 0.01
 
 
 def test_lines(spark):
