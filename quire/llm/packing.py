@@ -3,6 +3,10 @@
 A dynamic program over the histogram of all lengths chooses the bucket
 boundaries with the least padding; inside each bucket documents form batches
 of at most ``budget`` padded tokens.
+
+The histogram has a row for every length that occurs, and the driver holds it.
+With k different lengths the documents have k * (k - 1) / 2 tokens at least, so
+10**13 tokens make fewer than five million rows, of 16 bytes.
 """
 
 from __future__ import annotations
@@ -13,45 +17,57 @@ from pyspark.sql import functions as F
 
 from ._spark import cut, table, word_count
 
-#: Lengths up to here have histogram cells of their own; above, cells widen by 1/64 of their length.
-EXACT = 2048
 #: Rows that one task numbers.
 SHARD = 2048
 
 
-def cell(length: Column) -> Column:
-    """Histogram cell of a length: a few thousand cells cover any length."""
-    return F.when(length <= EXACT, length).otherwise(EXACT + 1 + F.floor(F.log(length / EXACT) * 64)).cast("long")
+def _envelope(x: list[int], y: list[int]) -> list[int]:
+    """Indexes of the corners of the lower hull of points with ascending x."""
+    out: list[int] = []
+    for i, (a, b) in enumerate(zip(x, y, strict=True)):
+        while len(out) > 1 and (y[out[-1]] - y[out[-2]]) * (a - x[out[-1]]) >= (b - y[out[-1]]) * (x[out[-1]] - x[out[-2]]):
+            out.pop()
+        out.append(i)
+    return out
 
 
-def boundaries(longest: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most ``buckets`` buckets, the last the longest length.
 
-    ``longest`` are the ascending maximum lengths of histogram cells, ``counts``
-    their rows. Minimises the sum of bucket bounds over all rows, which is
-    padding plus a constant; ties go to fewer and shorter buckets.
+    ``lengths`` are ascending and ``counts`` their rows. Minimises the sum of
+    bucket bounds over all rows, which is padding plus a constant. With R(j) rows
+    up to length j, the cost of the first j lengths in b buckets is the least
+    over i of ``cost(i, b - 1) + (R(j) - R(i)) * length(j)``: of lines with slope
+    -R(i), the lowest at length(j). It is on the lower hull of the points
+    (R(i), cost(i)), where ascending lengths move ahead, so that a layer of the
+    program takes one pass. Whole numbers throughout, so the optimum is exact.
     """
-    n = len(longest)
+    n = len(lengths)
     if not n:
         return []
-    rows = np.concatenate(([0], np.cumsum(counts, dtype=np.float64)))
-    best = np.full(n + 1, np.inf)
-    best[0] = 0
-    back = []
-    for _ in range(min(buckets, n)):
-        cost, frm = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
-        cost[0] = 0
+    lengths, rows = np.asarray(lengths, np.int64).tolist(), [0]
+    for c in np.asarray(counts, np.int64).tolist():
+        rows.append(rows[-1] + c)
+    cost = [0] + [rows[j] * lengths[j - 1] for j in range(1, n + 1)]
+    back = [[0] * (n + 1)]
+    for _ in range(min(buckets, n) - 1):
+        hull, at = _envelope(rows, cost), 0
+        new, frm = [0] * (n + 1), [0] * (n + 1)
         for j in range(1, n + 1):
-            c = best[:j] + (rows[j] - rows[:j]) * longest[j - 1]
-            frm[j] = int(np.argmin(c))
-            cost[j] = c[frm[j]]
+            v = lengths[j - 1]
+            while at + 1 < len(hull) and cost[hull[at + 1]] - rows[hull[at + 1]] * v <= cost[hull[at]] - rows[hull[at]] * v:
+                at += 1
+            i = hull[at]
+            new[j], frm[j] = cost[i] + (rows[j] - rows[i]) * v, i
+            if i >= j or new[j] >= cost[j]:  # one bucket more doesn't help
+                new[j], frm[j] = cost[j], -1
         back.append(frm)
-        best = cost
+        cost = new
     out, j = [], n
     for frm in reversed(back):
-        if j:
-            out.append(int(longest[j - 1]))
-            j = int(frm[j])
+        if j and frm[j] >= 0:
+            out.append(lengths[j - 1])
+            j = frm[j]
     return out[::-1]
 
 
@@ -59,32 +75,34 @@ def pack(docs: DataFrame, length: Column, buckets: int = 16, budget: int = 65536
     """(doc_id, n_tokens, bucket_len, batch, place) for every row of ``docs``.
 
     Null lengths count as 0. A document longer than the budget is a batch of
-    its own; all other batches of a bucket are full but for the last. Places in
-    a bucket are numbered in shards by a hash of the id, with the shards' row
-    counts as offsets; rows with equal id and length are interchangeable. No
-    rows give no batches; further columns are ignored.
+    its own; all other batches of a bucket are full but for the last. Rows with
+    equal id and length, null ids among them, are counted and interchangeable.
+    Places in a bucket are numbered in shards by a hash of the id, with the shards'
+    row counts as offsets. No rows give no batches; further columns are ignored.
     """
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens")))
-    hist = rows.groupBy(cell(F.col("n_tokens")).alias("cell")).agg(F.max("n_tokens").alias("longest"), F.count("*").alias("n")).orderBy("cell").collect()
-    bounds = boundaries(np.array([r.longest for r in hist]), np.array([r.n for r in hist]), buckets)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(length, F.lit(0)).cast("long").alias("n_tokens"))
+    # a row for at most SHARD equal rows, so that no id is too much for a task
+    rows = cut(rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("n")))
+    hist = rows.groupBy("n_tokens").agg(F.sum("n").alias("n")).orderBy("n_tokens").toArrow()
+    lengths, counts = np.asarray(hist.column("n_tokens")), np.asarray(hist.column("n"))
+    bounds = boundaries(lengths, counts, buckets)
     if not bounds:
         return rows.select("doc_id", "n_tokens", F.lit(0).cast("long").alias("bucket_len"), F.lit(0).cast("long").alias("batch"), F.lit(0).cast("int").alias("place"))
-    shards, at = [], 0
-    for b in bounds:
-        held = sum(r.n for r in hist if at < r.longest <= b or (at == 0 and r.longest == 0))
-        shards.append(max(1, -(-held // SHARD)))
-        at = b
+    held = np.diff(np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.searchsorted(lengths, bounds, "right")))])
     bucket, shard, most = F.lit(None), F.lit(1), F.lit(1)
-    for b, s in reversed(list(zip(bounds, shards, strict=True))):
+    for b, h in reversed(list(zip(bounds, held.tolist(), strict=True))):
         fits = F.col("n_tokens") <= b
-        bucket, shard, most = F.when(fits, F.lit(b)).otherwise(bucket), F.when(fits, F.lit(s)).otherwise(shard), F.when(fits, F.lit(max(1, budget // max(b, 1)))).otherwise(most)
-    rows = rows.select("doc_id", "n_tokens", bucket.cast("long").alias("bucket_len"), most.cast("long").alias("most"), F.pmod(F.xxhash64("doc_id", "n_tokens"), shard).alias("shard"))
-    counts = rows.groupBy("bucket_len", "shard").agg(F.count("*").alias("n"))
+        bucket, shard, most = F.when(fits, F.lit(b)).otherwise(bucket), F.when(fits, F.lit(max(1, -(-h // SHARD)))).otherwise(shard), F.when(fits, F.lit(max(1, budget // max(b, 1)))).otherwise(most)
+    rows = rows.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / SHARD))).alias("part"), "n")
+    rows = rows.withColumn("n", F.least(F.col("n") - F.col("part") * SHARD, F.lit(SHARD)))
+    rows = rows.withColumns({"bucket_len": bucket.cast("long"), "most": most.cast("long"), "shard": F.pmod(F.xxhash64("doc_id", "n_tokens", "part"), shard)})
+    counted = rows.groupBy("bucket_len", "shard").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("bucket_len").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("bucket_len", "shard", before.alias("before"))
-    nth = F.row_number().over(Window.partitionBy("bucket_len", "shard").orderBy("doc_id", "n_tokens"))
-    rows = rows.withColumn("nth", nth).join(counts, ["bucket_len", "shard"])
-    place = F.col("before") + F.col("nth") - 1
+    counted = counted.select("bucket_len", "shard", before.alias("before"))
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("bucket_len", "shard").orderBy("doc_id", "n_tokens", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("own", own).join(counted, ["bucket_len", "shard"])
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("nth"))
+    place = F.col("before") + F.col("own") + F.col("nth")
     return rows.select("doc_id", "n_tokens", "bucket_len", F.floor(place / F.col("most")).cast("long").alias("batch"), (place % F.col("most")).cast("int").alias("place"))
 
 
