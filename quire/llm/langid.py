@@ -1,6 +1,7 @@
 """Language identification by hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A trigram is the product of its
+Every letter, of any alphabet and in lower case, has a random vector of +1 and
+-1, and so has the gap between words. A trigram is the product of its
 letters' vectors, each permuted (rotated) by its place; a document is the sum
 of its trigrams and a language the sum of its documents. Documents go to the
 language with the largest cosine.
@@ -14,59 +15,79 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import id_remainder, table
+from ._text import mix
 
 DIM = 1024
-SYMBOLS = 64
-_letters: dict[str, np.ndarray] = {}
-
-
-def _symbol_table() -> np.ndarray:
-    """Symbol of each code point of the basic plane: 0 for non-letters, 1 to 26 for Latin letters in either case, others folded into the rest."""
-    if "symbols" not in _letters:
-        out = np.zeros(0x10000, np.uint8)
-        for c in range(0x10000):
-            ch = chr(c)
-            if ch.isalpha():
-                low = ord(ch.lower()[0])
-                out[c] = low - 96 if 97 <= low <= 122 else 27 + low % (SYMBOLS - 27)
-        _letters["symbols"] = out
-    return _letters["symbols"]
-
-
-def symbols(text: str) -> np.ndarray:
-    cp = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    out = _symbol_table()[np.minimum(cp, 0xFFFF)]
-    for i in np.flatnonzero(cp > 0xFFFF):
-        ch = chr(cp[i])
-        out[i] = 27 + ord(ch.lower()[0]) % (SYMBOLS - 27) if ch.isalpha() else 0
-    return out
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Letters:
+    """Random vectors of +1 and -1, one for each letter in lower case, made when first met.
+
+    Letters are numbered as they come, 0 for whatever isn't one; a number's row
+    in ``table`` is the letter's vector after its last two components, so that
+    slices of a row are the vector rotated by 2, 1 and 0. All letters of Unicode
+    would take 150 MB.
+    """
+
+    def __init__(self, dim: int):
+        self.dim, self.number, self.n = dim, {}, 1
+        self.of = np.full(0x110000, -1, np.int32)
+        self.table = np.zeros((64, dim + 2), np.int8)
+
+    def vector(self, code: int) -> np.ndarray:
+        """The vector of a code point, the same on every machine."""
+        bits = mix((np.uint64(code) << np.uint64(32)) + np.arange(self.dim, dtype=np.uint64) * _MIX)
+        return (bits >> np.uint64(63)).astype(np.int8) * 2 - 1
+
+    def numbers(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        out = self.of[points]
+        if (out < 0).any():
+            for p in np.unique(points[out < 0]).tolist():
+                self.of[p] = self._add(ord(chr(p).lower()[0])) if chr(p).isalpha() else 0
+            out = self.of[points]
+        return out
+
+    def _add(self, code: int) -> int:
+        if code not in self.number:
+            if self.n == len(self.table):
+                self.table = np.vstack([self.table, np.zeros_like(self.table)])
+            v = self.vector(code)
+            self.table[self.n, 2:], self.table[self.n, :2] = v, v[-2:]
+            self.number[code], self.n = self.n, self.n + 1
+        return self.number[code]
+
+
+_letters: dict[int, Letters] = {}
 
 
-def _vectors(dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Products of the first two places of a trigram, and letters in the third place."""
-    key = f"pairs{dim}"
-    if key not in _letters:
-        rng = np.random.RandomState(7)
-        letters = (rng.randint(0, 2, (SYMBOLS, dim)) * 2 - 1).astype(np.int8)
-        once, twice = np.roll(letters, 1, 1), np.roll(letters, 2, 1)
-        _letters[key] = (twice[:, None, :] * once[None, :, :]).reshape(-1, dim)
-        _letters["last" + key] = letters
-    return _letters[key], _letters["last" + key]
+def _gap(dim: int) -> np.ndarray:
+    """The vector of the gap between words."""
+    return Letters(dim).vector(0x110000)
 
 
 def bundle(text: str | None, dim: int = DIM) -> np.ndarray | None:
     """The document's vector; None for a null text or one without a letter."""
-    s = symbols(text) if text else np.zeros(0, np.uint8)
+    if dim not in _letters:
+        own = _letters[dim] = Letters(dim)
+        v = _gap(dim)
+        own.table[0, 2:], own.table[0, :2] = v, v[-2:]
+    own = _letters[dim]
+    s = own.numbers(text) if text else np.zeros(0, np.int32)
     if not s.any():
         return None
-    s = np.concatenate(([0], s, [0])).astype(np.int32)
+    s = np.concatenate(([0], s, [0])).astype(np.int64)
     s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]  # one gap between words
-    grams, counts = np.unique((s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:], return_counts=True)
-    pairs, last = _vectors(dim)
+    grams, counts = np.unique((s[:-2] << 40) | (s[1:-1] << 20) | s[2:], return_counts=True)
+    first, second, third = own.table[:, :dim], own.table[:, 1 : dim + 1], own.table[:, 2:]
     out = np.zeros(dim)
-    for a in range(0, len(grams), 4096):
-        g = grams[a : a + 4096]
-        out += counts[a : a + 4096].astype(np.float32) @ (pairs[g // SYMBOLS] * last[g % SYMBOLS]).astype(np.float32)
+    for a in range(0, len(grams), 2048):
+        g = grams[a : a + 2048]
+        v = first[g >> 40]
+        v *= second[g >> 20 & 0xFFFFF]
+        v *= third[g & 0xFFFFF]
+        out += counts[a : a + 2048].astype(np.float32) @ v.astype(np.float32)
     return out
 
 
@@ -74,7 +95,7 @@ def learn(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
     """Language names and their unit prototypes.
 
     Learned from a sample of about ``per_language`` documents of each language,
-    chosen by a hash of the id; rows with a null language or no letter teach
+    chosen by a hash of id and text; rows with a null language or no letter teach
     nothing. Every other language is learned: a prototype is ``dim`` numbers.
     """
     rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
