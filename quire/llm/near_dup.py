@@ -10,11 +10,16 @@ make buckets (a pair at similarity 0.75 shares none of the 32 with probability
 A bucket isn't expanded into all its pairs. Documents with one shingle set are
 one class, and a bucket holds classes. First each member is compared with the
 bucket's hub, the member that shares most with others; what that links forms
-components. Buckets that hold more
-than one component then compare the members of different components, in tiles
-of bounded size, outside the largest component only; signatures that agree
-in fewer than 160 of 256 places (at similarity 0.75 four pairs in a million)
-are passed over. So every pair that shares a bucket is compared or already joined.
+components. Buckets that hold more than one component then compare the members
+of different components, in tiles of bounded size, outside the largest component
+only. A tile first looks at signatures, and only members with a promising
+partner bring their texts; signatures that agree in fewer than 140 of 256 places
+aren't promising (at similarity 0.75, where 192 agree on average, that is 7.5
+standard deviations below: one pair in 10**13). So every pair that shares a bucket
+is compared or already joined.
+
+Counts of groups are tables of their own before they are joined, so that Spark
+can split a class, bucket or hub with very many rows.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from ._text import mix, shingle_sets
 from .components import components
 
 COORDINATES, BANDED, ROWS = 256, 128, 4
-AGREE = 160
+AGREE = 140
 TILE, TILE_SHINGLES = 256, 1 << 19
 #: Members that one task compares with a hub's text before the text is sent again.
 GROUP = 64
@@ -175,7 +180,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """
     pairs = cut(pairs.select("a", "b").distinct())
     texts = _among(texts, pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    n = pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
+    n = cut(pairs.groupBy("b").agg(F.ceil(F.count("*") / GROUP).alias("salts")))
     hubs = n.select(F.col("b").alias("id"), F.col("b").alias("hub"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     members = pairs.join(n, "b").select(F.col("a").alias("id"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), F.col("salts")).alias("salt"))
     rows = texts.join(members.unionByName(hubs), "id")
@@ -189,49 +194,81 @@ class _Tile:
     def __init__(self, at):
         self.at, self.rows = at, []
 
-    def links(self) -> list[tuple[int, int]]:
-        """Similar pairs that join the tile's components, none between rows that others join already."""
+    def promising(self):
+        """(i, js, comp): for each row of the lower block the rows of the higher whose signatures agree enough, the most alike first; ``comp`` are the components."""
         _, low, high, _ = self.at
         ids, n, comp, block = (np.array([r[k] for r in self.rows]) for k in range(4))
         sig = np.frombuffer(b"".join(r[4] for r in self.rows), np.uint8).reshape(len(ids), -1)
-        earlier = np.array([r[6] for r in self.rows], np.int64).reshape(len(ids), -1)
+        earlier = np.array([r[5] for r in self.rows], np.int64).reshape(len(ids), -1)
         comp = np.unique(comp, return_inverse=True)[1]
-        right, out = np.flatnonzero(block == high), []
+        right = np.flatnonzero(block == high)
         for i in np.flatnonzero(block == low):
             ok = (comp[right] != comp[i]) & (100 * np.minimum(n[right], n[i]) >= 75 * np.maximum(n[right], n[i]))
             if low == high:
                 ok &= ids[right] > ids[i]
             near = right[ok]
-            same = sig[near] == sig[i]
-            agree = same.sum(1)
+            agree = (sig[near] == sig[i]).sum(1)
             # of the buckets that a pair shares only the first compares it; bytes of coordinates may agree where keys don't
             before = (earlier[near] == earlier[i]).any(1)
-            order = np.argsort(-agree, kind="stable")  # the most alike first: they may join the components
-            order = order[(agree[order] >= AGREE) & ~before[order]]
-            for j in near[order]:
-                if comp[i] != comp[j] and similar(self.rows[i][5], self.rows[j][5]):
-                    out.append((int(ids[i]), int(ids[j])))
+            order = np.argsort(-agree, kind="stable")
+            yield i, near[order[(agree[order] >= AGREE) & ~before[order]]], comp
+
+    def hopeful(self) -> np.ndarray:
+        """Whether each row has a promising partner."""
+        out = np.zeros(len(self.rows), bool)
+        for i, js, _ in self.promising():
+            out[js] = True
+            out[i] |= len(js) > 0
+        return out
+
+    def links(self) -> list[tuple[int, int]]:
+        """Similar pairs that join the tile's components, none between rows that others join already."""
+        out = []
+        for i, js, comp in self.promising():
+            for j in js:
+                if comp[i] != comp[j] and similar(self.rows[i][6], self.rows[j][6]):
+                    out.append((self.rows[i][0], self.rows[j][0]))
                     comp[comp == comp[j]] = comp[i]
         return out
 
 
-def _across_tiles(batches):
-    """Sorted by (key, low, high): yields the links of each tile."""
-    tile = None
+#: What says which tile a row is in, and what a tile needs of a row.
+_AT = ["key", "low", "high", "band"]
+_OWN = ["id", "n", "comp", "block", "sig", "earlier"]
 
-    def made(links):
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+def _tiles(batches, result, texts: bool):
+    """``result`` of each tile of rows sorted by (key, low, high)."""
+    tile = None
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("key", "low", "high", "band", "id", "n", "comp", "block", "sig", "earlier")]
-        for *at, i, n, comp, block, sig, earlier, s in zip(*cols, shingle_sets(batch.column("t")), strict=True):
-            if tile is None or tile.at != at:
+        cols = [batch.column(c).to_pylist() for c in _AT + _OWN]
+        sets = shingle_sets(batch.column("t")) if texts else iter([None] * batch.num_rows)
+        for *row, s in zip(*cols, sets, strict=True):
+            if tile is None or tile.at != row[:4]:
                 if tile:
-                    yield made(tile.links())
-                tile = _Tile(at)
-            tile.rows.append((i, n, comp, block, sig, s, earlier))
+                    yield result(tile)
+                tile = _Tile(row[:4])
+            tile.rows.append((*row[4:], s))
     if tile:
-        yield made(tile.links())
+        yield result(tile)
+
+
+def _sieve(batches):
+    """The rows that have a promising partner in their tile."""
+
+    def result(tile):
+        rows = [tile.at + list(r[:4]) for r, ok in zip(tile.rows, tile.hopeful(), strict=True) if ok]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 3 else pa.int64()) for k in range(8)], _AT + _OWN[:4])
+
+    return _tiles(batches, result, False)
+
+
+def _link(batches):
+    def result(tile):
+        links = tile.links()
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return _tiles(batches, result, True)
 
 
 def across(members: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame:
@@ -245,19 +282,25 @@ def across(members: DataFrame, signed: DataFrame, texts: DataFrame) -> DataFrame
     sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
     live = sizes.groupBy("key").agg(F.max(F.struct("m", "comp", "n")).alias("top"), F.sum("m").alias("m"), F.sum("n").alias("n"), F.count("*").alias("comps")).where("comps > 1")
     blocks = lambda m, n: F.greatest(F.ceil(m / TILE), F.ceil(n / TILE_SHINGLES))
-    live = live.select("key", F.col("top.comp").alias("main"), blocks(F.col("top.m"), F.col("top.n")).alias("mains"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("others"))
+    live = cut(live.select("key", F.col("top.comp").alias("main"), blocks(F.col("top.m"), F.col("top.n")).alias("mains"), blocks(F.col("m") - F.col("top.m"), F.col("n") - F.col("top.n")).alias("others")))
     m = members.join(live, "key")
     inner = F.col("comp") == F.col("main")
     block = F.when(inner, F.pmod(F.xxhash64("id"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("id"), F.col("others")))
     start = F.when(inner, F.col("mains")).otherwise(F.lit(0).cast("long"))
     m = m.withColumn("block", block).withColumn("with", F.explode(F.sequence(start, F.col("mains") + F.col("others") - 1)))
-    m = cut(m.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "band", "id", "n", "comp", "block"))
+    m = m.select("key", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "band", "id", "n", "comp", "block")
     if "keys" not in signed.columns:
         signed = signed.withColumn("keys", F.array().cast("array<long>"))
-    rows = _among(texts, m.select("id")).join(signed.withColumnRenamed("n", "sig_n"), "id")
-    m = rows.join(m, "id").where("n = sig_n").withColumn("earlier", F.slice("keys", F.lit(1), F.col("band"))).drop("sig_n", "keys")
-    m = m.repartition(partitions(members.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
-    return m.mapInArrow(_across_tiles, "a long, b long").distinct()
+    signed = signed.select("id", F.col("n").alias("own_n"), "sig", "keys")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("earlier", F.slice("keys", F.lit(1), F.col("band"))).drop("keys", "own_n")
+        return rows.repartition(partitions(members.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+    kinds = "key long, low long, high long, band int, id long, n long, comp long, block long"
+    hopeful = cut(dealt(m.join(signed, "id").where("n = own_n")).mapInArrow(_sieve, kinds))
+    rows = _among(texts, hopeful.select("id")).join(signed, "id").join(hopeful, "id").where("n = own_n")
+    return dealt(rows).mapInArrow(_link, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,19 +315,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     signed = cut(docs.mapInArrow(_sign, "id long, n long, h1 long, h2 long, sig binary, keys array<long>"))
     some = signed.where("n > 0 and id is not null")
-    classes = some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"))
-    of = cut(some.join(classes, ["h1", "h2", "n"]))
-    reps = of.where("id = rep").groupBy("id", "n", "h1", "h2").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    classes = cut(some.groupBy("h1", "h2", "n").agg(F.min("id").alias("rep"), F.max("id").alias("last")).where("rep < last").select("h1", "h2", "n", "rep"))
+    of = cut(some.select("id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).where("id <> rep").select("id", "h1", "h2", "n", "rep"))
+    # a row for each class and, where rows share an id, for each of its texts
+    others = some.join(of.select("id", "h1", "h2", "n").distinct(), ["id", "h1", "h2", "n"], "left_anti")
+    reps = cut(others.groupBy("id", "n", "h1", "h2").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys")))
     members = reps.select("id", "n", F.posexplode("keys").alias("band", "key"))
-    live = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
-    members = cut(members.join(live.select("key", "size"), "key"))
+    live = cut(members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "size"))
+    members = cut(members.join(live, "key"))
     # the member that shares most buckets with most others is closest to what they are copies of
     shared = members.groupBy("id").agg(F.sum("size").alias("shared"))
     members = members.join(shared, "id").drop("size")
     hubs = members.groupBy("key").agg(F.max(F.struct("shared", (-F.col("id")).alias("back"), "n")).alias("top")).select("key", (-F.col("top.back")).alias("hub"), F.col("top.n").alias("hub_n"))
+    hubs = cut(hubs)
     met = members.join(hubs, "key").where(F.col("id") != F.col("hub"))
     pairs = met.where(100 * F.least("n", "hub_n") >= 75 * F.greatest("n", "hub_n")).select(F.col("id").alias("a"), F.col("hub").alias("b"))
-    same = of.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
+    same = of.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct()
     # rows with one id are one node, whatever their texts
     texts = docs.where("id is not null and t is not null")
     links = cut(confirm(pairs, texts))
