@@ -46,6 +46,64 @@ def test_bundles_bind_and_permute():
     assert both @ a / np.linalg.norm(a) / np.linalg.norm(both) > 0.9
 
 
+def test_bundles_against_the_definition():
+    """Sums of products of rotated letter vectors, letter by letter, in any alphabet."""
+    letters = langid.Letters(64)
+
+    def plain(text):
+        marks = [c.lower()[0] if c.isalpha() else " " for c in f" {text} "]
+        marks = [c for k, c in enumerate(marks) if c != " " or k == 0 or marks[k - 1] != " "]
+        vec = [langid._gap(64) if c == " " else letters.vector(ord(c)) for c in marks]
+        return sum(np.roll(a, 2).astype(int) * np.roll(b, 1) * c for a, b, c in zip(vec, vec[1:], vec[2:]))
+
+    for text in ("Ab ab, ab!", "naïve Straße", "日本語 の text", "Ωμέγα λόγος", "ДОМ дом", "a", "𐐀𐐨 x"):
+        assert (langid.bundle(text, 64) == plain(text)).all()
+    far = langid.bundle("привет"), langid.bundle("тривер"), langid.bundle("é"), langid.bundle("e")
+    assert abs(far[2] @ far[3]) < 0.3 * langid.DIM and abs(far[0] @ far[1]) < 0.8 * np.linalg.norm(far[0]) * np.linalg.norm(far[1])
+
+
+def test_languages_against_brute_force(spark):
+    """Every document goes to the prototype with the largest cosine."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, protos = langid.learn(d)
+    sums = {}
+    for _, t, lang in rows:
+        if lang and (v := langid.bundle(t)) is not None:
+            sums[lang] = sums.get(lang, 0) + v
+    assert names == sorted(sums) and all(np.allclose(protos[k], sums[n] / np.linalg.norm(sums[n])) for k, n in enumerate(names))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(d, (names, protos)).collect()}
+    for i, t, _ in rows:
+        v = langid.bundle(t)
+        cos = [] if v is None else [float(p @ v / np.linalg.norm(v)) for p in protos]
+        assert got[i][0] == ("und" if v is None else names[int(np.argmax(cos))]) and abs(got[i][1] - (max(cos) if cos else 0)) < 1e-4
+
+
+def plain_features(text):
+    """Two of the features, word by word: neighbours that are equal, and distinct words of 256-word windows."""
+    w = (text or "").split()
+    if not w:
+        return 0.0, 0.0
+    parts = [w[k : k + 256] for k in range(0, len(w) // 256 * 256, 256)] + ([w[-256:]] if len(w) % 256 and len(w) > 256 else []) if len(w) >= 256 else [w]
+    return (sum(a == b for a, b in zip(w, w[1:])) / len(w)) ** 0.5, 1 - np.mean([len(set(p)) for p in parts]) / len(parts[0])
+
+
+def test_quality_against_brute_force(spark):
+    """Scores are the logistic function of weights times features, computed text by text; features are those of the definition."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    w, t = quality.learn(d, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r.score for r in quality.score(d, (w, t)).collect()}
+    at = quality._CLASSES
+    for i, text in rows:
+        x = quality.features(pa.array([text]))[0]
+        assert np.allclose(x[at : at + 2], plain_features(text))
+        for ch in ".,!|":
+            n = len((text or "").encode())
+            assert np.isclose(x[quality._MARKS.index(ord(ch))], (((text or "").count(ch)) / max(n, 1)) ** 0.5)
+        assert np.isclose(got[i], 1 / (1 + np.exp(-(x @ w - t + np.log(0.3 / 0.7)))))
+
+
 def test_quality_on_held_out(spark):
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = queries.QUERIES["op4_bradley_terry_quality"](spark, SF).collect()
@@ -114,6 +172,31 @@ def test_mixing(spark):
         assert abs(sum(r.copies * r.size for r in own) - target[s]) <= 60
 
 
+def test_inclusion_odds_decide(spark):
+    """Longer documents are taken more often, and not those with the smallest numbers."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.choice([1, 3, 30, 400])), "a" if i % 2 else "b") for i in range(4000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d, weights=(1, 9))
+    got = got.join(d.select("doc_id", mixing._uniform(F.col("doc_id"), F.col("text")).alias("u")), "doc_id").where("source = 'a'").collect()
+    assert {r.copies for r in got} == {0, 1}
+    share = {n: np.mean([r.copies for r in got if r.size == n]) for n in (1, 3, 30, 400)}
+    level = share[400] / 9
+    assert all(abs(share[n] - level * m) < 0.06 for n, m in ((1, 1), (3, 2), (30, 5))) and share[1] < share[3] < share[30] < share[400]
+    by_u = sorted(got, key=lambda r: r.u)
+    assert [r.copies for r in by_u] != sorted([r.copies for r in by_u], reverse=True)
+
+
+def test_sizes_and_levels_of_a_source(spark):
+    """Expected copies stop at the cap, and null ids draw by their texts."""
+    d = spark.createDataFrame([(None, " ".join([f"w{i}"] * 5), "a") for i in range(300)] + [(i, "v " * 300, "b") for i in range(100)], "doc_id long, text string, source string")
+    got = mixing.mix(d).collect()
+    own = [r for r in got if r.source == "a"]
+    assert {r.copies for r in own} == {3} and {r.target for r in own} == {4500.0}
+    got = mixing.mix(d, weights=(1, 40)).where("source = 'a'").collect()
+    assert 0 < sum(r.copies for r in got) < 300 and abs(sum(r.copies * r.size for r in got) - got[0].target) <= 5
+
+
 def test_mixing_edge_cases(spark):
     got = mixing.mix(odd(spark)).collect()
     assert len(got) == len(ODD) and {r.size for r in got if r.doc_id in (1, 2, 3)} == {0}
@@ -135,6 +218,28 @@ def test_bucket_bounds_against_brute_force():
             assert cost(got) == best and len(got) <= buckets and got[-1] == lengths[-1]
 
 
+def test_bucket_bounds_of_many_lengths():
+    """Against the program that tries every earlier boundary; lengths and counts of very different sizes."""
+    rng = np.random.RandomState(7)
+    for n in (1, 2, 40, 300):
+        lengths = np.unique(np.exp(rng.rand(n) * 12).astype(int))
+        counts = rng.randint(1, 10**6, len(lengths)) ** rng.randint(1, 3, len(lengths))
+        rows = np.concatenate(([0], np.cumsum(counts))).astype(object)
+        for buckets in (1, 3, 16):
+            best = [0] + [10**30] * len(lengths)
+            for _ in range(buckets):
+                best = [0] + [min(best[i] + (rows[j] - rows[i]) * int(lengths[j - 1]) for i in range(j)) for j in range(1, len(lengths) + 1)]
+            got = packing.boundaries(lengths, counts, buckets)
+            assert sum(int(c) * min(b for b in got if b >= v) for v, c in zip(lengths.tolist(), counts.tolist(), strict=True)) == best[-1]
+            assert len(got) <= buckets and got == sorted(set(got)) and got[-1] == lengths[-1]
+
+
+def test_equal_rows_are_packed_one_by_one(spark):
+    d = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(3).alias("n"))
+    rows = packing.pack(d, F.col("n"), 4, 30).collect()
+    assert sorted((r.batch, r.place) for r in rows) == [(b, p) for b in range(500) for p in range(10)]
+
+
 def test_packing(spark):
     rng = random.Random(3)
     d = spark.createDataFrame([(i, rng.choice([rng.randrange(0, 400), rng.randrange(0, 9000)])) for i in range(5000)], "doc_id long, n int").withColumn("n", F.when(F.col("doc_id") % 97 == 0, None).otherwise(F.col("n")))
@@ -215,6 +320,54 @@ def test_vector_edge_cases(spark, f):
     assert f(d.limit(0)).count() == 0 and f(d.where("vec_id = 0")).count() == 0
 
 
+def test_equal_vectors_tie_by_id(spark):
+    """Copies of a vector of rounded components have one score, wherever they are stored."""
+    rng = np.random.RandomState(6)
+    base = rng.randn(40, 33).astype(np.float32)
+    x = base[rng.randint(0, 40, 800)]
+    rows = mih.nearest(table(spark, x.tolist()), k=60, block=170).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.query_id, []).append(r)
+    for q, own in by.items():
+        own.sort(key=lambda r: r.rank)
+        assert [(r.vec_id, r.score) for r in own] == sorted(((r.vec_id, r.score) for r in own), key=lambda r: (-r[1], r[0]))
+        for r in own:
+            assert len({s.score for s in own if (x[s.vec_id] == x[r.vec_id]).all()}) == 1
+
+
+def test_radius_grows_for_queries_that_lack_neighbours(spark):
+    rng = np.random.RandomState(9)
+    x = np.vstack([rng.randn(400, 16) * 0.05 + rng.randn(16), rng.randn(20, 16) * 3])[rng.permutation(420)]
+    rows = mih.nearest(table(spark, x.tolist()), every=7, recall=0.0, block=150).collect()
+    assert len(rows) == 60 * 20
+
+
+def test_recall_on_the_test_data(spark):
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/embeddings.parquet").orderBy("vec_id").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    got = {(r.query_id, r.vec_id) for r in mih.op2_multi_index_hashing(spark, SF.replace("0.001", "0.01")).collect()}
+    want = set()
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        want |= {(ids[i], v) for v in ids[np.argsort(-s, kind="stable")[:20]]}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_large_scores_are_whole(spark):
+    """Sums beyond 2**53 are exact."""
+    rng = np.random.RandomState(3)
+    x = rng.randint(-(2**22), 2**22, (300, 40)).astype(float)
+    got = [tuple(r) for r in mtree.top_k(table(spark, x.tolist()), every=50, block=90).collect()]
+    v = [[int(64 * c) for c in row] for row in x.astype(np.float32).tolist()]
+    want = []
+    for q in range(0, 300, 50):
+        s = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in range(300) if i != q)[:20]
+        want += [(q, n + 1, i, -t) for n, (t, i) in enumerate(s)]
+    assert sorted(got) == want and max(abs(w[3]) for w in want) > 2**53
+
+
 def test_probing_retrieves_the_whole_ball():
     rng = np.random.RandomState(4)
     c = rng.randint(0, 65536, (3000, 4)).astype(np.uint16)
