@@ -2,10 +2,12 @@
 
 A text is cut into sentences, twice: once with line ends as sentence ends, for
 notices on lines of their own, and once with line ends as spaces, for wrapped
-paragraphs. Sentences are normalised (lower case, anything but letters and
-digits one space) and looked up among known licence sentences; the identifiers
-found, in order, are matched against the rules, each an ordered list of
-identifiers that may have others between them.
+paragraphs, in comments too; there, lines that state a copyright and lines
+without a letter or digit end a paragraph. Sentences are normalised (lower case,
+anything but letters and digits one space) and looked up among known licence
+sentences; the identifiers found, in order, are matched against the rules, each
+an ordered list of identifiers that may have others between them. The
+sentences and rules below are defaults; both can be given.
 """
 
 from __future__ import annotations
@@ -35,16 +37,23 @@ SENTENCES = {
     "cc0-notice": "licensed under cc0 1 0",
     "gpl-copy": "you should have received a copy of the gnu general public license along with this program",
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
+    "gpl2-version": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "gpl2-only-version": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation",
     "gpl2-notice": "this work is licensed under the gnu general public license version 2",
     "gpl3-notice": "this work is licensed under the gnu general public license version 3",
     "gpl3-version": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "lgpl21-version": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "lgpl3-version": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "lgpl3-notice": "this work is licensed under the gnu lesser general public license version 3",
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit-keep": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-notice": "released under the mit license",
     "mit-warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+    "mpl-copy": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "mpl-copy-http": "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0",
     "mpl-source": "this source code form is subject to the terms of the mozilla public license v 2 0",
+    "mpl-source-v": "this source code form is subject to the terms of the mozilla public license v",
 }
 # Rules, each a licence and the sentences that state it, in order.
 RULES = (
@@ -62,26 +71,32 @@ RULES = (
     ("CC-BY-SA-4.0", ("cc-by-sa-work",)),
     ("CC0-1.0", ("cc0-notice",)),
     ("GPL-2.0-only", ("gpl2-notice",)),
+    ("GPL-2.0-only", ("gpl2-only-version",)),
+    ("GPL-2.0-or-later", ("gpl2-version",)),
     ("GPL-3.0-only", ("gpl3-notice",)),
-    ("GPL-3.0-or-later", ("gpl3-version", "gpl-hope", "gpl-copy")),
+    ("GPL-3.0-or-later", ("gpl3-version",)),
     ("ISC", ("isc-grant",)),
+    ("LGPL-2.1-or-later", ("lgpl21-version",)),
+    ("LGPL-3.0-or-later", ("lgpl3-version",)),
     ("LGPL-3.0-only", ("lgpl3-notice",)),
     ("MIT", ("mit-grant", "mit-keep", "mit-warranty")),
     ("MIT", ("mit-notice",)),
     ("MPL-2.0", ("mpl-source",)),
+    ("MPL-2.0", ("mpl-source-v", "mpl-copy")),
+    ("MPL-2.0", ("mpl-source-v", "mpl-copy-http")),
 )
 #: A longer rule says more than one whose licence it names here.
 INSTEAD = {"BSD-3-Clause": "BSD-2-Clause"}
-#: Every known sentence holds one of these, so a text without any has no known sentence.
-HINTS = ("licen", "permi", "redistribut", "warrant")
-assert all(any(h in s for h in HINTS) for s in SENTENCES.values())
+#: Most licence sentences hold one of these; where all given ones do, texts without any are passed over.
+HINTS = ("licen", "permi", "redistribut", "warrant", "copy of the mpl")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINES, _PARAGRAPHS = r"[.!?]+[\t ]+|\n", r"[.!?]+[\t-\r ]+|\n[\t-\r ]*\n"
+_LINES, _PARAGRAPHS = r"[.!?]+[\t ]+|\n", r"[.!?]+[\t-\r ]+|\n[^a-z0-9\n]*\n"
+_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|spdx)[^\n]*$"
 
 
-def _identifiers(text: Column, ends: str) -> Column:
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
+def _identifiers(text: Column, ends: str, sentences: dict[str, str]) -> Column:
+    known = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, i)])
     ids = F.transform(F.split(text, ends), lambda s: known[F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))])
     return F.filter(ids, lambda i: i.isNotNull())
 
@@ -90,9 +105,13 @@ def _rule(ids: tuple[str, ...]) -> str:
     return "(^| )" + "( .*)? ".join(ids) + "( |$)"
 
 
-def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] = SENTENCES, rules=RULES, instead: dict[str, str] = INSTEAD) -> DataFrame:
     """(doc_id, n_sentences, sentences, licenses) for every row of ``docs``.
 
+    ``sentences`` are normalised ones by identifiers without spaces, ``rules``
+    (name, identifiers in order), and ``instead`` names for a rule the weaker one
+    that it replaces. Without sentences or rules nothing is found.
+
     ``sentences`` are the identifiers of the cut that finds more (of equal ones
     the one by lines), ``licenses`` the names of the rules that match either
     cut, sorted; both joined by spaces. Null and empty texts have none.
@@ -100,15 +119,18 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ignored.
     """
     text = F.translate(F.col(text_col), _UPPER, _LOWER)
-    hinted = text.rlike("|".join(HINTS))
     none = F.array().cast("array<string>")
-    d = docs.select(F.col(id_col).alias("doc_id"), *[F.when(hinted, _identifiers(text, e)).otherwise(none).alias(n) for e, n in ((_LINES, "a"), (_PARAGRAPHS, "b"))])
+    if not sentences or not rules:
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("n_sentences"), F.lit("").alias("sentences"), F.lit("").alias("licenses"))
+    hinted = text.rlike("|".join(HINTS)) if all(any(h in s for h in HINTS) for s in sentences.values()) else text.isNotNull()
+    by_line, by_paragraph = _identifiers(text, _LINES, sentences), _identifiers(F.regexp_replace(text, _COPYRIGHT, "\n\n"), _PARAGRAPHS, sentences)
+    d = docs.select(F.col(id_col).alias("doc_id"), *[F.when(hinted, x).otherwise(none).alias(n) for x, n in ((by_line, "a"), (by_paragraph, "b"))])
     d = d.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("s"), F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"))
     found = {}
-    for name, ids in RULES:
+    for name, ids in rules:
         met = F.col("a").rlike(_rule(ids)) | F.col("b").rlike(_rule(ids))
         found[name] = found[name] | met if name in found else met
-    for name, weaker in INSTEAD.items():
+    for name, weaker in ((n, w) for n, w in instead.items() if n in found and w in found):
         found[weaker] = found[weaker] & ~found[name]
     names = F.array_compact(F.array(*[F.when(met, F.lit(name)) for name, met in sorted(found.items())]))
     return d.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_join("s", " ").alias("sentences"), F.when((F.col("a") == "") & (F.col("b") == ""), "").otherwise(F.array_join(names, " ")).alias("licenses"))
@@ -120,7 +142,7 @@ def op3_license_sentences(spark, sf_dir):
 
 def _oracle() -> str:
     known = "MAP {" + ", ".join(f"'{s}': '{i}'" for i, s in SENTENCES.items()) + "}"
-    ids = "list_filter(list_transform(regexp_split_to_array(t, '{}'), lambda s: m[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda i: i IS NOT NULL)"
+    ids = "list_filter(list_transform(regexp_split_to_array({}, '{}'), lambda s: m[trim(regexp_replace(s, '[^a-z0-9]+', ' ', 'g'))]), lambda i: i IS NOT NULL)"
     met: dict[str, list[str]] = {}
     for name, rule in RULES:
         met.setdefault(name, []).extend(f"regexp_matches({c}, '{_rule(rule)}')" for c in "ab")
@@ -128,11 +150,12 @@ def _oracle() -> str:
     for name, weaker in INSTEAD.items():
         both[weaker] = f"({both[weaker]} AND NOT {both[name]})"
     names = ", ".join(f"CASE WHEN {x} THEN '{n}' END" for n, x in sorted(both.items()))
+    own = f"regexp_replace(t, '{_COPYRIGHT}', chr(10) || chr(10), 'g')"
     return f"""
 WITH known AS (SELECT {known} AS m),
 d AS (SELECT doc_id, translate(text, '{_UPPER}', '{_LOWER}') AS t FROM documents),
-l AS (SELECT doc_id, CASE WHEN regexp_matches(t, '{"|".join(HINTS)}') THEN {ids.format(_LINES)} ELSE [] END AS a,
-  CASE WHEN regexp_matches(t, '{"|".join(HINTS)}') THEN {ids.format(_PARAGRAPHS)} ELSE [] END AS b FROM d, known),
+l AS (SELECT doc_id, CASE WHEN regexp_matches(t, '{"|".join(HINTS)}') THEN {ids.format("t", _LINES)} ELSE [] END AS a,
+  CASE WHEN regexp_matches(t, '{"|".join(HINTS)}') THEN {ids.format(own, _PARAGRAPHS)} ELSE [] END AS b FROM d, known),
 j AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS s, array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b FROM l)
 SELECT doc_id, len(s)::BIGINT AS n_sentences, array_to_string(s, ' ') AS sentences, array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ' ') AS licenses
 FROM j"""

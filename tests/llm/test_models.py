@@ -272,6 +272,35 @@ def test_licenses(spark):
     assert license_scan.licenses(odd(spark)).count() == len(ODD) and license_scan.licenses(odd(spark).limit(0)).count() == 0
 
 
+#: Notices as files state them.
+NOTICES = {
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", ";; "])
+def test_notices_in_comments(spark, mark):
+    """After a copyright line without a full stop, with and without an empty comment line between."""
+    rows = []
+    for name, text in NOTICES.items():
+        for k, gap in enumerate(("", "\n")):
+            body = f"Copyright (c) 2020 Some People, all of them\n{gap}{text}"
+            rows.append((name, "\n".join((mark + line).rstrip() for line in body.split("\n"))))
+    got = license_scan.licenses(spark.createDataFrame(rows, "name string, text string"), "name").collect()
+    assert [r.licenses for r in sorted(got, key=lambda r: r.doc_id)] == sorted(n for n, _ in rows)
+
+
+def test_given_rules(spark):
+    d = spark.createDataFrame([(1, "First thing. Other words. Second thing!"), (2, "Second thing. First thing."), (3, None)], "doc_id long, text string")
+    own = {"one": "first thing", "two": "second thing"}
+    got = {r.doc_id: (r.n_sentences, r.licenses) for r in license_scan.licenses(d, sentences=own, rules=[("X", ("one", "two")), ("Y", ("two",))], instead={"X": "Y"}).collect()}
+    assert got == {1: (2, "X"), 2: (2, "Y"), 3: (0, "")}
+    assert {r.licenses for r in license_scan.licenses(d, rules=()).collect()} == {""}
+
+
 def table(spark, x, ids=None):
     return spark.createDataFrame([(i, v) for i, v in zip(ids or range(len(x)), x, strict=True)], "vec_id long, embedding array<float>")
 
