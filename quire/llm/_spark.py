@@ -50,6 +50,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is in."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def bytes_of(df: DataFrame, column: str) -> int:
     """About the bytes of ``df``: Spark's estimate, or where it has none the sum over ``column``."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -21,6 +21,7 @@ before they are joined, so that Spark can split a hash with very many positions.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -100,7 +101,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     apart by a hash of the text. An ``n_chars`` column is set to the new length,
     other columns are kept. ``n_lines`` and ``n_removed`` name columns to add.
     """
-    own = {c: f"_quire_{k}" for k, c in enumerate(("id", "tag", "lines", "gone"))}
+    free = (x for x in (f"_quire_{k}" for k in count()) if x not in docs.columns)
+    own = {c: next(free) for c in ("id", "tag", "gone")}
     rows = docs.withColumn(own["id"], F.coalesce(F.col(id_col), F.lit(_NO_ID)))
     rows = rows.withColumn(own["tag"], F.xxhash64(text_col))
     lines = F.split(F.col(text_col), "\n", -1)
@@ -110,8 +112,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own["gone"]))
     text = F.when(F.col(own["gone"]).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     changed = F.col(own["gone"]).isNotNull()
-    count, removed = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)), F.coalesce(F.size(F.when(changed, F.col(own["gone"]))), F.lit(0))
-    added = [x.cast("long").alias(n) for x, n in ((count, n_lines), (removed, n_removed)) if n]
+    total, removed = F.when(F.col(text_col).isNull(), 0).otherwise(F.size(lines)), F.coalesce(F.size(F.when(changed, F.col(own["gone"]))), F.lit(0))
+    added = [x.cast("long").alias(n) for x, n in ((total, n_lines), (removed, n_removed)) if n]
     rows = rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], changed.alias(own["id"]), *added)
     if "n_chars" in docs.columns:  # a step of its own: the text must be made once
         rows = rows.withColumn("n_chars", F.when(F.col(own["id"]), F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quire.llm import queries
@@ -42,6 +43,17 @@ def test_decisions_take_effect(spark, stages):
     assert sorted(ids["packing"]) == sorted(ids["mixing"])
 
 
+def test_columns_that_clash(spark, stages):
+    """Further columns, named like the operators' own, pass through every stage but the last."""
+    own = ["size", "copies", "_mix_copies", "id", "tag", "lines", "gone", "_quire_0", "nth", "u", "d", "m"]
+    d = stages["documents"].where("doc_id < 60").withColumns({c: F.lit(f"own {c}") for c in own})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, SF)
+        assert out.columns == d.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"own {c}" for r in rows for c in own), name
+
+
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, SF)
     assert got.exceptAll(stages["packing"]).isEmpty() and got.count() == stages["packing"].count()
