@@ -89,17 +89,9 @@ def preserve_sections(c: Column) -> Column:
 
 def merge_lines(lines: Column, breaks: bool = True) -> Column:
     """Lines of a paragraph joined by spaces, paragraphs by newlines; blank lines stay as empty ones with ``breaks``."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"))
-
-    def step(acc, line):
-        line = strip(line)
-        closed = F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
-        blank = F.struct((F.concat(closed, F.array(F.lit(""))) if breaks else closed).alias("done"), F.lit(None).cast("string").alias("open"))
-        more = F.struct(acc["done"].alias("done"), F.concat_ws(" ", acc["open"], line).alias("open"))
-        return F.when(line == "", blank).otherwise(more)
-
-    end = lambda acc: F.array_join(F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))), "\n")
-    return F.aggregate(lines, start, step, end)
+    text = F.array_join(F.transform(lines, strip), "\n")
+    text = _sub(text, r"(?<=[^\n])\n(?=[^\n])", " ")
+    return text if breaks else _sub(_sub(text, r"\n+", "\n"), r"\A\n|\n\z", "")
 
 
 def is_upper(c: Column) -> Column:
@@ -112,9 +104,13 @@ def strip_bullet(c: Column, digits: bool = True) -> Column:
     return F.ltrim(c, F.lit(BULLETS + "-*" + ("0123456789. \t" if digits else " \t")))
 
 
+# Characters that file systems forbid in names.
+FORBIDDEN = '<>:"/\\|?*'
+
+
 def clean_filename(c: Column, longest: int = 200) -> Column:
     """Characters that file systems forbid become underscores; long names keep their extension."""
-    name = F.translate(c, '<>:"/\\|?*', "_" * 9)
+    name = F.translate(c, FORBIDDEN, "_" * len(FORBIDDEN))
     stem, ext = F.regexp_extract(name, r"(?s)\A(.*)\.[^.]*\z", 1), F.regexp_extract(name, r"(?s)(\.[^.]*)\z", 1)
     dotted = name.contains(".")
     short = F.concat(F.substring(F.when(dotted, stem).otherwise(name), 1, longest - 5), F.when(dotted, ext).otherwise(""))

@@ -9,6 +9,8 @@ from ..functions.text import strip, strip_bullet
 
 BULLETS_PER_SLIDE, PARAGRAPHS_PER_SLIDE, ITEMS_PER_SLIDE = 6, 3, 8
 _END = 2**62
+# Words of decks.
+UNTITLED, TABLE, THANKS, TOTAL = "Untitled Presentation", "Tabla", "Gracias", "Total de slides"
 
 
 def bullet(kind: Column, text: Column) -> Column:
@@ -17,7 +19,7 @@ def bullet(kind: Column, text: Column) -> Column:
     return F.when((kind == "list_item") & (F.length(item) > 2), item).when((kind == "paragraph") & (F.length(para) > 20), para)
 
 
-def deck_titles(elements: DataFrame, untitled: str = "Untitled Presentation") -> DataFrame:
+def deck_titles(elements: DataFrame, untitled: str = UNTITLED) -> DataFrame:
     """(doc_id, title, subtitle): the first title, else the first heading of level 1; the first heading of level 1 or 2 after the first title."""
     first = F.min(F.when(F.col("type") == "title", F.col("pos"))).over(Window.partitionBy("doc_id"))
     e = elements.withColumn("first_title", first)
@@ -33,43 +35,43 @@ def deck_slides(elements: DataFrame, tables: DataFrame | None = None, logo: str
     A heading of level 1 makes a section and ends the title; levels 2 and 3 set
     the title; any heading ends a slide. Bullets fill slides of six, paragraphs
     slides of three; what a segment leaves over is one slide, its paragraphs as
-    notes of its bullets. Items under no title are dropped.
+    notes of its bullets. Items under no title are dropped. One pass over each
+    document's elements, which are brought together once.
     """
-    order = Window.partitionBy("doc_id").orderBy("pos")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    heading = F.col("type") == "heading"
-    e = elements.withColumn("seg", F.count_if(heading).over(running))
-    last = F.last(F.when(heading & (F.col("level") <= 3), F.struct("level", "text")), ignorenulls=True).over(running)
-    e = e.withColumn("head", last).withColumn("slide_title", F.when(F.col("head.level") > 1, F.col("head.text")))
-    after = F.min(F.when(heading, F.col("pos"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    e = e.withColumn("ends", F.coalesce(after, F.lit(_END))).withColumn("item", bullet(F.col("type"), F.col("text")))
-
-    kept = e.where(F.col("item").isNotNull() & F.col("slide_title").isNotNull())
+    doc = Window.partitionBy("doc_id")
+    running = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    heading, title, at1 = F.col("type") == "heading", F.col("type") == "title", F.col("level") == 1
+    e = elements.select("doc_id", "pos", "type", "level", "text", bullet(F.col("type"), F.col("text")).alias("item"))
+    head = F.last(F.when(heading & (F.col("level") <= 3), F.struct("level", "text")), ignorenulls=True).over(running)
+    e = e.select("*", F.count_if(heading).over(running).alias("seg"), head.alias("head"), F.row_number().over(doc.orderBy("pos")).alias("nth_element"))
+    pick = lambda cond: F.min_by(F.when(cond, F.col("text")), F.when(cond, F.col("pos"))).over(doc)
+    e = e.withColumn("first_title", F.min(F.when(title, F.col("pos"))).over(doc))
+    e = e.withColumns({"cover_title": F.coalesce(pick(title), pick(heading & at1), F.lit(UNTITLED)), "cover_subtitle": pick(heading & (F.col("level") <= 2) & (F.col("pos") > F.col("first_title")))})
+    kept = F.col("item").isNotNull() & (F.col("head.level") > 1)
+    kind = Window.partitionBy("doc_id", "seg", "type")
+    e = e.withColumns({"nth": F.count_if(kept).over(kind.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)), "of": F.count_if(kept).over(kind)})
     size = F.when(F.col("type") == "list_item", BULLETS_PER_SLIDE).otherwise(PARAGRAPHS_PER_SLIDE)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "seg", "type").orderBy("pos"))
-    kept = kept.withColumn("chunk", F.floor((nth - 1) / size))
-    chunks = kept.groupBy("doc_id", "seg", "type", "chunk").agg(
-        F.first("slide_title").alias("title"), F.max("pos").alias("at"), F.max("ends").alias("ends"), F.count("*").alias("n"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda s: s["item"]).alias("items"),
-    )
-    full = F.col("n") == F.when(F.col("type") == "list_item", BULLETS_PER_SLIDE).otherwise(PARAGRAPHS_PER_SLIDE)
+    chunk = F.floor((F.col("nth") - 1) / size)
+    full = chunk < F.floor(F.col("of") / size)
     null = F.lit(None).cast("string")
-    slides = chunks.where(full).select("doc_id", F.col("at").alias("k1"), F.lit(0).alias("k2"), F.lit("bullets").alias("type"), "title", null.alias("subtitle"), "items", null.alias("notes"))
-    rest = chunks.where(~full).groupBy("doc_id", "seg").agg(
-        F.first("title").alias("title"), F.first("ends").alias("k1"),
-        F.first(F.when(F.col("type") == "list_item", F.col("items")), ignorenulls=True).alias("b"),
-        F.first(F.when(F.col("type") == "paragraph", F.col("items")), ignorenulls=True).alias("p"),
-    )
-    rest = rest.select("doc_id", "k1", F.lit(0).alias("k2"), F.lit("bullets").alias("type"), "title", null.alias("subtitle"), F.coalesce("b", "p").alias("items"), F.when(F.col("b").isNotNull(), F.array_join("p", "\n")).alias("notes"))
-    none = F.lit(None).cast("array<string>")
-    sections = elements.where((F.col("type") == "heading") & (F.col("level") == 1)).select("doc_id", F.col("pos").alias("k1"), F.lit(1).alias("k2"), F.lit("section").alias("type"), F.col("text").alias("title"), null.alias("subtitle"), none.alias("items"), null.alias("notes"))
-    cover = deck_titles(elements).select("doc_id", F.lit(-1).cast("long").alias("k1"), F.lit(0).alias("k2"), F.lit("cover").alias("type"), "title", "subtitle", none.alias("items"), null.alias("notes"))
-    slides = slides.unionByName(rest).unionByName(sections).unionByName(cover).withColumn("md", null)
+
+    def row(when, seg, at, kind_, title_, subtitle, item):
+        # a slide is where its last element is; what is left over comes last
+        return F.when(when, F.struct(seg.cast("long").alias("seg"), at.cast("long").alias("chunk"), kind_.alias("type"), title_.alias("title"), subtitle.alias("subtitle"), item.alias("item")))
+
+    cover = row(F.col("nth_element") == 1, F.lit(-1), F.lit(0), F.lit("cover"), F.col("cover_title"), F.col("cover_subtitle"), null)
+    section = row(heading & at1, F.col("seg"), F.lit(-1), F.lit("section"), F.col("text"), null, null)
+    content = row(kept, F.col("seg"), F.when(full, chunk * 2 + (F.col("type") == "paragraph").cast("int")).otherwise(_END), F.lit("bullets"), F.col("head.text"), null, F.col("item"))
+    rows = e.select("doc_id", "pos", F.col("type").alias("element"), F.explode(F.array_compact(F.array(cover, section, content))).alias("s")).select("doc_id", "pos", "element", "s.*")
+    own = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("element") == t, F.struct("pos", "item")))), lambda x: x["item"])
+    s = rows.groupBy("doc_id", "seg", "chunk", "type").agg(F.first("title").alias("title"), F.first("subtitle").alias("subtitle"), F.max("pos").alias("at"), own("list_item").alias("b"), own("paragraph").alias("p"))
+    bullets, both = F.col("type") == "bullets", (F.size("b") > 0) & (F.size("p") > 0)
+    s = s.select("doc_id", "seg", F.when(F.col("chunk") == _END, _END).when(bullets, F.col("at")).otherwise(F.col("chunk")).alias("at"), "type", "title", "subtitle", F.when(bullets, F.when(F.size("b") > 0, F.col("b")).otherwise(F.col("p"))).alias("items"), F.when(bullets & both, F.array_join("p", "\n")).alias("notes"), null.alias("md"))
     if tables is not None:
-        t = tables.select("doc_id", F.lit(_END + 1).alias("k1"), F.col("table_idx").cast("int").alias("k2"), F.lit("table").alias("type"), F.concat(F.lit("Tabla "), (F.col("table_idx") + 1).cast("string")).alias("title"), null.alias("subtitle"), none.alias("items"), null.alias("notes"), "md")
-        slides = slides.unionByName(t)
-    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("k1", "k2")) - 1
-    return slides.select("doc_id", idx.cast("int").alias("slide_idx"), "type", "title", "subtitle", "items", "notes", "md", F.when(F.col("type") == "cover", F.lit(logo)).cast("string").alias("logo"))
+        t = tables.select("doc_id", F.lit(_END).alias("seg"), F.col("table_idx").cast("long").alias("at"), F.lit("table").alias("type"), F.concat(F.lit(f"{TABLE} "), (F.col("table_idx") + 1).cast("string")).alias("title"), null.alias("subtitle"), F.lit(None).cast("array<string>").alias("items"), null.alias("notes"), "md")
+        s = s.unionByName(t)
+    idx = F.row_number().over(doc.orderBy("seg", "at")) - 1
+    return s.select("doc_id", idx.cast("int").alias("slide_idx"), "type", "title", "subtitle", "items", "notes", "md", F.when(F.col("type") == "cover", F.lit(logo)).cast("string").alias("logo"))
 
 
 def deck_json(slides: DataFrame, titles: DataFrame, info: DataFrame, brand: Column) -> DataFrame:
@@ -87,44 +89,37 @@ def text_deck_slides(elements: DataFrame) -> DataFrame:
 
     One buffer holds bullets and paragraphs. A heading writes it under the
     current title, and so does an element that brings it to eight items, eight
-    at a time; what has no title waits for the next one. An ordered fold over
-    each document.
+    at a time; what has no title waits for the next one.
+
+    So an item belongs to the first segment from its own on that has a title,
+    and every element of that segment, its heading included, writes eight items
+    if there are so many: of n items and m elements ``least(m, n // 8)`` slides of
+    eight, and one of the rest.
     """
-    text = F.col("text")
+    doc = Window.partitionBy("doc_id")
+    up = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    down = doc.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    text, heading = F.col("text"), F.col("type") == "heading"
     para = strip(text)
     item = F.when((F.col("type") == "list_item") & (F.length(strip_bullet(text)) > 2), F.concat(F.lit("- "), strip_bullet(text))).when(
         (F.col("type") == "paragraph") & (F.length(para) > 20), F.when(F.length(para) < 200, F.concat(F.lit("- "), para)).otherwise(F.concat(F.lit("\n"), para, F.lit("\n")))
     )
-    e = elements.where("type <> 'title'").select("doc_id", F.struct("pos", "type", "level", "text", item.alias("item")).alias("e"))
-    e = e.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    slide = "struct<type:string,title:string,items:array<string>>"
-    strings = "array<string>"
-    start = F.struct(F.array().cast(f"array<{slide}>").alias("out"), F.lit(None).cast("string").alias("title"), F.array().cast(strings).alias("held"))
-
-    def made(kind, title, items):
-        return F.struct(F.lit(kind).alias("type"), title.alias("title"), items.alias("items")).cast(slide)
-
-    def state(out, title, held):
-        return F.struct(out.alias("out"), title.alias("title"), held.alias("held"))
-
-    def step(acc, x):
-        ready = acc["title"].isNotNull() & (F.size(acc["held"]) > 0)
-        is_heading = x["type"] == "heading"
-        out = F.when(is_heading & ready, F.concat(acc["out"], F.array(made("content", acc["title"], acc["held"])))).otherwise(acc["out"])
-        out = F.when(is_heading & (x["level"] == 1), F.concat(out, F.array(made("section", x["text"], F.array().cast(strings))))).otherwise(out)
-        title = F.when(is_heading & (x["level"] == 1), F.lit(None)).when(is_heading & (x["level"] <= 3), x["text"]).otherwise(acc["title"])
-        held = F.when(is_heading & ready, F.array().cast(strings)).otherwise(acc["held"])
-        held = F.when(x["item"].isNotNull(), F.concat(held, F.array(x["item"]))).otherwise(held)
-        many = (F.size(held) >= ITEMS_PER_SLIDE) & title.isNotNull()
-        first, rest = F.slice(held, 1, ITEMS_PER_SLIDE), F.slice(held, ITEMS_PER_SLIDE + 1, F.greatest(F.size(held) - ITEMS_PER_SLIDE, F.lit(0)))
-        return state(F.when(many, F.concat(out, F.array(made("content", title, first)))).otherwise(out), title, F.when(many, rest).otherwise(held))
-
-    def finish(acc):
-        ready = acc["title"].isNotNull() & (F.size(acc["held"]) > 0)
-        return F.when(ready, F.concat(acc["out"], F.array(made("content", acc["title"], acc["held"])))).otherwise(acc["out"])
-
-    folded = e.select("doc_id", F.posexplode(F.aggregate("es", start, step, finish)).alias("slide_idx", "s"))
-    return folded.select("doc_id", "slide_idx", "s.type", "s.title", "s.items")
+    e = elements.where("type <> 'title'").select("doc_id", "pos", "type", "level", "text", item.alias("item"))
+    head = F.last(F.when(heading & (F.col("level") <= 3), F.struct("level", "text")), ignorenulls=True).over(up)
+    e = e.select("*", F.count_if(heading).over(up).alias("seg"), head.alias("head"))
+    goal = F.last(F.when(F.col("head.level") > 1, F.struct("seg", F.col("head.text").alias("title"))), ignorenulls=True).over(down)
+    e = e.withColumn("goal", goal).withColumn("to", F.col("goal.seg"))
+    held, steps = F.col("item").isNotNull(), F.count_if(F.col("seg") == F.col("to"))
+    by = Window.partitionBy("doc_id", "to")
+    e = e.select("*", F.count_if(held).over(by.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)).alias("nth"), F.count_if(held).over(by).alias("n"), steps.over(by).alias("steps"))
+    chunk = F.least(F.floor((F.col("nth") - 1) / ITEMS_PER_SLIDE), F.floor(F.col("n") / ITEMS_PER_SLIDE), F.col("steps"))
+    section = heading & (F.col("level") == 1)
+    kept = e.where(section | (held & F.col("to").isNotNull()))
+    kept = kept.select("doc_id", "pos", F.when(section, F.col("seg")).otherwise(F.col("to")).alias("seg"), F.when(section, -1).otherwise(chunk).alias("chunk"), F.when(section, "section").otherwise("content").alias("type"), F.when(section, text).otherwise(F.col("goal.title")).alias("title"), "item")
+    items = F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == "content", F.struct("pos", "item")))), lambda x: x["item"])
+    s = kept.groupBy("doc_id", "seg", "chunk", "type").agg(F.first("title").alias("title"), items.alias("items"))
+    idx = F.row_number().over(doc.orderBy("seg", "chunk")) - 1
+    return s.select("doc_id", idx.cast("int").alias("slide_idx"), "type", "title", "items")
 
 
 def text_deck(elements: DataFrame, brand_name: str = "Brand", tables: DataFrame | None = None) -> DataFrame:
@@ -135,9 +130,9 @@ def text_deck(elements: DataFrame, brand_name: str = "Brand", tables: DataFrame
     body = s.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slide_idx", "t"))), lambda x: x["t"]), "").alias("body"), F.count("*").alias("n"))
     d = deck_titles(elements).join(body, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("body", F.coalesce("body", F.lit("")))
     if tables is not None:
-        one = F.concat(F.lit("## Tabla "), (F.col("table_idx") + 1).cast("string"), F.lit("\n\n"), "md", F.lit("\n\n---\n\n"))
+        one = F.concat(F.lit(f"## {TABLE} "), (F.col("table_idx") + 1).cast("string"), F.lit("\n\n"), "md", F.lit("\n\n---\n\n"))
         t = tables.withColumn("t", one).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("table_idx", "t"))), lambda x: x["t"]), "").alias("tt"), F.count("*").alias("tn"))
         d = d.join(t, "doc_id", "left").withColumn("body", F.concat("body", F.coalesce("tt", F.lit("")))).withColumn("n", F.col("n") + F.coalesce("tn", F.lit(0)))
     cover = F.concat(F.lit("# "), "title", F.lit(f"\n\n**{brand_name}**\n\n---\n\n"))
-    close = F.concat(F.lit(f"# Gracias\n\n**{brand_name}**\n\nTotal de slides: "), F.col("n").cast("string"), F.lit("\n"))
+    close = F.concat(F.lit(f"# {THANKS}\n\n**{brand_name}**\n\n{TOTAL}: "), F.col("n").cast("string"), F.lit("\n"))
     return d.select("doc_id", F.concat(cover, "body", close).alias("deck"), F.col("n").cast("long").alias("slides"))

@@ -30,13 +30,10 @@ def repeated_texts(spans: DataFrame, pages: DataFrame, share: float = 0.6, least
     The bottom counts on pages of more than one span. Documents of fewer than
     ``least_pages`` pages, pages without text included, have none.
     """
-    own = spans.where(strip(F.col("text")) != "").withColumn("text", strip(F.col("text")))
-    top = F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "span_no"))
-    last = F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("y0"), F.desc("span_no")))
-    n = F.count("*").over(Window.partitionBy(*PAGE))
-    ends = own.select("doc_id", "text", top.alias("top"), last.alias("last"), n.alias("n"))
-    kinds = F.array_compact(F.array(F.when(F.col("top") == 1, "header"), F.when((F.col("last") == 1) & (F.col("n") > 1), "footer")))
-    ends = ends.where("top = 1 or last = 1").select("doc_id", "text", F.explode(kinds).alias("kind"))
+    own = spans.where(strip(F.col("text")) != "").select(*PAGE, F.struct("y0", "span_no", strip(F.col("text")).alias("text")).alias("s"))
+    ends = own.groupBy(*PAGE).agg(F.min("s").alias("top"), F.max("s").alias("last"), F.count("*").alias("n"))
+    kinds = F.array(F.struct(F.lit("header").alias("kind"), F.col("top.text").alias("text")), F.when(F.col("n") > 1, F.struct(F.lit("footer").alias("kind"), F.col("last.text").alias("text"))))
+    ends = ends.select("doc_id", F.explode(F.array_compact(kinds)).alias("e")).select("doc_id", "e.*")
     counts = ends.groupBy("doc_id", "kind", "text").agg(F.count("*").alias("c"))
     total = F.sum("c").over(Window.partitionBy("doc_id", "kind"))
     counts = counts.withColumn("total", total).where(F.col("c") / F.col("total") >= share)

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import DIGIT, WS, strip
+from .deck import THANKS
 from .elements import joined
 
-#: Phrases whose lines are left out, such as copyright notices.
-SKIPPED: tuple[str, ...] = ()
+# A phrase whose lines are left out, a notice that forbids copying; more can be given.
+SKIPPED: tuple[str, ...] = ("prohibida su reproducción",)
 CHUNK = 8
 
 
@@ -36,12 +37,14 @@ def _skipped(line: Column, phrases) -> Column:
 
 
 def markdown_slides(docs: DataFrame, skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
-    """(doc_id, slide_idx, type, title, part, items): slides of Markdown, a state machine over its lines.
+    """(doc_id, slide_idx, type, title, part, items): slides of Markdown.
 
-    Numbered headings of level 1 are sections, other headings titles. Bullets
-    end a slide at six items, paragraphs at five, numbered items never. Items
+    Numbered headings of level 1 are sections, other headings titles. Items
     without a title wait for the next one. Neighbours with one title become
     one; of neighbouring sections the first stays. Slides show eight items a part.
+
+    Where within its title a slide ends makes no difference, as neighbours of one
+    title are joined: an item belongs to the first title from its own line on.
     """
     lines = markdown_lines(docs)
     line = F.col("line")
@@ -55,30 +58,19 @@ def markdown_slides(docs: DataFrame, skipped: tuple[str, ...] = SKIPPED) -> Data
     listed = strip(F.when(bullet, F.substring(line, 3, 2**30)).otherwise(F.regexp_replace(line, rf"\A{DIGIT}+\. ", "")))
     kind = F.when(h, F.when(F.length(head) > 3, F.when(h1 & head.rlike(rf"\A{DIGIT}+\."), "section").otherwise("title"))).when(bullet, "bullet").when(numbered, "number").when(para, "para")
     item = F.when(bullet | numbered, F.when(F.length(listed) > 2, listed)).when(para, F.when(F.length(line) < 300, line).otherwise(long))
-    e = lines.select("doc_id", F.struct("pos", kind.alias("kind"), F.when(h, head).alias("head"), F.when(~h, F.concat(F.lit("- "), item)).alias("item")).alias("e")).where("e.kind is not null")
-    e = e.groupBy("doc_id").agg(F.array_sort(F.collect_list("e")).alias("es"))
-    slide, strings = "struct<title:string,section:boolean,items:array<string>>", "array<string>"
-    start = F.struct(F.array().cast(f"array<{slide}>").alias("out"), F.lit(None).cast("string").alias("title"), F.array().cast(strings).alias("held"))
-    made = lambda title, section, items: F.struct(title.alias("title"), F.lit(section).alias("section"), items.alias("items")).cast(slide)
-
-    def step(acc, x):
-        heads = x["kind"].isin("section", "title")
-        ready = acc["title"].isNotNull() & (F.size(acc["held"]) > 0)
-        out = F.when(heads & ready, F.concat(acc["out"], F.array(made(acc["title"], False, acc["held"])))).otherwise(acc["out"])
-        out = F.when(x["kind"] == "section", F.concat(out, F.array(made(F.lit("SECTION"), True, F.array(x["head"]))))).otherwise(out)
-        held = F.when(heads & ready, F.array().cast(strings)).otherwise(acc["held"])
-        title = F.when(x["kind"] == "section", F.lit(None)).when(x["kind"] == "title", x["head"]).otherwise(acc["title"])
-        held = F.when(~heads & x["item"].isNotNull(), F.concat(held, F.array(x["item"]))).otherwise(held)
-        most = F.when((x["kind"] == "bullet") & x["item"].isNotNull(), 6).when(x["kind"] == "para", 5)
-        end = F.coalesce(F.size(held) >= most, F.lit(False)) & title.isNotNull()
-        return F.struct(F.when(end, F.concat(out, F.array(made(title, False, held)))).otherwise(out).alias("out"), title.alias("title"), F.when(end, F.array().cast(strings)).otherwise(held).alias("held"))
-
-    finish = lambda acc: F.when(acc["title"].isNotNull() & (F.size(acc["held"]) > 0), F.concat(acc["out"], F.array(made(acc["title"], False, acc["held"])))).otherwise(acc["out"])
-    s = e.select("doc_id", F.posexplode(F.aggregate("es", start, step, finish)).alias("n", "s")).select("doc_id", "n", "s.*")
-    order = Window.partitionBy("doc_id").orderBy("n")
+    e = lines.select("doc_id", "pos", kind.alias("kind"), F.when(h, head).alias("head"), F.when(~h, F.concat(F.lit("- "), item)).alias("item")).where("kind is not null")
+    up = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("doc_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, 0)
+    heads = F.col("kind").isin("section", "title")
+    e = e.select("*", F.count_if(heads).over(up).alias("seg"), F.last(F.when(heads, F.struct("kind", "head")), ignorenulls=True).over(up).alias("under"))
+    goal = F.last(F.when(F.col("under.kind") == "title", F.struct("seg", F.col("under.head").alias("title"))), ignorenulls=True).over(down)
+    e = e.withColumn("goal", goal).withColumn("section", F.col("kind") == "section")
+    kept = e.where(F.col("section") | (F.col("item").isNotNull() & F.col("goal").isNotNull()))
+    kept = kept.select("doc_id", "pos", F.when(F.col("section"), F.col("seg")).otherwise(F.col("goal.seg")).alias("seg"), F.when(F.col("section"), "SECTION").otherwise(F.col("goal.title")).alias("title"), "section", F.when(F.col("section"), F.col("head")).otherwise(F.col("item")).alias("item"))
+    order = Window.partitionBy("doc_id").orderBy("seg", "pos")
     new = F.when(F.lag("title").over(order).eqNullSafe(F.col("title")), 0).otherwise(1)
-    s = s.withColumn("new", new).withColumn("run", F.sum("new").over(order))
-    s = s.groupBy("doc_id", "run").agg(F.first("title").alias("title"), F.first("section").alias("section"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n", "items"))), lambda x: x["items"])).alias("items"))
+    s = kept.withColumn("new", new).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.groupBy("doc_id", "run").agg(F.first("title").alias("title"), F.min_by("section", F.struct("seg", "pos")).alias("section"), F.transform(F.array_sort(F.collect_list(F.struct("seg", "pos", "item"))), lambda x: x["item"]).alias("items"))
     parts = F.when(F.col("section"), F.array(F.slice("items", 1, 1))).otherwise(F.transform(F.sequence(F.lit(0), F.ceil(F.size("items") / CHUNK).cast("int") - 1), lambda k: F.slice(F.col("items"), k * CHUNK + 1, CHUNK)))
     s = s.select("doc_id", "run", "title", "section", F.posexplode(parts).alias("part", "items"))
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("run", "part")) - 1
@@ -86,7 +78,7 @@ def markdown_slides(docs: DataFrame, skipped: tuple[str, ...] = SKIPPED) -> Data
 
 
 def section_slides(docs: DataFrame, skipped: tuple[str, ...] = SKIPPED, longest: int = 500) -> DataFrame:
-    """(doc_id, section, divider, part, items): items grouped by numbered section, in order of the section's text.
+    """(doc_id, slide_idx, section, divider, part, items): items grouped by numbered section, numbered in order of the section's text and part.
 
     A header that comes again starts its section anew. Sections without items
     are left out; one whose items are all too long has a single part without any.
@@ -108,7 +100,9 @@ def section_slides(docs: DataFrame, skipped: tuple[str, ...] = SKIPPED, longest:
     n = F.greatest(F.ceil(F.size("items") / CHUNK), F.lit(1)).cast("int")
     parts = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(F.col("items"), k * CHUNK + 1, CHUNK))
     divider = F.col("section").rlike(rf"\A{DIGIT}+\.{DIGIT}+{WS}") & (F.regexp_count("section", F.lit(r"\.")) == 1)
-    return s.select("doc_id", "section", divider.alias("divider"), F.posexplode(parts).alias("part", "items"))
+    s = s.select("doc_id", "section", divider.alias("divider"), F.posexplode(parts).alias("part", "items"))
+    idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "part")) - 1
+    return s.select("doc_id", idx.cast("int").alias("slide_idx"), "section", "divider", "part", "items")
 
 
 def section_deck(docs: DataFrame, title: str, brand: str, **rules) -> DataFrame:
@@ -120,4 +114,4 @@ def section_deck(docs: DataFrame, title: str, brand: str, **rules) -> DataFrame:
     divide = F.when(F.col("divider") & first, F.concat(F.lit("# "), "section", F.lit("\n\n---\n\n"))).otherwise("")
     s = s.select("doc_id", F.struct("section", "part").alias("k"), F.concat(divide, heading, body).alias("t"), ((F.col("divider") & first).cast("int") + (F.size("items") > 0).cast("int")).alias("n"))
     d = s.groupBy("doc_id").agg(joined("t", "k", "").alias("t"), F.sum("n").alias("n"))
-    return d.select("doc_id", F.concat(F.lit(f"# {title}\n\n**{brand}**\n\n---\n\n"), "t", F.lit(f"# Gracias\n\n**{brand}**\n\n\nTotal: "), F.col("n").cast("string"), F.lit(" slides\n")).alias("deck"), F.col("n").cast("long").alias("slides"))
+    return d.select("doc_id", F.concat(F.lit(f"# {title}\n\n**{brand}**\n\n---\n\n"), "t", F.lit(f"# {THANKS}\n\n**{brand}**\n\n\nTotal: "), F.col("n").cast("string"), F.lit(" slides\n")).alias("deck"), F.col("n").cast("long").alias("slides"))

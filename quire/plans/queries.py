@@ -126,8 +126,9 @@ def preserve_sections(spark, sf_dir):
 
 
 _PARAS = rf"""
-WITH l AS (SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS n, unnest(string_split(text, chr(10))) AS x FROM documents),
-b AS (SELECT doc_id, n, CASE WHEN n % 5 = 3 THEN '' ELSE {_strip("x")} END AS x FROM l),
+WITH w AS (SELECT doc_id, flatten(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 5 = 4 THEN [x, ''] ELSE [x] END)) AS w FROM documents),
+l AS (SELECT doc_id, CAST(unnest(range(len(w))) AS INT) AS n, unnest(w) AS x FROM w),
+b AS (SELECT doc_id, n, {_strip("x")} AS x FROM l),
 g AS (SELECT doc_id, n, x, sum(CASE WHEN x = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS run FROM b),
 p AS (SELECT doc_id, min(n) AS n, string_agg(x, ' ' ORDER BY n) AS x FROM g WHERE x <> '' GROUP BY doc_id, run UNION ALL SELECT doc_id, n, x FROM g WHERE x = '')
 SELECT doc_id, string_agg(x, chr(10) ORDER BY n) AS text FROM p GROUP BY doc_id"""
@@ -135,15 +136,17 @@ SELECT doc_id, string_agg(x, chr(10) ORDER BY n) AS text FROM p GROUP BY doc_id"
 
 @query(_PARAS)
 def merge_lines(spark, sf_dir):
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 5 == 3, "").otherwise(x))
+    lines = F.flatten(F.transform(F.split("text", "\n", -1), lambda x, i: F.when(i % 5 == 3, F.array(x, F.lit(""))).otherwise(F.array(x))))
     return documents(spark, sf_dir).select("doc_id", T.merge_lines(lines).alias("text"))
 
 
-@query("SELECT doc_id, concat(CASE WHEN length(n) > 40 THEN substr(n, 1, 35) || '.pdf' ELSE n END) AS name, concat(regexp_replace(n, '\\.[^.]+$', ''), '.gamma.json') AS deck_name FROM (SELECT doc_id, concat(translate(substr(text, 1, doc_id % 60), '<>:\"/\\|?*', '_________'), '.pdf') AS n FROM documents WHERE lang = 'en') q")
+@query("""
+WITH n AS (SELECT doc_id, translate(text, '<>:"/\\|?*', '_________') AS t FROM documents),
+s AS (SELECT doc_id, CASE WHEN length(t) > 196 THEN substr(t, 1, 195) ELSE t END AS t FROM n)
+SELECT doc_id, CASE WHEN length(t) > 36 THEN substr(t, 1, 35) ELSE t END || '.pdf' AS name, CASE WHEN t = '' THEN '.pdf' ELSE t END || '.gamma.json' AS deck_name FROM s""")
 def file_names(spark, sf_dir):
-    d = documents(spark, sf_dir).where("lang = 'en'")
-    name = T.clean_filename(F.concat(F.expr("substr(text, 1, cast(doc_id % 60 as int))"), F.lit(".pdf")))
-    return d.select("doc_id", T.clean_filename(name, 40).alias("name"), T.output_name(name, "json").alias("deck_name"))
+    name = T.clean_filename(F.concat("text", F.lit(".pdf")))
+    return documents(spark, sf_dir).select("doc_id", T.clean_filename(name, 40).alias("name"), T.output_name(name, "json").alias("deck_name"))
 
 
 # --- elements ------------------------------------------------------------------------------
@@ -268,7 +271,18 @@ def deck_slides(spark, sf_dir):
     return s.select("doc_id", "slide_idx", "type", "title", "subtitle", F.array_join("items", "\x1f").alias("items"), "notes")
 
 
-@query()
+_Q = lambda x: f"to_json({x})::VARCHAR"
+_JSON = f"""
+, j AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2) AS n, '{{"type":"' || type || '"' || coalesce(',"title":' || {_Q("title")}, '') || coalesce(',"subtitle":' || {_Q("subtitle")}, '')
+    || coalesce(',"items":' || {_Q("string_split(items, chr(31))")}, '') || coalesce(',"notes":' || {_Q("notes")}, '') || '}}' AS j FROM s)
+, g AS (SELECT doc_id, '[' || string_agg(j, ',' ORDER BY n) || ']' AS slides FROM j GROUP BY doc_id)
+, c AS (SELECT doc_id, count(DISTINCT page_num) AS pages FROM merged GROUP BY doc_id)
+SELECT doc_id, '{{"brand":{{"name":"Brand","primary":"#000000"}},"title":' || {_Q("title")} || ',"slides":' || slides || coalesce(',"source":' || {_Q("source")}, '')
+  || ',"meta":{{"pages":' || pages || ',"lang":[' || coalesce({_Q("lang")}, 'null') || '],"generated_by":"quire","version":"0.1.0"}}}}' AS json
+FROM g JOIN c USING (doc_id) JOIN titles USING (doc_id) JOIN documents USING (doc_id)"""
+
+
+@query(_F + _MERGED + _TITLES + _SLIDES.replace("c AS", "ch AS").replace("FROM c ", "FROM ch ") + _JSON)
 def deck_json(spark, sf_dir):
     m = merged(spark, sf_dir)
     info = m.groupBy("doc_id").agg(F.countDistinct("page_num").cast("int").alias("pages")).join(documents(spark, sf_dir).select("doc_id", "source", F.array("lang").alias("languages")), "doc_id")
@@ -276,13 +290,40 @@ def deck_json(spark, sf_dir):
     return deck.deck_json(deck.deck_slides(m), deck.deck_titles(m), info, brand)
 
 
-@query()
+#: The buffer of the text deck, element by element.
+_TEXT_SLIDES = f"""
+, i AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n, type, level, text, ltrim(text, '{_LTRIM}0123456789. ' || chr(9)) AS b FROM merged WHERE type <> 'title')
+, x AS (SELECT doc_id, n, type = 'heading' AS h, coalesce(level, 0) AS level, text,
+    CASE WHEN type = 'list_item' AND length(b) > 2 THEN '- ' || b WHEN type = 'paragraph' AND length(text) > 20 THEN CASE WHEN length(text) < 200 THEN '- ' || text ELSE chr(10) || text || chr(10) END END AS item FROM i)
+, a AS (SELECT doc_id, list({{'h': h, 'level': level, 'text': text, 'item': item}} ORDER BY n) AS xs FROM x GROUP BY doc_id)
+, fold(doc_id, xs, k, title, held, made) AS (
+  SELECT doc_id, xs, 0, NULL::VARCHAR, []::VARCHAR[], []::STRUCT(type VARCHAR, title VARCHAR, items VARCHAR)[] FROM a
+  UNION ALL
+  SELECT doc_id, xs, k, t, CASE WHEN many THEN held[9:] ELSE held END, made || CASE WHEN many THEN [{{'type': 'content', 'title': t, 'items': array_to_string(held[:8], chr(31))}}] ELSE [] END FROM (
+    SELECT doc_id, xs, k, t, held, made, len(held) >= 8 AND t IS NOT NULL AS many FROM (
+      SELECT doc_id, xs, k + 1 AS k, CASE WHEN e.h AND e.level = 1 THEN NULL WHEN e.h AND e.level <= 3 THEN e.text ELSE title END AS t,
+        (CASE WHEN e.h AND title IS NOT NULL THEN [] ELSE held END) || CASE WHEN e.item IS NULL THEN [] ELSE [e.item] END AS held,
+        CASE WHEN e.h AND title IS NOT NULL AND len(held) > 0 THEN [{{'type': 'content', 'title': title, 'items': array_to_string(held, chr(31))}}] ELSE [] END
+          || CASE WHEN e.h AND e.level = 1 THEN [{{'type': 'section', 'title': e.text, 'items': ''}}] ELSE [] END AS made
+      FROM (SELECT *, xs[k + 1] AS e FROM fold WHERE k < len(xs)) p) q) r)
+, ts AS (SELECT doc_id, k, unnest(range(len(made))) AS o, unnest(made) AS s FROM fold
+  UNION ALL SELECT doc_id, k + 1, 0, {{'type': 'content', 'title': title, 'items': array_to_string(held, chr(31))}} FROM fold WHERE k = len(xs) AND title IS NOT NULL AND len(held) > 0)
+, td AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, o) - 1)::INT AS slide_idx, s.type AS type, s.title AS title, s.items AS items FROM ts)
+"""
+_RECURSIVE = _F.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_RECURSIVE + _MERGED + _TEXT_SLIDES + "SELECT * FROM td")
 def deck_text_slides(spark, sf_dir):
     s = deck.text_deck_slides(merged(spark, sf_dir))
     return s.select("doc_id", "slide_idx", "type", "title", F.array_join("items", "\x1f").alias("items"))
 
 
-@query()
+@query(_RECURSIVE + _MERGED + _TITLES + _TEXT_SLIDES + """
+, tb AS (SELECT doc_id, count(*) AS n, string_agg(CASE type WHEN 'section' THEN '# ' || title || chr(10) || chr(10) ELSE '## ' || title || chr(10) || chr(10)
+    || array_to_string(list_transform(string_split(items, chr(31)), lambda x: x || chr(10)), '') || chr(10) END || '---' || chr(10) || chr(10), '' ORDER BY slide_idx) AS body FROM td GROUP BY doc_id)
+SELECT doc_id, '# ' || title || chr(10) || chr(10) || '**Brand**' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || coalesce(body, '')
+  || '# Gracias' || chr(10) || chr(10) || '**Brand**' || chr(10) || chr(10) || 'Total de slides: ' || coalesce(n, 0) || chr(10) AS deck, coalesce(n, 0)::BIGINT AS slides FROM titles LEFT JOIN tb USING (doc_id)""")
 def deck_text(spark, sf_dir):
     return deck.text_deck(merged(spark, sf_dir))
 
@@ -291,33 +332,55 @@ def _as_markdown(spark, sf_dir) -> DataFrame:
     return markdown.elements_text(merged(spark, sf_dir)).select("doc_id", F.col("markdown").alias("text"))
 
 
-@query()
+_MD_TEXT = f"""
+, md AS (SELECT doc_id, pos, {_MD} AS md FROM merged)
+, txt AS (SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY pos) AS text FROM md WHERE md <> '' GROUP BY doc_id)
+"""
+#: Titles, items and sections of Markdown, line by line; the slides' ends inside a title vanish when neighbours are joined.
+_MD_SLIDES = rf"""
+, ml AS (SELECT doc_id, unnest(range(len(string_split(t, chr(10)))))::INT AS pos, unnest(string_split(t, chr(10))) AS x FROM (SELECT doc_id, regexp_replace(text, '(?s)\A---\n.*?\n---\n', '') AS t FROM txt) q)
+, mt AS (SELECT doc_id, pos, x FROM (SELECT doc_id, pos, {_strip("x")} AS x FROM ml) q WHERE x <> '' AND NOT (x LIKE '<!--%' AND x LIKE '%Page%') AND x NOT LIKE '%prohibida su reproducción%')
+, mh AS (SELECT *, regexp_matches(x, '\A#{{1,4}} ') AS h, {_strip("regexp_replace(x, '^#+', '')")} AS head, regexp_matches(x, '\A[-*] ') AS bl, regexp_matches(x, '\A{_D}+\. ') AS nb, regexp_split_to_array(x, '{_WS}+') AS w FROM mt)
+, mi AS (SELECT *, CASE WHEN bl OR nb THEN {_strip("CASE WHEN bl THEN substr(x, 3) ELSE regexp_replace(x, '^" + _D + "+\\. ', '') END")} END AS li FROM mh)
+, mk AS (SELECT doc_id, pos, head, CASE WHEN h THEN CASE WHEN length(head) > 3 THEN CASE WHEN x LIKE '# %' AND regexp_matches(head, '\A{_D}+\.') THEN 'section' ELSE 'title' END END
+    WHEN bl OR nb THEN 'item' WHEN x NOT LIKE '|%' AND x NOT LIKE '---%' AND length(x) > 20 THEN 'item' END AS kind,
+    '- ' || CASE WHEN bl OR nb THEN CASE WHEN length(li) > 2 THEN li END WHEN length(x) < 300 THEN x WHEN len(w) > 30 THEN array_to_string(w[:30], ' ') || '...' END AS item FROM mi)
+, me AS (SELECT *, last_value(CASE WHEN kind <> 'item' THEN {{'k': kind, 't': head, 'p': pos}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS u FROM mk WHERE kind IS NOT NULL)
+, mg AS (SELECT *, last_value(CASE WHEN u.k = 'title' THEN u END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM me)
+, mr AS (SELECT doc_id, CASE kind WHEN 'section' THEN pos ELSE g.p END AS p, pos, kind = 'section' AS sec, CASE kind WHEN 'section' THEN 'SECTION' ELSE g.t END AS title, CASE kind WHEN 'section' THEN head ELSE item END AS item
+  FROM mg WHERE kind = 'section' OR (kind = 'item' AND item IS NOT NULL AND g IS NOT NULL))
+, ms AS (SELECT *, CASE WHEN lag(title) OVER (PARTITION BY doc_id ORDER BY p, pos) IS NOT DISTINCT FROM title THEN 0 ELSE 1 END AS new FROM mr)
+, mu AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM ms)
+, mn AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY p, pos) - 1 AS n, first_value(sec) OVER (PARTITION BY doc_id, run ORDER BY p, pos) AS s1 FROM mu)
+, mp AS (SELECT doc_id, run, (n // 8)::INT AS part, any_value(s1) AS sec, any_value(title) AS title, arg_min(item, n) AS one, string_agg(item, chr(31) ORDER BY n) AS items FROM mn WHERE NOT s1 OR n = 0 GROUP BY doc_id, run, n // 8)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run, part) - 1)::INT AS slide_idx, CASE WHEN sec THEN 'section' ELSE 'content' END AS type, CASE WHEN sec THEN one ELSE title END AS title, part, CASE WHEN NOT sec THEN items END AS items FROM mp"""
+
+
+@query(_F + _MERGED + _MD_TEXT + _MD_SLIDES)
 def markdown_to_slides(spark, sf_dir):
     s = scripts.markdown_slides(_as_markdown(spark, sf_dir))
     return s.select("doc_id", "slide_idx", "type", "title", "part", F.array_join("items", "\x1f").alias("items"))
 
 
-_SECTIONS = rf"""
-, md AS (SELECT doc_id, pos, {_MD} AS md FROM merged)
-, txt AS (SELECT doc_id, string_agg(md, chr(10) || chr(10) ORDER BY pos) AS text FROM md WHERE md <> '' GROUP BY doc_id)
+_SECTIONS = _MD_TEXT + rf"""
 , ln AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10)))))::INT AS pos, unnest(string_split(text, chr(10))) AS x FROM txt)
 , lt AS (SELECT doc_id, pos, {_strip("x")} AS x FROM ln)
 , lo AS (SELECT *, count(*) FILTER (x = '---') OVER (PARTITION BY doc_id ORDER BY pos) AS d FROM lt)
 , hd AS (SELECT doc_id, pos, x, regexp_extract(x, '\A#+ ({_D}+(?:\.{_D}+)*){_WS}+(.+)\z', 1) AS num, regexp_extract(x, '\A#+ ({_D}+(?:\.{_D}+)*){_WS}+(.+)\z', 2) AS name
-  FROM lo WHERE d % 2 = 0 AND x <> '---' AND x <> '' AND x NOT LIKE '%<!--%' AND x NOT LIKE '####%')
+  FROM lo WHERE d % 2 = 0 AND x <> '---' AND x <> '' AND x NOT LIKE '%<!--%' AND x NOT LIKE '####%' AND x NOT LIKE '%prohibida su reproducción%')
 , own AS (SELECT *, last_value(CASE WHEN num <> '' THEN {{'pos': pos, 's': num || ' ' || name}} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h FROM hd)
 , nw AS (SELECT *, max(h.pos) OVER (PARTITION BY doc_id, h.s) AS newest, {_strip("regexp_replace(x, '^#+', '')")} AS item FROM own)
 , kept AS (SELECT doc_id, h.s AS section, item, pos FROM nw WHERE num = '' AND h IS NOT NULL AND h.pos = newest AND length(item) > 3)
 , num AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY pos) AS n FROM kept WHERE length(item) < 500)
 , gr AS (SELECT doc_id, section, ((n - 1) // 8)::INT AS part, string_agg(item, chr(31) ORDER BY n) AS items FROM num GROUP BY doc_id, section, (n - 1) // 8
   UNION ALL SELECT DISTINCT doc_id, section, 0, '' FROM kept k WHERE NOT EXISTS (SELECT 1 FROM num WHERE num.doc_id = k.doc_id AND num.section = k.section))
-SELECT doc_id, section, (regexp_matches(section, '\A{_D}+\.{_D}+{_WS}') AND len(string_split(section, '.')) = 2) AS divider, part, items FROM gr"""
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY section, part) - 1)::INT AS slide_idx, section, (regexp_matches(section, '\A{_D}+\.{_D}+{_WS}') AND len(string_split(section, '.')) = 2) AS divider, part, items FROM gr"""
 
 
 @query(_F + _MERGED + _SECTIONS)
 def section_grouped_deck(spark, sf_dir):
     s = scripts.section_slides(_as_markdown(spark, sf_dir))
-    return s.select("doc_id", "section", "divider", "part", F.array_join("items", "\x1f").alias("items"))
+    return s.select("doc_id", "slide_idx", "section", "divider", "part", F.array_join("items", "\x1f").alias("items"))
 
 
 # --- metrics, words, languages, tables -----------------------------------------------------
@@ -385,14 +448,28 @@ def language_id(spark, sf_dir):
 
 
 def _tables(spark, sf_dir) -> DataFrame:
-    """The lines with bars of each document as a table, of widths that vary, with null cells."""
+    """The lines of each document as a table, of widths that vary, with null cells."""
     d = documents(spark, sf_dir)
-    rows = F.filter(F.split("text", "\n", -1), lambda x: x.contains("|"))
-    cells = F.transform(rows, lambda r: F.transform(F.split(r, r"\|"), lambda c: F.when(F.trim(c) != "", c)))
-    return d.select("doc_id", F.lit(0).alias("page_num"), F.lit(0).alias("table_idx"), cells.alias("cells"), ((F.col("doc_id") % 10) / 10).alias("confidence"), F.lit("bars").alias("method")).where(F.size("cells") > 0)
-
-
-@query()
+    cells = F.transform(F.split("text", "\n", -1), lambda r: F.transform(F.split(r, "[|,;]", -1), lambda c: F.when(F.trim(c) != "", c)))
+    return d.select("doc_id", F.lit(0).alias("page_num"), F.lit(0).alias("table_idx"), cells.alias("cells"), ((F.col("doc_id") % 10) / 10).alias("confidence"), F.lit("marks").alias("method"))
+
+
+_CELL = _strip("c")
+_TABLE = rf"""
+WITH t AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda r: list_transform(regexp_split_to_array(r, '[|,;]'), lambda c: CASE WHEN trim(c) <> '' THEN c END)) AS t FROM documents
+  WHERE (doc_id % 10)::DOUBLE / 10 >= 0.5),
+n AS (SELECT doc_id, list_filter(t, lambda r: len(list_filter(r, lambda c: c IS NOT NULL)) > 0) AS t FROM t),
+u AS (SELECT doc_id, t, list_filter(range(1, coalesce(list_max(list_transform(t, lambda r: len(r))), 0) + 1), lambda j: len(list_filter(t, lambda r: r[j] IS NOT NULL)) > 0) AS u FROM n),
+f AS (SELECT doc_id, u, list_transform(t, lambda r: list_transform(u, lambda j: r[j])) AS f FROM u),
+p AS (SELECT doc_id, u, f, len(f) > 1 AND len(list_filter(f[1], lambda c: c IS NOT NULL)) > len(u) * 0.5 AS p FROM f),
+c AS (SELECT doc_id, CASE WHEN p THEN list_transform(f[1], lambda c: coalesce(c, '')) ELSE list_transform(u, lambda j: (j - 1)::VARCHAR) END AS h,
+  list_transform(CASE WHEN p THEN f[2:] ELSE f END, lambda r: list_transform(r, lambda c: coalesce({_CELL}, ''))) AS b FROM p)
+SELECT doc_id, array_to_string(h, chr(31)) AS columns, array_to_string(list_transform(b, lambda r: array_to_string(r, chr(31))), chr(30)) AS cells,
+  CASE WHEN len(b) > 0 THEN '| ' || array_to_string(h, ' | ') || ' |' || chr(10) || '|' || array_to_string(list_transform(h, lambda x: '---'), '|') || '|' || chr(10)
+    || array_to_string(list_transform(b, lambda r: '| ' || array_to_string(r, ' | ') || ' |'), chr(10)) ELSE '' END AS markdown FROM c"""
+
+
+@query(_TABLE)
 def table_clean(spark, sf_dir):
     t = tables.clean_tables(_tables(spark, sf_dir))
     return t.select("doc_id", F.array_join("columns", "\x1f").alias("columns"), F.array_join(F.transform("cells", lambda r: F.array_join(r, "\x1f")), "\x1e").alias("cells"), tables.table_markdown(F.col("columns"), F.col("cells")).alias("markdown"))

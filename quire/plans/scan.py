@@ -1,24 +1,30 @@
 """A damaged scan made of plain documents, so that every rule has work to do.
 
-Lines become spans, eight a page, with bullets, numbers, section numbers,
-upper case, broken words, bad spacing, sizes and weights by position, and a
-header and footer on each page. One SQL tail serves Spark and the oracle.
+Lines become spans, a line of more than 240 characters several, eight a page,
+with bullets, numbers, section numbers, upper case, broken words, bad spacing,
+sizes and weights by position, and a header and footer on each page. Nothing of
+a text is left out. One SQL tail serves Spark and the oracle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-
-SPARK_HEAD = r"WITH lines AS (SELECT doc_id, lang, source, p AS line_no, l AS line FROM {documents} LATERAL VIEW posexplode(split(text, '\n')) t AS p, l)"
-DUCK_HEAD = "WITH lines AS (SELECT doc_id, lang, source, CAST(unnest(range(len(string_split(text, chr(10))))) AS INT) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
+from pyspark.sql import functions as F
+
+WIDEST = 240
+SPARK_HEAD = rf"""WITH lines AS (SELECT doc_id, lang, source, p AS line_no, l AS line FROM {{documents}} LATERAL VIEW posexplode(
+  flatten(transform(split(text, '\n'), x -> transform(sequence(0, greatest(0, (length(x) - 1) div {WIDEST})), k -> substr(x, cast(k * {WIDEST} + 1 AS INT), {WIDEST}))))) t AS p, l)"""
+DUCK_HEAD = f"""WITH cut AS (SELECT doc_id, lang, source,
+  flatten(list_transform(string_split(text, chr(10)), lambda x: list_transform(range(0, greatest(0, (length(x) - 1) // {WIDEST}) + 1), lambda k: substr(x, k * {WIDEST} + 1, {WIDEST})))) AS c FROM documents),
+lines AS (SELECT doc_id, lang, source, CAST(unnest(range(len(c))) AS INT) AS line_no, unnest(c) AS line FROM cut)"""
 TAIL = """
 , body AS (
   SELECT doc_id, CAST(FLOOR(line_no / 8.0) AS INT) AS page_num, CAST(line_no % 8 + 1 AS INT) AS span_no,
     CASE (doc_id + line_no) % 12
-      WHEN 0 THEN concat('• ', substr(line, 1, 60)) WHEN 1 THEN concat('1) ', substr(line, 1, 60))
-      WHEN 2 THEN concat('2.3 ', substr(line, 1, 40)) WHEN 3 THEN concat('- ', substr(line, 1, 60))
-      WHEN 4 THEN concat('a) ', substr(line, 1, 60))
-      WHEN 5 THEN CASE WHEN lang = 'en' THEN upper(substr(line, 1, 40)) ELSE line END
+      WHEN 0 THEN concat('• ', line) WHEN 1 THEN concat('1) ', line)
+      WHEN 2 THEN concat('2.3 ', line) WHEN 3 THEN concat('- ', line)
+      WHEN 4 THEN concat('a) ', line)
+      WHEN 5 THEN CASE WHEN lang = 'en' THEN upper(line) ELSE line END
       WHEN 6 THEN replace(replace(line, 'on', concat('o-', chr(10), ' n')), ', ', ' ,')
       WHEN 7 THEN concat(replace(line, ' ', '  '), ' 1l 2O l O')
       ELSE line END AS text,
@@ -42,6 +48,4 @@ def spans(documents: DataFrame) -> DataFrame:
 
 
 def pages(spans_: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
-
     return spans_.select("doc_id", "page_num").distinct().withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
