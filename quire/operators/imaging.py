@@ -1,8 +1,10 @@
-"""Image kernels for scans, on uint8 arrays: gray, denoise, contrast, binarise, deskew, resize."""
+"""Image kernels for scans, on uint8 arrays: gray, denoise, contrast, binarise, deskew, resize; and all of them on a DataFrame of pages."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def gray(rgb: np.ndarray) -> np.ndarray:
@@ -95,10 +97,11 @@ def deskew(img: np.ndarray, least: float = 0.5, votes: int = 200) -> np.ndarray:
     return img if angle is None or abs(angle) <= least else rotate(img, angle)
 
 
-def resize(img: np.ndarray, dpi: float, from_dpi: float = 72.0) -> np.ndarray:
-    """Bilinear, by the ratio of resolutions."""
+def resize_to(img: np.ndarray, nh: int, nw: int) -> np.ndarray:
+    """Bilinear."""
     h, w = img.shape[:2]
-    nh, nw = max(1, round(h * dpi / from_dpi)), max(1, round(w * dpi / from_dpi))
+    if (h, w) == (nh, nw):
+        return img
     y, x = np.clip((np.arange(nh) + 0.5) * h / nh - 0.5, 0, h - 1), np.clip((np.arange(nw) + 0.5) * w / nw - 0.5, 0, w - 1)
     y0, x0 = y.astype(int), x.astype(int)
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
@@ -107,6 +110,12 @@ def resize(img: np.ndarray, dpi: float, from_dpi: float = 72.0) -> np.ndarray:
     return np.rint((1 - fy) * ((1 - fx) * at(y0, x0) + fx * at(y0, x1)) + fy * ((1 - fx) * at(y1, x0) + fx * at(y1, x1))).astype(np.uint8)
 
 
+def resize(img: np.ndarray, dpi: float, from_dpi: float = 72.0) -> np.ndarray:
+    """By the ratio of resolutions."""
+    h, w = img.shape[:2]
+    return resize_to(img, max(1, round(h * dpi / from_dpi)), max(1, round(w * dpi / from_dpi)))
+
+
 def prepare(rgb: np.ndarray, denoised: bool = True, contrasted: bool = True, binarised: bool = True, deskewed: bool = True) -> np.ndarray:
     """The steps in order."""
     img = gray(rgb)
@@ -114,3 +123,18 @@ def prepare(rgb: np.ndarray, denoised: bool = True, contrasted: bool = True, bin
         if on:
             img = step(img)
     return img
+
+
+def prepare_pages(pages: DataFrame, denoised: bool = True, contrasted: bool = True, binarised: bool = True, deskewed: bool = True) -> DataFrame:
+    """(path, page_num, width, height, pixels) of pages, RGB or gray bytes, as prepared gray bytes; pages without a picture don't appear."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path, n, w, h, raw = (batch.column(c)[k].as_py() for c in ("path", "page_num", "width", "height", "pixels"))
+                x = np.frombuffer(raw, np.uint8)
+                x = prepare(x.reshape(h, w) if len(x) == h * w else x.reshape(h, w, 3), denoised, contrasted, binarised, deskewed)
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([x.shape[0]], pa.int32()), pa.array([x.tobytes()])], ["path", "page_num", "width", "height", "pixels"])
+
+    own = pages.where("pixels is not null and width > 0 and height > 0").select("path", "page_num", "width", "height", "pixels")
+    return own.mapInArrow(run, "path string, page_num int, width int, height int, pixels binary")

@@ -9,20 +9,28 @@ from ..functions.text import strip
 
 # Frequent function words by language.
 FREQUENT = {
+    "ca": "el la els les de del dels i a en un una que no és per amb al als com més però si ja aquest aquesta són hi ha va quan molt també seva seu fins des on sobre",
     "de": "der die das und ist nicht ein eine zu den von mit sich des auf für dem als auch es an werden aus er hat dass sie nach wird bei noch wie einem über einen so zum war aber",
     "en": "the of and to in is that it was for on are as with his they be at one have this from or had by but not what all were we when your can said there an",
     "es": "de la que el en y los se del las por un para con una su al lo como más pero sus le ya este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde",
+    "eu": "eta da ez bat dira du ere zen izan dela hori egin baina duen ditu dute edo baino bere beste nahi behar guztiak gero oso hau horrek zuen ziren dago egiten hemen bai",
     "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec ou aux son mais comme nous leur être cette elle",
+    "gl": "o a os as de do da dos das e en un unha que non é por para con ao como máis pero se xa este esta son hai foi cando moi tamén súa seu ata desde onde sobre nos nas",
+    "it": "di che la il un è per in una non sono con si da come le dei nel alla più anche ma gli della del lo al delle ha questo questa ci quando molto era suo sua loro essere",
+    "pt": "de que o a e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou quando muito nos já também pelo pela até isso ela entre depois",
 }
+#: Every frequent word once.
+_ALL = sorted({w for words in FREQUENT.values() for w in words.split()})
 SHORTEST, FALLBACK = 10, "spa"
 
 
 def with_scores(docs: DataFrame, text_col: str = "text", into: str = "scores") -> DataFrame:
     """``docs`` with an array of (lang, prob) of each language with a frequent word, most probable first, ties by name.
 
-    In steps, so that the words are split once.
+    In steps, so that the words are split once; one pass over them leaves the
+    frequent ones, which each language looks through.
     """
-    d = docs.withColumn("_words", F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"))
+    d = docs.withColumn("_words", F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"), lambda w: w.isin(_ALL)))
 
     def count(frequent):
         return F.size(F.filter("_words", lambda w: w.isin(frequent.split())))

@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
+import logging
+import os
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import Sizes
 from ..functions.text import count_hyphens, output_name, parse_pages
-from ..operators import deck, docx, elements, language, markdown, metrics, ocr, pages
+from ..operators import deck, docx, elements, imaging, language, markdown, metrics, ocr, pages
 from ..operators import tables as table_rules
-from ..sources import files, pdf
+from ..sources import files, pdf, raster
 from ..sources.files import Brand
 
-#: Takes (path, content, page_num) of pages to recognise, returns (path, page_num, words array<struct<text,confidence,bbox>>).
+log = logging.getLogger("quire")
+
+#: Takes (path, content, pages), a row a file with the pages to draw, and the resolution; returns ``raster.RENDERED``.
+Renderer = Callable[[DataFrame, float], DataFrame]
+#: Takes (path, page_num, width, height, pixels, languages, dpi), a prepared gray picture a page, with languages as a recogniser's
+#: codes joined by plus signs; returns (path, page_num, words array<struct<text,confidence,bbox>>).
 Recogniser = Callable[[DataFrame], DataFrame]
-#: Takes (path, content, page_num), returns (doc_id, page_num, table_idx, cells, confidence, method).
+#: Takes (path, content, pages), a row a file; returns (doc_id, page_num, table_idx, cells, confidence, method).
 TableFinder = Callable[[DataFrame], DataFrame]
+#: Columns that a recogniser and a table finder have to return.
+WORDS, TABLES = ("path", "page_num", "words"), ("doc_id", "page_num", "table_idx", "cells", "confidence", "method")
 
 
 class MissingBackend(RuntimeError):
@@ -34,12 +46,17 @@ class Options:
     min_confidence: int = 0
     min_table_confidence: float = 0.5
     dpi: int = 300
+    denoise: bool = True
+    contrast: bool = True
+    binarise: bool = True
+    deskew: bool = True
     line_mode: str = "line"
     exact_metrics: bool = True
     page_markers: bool = False
     frontmatter: bool = True
     sizes: Sizes = field(default_factory=Sizes)
     brand: Brand = Brand("Brand")
+    renderer: Renderer = raster.render_pages
     recogniser: Recogniser | None = None
     table_finders: tuple[TableFinder, ...] = ()
 
@@ -59,6 +76,8 @@ class Result:
     errors: DataFrame
     options: Options
     decoded: DataFrame
+    #: Seconds that the steps taken so far took; steps that Spark hasn't run yet aren't in it.
+    seconds: dict[str, float] = field(default_factory=dict)
 
     def release(self) -> None:
         """Drops the decoded pages from the cache; further results are decoded anew."""
@@ -83,66 +102,95 @@ class Result:
         return {k: d.select(F.col("doc_id").alias("path"), output_name(F.col("doc_id"), k).alias("name"), F.col("content").cast("binary").alias("content")) for k, d in out.items()}
 
 
+def _by_file(pages_: DataFrame, source: DataFrame) -> DataFrame:
+    """(path, content, pages): a row a file, so that no file is copied for each of its pages."""
+    wanted = pages_.groupBy("path").agg(F.sort_array(F.collect_set("page_num")).alias("pages"))
+    return wanted.join(source.select("path", "content"), "path").select("path", "content", "pages")
+
+
+def _checked(rows: DataFrame, columns: tuple[str, ...], what: str) -> DataFrame:
+    if missing := [c for c in columns if c not in rows.columns]:
+        raise MissingBackend(f"the {what} returns no {', '.join(missing)}")
+    return rows
+
+
 def process(source: DataFrame, options: Options = Options()) -> Result:
     """Elements, metrics and exports of (path, content) PDF files.
 
-    Pages are decoded once. Pages of little native text need a recogniser: one
-    that is needed but missing is an error, as is an unreadable file's row in
-    ``errors``; neither passes as an empty document.
+    Pages are decoded once, and only their text is kept. Pages of little native
+    text are drawn, prepared and recognised: a recogniser that is needed but
+    missing is an error, and files or pages that can't be read or drawn are rows
+    of ``errors``; none passes as an empty document.
     """
+    began, seconds = time.perf_counter(), {}
     # the mark keeps Spark from taking an earlier run's cache for this one, which may see other files
-    decoded = pdf.decode_pages(source, options.wanted()).withColumn("run", F.lit(uuid.uuid4().hex)).persist()
+    decoded = pdf.decode_pages(source, options.wanted()).drop("images").withColumn("run", F.lit(uuid.uuid4().hex)).persist()
     p = decoded.where("error is null").select(F.col("path").alias("doc_id"), "page_num", "width", "height")
-    spans = pdf.spans(decoded)
+    spans = pdf.spans(decoded).repartition("doc_id")  # once; what follows goes by document
     dense = pages.page_density(spans, p)
     repeated = pages.repeated_texts(spans, p)
     native = dense.where(~F.col("needs_ocr")).select("doc_id", "page_num")
     kept = pages.strip_repeated(spans, repeated).join(native, pages.PAGE, "left_semi")
     found = elements.span_elements(kept, options.sizes).select("doc_id", "page_num", "pos", "type", "text", "level")
     scanned = dense.where("needs_ocr").select("doc_id", "page_num")
+    errors = decoded.where("error is not null").select("path", "page_num", "error")
     if options.recogniser is None:
         if not scanned.isEmpty():
             raise MissingBackend("pages without native text need a recogniser")
         read = dense.limit(0).select("doc_id", "page_num", F.lit(0.0).alias("ocr_confidence"), F.lit(0).cast("long").alias("corrections"))
     else:
-        todo = scanned.withColumnRenamed("doc_id", "path").join(source.select("path", "content"), "path")
-        words = options.recogniser(todo).select(F.col("path").alias("doc_id"), "page_num", "words")
+        drawn = options.renderer(_by_file(scanned.withColumnRenamed("doc_id", "path"), source), options.dpi)
+        errors = errors.unionByName(drawn.where("pixels is null").select("path", "page_num", F.coalesce("error", F.lit("no picture")).alias("error")))
+        pictures = imaging.prepare_pages(drawn, options.denoise, options.contrast, options.binarise, options.deskew)
+        pictures = pictures.withColumns({"languages": F.lit("+".join(options.languages)), "dpi": F.lit(options.dpi)})
+        words = _checked(options.recogniser(pictures), WORDS, "recogniser").select(F.col("path").alias("doc_id"), "page_num", "words")
         texts = ocr.recognised_pages(words, options.min_confidence)
         found = found.unionByName(elements.recognised_elements(texts, options.line_mode))
         read = texts.select("doc_id", "page_num", "ocr_confidence", count_hyphens(F.col("text")).alias("corrections"))
+    seconds["decode"] = time.perf_counter() - began
     found = elements.with_position(found.withColumnRenamed("pos", "_own"), "_own").drop("_own").select("doc_id", "page_num", "pos", "type", "text", "level")
     tables = None
     for finder in options.table_finders:
-        own = finder(decoded.where("error is null").select("path", "page_num").join(source.select("path", "content"), "path"))
+        own = _checked(finder(_by_file(decoded.where("error is null"), source)), TABLES, "table finder")
         tables = own if tables is None else table_rules.first_found(tables, own)
     if tables is not None:
         tables = table_rules.clean_tables(tables, options.min_table_confidence)
     full = dense.select("doc_id", "page_num", "text_density").join(read, pages.PAGE, "left")
     by_page = metrics.page_metrics(full, tables, options.exact_metrics)
     langs = language.with_languages(elements.document_text(found)).select("doc_id", "languages")
-    return Result(dense, found, elements.merge_paragraphs(found), tables, langs, by_page, metrics.document_metrics(by_page), decoded.where("error is not null").select("path", "page_num", "error"), options, decoded)
+    return Result(dense, found, elements.merge_paragraphs(found), tables, langs, by_page, metrics.document_metrics(by_page), errors, options, decoded, seconds | {"plan": time.perf_counter() - began - seconds["decode"]})
 
 
 def process_path(spark: SparkSession, path: str, options: Options = Options()) -> Result:
     return process(files.pdf_files(spark, path).select("path", "content"), options)
 
 
-def write_exports(result: Result, folder: str) -> None:
-    """One file for each document and kind, named after its source, through Hadoop's file systems.
+def write_exports(result: Result, folder: str) -> dict[str, float]:
+    """One file for each document and kind, named after its source, written where the rows are; returns seconds by kind.
 
-    Documents of one name from different folders would overwrite each other, so
-    they are an error.
+    Executors write through Arrow's file systems, so ``folder`` is a path or URI
+    that all of them share. Documents of one name from different folders would
+    overwrite each other, so they are an error.
     """
-    spark = result.elements.sparkSession
+    docs = result.elements.select(F.col("doc_id").alias("path")).distinct()
+    twice = docs.groupBy(output_name(F.col("path"), "md").alias("name")).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two documents would be written as {twice[0].name}")
+    where = folder if "://" in folder else os.path.abspath(folder)
+    fs.FileSystem.from_uri(where)[0].create_dir(fs.FileSystem.from_uri(where)[1], recursive=True)
+
+    def write(batches):
+        store, top = fs.FileSystem.from_uri(where)
+        for batch in batches:
+            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with store.open_output_stream(f"{top.rstrip('/')}/{name}") as out:
+                    out.write(content or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
+
+    seconds = {}
     for kind, rows in result.exports().items():
-        twice = rows.groupBy("name").count().where("count > 1").limit(1).collect()
-        if twice:
-            raise ValueError(f"two documents would be written as {twice[0].name}")
-        jvm = spark._jvm
-        top = jvm.org.apache.hadoop.fs.Path(folder)
-        fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
-        fs.mkdirs(top)
-        for r in rows.select("name", "content").toLocalIterator():  # one at a time
-            out = fs.create(jvm.org.apache.hadoop.fs.Path(top, r.name), True)
-            out.write(bytearray(r.content or b""))
-            out.close()
+        began = time.perf_counter()
+        rows.select("name", "content").mapInArrow(write, "files long").agg(F.sum("files")).collect()
+        seconds[kind] = time.perf_counter() - began
+    log.info("wrote %s to %s", ", ".join(f"{k} in {v:.1f} s" for k, v in seconds.items()), folder)
+    return seconds

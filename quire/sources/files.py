@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, modificationTime, length, content) of one PDF file or of those right in a folder, in order of path.
+    """(path, modificationTime, length, content) of one PDF file or of those right in a folder.
 
-    A missing path and a single file of another kind are errors.
+    A missing path and a single file of another kind are errors. Contents aren't
+    put in order, which would shuffle every byte; ``pdf_listing`` is.
     """
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -21,7 +22,12 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"no such path: {path}")
     if fs.getFileStatus(p).isFile() and not path.lower().endswith(".pdf"):
         raise ValueError(f"not a PDF file: {path}")
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "false").load(path).orderBy("path")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "false").load(path)
+
+
+def pdf_listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path, modificationTime, length) of the same files in order of path; no content is read."""
+    return pdf_files(spark, path).drop("content").orderBy("path")
 
 
 def markdown_files(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +51,7 @@ def html_pages(pages: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Brand:
-    """Brand of a deck; only the name is required."""
+    """Brand of a deck; only the name is required. The colours are fixed values."""
 
     name: str
     logo: str | None = None

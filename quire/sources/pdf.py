@@ -1,22 +1,24 @@
-"""PDF decoding in plain Python: pages, positioned text spans, metadata and embedded JPEG images.
-
-Reads cross-reference tables and streams, object streams, Flate streams with
-PNG predictors, page trees with inherited attributes, and the text operators.
-Text is decoded by ToUnicode maps, else as Latin-1; glyph widths by the
-font's Widths, else half the size. Encrypted files and other filters on page
-content are errors, never empty text: their rows carry ``error``.
+"""PDF decoding in plain Python: pages, positioned text spans, metadata and embedded images.
+
+Reads cross-reference tables and streams, object streams, streams of the
+lossless filters with predictors, page trees with inherited attributes, and the
+text operators. Text is decoded by ToUnicode maps, else by the font's encoding
+and its differences; glyph widths by the font's Widths, else half the size.
+Encrypted files, other filters on page content and text operators without their
+operands are errors, never empty text: their rows carry ``error``.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import filters, glyphs, raster
+
 SPAN = "struct<span_no:int,text:string,x0:double,y0:double,x1:double,y1:double,font_size:double,font_name:string,is_bold:boolean,is_italic:boolean>"
 IMAGE = "struct<img_idx:int,ext:string,content:binary>"
 META = "struct<title:string,author:string,subject:string,creator:string,producer:string,creation_date:string,page_count:int>"
@@ -254,17 +256,19 @@ class Pdf:
 
     def bytes(self, s: Stream) -> bytes:
         data = s.raw
-        filters, parms = self.get(s.info.get("Filter")) or [], self.get(s.info.get("DecodeParms")) or {}
-        filters = filters if isinstance(filters, list) else [filters]
+        names, parms = self.get(s.info.get("Filter")) or [], self.get(s.info.get("DecodeParms")) or {}
+        names = names if isinstance(names, list) else [names]
         parms = parms if isinstance(parms, list) else [parms]
-        for k, name in enumerate(filters):
+        for k, name in enumerate(names):
             name = self.get(name)
-            if name not in ("FlateDecode", "Fl"):
-                raise PdfError(f"filter {name} isn't read")
-            data = zlib.decompressobj().decompress(data)
             p = self.get(parms[k]) if k < len(parms) else None
-            if p and self.get(p.get("Predictor", 1)) >= 10:
-                data = _unpredict(data, self.get(p.get("Columns", 1)) * self.get(p.get("Colors", 1)) * self.get(p.get("BitsPerComponent", 8)) // 8)
+            p = p if isinstance(p, dict) else {}
+            if name not in filters.NAMED:
+                raise PdfError(f"filter {name} isn't read")
+            early = {"early": self.get(p["EarlyChange"])} if name in ("LZWDecode", "LZW") and "EarlyChange" in p else {}
+            data = filters.NAMED[name](data, **early)
+            if (kind := self.get(p.get("Predictor", 1))) > 1:
+                data = filters.unpredict(data, kind, *(self.get(p.get(x, y)) for x, y in (("Columns", 1), ("Colors", 1), ("BitsPerComponent", 8))))
         return data
 
     def pages(self):
@@ -287,29 +291,6 @@ class Pdf:
         return {k: _text(self.get(info.get(v)) or b"") for k, v in names.items()}
 
 
-def _unpredict(data: bytes, width: int) -> bytes:
-    out, before = bytearray(), bytearray(width)
-    for a in range(0, len(data), width + 1):
-        kind, row = data[a], bytearray(data[a + 1 : a + 1 + width])
-        for i in range(len(row)):
-            left, up, corner = (row[i - 1] if i else 0), before[i], (before[i - 1] if i else 0)
-            if kind == 1:
-                add = left
-            elif kind == 2:
-                add = up
-            elif kind == 3:
-                add = (left + up) // 2
-            elif kind == 4:
-                p = left + up - corner
-                add = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-            else:
-                add = 0
-            row[i] = row[i] + add & 255
-        out += row
-        before = row
-    return bytes(out)
-
-
 def _text(raw: bytes) -> str:
     return raw[2:].decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("latin-1")
 
@@ -324,6 +305,7 @@ class Font:
             self._unicode(pdf.bytes(s).decode("latin-1"))
         elif self.wide:
             raise PdfError(f"font {self.name} has no ToUnicode map")
+        self.coded = self._encoding(get, info.get("Encoding")) if not self.wide else {}
         if self.wide:
             below = get(get(info.get("DescendantFonts"))[0])
             self.default = get(below.get("DW", 1000)) / 1000
@@ -341,6 +323,22 @@ class Font:
             first = get(info.get("FirstChar", 0))
             self.widths = {first + k: get(x) / 1000 for k, x in enumerate(get(info["Widths"]))}
 
+    def _encoding(self, get, encoding) -> dict[int, str]:
+        """Characters of one-byte codes."""
+        encoding = get(encoding)
+        base = encoding if isinstance(encoding, str) else get(encoding.get("BaseEncoding")) if isinstance(encoding, dict) else None
+        out = {c: bytes([c]).decode("mac_roman" if base == "MacRomanEncoding" else "cp1252", "replace") for c in range(256)}
+        if base == "StandardEncoding":
+            out |= {39: "’", 96: "‘"}
+        code = 0
+        for x in (get(encoding.get("Differences")) or []) if isinstance(encoding, dict) else []:
+            x = get(x)
+            if isinstance(x, str):
+                out[code], code = glyphs.character(x), code + 1
+            else:
+                code = int(x)
+        return out
+
     def _unicode(self, cmap: str) -> None:
         hexed = lambda h: bytes.fromhex(h).decode("utf-16-be", "replace")
         for block in re.findall(r"beginbfchar(.*?)endbfchar", cmap, re.S):
@@ -360,7 +358,7 @@ class Font:
         """(text, width in ems, is it a space of one byte) of each code."""
         step = 2 if self.wide else 1
         codes = [int.from_bytes(raw[k : k + step], "big") for k in range(0, len(raw), step)]
-        return [(self.map.get(c) or ("" if self.wide else bytes([c]).decode("cp1252", "replace")), self.widths.get(c, self.default), c == 32 and step == 1) for c in codes]
+        return [(self.map.get(c) or ("" if self.wide else self.coded[c]), self.widths.get(c, self.default), c == 32 and step == 1) for c in codes]
 
 
 def _times(a, b):
@@ -371,7 +369,7 @@ _ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
 def page_content(pdf: Pdf, page: dict) -> tuple[list[dict], list[dict]]:
-    """Spans, from the top left corner, and JPEG images. Neighbouring strings of one font and line are one span."""
+    """Spans, from the top left corner, and images. Neighbouring strings of one font and line are one span."""
     get = pdf.get
     box = [float(get(x)) for x in get(page.get("CropBox") or page.get("MediaBox") or [0, 0, 612, 792])]
     spans: list[dict] = []
@@ -457,14 +455,18 @@ def page_content(pdf: Pdf, page: dict) -> tuple[list[dict], list[dict]]:
                         f = get(f[-1]) if isinstance(f, list) and f else f
                         if f in ("DCTDecode", "JPXDecode"):
                             images.append({"img_idx": len(images), "ext": "jpeg" if f == "DCTDecode" else "jp2", "content": o.raw})
+                        elif (png := raster.png(pdf, o)) is not None:
+                            images.append({"img_idx": len(images), "ext": "png", "content": png})
                     elif isinstance(o, Stream) and depth < 8:
                         m = tuple(float(get(v)) for v in get(o.info.get("Matrix")) or _ONE)
                         run(pdf.bytes(o), get(o.info.get("Resources")) or resources, _times(m, state["ctm"]), depth + 1)
                 elif x == "BI":
                     end = re.compile(rb"\sEI(?=[\s]|$)").search(content, r.at)
                     r.at = end.end() if end else len(content)
-            except (IndexError, TypeError):
-                pass  # an operator without its operands does nothing
+            except (IndexError, TypeError) as e:
+                if x in ("Tf", "Tj", "TJ", "'", '"'):
+                    raise PdfError(f"text operator {x} without its operands") from e
+                # any other operator without its operands does nothing
             args.clear()
 
     parts = get(page.get("Contents")) or []
@@ -513,6 +515,17 @@ def decode_pages(files: DataFrame, wanted: list[int] | None = None) -> DataFrame
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def page_texts(pages: DataFrame) -> DataFrame:
+    """(path, page_num, text): the raw text of decoded pages, a line for each span; empty for a page without text."""
+    text = F.array_join(F.transform("spans", lambda s: F.concat(s["text"], F.lit("\n"))), "")
+    return pages.where("error is null").select("path", "page_num", text.alias("text"))
+
+
+def page_images(pages: DataFrame) -> DataFrame:
+    """(path, page_num, img_idx, ext, content) of the images on decoded pages."""
+    return pages.where("error is null").select("path", "page_num", F.explode("images").alias("i")).select("path", "page_num", "i.*")
+
+
 def spans(pages: DataFrame, key: str = "path") -> DataFrame:
     """(doc_id, page_num, span_no, text, ...) of decoded pages."""
     return pages.where("error is null").select(F.col(key).alias("doc_id"), "page_num", F.explode("spans").alias("s")).select("doc_id", "page_num", "s.*")

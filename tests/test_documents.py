@@ -155,11 +155,11 @@ def test_tables(spark):
 
 
 def test_table_clean_keeps_every_cell(spark, tmp_path):
-    rows = [(5, "a|b|c|d|e|f|g|h\nno bars\n1|2|3|4|5|6|7|8\n9|| |x||||y")]
+    rows = [(5, "a|b|c|d|e|f|g|h\nno marks\n1|2|3|4|5|6|7|8\n9|| |x||||y")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     r = queries.QUERIES["table_clean"](spark, str(tmp_path)).first()
     assert r.columns.split("\x1f") == list("abcdefgh")
-    assert [x.split("\x1f") for x in r.cells.split("\x1e")] == [list("12345678"), ["9", "", "", "x", "", "", "", "y"]]
+    assert [x.split("\x1f") for x in r.cells.split("\x1e")] == [["no marks", *[""] * 7], list("12345678"), ["9", "", "", "x", "", "", "", "y"]]
     assert r.markdown.splitlines()[0] == "| a | b | c | d | e | f | g | h |"
 
 
@@ -250,10 +250,19 @@ def test_pipeline(spark, tmp_path):
 def test_pipeline_with_back_ends(spark, tmp_path):
     (tmp_path / "s.pdf").write_bytes(pdf([[]]))
     words = F.array(F.struct(F.lit("1.1").alias("text"), F.lit(80).alias("confidence")), F.struct(F.lit("Heading").alias("text"), F.lit(60).alias("confidence")))
-    finder = lambda m, c: lambda p: p.select(F.col("path").alias("doc_id"), "page_num", F.lit(0).alias("table_idx"), F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("1"), F.lit("2"))).alias("cells"), F.lit(c).alias("confidence"), F.lit(m).alias("method"))
-    o = pipeline.Options(recogniser=lambda p: p.select("path", "page_num", words.alias("words")), table_finders=(finder("x", 0.4), finder("y", 0.9)))
+    finder = lambda m, c: lambda p: p.select(F.col("path").alias("doc_id"), F.explode("pages").alias("page_num"), F.lit(0).alias("table_idx"), F.array(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("1"), F.lit("2"))).alias("cells"), F.lit(c).alias("confidence"), F.lit(m).alias("method"))
+    seen = []
+
+    def recogniser(p):
+        seen.extend(p.select("width", "height", "languages", "dpi", F.length("pixels").alias("n")).collect())
+        return p.select("path", "page_num", words.alias("words"))
+
+    o = pipeline.Options(languages=("fra", "eng"), dpi=72, recogniser=recogniser, table_finders=(finder("x", 0.4), finder("y", 0.9)))
     r = pipeline.process_path(spark, str(tmp_path), o)
     assert [(e.type, e.text, e.level) for e in r.elements.collect()] == [("heading", "1.1 Heading", 2)]
+    assert [tuple(x) for x in seen] == [(595, 842, "fra+eng", 72, 595 * 842)] and r.seconds["decode"] > 0
+    with pytest.raises(pipeline.MissingBackend):
+        pipeline.process_path(spark, str(tmp_path), pipeline.Options(recogniser=lambda p: p.select("path")))
     assert r.tables.count() == 0 and r.page_metrics.first().ocr_confidence == 70.0  # a poor first finder still goes before the second
 
 
