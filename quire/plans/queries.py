@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import deck, elements, language, markdown, metrics, ocr, pages, scripts, tables
-from . import scan
+from ..sources import pdf
+from . import paper, scan
 
 QUERIES, ORACLES = {}, {}
 
@@ -149,6 +150,31 @@ def file_names(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.clean_filename(name, 40).alias("name"), T.output_name(name, "json").alias("deck_name"))
 
 
+# --- files ---------------------------------------------------------------------------------
+
+
+def _paper_pages(spark, sf_dir):
+    return pdf.decode_pages(paper.pdfs(documents(spark, sf_dir))).withColumn("doc_id", F.expr("cast(substring_index(path, '.', 1) as long)"))
+
+
+@query(scan.DUCK_HEAD + f"""
+, t AS (SELECT doc_id, line_no // {paper.LINES} AS page_num, line_no, {_strip("line")} AS t FROM lines)
+, n AS (SELECT doc_id, max(page_num) + 1 AS n FROM t GROUP BY doc_id)
+SELECT doc_id, page_num::INT AS page_num, count(*) FILTER (t <> '') AS spans, coalesce(string_agg(t || chr(10), '' ORDER BY line_no) FILTER (t <> ''), '') AS text, 'Document ' || doc_id AS title, any_value(n)::INT AS page_count,
+  595.0::DOUBLE AS width, 842.0::DOUBLE AS height FROM t JOIN n USING (doc_id) GROUP BY doc_id, page_num""")
+def pdf_pages(spark, sf_dir):
+    p = _paper_pages(spark, sf_dir)
+    return p.select("doc_id", "page_num", F.size("spans").cast("long").alias("spans"), pdf.page_text().alias("text"), "metadata.title", "metadata.page_count", "width", "height")
+
+
+@query(scan.DUCK_HEAD + f"""
+SELECT doc_id, (line_no // {paper.LINES})::INT AS page_num, (row_number() OVER (PARTITION BY doc_id, line_no // {paper.LINES} ORDER BY line_no) - 1)::INT AS span_no, t AS text, 40.0::DOUBLE AS x0,
+  (34 + 18 * (line_no % {paper.LINES}))::DOUBLE AS y0, 10.0::DOUBLE AS font_size FROM (SELECT doc_id, line_no, {_strip("line")} AS t FROM lines) q WHERE t <> ''""")
+def pdf_spans(spark, sf_dir):
+    s = pdf.spans(_paper_pages(spark, sf_dir), "doc_id")
+    return s.select("doc_id", "page_num", "span_no", "text", "x0", F.round("y0", 6).alias("y0"), "font_size")
+
+
 # --- elements ------------------------------------------------------------------------------
 
 _OCR = rf"""
@@ -414,6 +440,18 @@ def document_metrics(spark, sf_dir):
     return metrics.document_metrics(_pages(spark, sf_dir)).withColumn("avg_ocr_confidence", F.round("avg_ocr_confidence", 9))
 
 
+@query(_PM + """
+, d AS (SELECT doc_id, count(*) AS total_pages, count(ocr_confidence) AS pages_ocr, round(avg(nullif(ocr_confidence, 0.0)), 9)::DOUBLE AS avg_ocr_confidence, sum(words_corrected)::BIGINT AS corrected FROM pm GROUP BY doc_id)
+SELECT doc_id, d.total_pages, d.pages_ocr, d.avg_ocr_confidence, pm.page_num, pm.native_text_ratio, pm.words_corrected FROM d JOIN pm USING (doc_id)""")
+def metrics_json(spark, sf_dir):
+    p = _pages(spark, sf_dir)
+    j = metrics.metrics_json(metrics.document_metrics(p), p)
+    page = "struct<page_num:int,native_text_ratio:double,words_corrected:bigint>"
+    d = j.select("doc_id", F.from_json("json", f"total_pages bigint, pages_ocr bigint, avg_ocr_confidence double, page_metrics array<{page}>").alias("d"))
+    d = d.select("doc_id", "d.total_pages", "d.pages_ocr", F.round("d.avg_ocr_confidence", 9).alias("avg_ocr_confidence"), F.explode("d.page_metrics").alias("p"))
+    return d.select("doc_id", "total_pages", "pages_ocr", "avg_ocr_confidence", "p.*")
+
+
 @query("""
 WITH w AS (SELECT doc_id, list_transform(string_split(text, ' '), lambda x, i: {'t': x, 'c': ((doc_id * 7 + i * 13) % 101)::INT}) AS w FROM documents),
 k AS (SELECT doc_id, list_filter(w, lambda x: trim(x.t, chr(10) || ' ') <> '' AND x.c >= 40) AS w FROM w)

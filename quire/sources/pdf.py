@@ -14,7 +14,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import filters, glyphs, raster
@@ -159,7 +159,7 @@ class Pdf:
     def __init__(self, data: bytes):
         if b"%PDF-" not in data[:1024]:
             raise PdfError("no PDF header")
-        self.data, self.at, self.packed, self.cache, self.trailer = data, {}, {}, {}, {}
+        self.data, self.at, self.packed, self.cache, self.trailer, self.fonts = data, {}, {}, {}, {}, {}
         m = re.findall(rb"startxref\s+(\d+)", data)
         try:
             self._tables(int(m[-1]))
@@ -271,6 +271,12 @@ class Pdf:
                 data = filters.unpredict(data, kind, *(self.get(p.get(x, y)) for x, y in (("Columns", 1), ("Colors", 1), ("BitsPerComponent", 8))))
         return data
 
+    def font(self, info: dict) -> "Font":
+        """Read once for the whole file."""
+        if id(info) not in self.fonts:
+            self.fonts[id(info)] = info, Font(self, info)
+        return self.fonts[id(info)][1]
+
     def pages(self):
         def walk(node, inherited, seen):
             node = self.get(node)
@@ -300,7 +306,7 @@ class Font:
         get = pdf.get
         self.name = str(get(info.get("BaseFont")) or "")
         self.wide = get(info.get("Subtype")) == "Type0"
-        self.map, self.widths, self.default = {}, {}, 0.5
+        self.map, self.ranges, self.widths, self.default = {}, [], {}, 0.5
         if isinstance(s := get(info.get("ToUnicode")), Stream):
             self._unicode(pdf.bytes(s).decode("latin-1"))
         elif self.wide:
@@ -346,19 +352,23 @@ class Font:
                 self.map[int(a, 16)] = hexed(b)
         for block in re.findall(r"beginbfrange(.*?)endbfrange", cmap, re.S):
             for a, b, to, many in re.findall(r"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*(?:<([0-9A-Fa-f]+)>|\[(.*?)\])", block, re.S):
-                to_list = re.findall(r"<([0-9A-Fa-f]+)>", many)
-                for k in range(int(b, 16) - int(a, 16) + 1):
-                    if to:
-                        base = hexed(to)
-                        self.map[int(a, 16) + k] = base[:-1] + chr(ord(base[-1]) + k)
-                    elif k < len(to_list):
-                        self.map[int(a, 16) + k] = hexed(to_list[k])
+                first, last = int(a, 16), int(b, 16)
+                if to:
+                    self.ranges.append((first, last, hexed(to)))
+                else:
+                    self.map |= {first + k: hexed(x) for k, x in enumerate(re.findall(r"<([0-9A-Fa-f]+)>", many)[: last - first + 1])}
+
+    def character(self, code: int) -> str:
+        if code not in self.map:
+            found = next((base[:-1] + chr(ord(base[-1]) + code - first) for first, last, base in self.ranges if first <= code <= last and base), None)
+            self.map[code] = found or ("" if self.wide else self.coded[code])
+        return self.map[code]
 
     def show(self, raw: bytes) -> list[tuple[str, float, bool]]:
         """(text, width in ems, is it a space of one byte) of each code."""
         step = 2 if self.wide else 1
         codes = [int.from_bytes(raw[k : k + step], "big") for k in range(0, len(raw), step)]
-        return [(self.map.get(c) or ("" if self.wide else self.coded[c]), self.widths.get(c, self.default), c == 32 and step == 1) for c in codes]
+        return [(self.character(c), self.widths.get(c, self.default), c == 32 and step == 1) for c in codes]
 
 
 def _times(a, b):
@@ -377,7 +387,6 @@ def page_content(pdf: Pdf, page: dict) -> tuple[list[dict], list[dict]]:
 
     def run(content: bytes, resources: dict, ctm, depth: int):
         fonts, xobjects = get(resources.get("Font")) or {}, get(resources.get("XObject")) or {}
-        cache: dict[str, Font] = {}
         state = {"font": None, "size": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0, "ctm": ctm}
         stack, args, tm, line = [], [], _ONE, _ONE
 
@@ -386,11 +395,11 @@ def page_content(pdf: Pdf, page: dict) -> tuple[list[dict], list[dict]]:
             font = state["font"]
             if font is None or not isinstance(raw, bytes):
                 return
-            size, start, text = state["size"], tm, []
+            size, start, text, move = state["size"], tm, [], 0.0
             for char, width, space in font.show(raw):
                 text.append(char)
-                move = (width * size + state["char"] + (state["word"] if space else 0)) * state["scale"]
-                tm = _times((1, 0, 0, 1, move, 0), tm)
+                move += width * size + state["char"] + (state["word"] if space else 0)
+            tm = _times((1, 0, 0, 1, move * state["scale"], 0), tm)
             a, b = _times(start, state["ctm"]), _times(tm, state["ctm"])
             high = (abs(a[2]) ** 2 + abs(a[3]) ** 2) ** 0.5 * size
             base = box[3] - a[5] - state["rise"]
@@ -420,9 +429,7 @@ def page_content(pdf: Pdf, page: dict) -> tuple[list[dict], list[dict]]:
                     tm = line = _ONE
                 elif x == "Tf":
                     name = args[-2]
-                    if name not in cache:
-                        cache[name] = Font(pdf, get(fonts.get(name)) or {})
-                    state["font"], state["size"] = cache[name], float(args[-1])
+                    state["font"], state["size"] = pdf.font(get(fonts.get(name)) or {}), float(args[-1])
                 elif x in ("Tc", "Tw", "TL", "Ts"):
                     state[{"Tc": "char", "Tw": "word", "TL": "lead", "Ts": "rise"}[x]] = float(args[-1])
                 elif x == "Tz":
@@ -515,10 +522,14 @@ def decode_pages(files: DataFrame, wanted: list[int] | None = None) -> DataFrame
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def page_text(spans_: str = "spans") -> Column:
+    """The raw text of a page, a line for each span; empty for a page without text."""
+    return F.array_join(F.transform(spans_, lambda s: F.concat(s["text"], F.lit("\n"))), "")
+
+
 def page_texts(pages: DataFrame) -> DataFrame:
-    """(path, page_num, text): the raw text of decoded pages, a line for each span; empty for a page without text."""
-    text = F.array_join(F.transform("spans", lambda s: F.concat(s["text"], F.lit("\n"))), "")
-    return pages.where("error is null").select("path", "page_num", text.alias("text"))
+    """(path, page_num, text) of decoded pages."""
+    return pages.where("error is null").select("path", "page_num", page_text().alias("text"))
 
 
 def page_images(pages: DataFrame) -> DataFrame:
