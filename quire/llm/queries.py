@@ -18,6 +18,8 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "op1_mtree_topk": mtree.ORACLE,
     "op3_license_sentences": license_scan.ORACLE,
+    "op6_circulant_minhash": near_dup.ORACLE,
     "op7_pareto_mixing": mixing.ORACLE,
     "op9_winnowed_lines": line_dedup.ORACLE,
+    "op10_count_min_windows": window_dedup.ORACLE,
 }

@@ -10,6 +10,11 @@ of all 50 words, the windows whose key the sketch estimates to be repeated:
 at 10**13 windows a chance collision is expected in fewer than one corpus of a
 thousand. A third pass cuts the words.
 
+The exact grouping goes by spans first, the neighbouring windows that share a
+key. Where an earlier document has the whole span, all its windows go; only the
+first document of each span hands on its windows one by one, for those that
+other spans of earlier documents have too.
+
 The merged sketch is broadcast. It has a cell for every eight bytes that Spark
 estimates for the texts, but at most 3 x 2**29 bits (201 MB). With very many more
 keys than cells it lets more windows through to the exact pass, which is then
@@ -32,8 +37,8 @@ WINDOW, RUN = 50, 25
 DEPTH, BLOCK_BITS = 3, 16
 #: Cells of a row of the sketch, as a power of 2: for small inputs, and at most.
 LEAST_BITS, MOST_BITS = 20, 29
-#: Cells that a task holds before it hands them on, and windows in a row of candidates.
-HELD, ROW = 1 << 21, 1 << 14
+#: Cells that a task holds before it hands them on, and windows of a span at most.
+HELD, SPAN = 1 << 21, 1 << 12
 _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 
@@ -171,9 +176,10 @@ def _finish(batches):
             n.append(len(w))
             if gone[i].is_valid:
                 out = np.zeros(len(w) + 1, np.int64)
-                at = np.unique(gone[i].values.to_numpy())
-                out[at] += 1
-                np.subtract.at(out, at + WINDOW, 1)
+                spans = gone[i].values
+                at, size = (spans.field(k).to_numpy() for k in ("at", "n"))
+                np.add.at(out, at, 1)
+                np.subtract.at(out, at + size - 1 + WINDOW, 1)
                 cover = np.cumsum(out)[: len(w)] > 0
                 w = [x for x, c in zip(w, cover.tolist(), strict=True) if not c]
             removed.append(n[-1] - len(w))
@@ -196,16 +202,24 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(sketch(known, cell_bits(known)))
 
     def candidates(batches):
-        """The windows to be grouped, a row for some thousands of a document's."""
+        """The spans of windows to be grouped."""
         for batch in batches:
             ids, tags = (np.asarray(batch.column(c)) for c in ("id", "tag"))
             out, held = [], 0
             for i, whole, other, keys in window_keys(batch.column("t"), second=True):
-                found = np.flatnonzero(repeated(shared.value, keys))
-                for a in range(0, len(found), ROW):
-                    at = found[a : a + ROW]
-                    out.append((ids[i], tags[i], at.astype(np.int32), whole[at].view(np.int64), (other[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-                    held += len(at)
+                ok = repeated(shared.value, keys)
+                if not ok.any():
+                    continue
+                at = np.flatnonzero(_runs(keys))
+                j = np.arange(len(keys)) - np.repeat(at, np.diff(np.append(at, len(keys)))) & SPAN - 1
+                at = np.flatnonzero(j == 0)
+                size = np.diff(np.append(at, len(keys)))
+                ok, rows_ = ok[at], np.repeat(ok[at], size)
+                j = j.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+                s, s2 = np.add.reduceat(mix(whole + j), at)[ok], np.add.reduceat(mix(other + j), at)[ok]
+                n = int(ok.sum())
+                out.append((np.full(n, ids[i]), np.full(n, tags[i]), at[ok].astype(np.int32), s.view(np.int64), (s2 >> np.uint64(32)).astype(np.uint32).view(np.int32), size[ok], whole[rows_].view(np.int64), (other[rows_] >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                held += len(out[-1][6])
                 if held > 1 << 17:
                     yield rows(out)
                     out, held = [], 0
@@ -213,21 +227,38 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield rows(out)
 
     def rows(out):
-        ends = pa.array(np.concatenate(([0], np.cumsum([len(x[2]) for x in out]))).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate([x[k] for x in out]))) for k in (2, 3, 4)]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), *lists], ["id", "tag", "at", "h", "g"])
+        *own, size, h, g = (np.concatenate(x) for x in zip(*out, strict=True))
+        ends = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (h, g)]
+        return pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(size.astype(np.int32)), *lists], ["id", "tag", "at", "s", "s2", "n", "h", "g"])
 
     tagged = known.select("id", F.xxhash64("t").alias("tag"), "t")
-    found = written(tagged.mapInArrow(candidates, "id long, tag long, at array<int>, h array<long>, g array<int>"))
-    each = found.select("id", "tag", F.explode(F.arrays_zip("at", "h", "g")).alias("w")).select("id", "tag", "w.at", "w.h", "w.g")
-    # a table of its own: Spark splits an h with very many windows only where the other side isn't an aggregate of the same shuffle
-    first = cut(each.groupBy("h", "g").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("h", "g", "first"))
-    gone = each.join(first, ["h", "g"]).where("id > first").groupBy("id", "tag").agg(F.collect_set("at").alias("gone"))
+    found = written(tagged.mapInArrow(candidates, "id long, tag long, at int, s long, s2 int, n int, h array<long>, g array<int>"))
+    # first ids are tables of their own: Spark splits a span or window with very many rows only where the other side isn't an aggregate of the same shuffle
+    earliest = lambda of, *by: cut(of.groupBy(*by).agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select(*by, "first"))
+    spans = earliest(found, "s", "s2")
+    covered = found.select("id", "tag", "at", "n", "s", "s2").join(spans, ["s", "s2"]).where("id > first").select("id", "tag", "at", "n")
+    own = found.join(spans, ["s", "s2"], "left").where("first is null or id = first")
+    own = own.select("id", "tag", "at", F.posexplode(F.arrays_zip("h", "g")).alias("j", "w"))
+    own = written(own.select("id", "tag", (F.col("at") + F.col("j")).alias("at"), "w.h", "w.g"))
+    later = own.join(earliest(own, "h", "g"), ["h", "g"]).where("id > first").select("id", "tag", "at", F.lit(1).alias("n"))
+    gone = covered.unionByName(later).groupBy("id", "tag").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
     hit = docs.where("id is not null").select(F.col("id").alias("doc_id"), F.xxhash64("t").alias("tag"), "t").join(gone.withColumnRenamed("id", "doc_id"), ["doc_id", "tag"], "left")
-    rest = docs.where("id is null").select(F.col("id").alias("doc_id"), "t", F.lit(None).cast("array<int>").alias("gone"))
+    rest = docs.where("id is null").select(F.col("id").alias("doc_id"), "t", F.lit(None).cast("array<struct<at:int,n:int>>").alias("gone"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
     return hit.select("doc_id", "t", "gone").mapInArrow(_finish, schema).unionByName(rest.mapInArrow(_finish, schema))
 
 
 def op10_count_min_windows(spark, sf_dir):
     return dedup_windows(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(w[i:i + 49], ' ')))) AS h FROM w WHERE len(w) >= 50),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM x JOIN f USING (h) WHERE doc_id > first),
+k AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM w),
+t AS (SELECT k.doc_id, count(*) AS n, count(g.k) AS gone, coalesce(string_agg(x, ' ' ORDER BY k.k) FILTER (g.k IS NULL), '') AS kept FROM k LEFT JOIN g ON k.doc_id = g.doc_id AND k.k = g.k GROUP BY k.doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM documents d LEFT JOIN t USING (doc_id)
+"""
