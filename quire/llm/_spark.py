@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +51,28 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Size of a bitmap of ids, whatever the input.
+FILTER_BITS = 1 << 26
+
+
+def bit(id_: Column) -> Column:
+    """The place of an id in a bitmap."""
+    return F.pmod(F.xxhash64(id_), F.lit(FILTER_BITS))
+
+
+def bitmap(ids: DataFrame):
+    """A broadcast of 8 MB that ``holds`` looks up: every id of ``ids`` is in it, and few others as long as it isn't full."""
+    h = bit(F.col("id"))
+    words = ids.groupBy(F.shiftright(h, 6).cast("int").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) & 63 as int)))").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[np.asarray(words.column("at"))] = np.asarray(words.column("bits"))
+    return ids.sparkSession.sparkContext.broadcast(bits)
+
+
+def holds(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (bits[at >> 6] >> (at & 63) & 1).astype(bool)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder in whatever store it is in."""
     jvm = spark._jvm

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut, partitions, table
+from ._spark import bit, bitmap, cut, holds, partitions, table
 from ._text import mix, shingle_sets
 from .components import components
 
@@ -38,8 +38,6 @@ AGREE = 140
 TILE, TILE_SHINGLES = 256, 1 << 19
 #: Members that one task compares with a hub's text before the text is sent again.
 GROUP = 64
-#: Size of the bitmap of documents that are in a pair.
-FILTER_BITS = 1 << 26
 
 
 def _permute(x: np.ndarray, first: int, second: int) -> np.ndarray:
@@ -154,22 +152,16 @@ def _compare(batches):
 def _among(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``texts`` whose id may be among ``ids``: all that are, and few others.
 
-    A bitmap of ``FILTER_BITS`` bits, whatever the input, is broadcast, so that
-    most texts that are in no pair needn't be shuffled. A fuller bitmap lets
+    So most texts that are in no pair needn't be shuffled. A fuller bitmap lets
     more of them through.
     """
-    h = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.groupBy(F.shiftright(h, 6).cast("int").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) & 63 as int)))").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[np.asarray(words.column("at"))] = np.asarray(words.column("bits"))
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    shared = bitmap(ids)
 
     def run(batches):
         for batch in batches:
-            at = np.asarray(batch.column("h"))
-            yield batch.select(["id", "t"]).filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
+            yield batch.select(["id", "t"]).filter(pa.array(holds(shared.value, np.asarray(batch.column("h")))))
 
-    return texts.select("id", "t", h.alias("h")).mapInArrow(run, "id long, t binary")
+    return texts.select("id", "t", bit(F.col("id")).alias("h")).mapInArrow(run, "id long, t binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bytes_of, cut, partitions, table, written
+from ._spark import bit, bitmap, bytes_of, cut, holds, partitions, table, written
 from ._text import chunks, mix, sequence_hashes, word_hashes, words
 
 WINDOW, RUN = 50, 25
@@ -39,6 +39,7 @@ DEPTH, BLOCK_BITS = 3, 16
 LEAST_BITS, MOST_BITS = 20, 29
 #: Cells that a task holds before it hands them on, and windows of a span at most.
 HELD, SPAN = 1 << 21, 1 << 12
+SPANS = pa.list_(pa.struct([("at", pa.int32()), ("n", pa.int32())]))
 _SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 
@@ -243,10 +244,25 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     own = written(own.select("id", "tag", (F.col("at") + F.col("j")).alias("at"), "w.h", "w.g"))
     later = own.join(earliest(own, "h", "g"), ["h", "g"]).where("id > first").select("id", "tag", "at", F.lit(1).alias("n"))
     gone = covered.unionByName(later).groupBy("id", "tag").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
-    hit = docs.where("id is not null").select(F.col("id").alias("doc_id"), F.xxhash64("t").alias("tag"), "t").join(gone.withColumnRenamed("id", "doc_id"), ["doc_id", "tag"], "left")
-    rest = docs.where("id is null").select(F.col("id").alias("doc_id"), "t", F.lit(None).cast("array<struct<at:int,n:int>>").alias("gone"))
+    gone = cut(gone)
+    loses = bitmap(gone.select("id"))
+
+    def hit(batches):
+        """Documents that may lose a word; they go on to where their spans are."""
+        for batch in batches:
+            yield batch.select(["doc_id", "tag", "t"]).filter(pa.array(holds(loses.value, np.asarray(batch.column("bit")))))
+
+    def rest(batches):
+        """The others are done where they are."""
+        for batch in batches:
+            whole = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False) | ~holds(loses.value, np.asarray(batch.column("bit")))
+            b = batch.select(["doc_id", "t"]).filter(pa.array(whole))
+            yield from _finish([b.append_column("gone", pa.nulls(b.num_rows, SPANS))])
+
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary"
-    return hit.select("doc_id", "t", "gone").mapInArrow(_finish, schema).unionByName(rest.mapInArrow(_finish, schema))
+    own = docs.select(F.col("id").alias("doc_id"), F.xxhash64("t").alias("tag"), "t", bit(F.col("id")).alias("bit"))
+    moved = own.where("doc_id is not null").mapInArrow(hit, "doc_id long, tag long, t binary").join(gone.withColumnRenamed("id", "doc_id"), ["doc_id", "tag"], "left")
+    return own.mapInArrow(rest, schema).unionByName(moved.select("doc_id", "t", "gone").mapInArrow(_finish, schema))
 
 
 def op10_count_min_windows(spark, sf_dir):

@@ -133,6 +133,13 @@ def test_windows_against_brute_force(spark):
     assert got == brute.windows(rows) and sum(x[1] for x in got.values()) > 500
 
 
+def test_windows_of_repeating_texts(spark, monkeypatch):
+    """Long runs of one key are cut into several spans."""
+    monkeypatch.setattr(window_dedup, "SPAN", 16)
+    rows = [(1, "x " * 300), (2, "a b " * 130), (3, "y " + "x " * 200), (4, "b " + "a b " * 100 + "x " * 60), (5, "x " * 300), (6, "x " * 49)]
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in window_dedup.dedup_windows(docs(spark, rows)).collect()} == brute.windows(rows)
+
+
 def test_windows_through_a_full_sketch(spark, monkeypatch):
     """A sketch that says yes to everything loses nothing."""
     monkeypatch.setattr(window_dedup, "sketch", lambda d, bits: b"\xff" * (window_dedup.DEPTH << (bits - 3)))
