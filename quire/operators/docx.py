@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -60,6 +61,30 @@ def document(elements, tables=()) -> bytes:
     return out.getvalue()
 
 
+def paragraphs(content: bytes) -> list[tuple[str, str]]:
+    """(style, text) of the paragraphs outside tables; no style is empty."""
+    name = "{" + _W.split('"')[1] + "}"
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = ElementTree.fromstring(z.read("word/document.xml"))[0]
+    out = []
+    for p in body.findall(f"{name}p"):
+        style = p.find(f"{name}pPr/{name}pStyle")
+        text = "".join("\n" if x.tag == f"{name}br" else x.text or "" for x in p.iter() if x.tag in (f"{name}br", f"{name}t"))
+        out.append(("" if style is None else style.get(f"{name}val"), text))
+    return out
+
+
+def read_paragraphs(files: DataFrame) -> DataFrame:
+    """(doc_id, n, style, text) of (doc_id, content)."""
+
+    def run(batches):
+        for b in batches:
+            rows = [(i, n, *p) for i, content in zip(b.doc_id, b.content, strict=True) for n, p in enumerate(paragraphs(bytes(content)))]
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "style", "text"])
+
+    return files.select("doc_id", "content").mapInPandas(run, f"doc_id {dict(files.dtypes)['doc_id']}, n int, style string, text string")
+
+
 def docx(elements: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """(doc_id, content) of elements and (doc_id, table_idx, page_num, columns, cells) tables."""
     e = elements.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "type", "text", "level"))).alias("e"))

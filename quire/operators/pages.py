@@ -43,9 +43,9 @@ def repeated_texts(spans: DataFrame, pages: DataFrame, share: float = 0.6, least
 
 def strip_repeated(spans: DataFrame, repeated: DataFrame) -> DataFrame:
     """``spans`` without those whose stripped text is a repeated one of their document, wherever it stands."""
-    gone = repeated.select("doc_id", F.col("text").alias("_text")).distinct()
-    keep = spans.withColumn("_text", strip(F.col("text"))).join(gone, ["doc_id", "_text"], "left_anti")
-    return keep.drop("_text").select(*spans.columns)
+    gone = repeated.groupBy("doc_id").agg(F.collect_set("text").alias("_texts"))  # a few texts a document
+    keep = spans.join(gone, "doc_id", "left").where(~F.coalesce(F.array_contains("_texts", strip(F.col("text"))), F.lit(False)))
+    return keep.select(*spans.columns)
 
 
 def choose_pages(pages: DataFrame, wanted: list[int] | None) -> DataFrame:

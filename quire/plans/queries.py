@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import deck, elements, language, markdown, metrics, ocr, pages, scripts, tables
+from ..operators import deck, docx, elements, language, markdown, metrics, ocr, pages, scripts, tables
 from ..sources import pdf
 from . import paper, scan
 
@@ -232,7 +232,7 @@ def repeated_header_footer(spark, sf_dir):
 
 @query(_F + _REPEATED + f"SELECT doc_id, page_num, span_no, text FROM spans s WHERE NOT EXISTS (SELECT 1 FROM repeated r WHERE r.doc_id = s.doc_id AND r.text = {_strip('s.text')})")
 def strip_headers(spark, sf_dir):
-    s = spans(spark, sf_dir)
+    s = spans(spark, sf_dir).repartition("doc_id")  # once; pages, texts and the join go by document
     return pages.strip_repeated(s, pages.repeated_texts(s, scan.pages(s))).select("doc_id", "page_num", "span_no", "text")
 
 
@@ -262,6 +262,12 @@ def markdown_text(spark, sf_dir):
     return markdown.elements_text(merged(spark, sf_dir))
 
 
+@query(_F + _MERGED + """SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INT AS n, CASE type WHEN 'title' THEN 'Title' WHEN 'heading' THEN 'Heading' || least(coalesce(level, 1), 9) WHEN 'list_item' THEN 'ListBullet' ELSE '' END AS style,
+  CASE type WHEN 'list_item' THEN ltrim(text, '•●○■□▪▫-*0123456789. ' || chr(9)) ELSE text END AS text FROM merged""")
+def docx_paragraphs(spark, sf_dir):
+    return docx.read_paragraphs(docx.docx(merged(spark, sf_dir)))
+
+
 _TITLES = """
 , ft AS (SELECT doc_id, min(pos) FILTER (type = 'title') AS p FROM merged GROUP BY doc_id)
 , titles AS (SELECT m.doc_id, coalesce(arg_min(text, pos) FILTER (type = 'title'), arg_min(text, pos) FILTER (type = 'heading' AND level = 1), 'Untitled Presentation') AS title,
