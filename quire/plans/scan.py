@@ -31,7 +31,7 @@ TAIL = """
     CASE WHEN line_no = 0 THEN 18.0e0 WHEN line_no % 11 = 3 THEN 14.5e0 WHEN line_no % 11 = 5 THEN 12.0e0 ELSE 10.0e0 END AS font_size,
     (line_no % 17 = 9) AS is_bold
   FROM lines)
-, pg AS (SELECT doc_id, source, page_num FROM (SELECT DISTINCT doc_id, source, CAST(FLOOR(line_no / 8.0) AS INT) AS page_num FROM lines) q)
+, pg AS (SELECT doc_id, source, CAST(FLOOR(line_no / 8.0) AS INT) AS page_num FROM lines WHERE line_no % 8 = 0)
 , marked AS (
   SELECT doc_id, page_num, span_no, text, font_size, is_bold, 40.0e0 + 20.0e0 * span_no AS y0 FROM body
   UNION ALL SELECT doc_id, page_num, 0, CASE WHEN doc_id % 4 = 3 THEN concat('Header ', source, ' ', CAST(page_num AS VARCHAR(9))) ELSE concat('Header ', source) END, 9.0e0, false, 20.0e0 FROM pg
@@ -48,4 +48,5 @@ def spans(documents: DataFrame) -> DataFrame:
 
 
 def pages(spans_: DataFrame) -> DataFrame:
-    return spans_.select("doc_id", "page_num").distinct().withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
+    """(doc_id, page_num, width, height): every page has one header."""
+    return spans_.where("span_no = 0").select("doc_id", "page_num").withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
