@@ -96,6 +96,23 @@ def test_bytes_that_agree_by_chance_hide_no_pair(spark):
     assert {tuple(sorted(r)) for r in near_dup.across(m, g, t).collect()} == {(1, 2)}
 
 
+def test_no_pair_that_shares_a_bucket_is_passed_over(spark):
+    """Pairs just above 0.75, compared across components only, without a hub that joins them."""
+    rng = random.Random(21)
+    texts = []
+    for k in range(1200):
+        base = words(rng, 104, 10**6)
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[:89] + words(rng, 11, 10**6)))]
+    sets = list(shingle_sets(pa.array([t for _, t in texts])))
+    sig = near_dup.signatures(sets)
+    keys = near_dup.bands(sig[:, : near_dup.BANDED]).view(np.int64)
+    want = {(2 * k, 2 * k + 1) for k in range(1200) if near_dup.similar(sets[2 * k], sets[2 * k + 1]) and (keys[2 * k] == keys[2 * k + 1]).any()}
+    m = spark.createDataFrame([(int(keys[i][b]), b, i, len(sets[i]), i) for k in range(1200) for b in np.flatnonzero(keys[2 * k] == keys[2 * k + 1]).tolist() for i in (2 * k, 2 * k + 1)], "key long, band int, id long, n long, comp long")
+    g = spark.createDataFrame([(i, len(x), bytearray(b.tobytes()), k.tolist()) for (i, _), x, b, k in zip(texts, sets, (sig & 255).astype(np.uint8), keys, strict=True)], "id long, n long, sig binary, keys array<long>")
+    t = spark.createDataFrame([(i, bytearray(x.encode())) for i, x in texts], "id long, t binary")
+    assert len(want) > 1100 and {tuple(sorted(r)) for r in near_dup.across(m, g, t).collect()} == want
+
+
 def test_similar_at_the_threshold():
     a = np.arange(100, dtype=np.uint64)
     assert near_dup.similar(a, a[:75]) and not near_dup.similar(a, a[:74]) and not near_dup.similar(a[:0], a[:0])
