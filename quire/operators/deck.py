@@ -74,14 +74,14 @@ def deck_slides(elements: DataFrame, tables: DataFrame | None = None, logo: str
     return s.select("doc_id", idx.cast("int").alias("slide_idx"), "type", "title", "subtitle", "items", "notes", "md", F.when(F.col("type") == "cover", F.lit(logo)).cast("string").alias("logo"))
 
 
-def deck_json(slides: DataFrame, titles: DataFrame, info: DataFrame, brand: Column) -> DataFrame:
-    """(doc_id, json): the deck without null fields, from slides, titles and (doc_id, source, pages, languages)."""
+def deck_json(slides: DataFrame, info: DataFrame, brand: Column) -> DataFrame:
+    """(doc_id, json): the deck without null fields, titled as its cover, from slides and (doc_id, source, pages, languages)."""
     slide = F.struct("slide_idx", "type", "title", "subtitle", "items", "md", "notes", "logo")
-    s = slides.groupBy("doc_id").agg(F.array_sort(F.collect_list(slide)).alias("slides"))
+    title = F.max(F.when(F.col("type") == "cover", F.col("title")))
+    s = slides.groupBy("doc_id").agg(F.array_sort(F.collect_list(slide)).alias("slides"), title.alias("title"))
     s = s.withColumn("slides", F.transform("slides", lambda x: x.dropFields("slide_idx")))
     meta = F.struct(F.col("pages"), F.col("languages").alias("lang"), F.lit("quire").alias("generated_by"), F.lit("0.1.0").alias("version"))
-    d = s.join(titles.select("doc_id", "title"), "doc_id").join(info, "doc_id")
-    return d.select("doc_id", F.to_json(F.struct(brand.alias("brand"), "title", "slides", "source", meta.alias("meta"))).alias("json"))
+    return s.join(info, "doc_id").select("doc_id", F.to_json(F.struct(brand.alias("brand"), "title", "slides", "source", meta.alias("meta"))).alias("json"))
 
 
 def text_deck_slides(elements: DataFrame) -> DataFrame:

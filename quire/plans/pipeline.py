@@ -95,7 +95,7 @@ class Result:
             out["md"] = markdown.markdown(self.merged, front, t, o.page_markers).withColumnRenamed("markdown", "content")
         if "json" in o.export:
             slides = deck.deck_slides(self.merged, t, o.brand.logo)
-            out["json"] = deck.deck_json(slides, titles, info, o.brand.column()).withColumnRenamed("json", "content")
+            out["json"] = deck.deck_json(slides, info.select("doc_id", "source", "pages", "languages"), o.brand.column()).withColumnRenamed("json", "content")
         if "docx" in o.export:
             out["docx"] = docx.docx(self.merged, self.tables)
         out["metrics"] = metrics.metrics_json(self.document_metrics, self.page_metrics).withColumnRenamed("json", "content")

@@ -319,7 +319,7 @@ def deck_json(spark, sf_dir):
     m = merged(spark, sf_dir)
     info = m.groupBy("doc_id").agg(F.countDistinct("page_num").cast("int").alias("pages")).join(documents(spark, sf_dir).select("doc_id", "source", F.array("lang").alias("languages")), "doc_id")
     brand = F.struct(F.lit("Brand").alias("name"), F.lit("#000000").alias("primary"))
-    return deck.deck_json(deck.deck_slides(m), deck.deck_titles(m), info, brand)
+    return deck.deck_json(deck.deck_slides(m), info, brand)
 
 
 #: The buffer of the text deck, element by element.

@@ -124,7 +124,7 @@ def test_deck_json_and_brand(spark, tmp_path):
     e = els(spark, ("title", "T", 1), ("heading", "S", 1), ("heading", "H", 2), ("list_item", "- one thing", 1))
     t = spark.createDataFrame([(1, 0, "| a |")], "doc_id long, table_idx int, md string")
     info = spark.createDataFrame([(1, "a.pdf", 3, ["spa"])], "doc_id long, source string, pages int, languages array<string>")
-    got = json.loads(deck.deck_json(deck.deck_slides(e, t, brand.logo), deck.deck_titles(e), info, brand.column()).first().json)
+    got = json.loads(deck.deck_json(deck.deck_slides(e, t, brand.logo), info, brand.column()).first().json)
     assert got["brand"] == {"name": "Own", "logo": "l.png", "primary": "#111111", "secondary": "#22C55E", "accent": "#06B6D4"}
     assert [s["type"] for s in got["slides"]] == ["cover", "section", "bullets", "table"] and got["slides"][0] == {"type": "cover", "title": "T", "subtitle": "S", "logo": "l.png"}
     assert got["slides"][3]["title"] == "Tabla 1" and got["meta"]["lang"] == ["spa"]
