@@ -39,9 +39,10 @@ def document_metrics(pages: DataFrame) -> DataFrame:
     )
 
 
-def metrics_json(documents: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, json) of document metrics with their pages."""
+def metrics_json(documents: DataFrame, pages: DataFrame, seconds: dict[str, float] | None = None) -> DataFrame:
+    """(doc_id, json) of document metrics with their pages, and with ``seconds`` the times of the run's stages and their sum."""
     fields = [c for c in pages.columns if c != "doc_id"]
     p = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("page_metrics"))
     d = documents.join(p, "doc_id")
-    return d.select("doc_id", F.to_json(F.struct(*[c for c in d.columns if c != "doc_id"])).alias("json"))
+    times = [F.lit(sum(seconds.values())).alias("processing_time"), F.struct(*[F.lit(v).alias(k) for k, v in seconds.items()]).alias("stages")] if seconds else []
+    return d.select("doc_id", F.to_json(F.struct(*[c for c in d.columns if c != "doc_id"], *times)).alias("json"))

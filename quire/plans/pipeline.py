@@ -10,18 +10,18 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.classify import Sizes
 from ..functions.text import count_hyphens, output_name, parse_pages
+from ..log import NAME
 from ..operators import deck, docx, elements, imaging, language, markdown, metrics, ocr, pages
 from ..operators import tables as table_rules
 from ..sources import files, pdf, raster
 from ..sources.files import Brand
 
-log = logging.getLogger("quire")
+log = logging.getLogger(NAME)
 
 #: Takes (path, content, pages), a row a file with the pages to draw, and the resolution; returns ``raster.RENDERED``.
 Renderer = Callable[[DataFrame, float], DataFrame]
@@ -98,7 +98,7 @@ class Result:
             out["json"] = deck.deck_json(slides, info.select("doc_id", "source", "pages", "languages"), o.brand.column()).withColumnRenamed("json", "content")
         if "docx" in o.export:
             out["docx"] = docx.docx(self.merged, self.tables)
-        out["metrics"] = metrics.metrics_json(self.document_metrics, self.page_metrics).withColumnRenamed("json", "content")
+        out["metrics"] = metrics.metrics_json(self.document_metrics, self.page_metrics, self.seconds).withColumnRenamed("json", "content")
         return {k: d.select(F.col("doc_id").alias("path"), output_name(F.col("doc_id"), k).alias("name"), F.col("content").cast("binary").alias("content")) for k, d in out.items()}
 
 
@@ -176,11 +176,10 @@ def write_exports(result: Result, folder: str) -> dict[str, float]:
     twice = docs.groupBy(output_name(F.col("path"), "md").alias("name")).count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"two documents would be written as {twice[0].name}")
-    where = folder if "://" in folder else os.path.abspath(folder)
-    fs.FileSystem.from_uri(where)[0].create_dir(fs.FileSystem.from_uri(where)[1], recursive=True)
+    where = files.ensure_folder(folder if "://" in folder else os.path.abspath(folder))
 
     def write(batches):
-        store, top = fs.FileSystem.from_uri(where)
+        store, top = files.store(where)
         for batch in batches:
             for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 with store.open_output_stream(f"{top.rstrip('/')}/{name}") as out:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import asdict, dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +51,29 @@ def html_pages(pages: DataFrame) -> DataFrame:
     return lines.select("doc_id", F.lit(0).alias("page_num"), "span_no", text.alias("text"), size.alias("font_size"), F.lit(False).alias("is_bold")).where("text <> ''")
 
 
+def store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+
+
+def ensure_folder(path: str) -> str:
+    """Makes a folder and those above it where they don't exist; returns the path."""
+    system, at = store(path)
+    system.create_dir(at, recursive=True)
+    return path
+
+
+def copy_file(source: str, target: str) -> None:
+    """Copies one file, also between stores, and makes the target's folder; a missing source is an error."""
+    (from_, a), (to, b) = store(source), store(target)
+    if from_.get_file_info(a).type != fs.FileType.File:
+        raise FileNotFoundError(source)
+    to.create_dir(os.path.dirname(b), recursive=True)
+    with from_.open_input_stream(a) as data, to.open_output_stream(b) as out:
+        while chunk := data.read(1 << 20):
+            out.write(chunk)
+
+
 @dataclass(frozen=True)
 class Brand:
     """Brand of a deck; only the name is required. The colours are fixed values."""

@@ -240,6 +240,8 @@ def test_pipeline(spark, tmp_path):
     names = {p.name for p in out.iterdir() if not p.name.startswith(".")}
     assert names == {"a.md", "a.gamma.json", "a.docx", "a.metrics.json"}
     assert "languages:\n  - en" in (out / "a.md").read_text() and json.loads((out / "a.metrics.json").read_text())["total_pages"] == 3
+    made = json.loads((out / "a.metrics.json").read_text())
+    assert set(made["stages"]) == {"decode", "plan"} and abs(sum(made["stages"].values()) - made["processing_time"]) < 1e-6
     with zipfile.ZipFile(out / "a.docx") as z:
         ElementTree.fromstring(z.read("word/document.xml"))
     with pytest.raises(pipeline.MissingBackend):
