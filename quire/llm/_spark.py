@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -41,12 +42,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_tables: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    """Removes the written tables; if Spark's JVM has gone before, they are left to whoever keeps the shared folder."""
+    for spark, path in _tables:
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001  the connection has gone, in whatever way it says so
+            break
+    _tables.clear()
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: a checkpoint for large tables, since it is columnar and compressed.
 
-    The folder is Spark's own checkpoint folder, which belongs to the application and goes with it.
+    Results read such tables lazily, so they go when the driver's program ends.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_sweep)
+    _tables.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,6 +1,6 @@
 """The queries this subpackage registers, and their SQL."""
 
-from . import langid, license_scan, line_dedup, mih, mixing, mtree, near_dup, packing, quality, window_dedup
+from . import collocations, langid, license_scan, line_dedup, mih, mixing, mtree, near_dup, packing, quality, simhash, spelling, window_dedup
 
 QUERIES = {f.__name__: f for f in (
     mtree.op1_mtree_topk,
@@ -13,6 +13,9 @@ QUERIES = {f.__name__: f for f in (
     langid.op8_hyperdimensional_language,
     line_dedup.op9_winnowed_lines,
     window_dedup.op10_count_min_windows,
+    collocations.op11_prefix_growth_collocations,
+    simhash.op12_deletion_variant_simhash,
+    spelling.op13_errata_trie_spelling,
 )}
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op7_pareto_mixing": mixing.ORACLE,
     "op9_winnowed_lines": line_dedup.ORACLE,
     "op10_count_min_windows": window_dedup.ORACLE,
+    "op11_prefix_growth_collocations": collocations.ORACLE,
 }
