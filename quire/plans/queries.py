@@ -517,12 +517,3 @@ SELECT doc_id, array_to_string(h, chr(31)) AS columns, array_to_string(list_tran
 def table_clean(spark, sf_dir):
     t = tables.clean_tables(_tables(spark, sf_dir))
     return t.select("doc_id", F.array_join("columns", "\x1f").alias("columns"), F.array_join(F.transform("cells", lambda r: F.array_join(r, "\x1f")), "\x1e").alias("cells"), tables.table_markdown(F.col("columns"), F.col("cells")).alias("markdown"))
-
-
-@query("""
-WITH t AS (SELECT doc_id, doc_id % 7 AS page, 'ruled' AS method FROM documents WHERE doc_id % 3 = 0), u AS (SELECT doc_id, doc_id % 7 AS page, 'fallback' AS method FROM documents)
-SELECT * FROM t UNION ALL SELECT * FROM u WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.doc_id = u.doc_id AND t.page = u.page)""")
-def table_fallback(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", (F.col("doc_id") % 7).alias("page_num"))
-    out = tables.first_found(d.where("doc_id % 3 = 0").withColumn("method", F.lit("ruled")), d.withColumn("method", F.lit("fallback")))
-    return out.withColumnRenamed("page_num", "page")
