@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 import time
@@ -9,16 +10,17 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.classify import Sizes
 from ..functions.text import count_hyphens, output_name, parse_pages
 from ..log import NAME
-from ..operators import deck, docx, elements, imaging, language, markdown, metrics, ocr, pages
+from ..operators import deck, docx, elements, imaging, language, markdown, metrics, ocr, pages, table_finder
 from ..operators import tables as table_rules
-from ..sources import files, pdf, raster
+from ..sources import files, formats, pdf, raster
 from ..sources.files import Brand
 
 log = logging.getLogger(NAME)
@@ -58,6 +60,9 @@ class Options:
     brand: Brand = Brand("Brand")
     renderer: Renderer = raster.render_pages
     recogniser: Recogniser | None = None
+    #: How tables are found: auto (by lines, else by gaps), ruled, unruled, or None.
+    tables: str | None = "auto"
+    #: Further finders, for pages where those before have found none.
     table_finders: tuple[TableFinder, ...] = ()
 
     def wanted(self) -> list[int] | None:
@@ -76,8 +81,8 @@ class Result:
     errors: DataFrame
     options: Options
     decoded: DataFrame
-    #: Seconds that the steps taken so far took; steps that Spark hasn't run yet aren't in it.
-    seconds: dict[str, float] = field(default_factory=dict)
+    #: What Spark has counted while decoding, once that has run: pages, errors and seconds in tasks.
+    observed: Observation | None = None
 
     def release(self) -> None:
         """Drops the decoded pages from the cache; further results are decoded anew."""
@@ -98,10 +103,18 @@ class Result:
             out["json"] = deck.deck_json(slides, info.select("doc_id", "source", "pages", "languages"), o.brand.column()).withColumnRenamed("json", "content")
         if "docx" in o.export:
             out["docx"] = docx.docx(self.merged, self.tables)
-        out["metrics"] = metrics.metrics_json(self.document_metrics, self.page_metrics, self.seconds).withColumnRenamed("json", "content")
+        out["metrics"] = metrics.metrics_json(self.document_metrics, self.page_metrics).withColumnRenamed("json", "content")
+        for k in {"json", "metrics"} & out.keys():
+            out[k] = out[k].withColumn("content", indented("content"))
         return {k: d.select(F.col("doc_id").alias("path"), output_name(F.col("doc_id"), k).alias("name"), F.col("content").cast("binary").alias("content")) for k, d in out.items()}
 
 
+@F.pandas_udf(StringType())
+def indented(texts: pd.Series) -> pd.Series:
+    """JSON texts indented by two spaces."""
+    return texts.map(lambda t: json.dumps(json.loads(t), indent=2, ensure_ascii=False), na_action="ignore")
+
+
 def _by_file(pages_: DataFrame, source: DataFrame) -> DataFrame:
     """(path, content, pages): a row a file, so that no file is copied for each of its pages."""
     wanted = pages_.groupBy("path").agg(F.sort_array(F.collect_set("page_num")).alias("pages"))
@@ -114,18 +127,19 @@ def _checked(rows: DataFrame, columns: tuple[str, ...], what: str) -> DataFrame:
     return rows
 
 
-def process(source: DataFrame, options: Options = Options()) -> Result:
-    """Elements, metrics and exports of (path, content) PDF files.
+def process(source: DataFrame, options: Options = Options(), decoded: DataFrame | None = None) -> Result:
+    """Elements, metrics and exports of (path, content) PDF files, whose pages may be ``decoded`` already.
 
     Pages are decoded once, and only their text is kept. Pages of little native
     text are drawn, prepared and recognised: a recogniser that is needed but
     missing is an error, and files or pages that can't be read or drawn are rows
     of ``errors``; none passes as an empty document.
     """
-    began, seconds = time.perf_counter(), {}
+    observed = Observation()
     # the mark keeps Spark from taking an earlier run's cache for this one, which may see other files
-    decoded = pdf.decode_pages(source, options.wanted()).drop("images").withColumn("run", F.lit(uuid.uuid4().hex)).persist()
-    p = decoded.where("error is null").select(F.col("path").alias("doc_id"), "page_num", "width", "height")
+    decoded = pdf.decode_pages(source, options.wanted()) if decoded is None else decoded
+    decoded = decoded.drop("images").withColumn("run", F.lit(uuid.uuid4().hex)).observe(observed, F.count("page_num").alias("pages"), F.count("error").alias("errors"), F.sum("seconds").alias("seconds")).persist()
+    p = decoded.where("error is null").select(F.col("path").alias("doc_id"), "page_num", "width", "height", "seconds")
     spans = pdf.spans(decoded).repartition("doc_id")  # once; what follows goes by document
     dense = pages.page_density(spans, p)
     repeated = pages.repeated_texts(spans, p)
@@ -147,49 +161,41 @@ def process(source: DataFrame, options: Options = Options()) -> Result:
         texts = ocr.recognised_pages(words, options.min_confidence)
         found = found.unionByName(elements.recognised_elements(texts, options.line_mode))
         read = texts.select("doc_id", "page_num", "ocr_confidence", count_hyphens(F.col("text")).alias("corrections"))
-    seconds["decode"] = time.perf_counter() - began
     found = elements.with_position(found.withColumnRenamed("pos", "_own"), "_own").drop("_own").select("doc_id", "page_num", "pos", "type", "text", "level")
-    tables = None
+    tables = table_finder.find_tables(spans, pdf.segments(decoded), options.tables) if options.tables else None
     for finder in options.table_finders:
         own = _checked(finder(_by_file(decoded.where("error is null"), source)), TABLES, "table finder")
         tables = own if tables is None else table_rules.first_found(tables, own)
     if tables is not None:
         tables = table_rules.clean_tables(tables, options.min_table_confidence)
-    full = dense.select("doc_id", "page_num", "text_density").join(read, pages.PAGE, "left")
+    full = dense.select("doc_id", "page_num", "text_density", "seconds").join(read, pages.PAGE, "left")
     by_page = metrics.page_metrics(full, tables, options.exact_metrics)
     langs = language.with_languages(elements.document_text(found)).select("doc_id", "languages")
-    return Result(dense, found, elements.merge_paragraphs(found), tables, langs, by_page, metrics.document_metrics(by_page), errors, options, decoded, seconds | {"plan": time.perf_counter() - began - seconds["decode"]})
+    return Result(dense, found, elements.merge_paragraphs(found), tables, langs, by_page, metrics.document_metrics(by_page), errors, options, decoded, observed)
 
 
-def process_path(spark: SparkSession, path: str, options: Options = Options()) -> Result:
-    return process(files.pdf_files(spark, path).select("path", "content"), options)
+def process_path(spark: SparkSession, path: str, options: Options = Options(), split_bytes: int | None = None) -> Result:
+    """``process`` of the files at ``path``; with ``split_bytes`` files of more bytes are decoded by several tasks, which needs a store that Arrow reads too."""
+    decoded = formats.pdf_pages(spark, path, options.pages, split_bytes) if split_bytes else None
+    return process(files.pdf_files(spark, path).select("path", "content"), options, decoded)
 
 
 def write_exports(result: Result, folder: str) -> dict[str, float]:
-    """One file for each document and kind, named after its source, written where the rows are; returns seconds by kind.
+    """One file for each document and kind, named after its source, written where the rows are; returns seconds by kind, and as ``decode`` those that tasks spent on decoding.
 
-    Executors write through Arrow's file systems, so ``folder`` is a path or URI
-    that all of them share. Documents of one name from different folders would
-    overwrite each other, so they are an error.
+    ``folder`` is a path or URI that all executors share. A kind's files appear
+    when all of them are written, or not at all. Documents of one name from
+    different folders would overwrite each other, so they are an error.
     """
     docs = result.elements.select(F.col("doc_id").alias("path")).distinct()
     twice = docs.groupBy(output_name(F.col("path"), "md").alias("name")).count().where("count > 1").limit(1).collect()
     if twice:
         raise ValueError(f"two documents would be written as {twice[0].name}")
-    where = files.ensure_folder(folder if "://" in folder else os.path.abspath(folder))
-
-    def write(batches):
-        store, top = files.store(where)
-        for batch in batches:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                with store.open_output_stream(f"{top.rstrip('/')}/{name}") as out:
-                    out.write(content or b"")
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["files"])
-
-    seconds = {}
+    where, seconds = files.ensure_folder(folder if "://" in folder else os.path.abspath(folder)), {}
     for kind, rows in result.exports().items():
         began = time.perf_counter()
-        rows.select("name", "content").mapInArrow(write, "files long").agg(F.sum("files")).collect()
+        formats.write_files(rows, where)
         seconds[kind] = time.perf_counter() - began
+    seconds["decode"] = result.observed.get["seconds"] or 0.0
     log.info("wrote %s to %s", ", ".join(f"{k} in {v:.1f} s" for k, v in seconds.items()), folder)
     return seconds

@@ -11,6 +11,7 @@ operands are errors, never empty text: their rows carry ``error``.
 from __future__ import annotations
 
 import re
+import time
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,7 +23,9 @@ from . import filters, glyphs, raster
 SPAN = "struct<span_no:int,text:string,x0:double,y0:double,x1:double,y1:double,font_size:double,font_name:string,is_bold:boolean,is_italic:boolean>"
 IMAGE = "struct<img_idx:int,ext:string,content:binary>"
 META = "struct<title:string,author:string,subject:string,creator:string,producer:string,creation_date:string,page_count:int>"
-SCHEMA = f"path string, page_num int, width double, height double, spans array<{SPAN}>, images array<{IMAGE}>, metadata {META}, error string"
+SEGMENT = "struct<x0:double,y0:double,x1:double,y1:double>"
+#: ``seconds`` is what decoding the page took.
+SCHEMA = f"path string, page_num int, width double, height double, spans array<{SPAN}>, images array<{IMAGE}>, segments array<{SEGMENT}>, metadata {META}, error string, seconds double"
 
 
 class PdfError(ValueError):
@@ -375,20 +378,40 @@ def _times(a, b):
     return (a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3], a[4] * b[0] + a[5] * b[2] + b[4], a[4] * b[1] + a[5] * b[3] + b[5])
 
 
+def _length(side) -> float:
+    (a, b), (c, d) = side
+    return ((a - c) ** 2 + (b - d) ** 2) ** 0.5
+
+
 _ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def page_content(pdf: Pdf, page: dict) -> tuple[list[dict], list[dict]]:
-    """Spans, from the top left corner, and images. Neighbouring strings of one font and line are one span."""
+#: A filled box of at most so many points across counts as a drawn line.
+THIN = 3.0
+
+
+def page_content(pdf: Pdf, page: dict) -> tuple[list[dict], list[dict], list[dict]]:
+    """Spans, from the top left corner, images, and drawn segments. Neighbouring strings of one font and line are one span.
+
+    Segments are the straight sides of stroked paths, and of filled boxes the long sides of thin ones.
+    """
     get = pdf.get
     box = [float(get(x)) for x in get(page.get("CropBox") or page.get("MediaBox") or [0, 0, 612, 792])]
     spans: list[dict] = []
     images: list[dict] = []
+    segments: list[dict] = []
 
     def run(content: bytes, resources: dict, ctm, depth: int):
         fonts, xobjects = get(resources.get("Font")) or {}, get(resources.get("XObject")) or {}
         state = {"font": None, "size": 0.0, "char": 0.0, "word": 0.0, "scale": 1.0, "lead": 0.0, "rise": 0.0, "ctm": ctm}
         stack, args, tm, line = [], [], _ONE, _ONE
+        sides: list[tuple] = []  # of the path that is being built: two points each
+        boxes: list[list[tuple]] = []
+        point = first = (0.0, 0.0)
+
+        def placed(x, y):
+            at = _times((1, 0, 0, 1, x, y), state["ctm"])
+            return at[4] - box[0], box[3] - at[5]
 
         def show(raw):
             nonlocal tm
@@ -425,6 +448,28 @@ def page_content(pdf: Pdf, page: dict) -> tuple[list[dict], list[dict]]:
                     state.update(stack.pop())
                 elif x == "cm":
                     state["ctm"] = _times(tuple(args[-6:]), state["ctm"])
+                elif x == "m":
+                    point = first = placed(*args[-2:])
+                elif x == "l":
+                    before, point = point, placed(*args[-2:])
+                    sides.append((before, point))
+                elif x in ("c", "v", "y"):
+                    point = placed(*args[-2:])
+                elif x == "h":
+                    sides.append((point, first))
+                    point = first
+                elif x == "re":
+                    left, low, wide, high = (float(v) for v in args[-4:])
+                    corners = [placed(*c) for c in ((left, low), (left + wide, low), (left + wide, low + high), (left, low + high))]
+                    boxes.append(list(zip(corners, corners[1:] + corners[:1], strict=True)))
+                    point = first = corners[0]
+                elif x in ("S", "s", "B", "B*", "b", "b*", "f", "F", "f*", "n"):
+                    stroked = x in ("S", "s", "B", "B*", "b", "b*")
+                    if x in ("s", "b", "b*"):
+                        sides.append((point, first))
+                    drawn = sides + [side for b in boxes for side in b] if stroked else [side for b in boxes if x != "n" and min(_length(b[0]), _length(b[1])) <= THIN for side in b]
+                    segments.extend({"x0": a[0], "y0": a[1], "x1": b[0], "y1": b[1]} for a, b in drawn if a != b)
+                    sides, boxes = [], []
                 elif x == "BT":
                     tm = line = _ONE
                 elif x == "Tf":
@@ -481,36 +526,47 @@ def page_content(pdf: Pdf, page: dict) -> tuple[list[dict], list[dict]]:
     content = b"\n".join(pdf.bytes(get(p)) for p in parts if isinstance(get(p), Stream))
     run(content, get(page.get("Resources")) or {}, _ONE, 0)
     spans = [s | {"text": s["text"].strip()} for s in spans if s["text"].strip()]
-    return [{"span_no": k} | s for k, s in enumerate(spans)], images
+    return [{"span_no": k} | s for k, s in enumerate(spans)], images, segments
 
 
-def decode(path: str, data: bytes, wanted: list[int] | None = None) -> list[dict]:
-    """A row for each wanted page (none wanted: all), or one with the error of a file that can't be read."""
+def decode_rows(path: str, data: bytes, wanted: list[int] | None = None, part: tuple[int, int] = (0, 1), keep=None):
+    """Rows of the wanted pages (none wanted: all), or one with the error of a file that can't be read.
+
+    Of ``part`` (k, n) only the k-th of n shares of them; the first share has a
+    file's error. ``keep`` says of a page's number whether it is decoded; with it
+    there are no rows for files.
+    """
     try:
         pdf = Pdf(data)
         all_pages = list(pdf.pages())
         meta = pdf.metadata() | {"page_count": len(all_pages)}
     except Exception as e:
-        return [{"path": path, "error": f"{type(e).__name__}: {e}"}]
-    rows = []
-    for n in wanted or range(len(all_pages)):
-        if not 0 <= n < len(all_pages):
+        if part[0] == 0 and keep is None:
+            yield {"path": path, "error": f"{type(e).__name__}: {e}"}
+        return
+    chosen = [n for n in wanted or range(len(all_pages)) if 0 <= n < len(all_pages)]
+    for n in chosen[len(chosen) * part[0] // part[1] : len(chosen) * (part[0] + 1) // part[1]]:
+        if keep and not keep(n):
             continue
-        row = {"path": path, "page_num": n, "metadata": meta}
+        row, began = {"path": path, "page_num": n, "metadata": meta}, time.perf_counter()
         try:
             box = [float(pdf.get(x)) for x in pdf.get(all_pages[n].get("CropBox") or all_pages[n].get("MediaBox") or [0, 0, 612, 792])]
-            spans, images = page_content(pdf, all_pages[n])
-            row |= {"width": box[2] - box[0], "height": box[3] - box[1], "spans": spans, "images": images}
+            spans, images, segments = page_content(pdf, all_pages[n])
+            row |= {"width": box[2] - box[0], "height": box[3] - box[1], "spans": spans, "images": images, "segments": segments}
         except Exception as e:
             row["error"] = f"{type(e).__name__}: {e}"
-        rows.append(row)
-    return rows
+        yield row | {"seconds": time.perf_counter() - began}
+
+
+def decode(path: str, data: bytes, wanted: list[int] | None = None) -> list[dict]:
+    """All of ``decode_rows``."""
+    return list(decode_rows(path, data, wanted))
 
 
 def decode_pages(files: DataFrame, wanted: list[int] | None = None) -> DataFrame:
     """A row for each page of (path, content), read where the files are: pages that aren't wanted aren't decoded."""
 
-    columns = [c.split()[0] for c in ("path", "page_num", "width", "height", "spans", "images", "metadata", "error")]
+    columns = [c.split()[0] for c in ("path", "page_num", "width", "height", "spans", "images", "segments", "metadata", "error", "seconds")]
 
     def run(batches):
         for batch in batches:
@@ -540,3 +596,8 @@ def page_images(pages: DataFrame) -> DataFrame:
 def spans(pages: DataFrame, key: str = "path") -> DataFrame:
     """(doc_id, page_num, span_no, text, ...) of decoded pages."""
     return pages.where("error is null").select(F.col(key).alias("doc_id"), "page_num", F.explode("spans").alias("s")).select("doc_id", "page_num", "s.*")
+
+
+def segments(pages: DataFrame, key: str = "path") -> DataFrame:
+    """(doc_id, page_num, x0, y0, x1, y1): straight lines drawn on decoded pages."""
+    return pages.where("error is null").select(F.col(key).alias("doc_id"), "page_num", F.explode("segments").alias("s")).select("doc_id", "page_num", "s.*")
