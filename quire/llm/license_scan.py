@@ -87,12 +87,13 @@ RULES = (
 )
 #: A longer rule says more than one whose licence it names here.
 INSTEAD = {"BSD-3-Clause": "BSD-2-Clause"}
-#: Most licence sentences hold one of these; where all given ones do, texts without any are passed over.
-HINTS = ("licen", "permi", "redistribut", "warrant", "copy of the mpl")
+#: Parts of words of which every licence sentence above has one.
+HINTS = ("licen", "permi", "redistribut", "warrant", "mpl")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINES, _PARAGRAPHS = r"[.!?]+[\t ]+|\n", r"[.!?]+[\t-\r ]+|\n[^a-z0-9\n]*\n"
-_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|spdx)[^\n]*$"
+# Words of sentences, which a line may begin with, and lines that state a copyright; in these the word stands alone.
+_MENTION, _COPYRIGHT = r"copyright([^a-z0-9]+)(notice|holder)", r"(?m)^[^a-z0-9\n]*(copyright([^a-z0-9_\n][^\n]*)?|spdx[^\n]*)$"
 
 
 def _identifiers(text: Column, ends: str, sentences: dict[str, str]) -> Column:
@@ -101,6 +102,19 @@ def _identifiers(text: Column, ends: str, sentences: dict[str, str]) -> Column:
     return F.filter(ids, lambda i: i.isNotNull())
 
 
+def hints(sentences: dict[str, str]) -> list[str]:
+    """Parts of words of which every given sentence has one.
+
+    A text in which none is has none of the sentences: line ends and comment marks
+    part words, but are never inside one.
+    """
+    out = [h for h in HINTS if any(h in s for s in sentences.values())]
+    for s in sentences.values():
+        if not any(h in s for h in out):
+            out.append(max(s.split(), key=len, default=""))
+    return out
+
+
 def _rule(ids: tuple[str, ...]) -> str:
     return "(^| )" + "( .*)? ".join(ids) + "( |$)"
 
@@ -113,19 +127,20 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", se
     that it replaces. Without sentences or rules nothing is found.
 
     ``sentences`` are the identifiers of the cut that finds more (of equal ones
-    the one by lines), ``licenses`` the names of the rules that match either
+    the one by paragraphs, whose sentences are longer), ``licenses`` the names of the rules that match either
     cut, sorted; both joined by spaces. Null and empty texts have none.
-    Repeated rows get equal results, null ids stay null, further columns are
-    ignored.
+    Texts of any length are read as wholes. Repeated rows get equal results, null
+    ids stay null, further columns are ignored, no rows give no rows.
     """
     text = F.translate(F.col(text_col), _UPPER, _LOWER)
     none = F.array().cast("array<string>")
     if not sentences or not rules:
         return docs.select(F.col(id_col).alias("doc_id"), F.lit(0).cast("long").alias("n_sentences"), F.lit("").alias("sentences"), F.lit("").alias("licenses"))
-    hinted = text.rlike("|".join(HINTS)) if all(any(h in s for h in HINTS) for s in sentences.values()) else text.isNotNull()
-    by_line, by_paragraph = _identifiers(text, _LINES, sentences), _identifiers(F.regexp_replace(text, _COPYRIGHT, "\n\n"), _PARAGRAPHS, sentences)
+    hinted = text.rlike("|".join(hints(sentences)))
+    stated = F.regexp_replace(F.regexp_replace(text, _MENTION, "copyright_$1$2"), _COPYRIGHT, "\n\n")
+    by_line, by_paragraph = _identifiers(text, _LINES, sentences), _identifiers(stated, _PARAGRAPHS, sentences)
     d = docs.select(F.col(id_col).alias("doc_id"), *[F.when(hinted, x).otherwise(none).alias(n) for x, n in ((by_line, "a"), (by_paragraph, "b"))])
-    d = d.select("doc_id", F.when(F.size("b") > F.size("a"), F.col("b")).otherwise(F.col("a")).alias("s"), F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"))
+    d = d.select("doc_id", F.when(F.size("b") >= F.size("a"), F.col("b")).otherwise(F.col("a")).alias("s"), F.array_join("a", " ").alias("a"), F.array_join("b", " ").alias("b"))
     found = {}
     for name, ids in rules:
         met = F.col("a").rlike(_rule(ids)) | F.col("b").rlike(_rule(ids))
@@ -150,13 +165,12 @@ def _oracle() -> str:
     for name, weaker in INSTEAD.items():
         both[weaker] = f"({both[weaker]} AND NOT {both[name]})"
     names = ", ".join(f"CASE WHEN {x} THEN '{n}' END" for n, x in sorted(both.items()))
-    own = f"regexp_replace(t, '{_COPYRIGHT}', chr(10) || chr(10), 'g')"
+    own = f"regexp_replace(regexp_replace(t, '{_MENTION}', 'copyright_\\1\\2', 'g'), '{_COPYRIGHT}', chr(10) || chr(10), 'g')"
     return f"""
 WITH known AS (SELECT {known} AS m),
 d AS (SELECT doc_id, translate(text, '{_UPPER}', '{_LOWER}') AS t FROM documents),
-l AS (SELECT doc_id, CASE WHEN regexp_matches(t, '{"|".join(HINTS)}') THEN {ids.format("t", _LINES)} ELSE [] END AS a,
-  CASE WHEN regexp_matches(t, '{"|".join(HINTS)}') THEN {ids.format(own, _PARAGRAPHS)} ELSE [] END AS b FROM d, known),
-j AS (SELECT doc_id, CASE WHEN len(b) > len(a) THEN b ELSE a END AS s, array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b FROM l)
+l AS (SELECT doc_id, coalesce({ids.format("t", _LINES)}, []) AS a, coalesce({ids.format(own, _PARAGRAPHS)}, []) AS b FROM d, known),
+j AS (SELECT doc_id, CASE WHEN len(b) >= len(a) THEN b ELSE a END AS s, array_to_string(a, ' ') AS a, array_to_string(b, ' ') AS b FROM l)
 SELECT doc_id, len(s)::BIGINT AS n_sentences, array_to_string(s, ' ') AS sentences, array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ' ') AS licenses
 FROM j"""
 

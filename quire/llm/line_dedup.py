@@ -100,6 +100,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     they lose the same lines; rows with one id and different texts are told
     apart by a hash of the text. An ``n_chars`` column is set to the new length,
     other columns are kept. ``n_lines`` and ``n_removed`` name columns to add.
+    Texts of any length are read as wholes, in parts of a line; no rows give no rows.
     """
     free = (x for x in (f"_quire_{k}" for k in count()) if x not in docs.columns)
     own = {c: next(free) for c in ("id", "tag", "gone")}
@@ -122,18 +123,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op9_winnowed_lines(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = dedup_lines(docs, n_lines="n_lines", n_removed="n_removed")
+    out = dedup_lines(docs, n_lines="n_lines", n_removed="n_removed", words=PASSAGE)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-ORACLE = r"""
+ORACLE = rf"""
 WITH l AS (
   SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS ln, unnest(string_split(text, chr(10))) AS x FROM documents WHERE text IS NOT NULL),
-b AS (SELECT doc_id, ln, x, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS n FROM l WHERE NOT regexp_matches(x, '^[\x20\x09-\x0D]*$')),
+b AS (SELECT doc_id, ln, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS m, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS n FROM l WHERE NOT regexp_matches(x, '^[\x20\x09-\x0D]*$')),
+v AS (SELECT doc_id, ln, x, m, lead(x) OVER d AS x2, lead(m) OVER d AS m2, lead(ln) OVER d AS ln2, lead(x, 2) OVER d AS x3, lead(ln, 2) OVER d AS ln3 FROM b WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
 w AS (
-  SELECT doc_id, ln, x || chr(10) || lead(x) OVER d || chr(10) || lead(x, 2) OVER d AS s, [ln, lead(ln) OVER d, lead(ln, 2) OVER d] AS covers
-  FROM b WINDOW d AS (PARTITION BY doc_id ORDER BY n)),
-f AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, ln) AS nth FROM w WHERE s IS NOT NULL),
+  SELECT doc_id, ln, x || chr(10) || x2 || chr(10) || x3 AS s, [ln, ln2, ln3] AS covers FROM v WHERE x3 IS NOT NULL
+  UNION ALL SELECT doc_id, ln, x || chr(10) || x2, [ln, ln2] FROM v WHERE x2 IS NOT NULL AND m + m2 >= {PASSAGE}
+  UNION ALL SELECT doc_id, ln, x, [ln] FROM v WHERE m >= {PASSAGE}),
+f AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY doc_id, ln) AS nth FROM w),
 gone AS (SELECT DISTINCT doc_id, unnest(covers) AS ln FROM f WHERE nth > 1),
 kept AS (
   SELECT l.doc_id, count(*) AS n, count(gone.ln) AS g, string_agg(CASE WHEN gone.ln IS NULL THEN x END, chr(10) ORDER BY l.ln) AS t

@@ -189,11 +189,10 @@ def _deal(rows: DataFrame, *by: str) -> DataFrame:
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links of the distinct fingerprints ``fp`` that make the components that all pairs within the radius make."""
     members = prints.select("fp", F.explode(variants(radius)).alias("key"))
-    live = written(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    m = members.join(live, "key").withColumn("blocks", F.ceil(F.col("n") / TILE))
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    large = written(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
+    m = members.join(large, "key", "left")
+    block = F.coalesce(F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / TILE)), F.lit(0))
     near = written(_deal(m.select("key", block.alias("block"), "fp"), "key", "block").mapInArrow(_within(radius), "a long, b long").distinct())
-    large = live.where(F.col("n") > TILE)
     if large.isEmpty():
         return near
     comp = components(near).withColumnRenamed("node", "fp")

@@ -139,6 +139,8 @@ def test_edge_cases(spark, name):
         assert got == sorted([(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 2, 0), (4, 2, 0), (5, 2, 0), (None, 2, 0), (None, 0, 0), (6, 300000, 0), (7, 300000, 300000), (8, 60, 0)], key=str)
         assert window_dedup.dedup_windows(empty).count() == 0
     else:
+        gone = {r.doc_id: r.n for r in line_dedup.dedup_lines(d, n_removed="n", words=line_dedup.PASSAGE).collect()}
+        assert gone[7] == 1 and gone[6] == gone[8] == 0  # a long line of an earlier document
         out = line_dedup.dedup_lines(d)
         assert out.columns == d.columns and out.count() == len(rows) and line_dedup.dedup_lines(empty).count() == 0
         assert sorted([r.text for r in out.collect()], key=str) == sorted([t for _, t in rows], key=str)
@@ -211,6 +213,17 @@ def test_long_lines(spark):
     assert kept == {i: t for i, t in rows} | {8: "s"}
 
 
+def test_no_later_passage_stays(spark):
+    """After the registered query no whole lines of 50 words or more, together, repeat those of an earlier document."""
+    d = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    out = line_dedup.dedup_lines(d, words=line_dedup.PASSAGE)
+    lines = out.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "x")).withColumn("n", F.regexp_count("x", F.lit(r"[^\x20\x09-\x0D]+"))).where(f"n >= {line_dedup.PASSAGE}")
+    assert lines.groupBy("x").agg(F.countDistinct("doc_id").alias("n")).where("n > 1").isEmpty()
+    got = {r.doc_id: r.kept_sha256 for r in queries.QUERIES["op9_winnowed_lines"](spark, SF).collect()}
+    own = line_dedup.dedup_lines(spark.read.parquet(f"{SF}/documents.parquet"), words=line_dedup.PASSAGE).select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    assert got == {r.doc_id: r.h for r in own.collect()}
+
+
 def test_line_columns(spark):
     d = docs(spark, [(1, "a\nb\nc"), (2, "a\nb\nc\nd")]).withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r for r in line_dedup.dedup_lines(d, n_lines="n", n_removed="gone").collect()}

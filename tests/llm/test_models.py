@@ -293,6 +293,24 @@ def test_notices_in_comments(spark, mark):
     assert [r.licenses for r in sorted(got, key=lambda r: r.doc_id)] == sorted(n for n, _ in rows)
 
 
+@pytest.mark.parametrize("mark", ["\n", "\n * ", "\r\n// ", "\n# "])
+def test_every_sentence_however_it_is_wrapped(spark, mark):
+    """At each space, and at all of them."""
+    from quire.llm import license_scan
+
+    rows = []
+    for i, s in license_scan.SENTENCES.items():
+        w = s.split(" ")
+        wrapped = [" ".join(w[:k]) + mark + " ".join(w[k:]) for k in range(1, len(w))] + [mark.join(w), s]
+        rows += [(i, mark + x.capitalize() + ".") for x in wrapped]
+    got = license_scan.licenses(spark.createDataFrame(rows, "doc_id string, text string"))
+    assert [(r.doc_id, r.sentences) for r in got.where("doc_id <> sentences or n_sentences <> 1").collect()] == []
+    only = {"x": "lorem ipsum dolor", "y": "mpl and so on"}
+    assert license_scan.hints(only) == ["mpl", "lorem"] and all(any(h in s for h in license_scan.hints(license_scan.SENTENCES)) for s in license_scan.SENTENCES.values())
+    found = license_scan.licenses(spark.createDataFrame([(1, "Lorem" + mark + "ipsum dolor.")], "doc_id long, text string"), sentences=only, rules=(("X", ("x",)),)).first()
+    assert (found.sentences, found.licenses) == ("x", "X")
+
+
 def test_given_rules(spark):
     d = spark.createDataFrame([(1, "First thing. Other words. Second thing!"), (2, "Second thing. First thing."), (3, None)], "doc_id long, text string")
     own = {"one": "first thing", "two": "second thing"}
