@@ -1,13 +1,26 @@
-"""Language identification by the share of frequent words; deterministic."""
+"""Language identification by character trigrams, with probabilities; deterministic.
+
+A profile has (gram, lang, weight): how much likelier a trigram is in a language
+than a trigram that the language doesn't have, as the logarithm in thousandths, a
+whole number. A text's score for a language is the sum over its trigrams, which
+is exact in any order, and its probabilities are the softmax of the mean scores,
+sharpened by ``SHARPNESS``; so a text of two languages has two probable ones.
+
+``profile`` makes the built-in model of nine languages out of frequent words;
+``learn`` makes one from labelled documents.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import language_code, strip
 
-# Frequent function words by language.
+# Frequent words by language, of which the built-in profile is made.
 FREQUENT = {
     "ca": "el la els les de del dels i a en un una que no és per amb al als com més però si ja aquest aquesta són hi ha va quan molt també seva seu fins des on sobre",
     "de": "der die das und ist nicht ein eine zu den von mit sich des auf für dem als auch es an werden aus er hat dass sie nach wird bei noch wie einem über einen so zum war aber",
@@ -19,47 +32,95 @@ FREQUENT = {
     "it": "di che la il un è per in una non sono con si da come le dei nel alla più anche ma gli della del lo al delle ha questo questa ci quando molto era suo sua loro essere",
     "pt": "de que o a e do da em um para com não uma os no se na por mais as dos como mas ao ele das à seu sua ou quando muito nos já também pelo pela até isso ela entre depois",
 }
-#: Every frequent word once.
-_ALL = sorted({w for words in FREQUENT.values() for w in words.split()})
 SHORTEST, FALLBACK = 10, "spa"
-
-
-def with_scores(docs: DataFrame, text_col: str = "text", into: str = "scores") -> DataFrame:
-    """``docs`` with an array of (lang, prob) of each language with a frequent word, most probable first, ties by name.
-
-    In steps, so that the words are split once; one pass over them leaves the
-    frequent ones, which each language looks through.
+#: A text whose every trigram is e times as likely in one language as in another has odds of e to this power.
+SHARPNESS = 12.0
+#: Trigrams that a learned language keeps, the most frequent ones, and the share of a trigram that it doesn't have.
+GRAMS, FLOOR = 500, 1e-4
+PROFILE = "gram string, lang string, weight long"
+
+
+def seed_weights() -> list[tuple[str, str, int]]:
+    """(gram, lang, weight) of the built-in model: trigrams of words between spaces, a word's share falling with its place in the list."""
+    out = []
+    for lang, listed in sorted(FREQUENT.items()):
+        shares: Counter[str] = Counter()
+        for place, word in enumerate(listed.split()):
+            padded = f" {word} "
+            for k in range(len(word)):
+                shares[padded[k : k + 3]] += 1 / (place + 10)
+        total = sum(shares.values())
+        out += [(gram, lang, round(1000 * math.log(max(share / total, FLOOR) / FLOOR))) for gram, share in sorted(shares.items())]
+    return out
+
+
+def profile(spark: SparkSession) -> DataFrame:
+    """The built-in model of nine languages, of some 1500 rows."""
+    return spark.createDataFrame(seed_weights(), PROFILE)
+
+
+def grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` with a row for each trigram ``gram`` of the text's words, in lower case and between spaces, or one with null."""
+    word = F.explode_outer(F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"), lambda w: w != "")).alias("_word")
+    rows = docs.select("*", word)
+    at = F.explode_outer(F.sequence(F.lit(1), F.length("_word"))).alias("_at")
+    return rows.select("*", at).withColumn("gram", F.substring(F.concat(F.lit(" "), "_word", F.lit(" ")), F.col("_at"), F.lit(3))).drop("_word", "_at")
+
+
+def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = GRAMS) -> DataFrame:
+    """A profile of the languages of labelled documents: ``most`` trigrams each; rows without a language are passed over."""
+    rows = grams(docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
+    n = rows.where("gram is not null").groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    own = Window.partitionBy("lang")
+    n = n.withColumn("total", F.sum("n").over(own)).withColumn("nth", F.row_number().over(own.orderBy(F.desc("n"), "gram"))).where(F.col("nth") <= most)
+    weight = F.round(1000 * F.ln(F.greatest(F.col("n") / F.col("total"), F.lit(FLOOR)) / FLOOR)).cast("long")
+    return n.select("gram", "lang", weight.alias("weight"))
+
+
+def scored(docs: DataFrame, model: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, short, scores) for each id: whether the text is too short, and (lang, prob) of every language of the model, the most probable first, ties by name.
+
+    Probabilities add up to 1. A text without a trigram of the model has no
+    scores, nor has any text if the model is empty. Rows of one id count
+    together, and are short if all are.
     """
-    d = docs.withColumn("_words", F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"), lambda w: w.isin(_ALL)))
-
-    def count(frequent):
-        return F.size(F.filter("_words", lambda w: w.isin(frequent.split())))
-
-    d = d.withColumn("_counts", F.array(*[F.struct((-count(frequent)).alias("less"), F.lit(lang).alias("lang")) for lang, frequent in sorted(FREQUENT.items())]))
-    d = d.withColumn("_counts", F.array_sort(F.filter("_counts", lambda c: c["less"] < 0)))
-    d = d.withColumn("_total", F.aggregate("_counts", F.lit(0), lambda a, c: a + c["less"]))
-    return d.withColumn(into, F.transform("_counts", lambda c: F.struct(c["lang"].alias("lang"), (c["less"] / F.col("_total")).alias("prob")))).drop("_words", "_counts", "_total")
-
-
-def languages(text: Column, scores: Column, most: int = 2, least: float = 0.1) -> Column:
-    """The ``most`` probable languages above ``least``; short or undecided texts are Spanish."""
-    found = F.transform(F.filter(F.slice(scores, 1, most), lambda s: s["prob"] > least), lambda s: s["lang"])
-    ok = (F.length(strip(text)) >= SHORTEST) & F.coalesce(F.get(scores, F.lit(0))["prob"] > least, F.lit(False))
-    return F.when((F.size(scores) > 0) & ok, found).otherwise(F.array(F.lit(FALLBACK)))
-
-
-def language(text: Column, scores: Column) -> Column:
-    """The most probable language; short or undecided texts are Spanish."""
-    return F.get(languages(text, scores, 1, 0.0), F.lit(0))
-
-
-def spanish_dominant(text: Column, scores: Column, share: float = 0.5) -> Column:
+    model = profile(docs.sparkSession) if model is None else model
+    known = sorted(r.lang for r in model.select("lang").distinct().collect())  # a name for each language
+    size = F.length(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", ""))
+    short = F.coalesce(F.length(strip(F.col(text_col))) < SHORTEST, F.lit(True))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = grams(d).drop("text").join(model, "gram").groupBy("doc_id", "lang").agg(F.sum("weight").alias("score"))
+    # trigrams are as many as letters, so they are counted without a row for each
+    whole = d.groupBy("doc_id").agg(F.sum(F.coalesce(size, F.lit(0))).alias("n"), F.min(short).alias("short"))
+    own = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("lang", "score"))).alias("own"))
+    d = whole.join(own, "doc_id", "left")
+    mean = lambda lang: F.coalesce(F.try_element_at("own", lang), F.lit(0)) / (1000.0 * F.col("n"))
+    names = F.array(*[F.lit(x) for x in known]) if known else F.array().cast("array<string>")
+    d = d.withColumn("e", F.when(F.col("own").isNotNull(), F.transform(names, lambda x: F.struct(F.exp(SHARPNESS * mean(x)).alias("e"), x.alias("lang")))))
+    d = d.withColumn("total", F.aggregate("e", F.lit(0.0), lambda a, x: a + x["e"]))
+    ranked = F.array_sort(F.transform("e", lambda x: F.struct((-F.round(x["e"] / F.col("total"), 9)).alias("less"), x["lang"].alias("lang"))))
+    scores = F.transform(ranked, lambda x: F.struct(x["lang"].alias("lang"), (-x["less"]).alias("prob")))
+    return d.select("doc_id", "short", F.coalesce(scores, F.array().cast("array<struct<lang:string,prob:double>>")).alias("scores"))
+
+
+def languages(short: Column, scores: Column, most: int = 2, least: float = 0.1) -> Column:
+    """Codes of the ``most`` probable languages above ``least``; short or undecided texts are Spanish."""
+    found = F.transform(F.filter(F.slice(scores, 1, most), lambda s: s["prob"] > least), lambda s: language_code(s["lang"]))
+    return F.when(~short & (F.size(found) > 0), found).otherwise(F.array(F.lit(FALLBACK)))
+
+
+def language(short: Column, scores: Column) -> Column:
+    """The code of the most probable language; short or undecided texts are Spanish."""
+    return F.get(languages(short, scores, 1, 0.0), F.lit(0))
+
+
+def spanish_dominant(short: Column, scores: Column, share: float = 0.5) -> Column:
     """Short and undecided texts count as Spanish."""
     spanish = F.exists(scores, lambda x: (x["lang"] == "es") & (x["prob"] >= share))
-    return (F.length(strip(text)) < SHORTEST) | (F.size(scores) == 0) | spanish
+    return short | (F.size(scores) == 0) | spanish
 
 
-def with_languages(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``languages``."""
-    d = with_scores(docs, text_col, "_scores")
-    return d.withColumn("languages", languages(F.col(text_col), F.col("_scores"))).drop("_scores")
+def with_languages(docs: DataFrame, model: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, languages) for each id."""
+    d = scored(docs, model, id_col, text_col)
+    return d.select("doc_id", languages(F.col("short"), F.col("scores")).alias("languages"))

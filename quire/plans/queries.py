@@ -474,21 +474,41 @@ def language_codes(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.language_list(F.array("lang", F.lit("es"), F.lit("xx"))).alias("codes"))
 
 
-def _language_sql() -> str:
-    n = ", ".join(f"{{'n': -len(list_filter(w, lambda x: x IN ({', '.join(repr(v) for v in words.split())}))), 'lang': '{lang}'}}" for lang, words in sorted(language.FREQUENT.items()))
-    return rf"""
-WITH w AS (SELECT doc_id, {_strip("text")} AS t, regexp_split_to_array(lower(text), '[^\p{{L}}]+') AS w FROM documents),
-c AS (SELECT doc_id, t, list_sort(list_filter([{n}], lambda x: x.n < 0)) AS c FROM w),
-s AS (SELECT doc_id, t, c, list_sum(list_transform(c, lambda x: x.n)) AS total FROM c),
-f AS (SELECT doc_id, t, list_transform(list_filter(c[1:2], lambda x: x.n / total > 0.1), lambda x: x.lang) AS l, coalesce(list_sum(list_transform(list_filter(c, lambda x: x.lang = 'es'), lambda x: x.n)), 0) / total AS es FROM s)
-SELECT doc_id, CASE WHEN length(t) < 10 OR len(l) = 0 THEN 'spa' ELSE array_to_string(l, '+') END AS languages, (length(t) < 10 OR len(l) = 0 OR coalesce(es >= 0.5, false)) AS spanish FROM f"""
+#: CTEs from documents and a profile to sc: each document's languages, the most probable first.
+_GRAMS = r"""
+, wd AS (SELECT doc_id, lang, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}]+'), lambda x: x <> '')) AS w FROM documents)
+, gr AS (SELECT doc_id, lang, unnest(list_transform(range(1, length(w) + 1), lambda i: substr(' ' || w || ' ', i, 3))) AS gram FROM wd)
+"""
+_SCORED = rf"""
+, wh AS (SELECT doc_id, length(regexp_replace(lower(text), '[^\p{{L}}]+', '', 'g')) AS n, length({_strip("text")}) < {language.SHORTEST} AS short FROM documents)
+, ms AS (SELECT doc_id, profile.lang, sum(weight) AS score FROM gr JOIN profile USING (gram) GROUP BY doc_id, profile.lang)
+, ex AS (SELECT d.doc_id, l.lang, exp({language.SHARPNESS} * coalesce(score, 0)::DOUBLE / (1000.0::DOUBLE * n)) AS e FROM (SELECT DISTINCT doc_id FROM ms) d CROSS JOIN (SELECT DISTINCT lang FROM profile) l LEFT JOIN ms ON ms.doc_id = d.doc_id AND ms.lang = l.lang JOIN wh ON wh.doc_id = d.doc_id)
+, pr AS (SELECT doc_id, lang, round(e / sum(e) OVER (PARTITION BY doc_id), 9) AS prob FROM ex)
+, rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY prob DESC, lang) AS nth, CASE lang WHEN 'es' THEN 'spa' WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'it' THEN 'ita' WHEN 'pt' THEN 'por' WHEN 'ca' THEN 'cat' WHEN 'eu' THEN 'eus' WHEN 'gl' THEN 'glg' ELSE lang END AS code FROM pr)
+, sc AS (SELECT doc_id, short, coalesce(string_agg(code, '+' ORDER BY nth) FILTER (nth <= 2 AND prob > 0.1), '') AS found, coalesce(max(prob) FILTER (lang = 'es'), 0) AS es, max(prob) AS top, coalesce(count(lang), 0) AS n FROM wh LEFT JOIN rk USING (doc_id) GROUP BY doc_id, short)
+SELECT doc_id, CASE WHEN short OR found = '' THEN 'spa' ELSE found END AS languages, (short OR n = 0 OR es >= 0.5) AS spanish, round(top, 6)::DOUBLE AS prob FROM sc"""
+_SEEDS = "WITH profile(gram, lang, weight) AS (VALUES " + ", ".join(f"('{g}', '{lang}', {w})" for g, lang, w in language.seed_weights()) + ")"
+_LEARNED = f"""
+, gc AS (SELECT lang, gram, count(*) AS n FROM gr WHERE lang IS NOT NULL GROUP BY lang, gram)
+, gt AS (SELECT *, sum(n) OVER (PARTITION BY lang) AS total, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS nth FROM gc)
+, profile AS (SELECT gram, lang, round(1000 * ln(greatest(n / total, {language.FLOOR}) / {language.FLOOR}))::BIGINT AS weight FROM gt WHERE nth <= {language.GRAMS})"""
+
+
+def _languages(scored: DataFrame) -> DataFrame:
+    short, scores = F.col("short"), F.col("scores")
+    top = F.round(F.get(scores, F.lit(0))["prob"], 6)
+    return scored.select("doc_id", F.array_join(language.languages(short, scores), "+").alias("languages"), language.spanish_dominant(short, scores).alias("spanish"), top.alias("prob"))
+
+
+@query(_SEEDS + _GRAMS + _SCORED)
+def language_id(spark, sf_dir):
+    return _languages(language.scored(documents(spark, sf_dir)))
 
 
-@query(_language_sql())
-def language_id(spark, sf_dir):
-    d = language.with_scores(documents(spark, sf_dir).select("doc_id", "text"))
-    text, scores = F.col("text"), F.col("scores")
-    return d.select("doc_id", F.array_join(language.languages(text, scores), "+").alias("languages"), language.spanish_dominant(text, scores).alias("spanish"))
+@query(_GRAMS.replace(", wd", "WITH wd", 1) + _LEARNED + _SCORED)
+def language_learned(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    return _languages(language.scored(d, language.learn(d)))
 
 
 def _tables(spark, sf_dir) -> DataFrame:

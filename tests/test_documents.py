@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import deck, docx, elements, imaging, language, markdown, metrics, ocr, pages, scripts, tables
 from quire.plans import pipeline, queries
 from quire.sources import files, pdf as pdf_source
@@ -179,8 +180,37 @@ def test_recognised_words(spark):
 
 
 def test_language(spark):
-    d = spark.createDataFrame([("the house of the people is in the town",), ("corto",), ("der Hund und die Katze sind nicht da",)], "text string")
-    assert [r.languages[0] for r in language.with_languages(d).collect()] == ["en", "spa", "de"]
+    texts = ["the house of the people is in the town", "corto", "der Hund und die Katze sind nicht da", None, "12345 67890 !!", "", "東京は日本の首都である人口は多い"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"gram": F.lit("x"), "n": F.lit(1), "lang": F.lit("y")})
+    got = {r.doc_id: r.languages for r in language.with_languages(d).collect()}
+    assert {k: v[0] for k, v in got.items()} == {0: "eng", 1: "spa", 2: "deu", 3: "spa", 4: "spa", 5: "spa", 6: "spa"}
+    rows = {r.doc_id: r for r in language.scored(d).collect()}
+    assert all(abs(sum(s.prob for s in rows[k].scores) - 1) < 1e-6 and len(rows[k].scores) == 9 for k in (0, 2)) and rows[4].scores == [] and rows[1].short and rows[3].short
+    assert language.scored(d.limit(0)).count() == 0 and language.scored(d, language.profile(spark).limit(0)).where("size(scores) > 0").count() == 0
+    s = {r.doc_id: (r.one, r.es) for r in language.scored(d).select("doc_id", language.language(F.col("short"), F.col("scores")).alias("one"), language.spanish_dominant(F.col("short"), F.col("scores")).alias("es")).collect()}
+    assert s[0] == ("eng", False) and s[1] == s[3] == s[4] == ("spa", True)
+
+
+def test_texts_of_two_languages(spark):
+    """Both are probable, and the larger part comes first."""
+    de, en = "der Hund und die Katze sind nicht in dem Haus aber sie werden noch kommen ", "the dog and the cat are not in this house but they will be there "
+    d = spark.createDataFrame([(1, de * 9), (2, de * 5 + en * 4), (3, de * 4 + en * 5)], "doc_id long, text string")
+    got = {r.doc_id: (r.languages, {s.lang: s.prob for s in r.scores}) for r in language.scored(d).select("doc_id", language.languages(F.col("short"), F.col("scores")).alias("languages"), "scores").collect()}
+    assert got[1][0] == ["deu"] and got[1][1]["de"] > 0.95
+    assert set(got[2][0]) == set(got[3][0]) == {"deu", "eng"} and got[1][1]["en"] < got[2][1]["en"] < got[3][1]["en"]
+
+
+def test_language_accuracy(spark):
+    """Of the four languages of the table, by the built-in model and by one learned from the other half."""
+    d = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").where("lang is not null and length(text) > 40").cache()
+    learned = language.learn(d.where("doc_id % 2 = 0"))
+    for model, least in ((None, 0.97), (learned, 0.99)):
+        tested = d.where("doc_id % 2 = 1")
+        got = language.with_languages(tested, model).join(tested.select("doc_id", "lang"), "doc_id")
+        code = F.create_map(*[F.lit(x) for pair in T.LANGUAGE_CODES.items() for x in pair])
+        n, right = got.agg(F.count("*"), F.count_if(F.col("languages")[0] == code[F.col("lang")])).first()
+        assert right / n >= least, right / n
+    assert learned.groupBy("lang").count().where(f"count > {language.GRAMS}").count() == 0
 
 
 def test_imaging():
