@@ -29,14 +29,16 @@ def deck_titles(elements: DataFrame, untitled: str = UNTITLED) -> DataFrame:
     return e.groupBy("doc_id").agg(title.alias("title"), pick(heading & (F.col("level") <= 2) & (F.col("pos") > F.col("first_title"))).alias("subtitle"))
 
 
-def deck_slides(elements: DataFrame, tables: DataFrame | None = None, logo: str | None = None) -> DataFrame:
-    """(doc_id, slide_idx, type, title, subtitle, items, notes, md, logo): cover, then slides in order, then tables.
+def deck_slides(elements: DataFrame, tables: DataFrame | None = None, logo: str | None = None, images: DataFrame | None = None) -> DataFrame:
+    """(doc_id, slide_idx, type, title, subtitle, items, notes, md, logo, image): cover, then slides in order, then tables.
 
     A heading of level 1 makes a section and ends the title; levels 2 and 3 set
     the title; any heading ends a slide. Bullets fill slides of six, paragraphs
     slides of three; what a segment leaves over is one slide, its paragraphs as
-    notes of its bullets. Items under no title are dropped. One pass over each
-    document's elements, which are brought together once.
+    notes of its bullets. Items under no title are dropped. ``images`` (doc_id,
+    pos, nth, image) have a slide each, behind the element at ``pos``, titled as
+    the last heading up to it, else as the deck. One pass over each document's
+    elements, which are brought together once.
     """
     doc = Window.partitionBy("doc_id")
     running = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
@@ -66,17 +68,25 @@ def deck_slides(elements: DataFrame, tables: DataFrame | None = None, logo: str
     own = lambda t: F.transform(F.array_sort(F.collect_list(F.when(F.col("element") == t, F.struct("pos", "item")))), lambda x: x["item"])
     s = rows.groupBy("doc_id", "seg", "chunk", "type").agg(F.first("title").alias("title"), F.first("subtitle").alias("subtitle"), F.max("pos").alias("at"), own("list_item").alias("b"), own("paragraph").alias("p"))
     bullets, both = F.col("type") == "bullets", (F.size("b") > 0) & (F.size("p") > 0)
-    s = s.select("doc_id", "seg", F.when(F.col("chunk") == _END, _END).when(bullets, F.col("at")).otherwise(F.col("chunk")).alias("at"), "type", "title", "subtitle", F.when(bullets, F.when(F.size("b") > 0, F.col("b")).otherwise(F.col("p"))).alias("items"), F.when(bullets & both, F.array_join("p", "\n")).alias("notes"), null.alias("md"))
+    s = s.select("doc_id", "seg", F.when(F.col("chunk") == _END, _END).when(bullets, F.col("at")).otherwise(F.col("chunk")).alias("at"), "type", "title", "subtitle", F.when(bullets, F.when(F.size("b") > 0, F.col("b")).otherwise(F.col("p"))).alias("items"), F.when(bullets & both, F.array_join("p", "\n")).alias("notes"), null.alias("md"), null.alias("image"), F.lit(0).cast("long").alias("nth"))
+    none = F.lit(None).cast("array<string>")
     if tables is not None:
-        t = tables.select("doc_id", F.lit(_END).alias("seg"), F.col("table_idx").cast("long").alias("at"), F.lit("table").alias("type"), F.concat(F.lit(f"{TABLE} "), (F.col("table_idx") + 1).cast("string")).alias("title"), null.alias("subtitle"), F.lit(None).cast("array<string>").alias("items"), null.alias("notes"), "md")
+        t = tables.select("doc_id", F.lit(_END).alias("seg"), F.col("table_idx").cast("long").alias("at"), F.lit("table").alias("type"), F.concat(F.lit(f"{TABLE} "), (F.col("table_idx") + 1).cast("string")).alias("title"), null.alias("subtitle"), none.alias("items"), null.alias("notes"), "md", null.alias("image"), F.lit(0).cast("long").alias("nth"))
         s = s.unionByName(t)
-    idx = F.row_number().over(doc.orderBy("seg", "at")) - 1
-    return s.select("doc_id", idx.cast("int").alias("slide_idx"), "type", "title", "subtitle", "items", "notes", "md", F.when(F.col("type") == "cover", F.lit(logo)).cast("string").alias("logo"))
+    if images is not None:
+        own = e.select("doc_id", "pos", F.lit(0).cast("long").alias("nth"), null.alias("image"), F.col("seg").cast("long").alias("seg"), F.when(heading, F.col("text")).alias("head"), "cover_title")
+        among = doc.orderBy("pos", "nth").rowsBetween(Window.unboundedPreceding, 0)
+        i = own.unionByName(images.select("doc_id", "pos", "nth", "image"), allowMissingColumns=True)
+        last = lambda c: F.last(c, ignorenulls=True).over(among)
+        i = i.select("doc_id", F.coalesce(last("seg"), F.lit(0).cast("long")).alias("seg"), F.col("pos").alias("at"), F.lit("image").alias("type"), F.coalesce(last("head"), F.max("cover_title").over(doc)).alias("title"), null.alias("subtitle"), none.alias("items"), null.alias("notes"), null.alias("md"), "image", "nth")
+        s = s.unionByName(i.where("image is not null and title is not null"))  # a document without elements has no deck
+    idx = F.row_number().over(doc.orderBy("seg", "at", "nth")) - 1
+    return s.select("doc_id", idx.cast("int").alias("slide_idx"), "type", "title", "subtitle", "items", "notes", "md", F.when(F.col("type") == "cover", F.lit(logo)).cast("string").alias("logo"), "image")
 
 
 def deck_json(slides: DataFrame, info: DataFrame, brand: Column) -> DataFrame:
     """(doc_id, json): the deck without null fields, titled as its cover, from slides and (doc_id, source, pages, languages)."""
-    slide = F.struct("slide_idx", "type", "title", "subtitle", "items", "md", "notes", "logo")
+    slide = F.struct("slide_idx", "type", "title", "subtitle", "items", "md", "image", "notes", "logo")
     title = F.max(F.when(F.col("type") == "cover", F.col("title")))
     s = slides.groupBy("doc_id").agg(F.array_sort(F.collect_list(slide)).alias("slides"), title.alias("title"))
     s = s.withColumn("slides", F.transform("slides", lambda x: x.dropFields("slide_idx")))

@@ -1,4 +1,4 @@
-"""Elements: positions in document order, merging of paragraphs, the text of a document."""
+"""Elements: positions in document order, merging of paragraphs, images among them, the text of a document."""
 
 from __future__ import annotations
 
@@ -15,11 +15,11 @@ def with_position(rows: DataFrame, *order: str) -> DataFrame:
 
 
 def span_elements(spans: DataFrame, sizes: Sizes = Sizes()) -> DataFrame:
-    """(doc_id, page_num, pos, type, text, level, section_number, font_size, is_bold) of the non-blank spans."""
+    """(doc_id, page_num, pos, type, text, level, section_number, font_size, is_bold) of the non-blank spans, and their y0 where spans have it."""
     own = spans.where(strip(F.col("text")) != "")
     out = own.withColumn("e", classify_span(F.col("text"), F.col("font_size"), F.col("is_bold"), sizes))
     out = with_position(out, "span_no")
-    return out.select("doc_id", "page_num", "pos", "e.type", "e.text", "e.level", "e.section_number", "font_size", "is_bold")
+    return out.select("doc_id", "page_num", "pos", "e.type", "e.text", "e.level", "e.section_number", "font_size", "is_bold", *[c for c in spans.columns if c == "y0"])
 
 
 def recognised_elements(pages: DataFrame, line_mode: str = "line") -> DataFrame:
@@ -51,6 +51,23 @@ def joined(col: str, by: str, sep: str):
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, col))), lambda s: s[col]), sep)
 
 
+def place_images(images: DataFrame, elements: DataFrame) -> DataFrame:
+    """(doc_id, page_num, y0, image, pos, nth): images (doc_id, page_num, y0, image) with the last element (doc_id, page_num, pos, y0) above them.
+
+    Images and elements of a document are brought together in order of page and
+    y0, and an element at an image's height counts as above. ``pos`` is -1 where
+    there is none; elements without a y0 are at the top of their page. ``nth`` is
+    an image's place among the images of its document.
+    """
+    own = elements.select("doc_id", "page_num", "y0", "pos", F.lit(None).cast("string").alias("image"))
+    rows = own.unionByName(images.select("doc_id", "page_num", "y0", F.lit(None).cast("long").alias("pos"), "image"))
+    order = Window.partitionBy("doc_id").orderBy("page_num", F.asc_nulls_first("y0"), F.asc_nulls_first("image"), "pos")
+    above = F.last("pos", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    nth = F.count("image").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.select("doc_id", "page_num", "y0", "image", F.coalesce(above, F.lit(-1).cast("long")).alias("pos"), nth.alias("nth"))
+    return rows.where("image is not null")
+
+
 def document_text(elements: DataFrame) -> DataFrame:
     """(doc_id, text): all texts in order, before paragraphs are merged."""
     return elements.groupBy("doc_id").agg(joined("text", "pos", " ").alias("text"))

@@ -1,6 +1,6 @@
 """All registered queries of the reference's operators, and their SQL."""
 
-from . import table_queries  # noqa: F401  registers its queries
+from . import sql_queries, table_queries  # noqa: F401  register their queries
 from .queries import ORACLES, QUERIES, element_counts
 
 __all__ = ["ORACLES", "QUERIES", "element_counts"]

@@ -11,12 +11,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.classify import Sizes
-from ..functions.text import count_hyphens, output_name, parse_pages
+from ..functions.text import count_hyphens, output_name, parse_pages, path_stem
 from ..log import NAME
 from ..operators import deck, docx, elements, imaging, language, markdown, metrics, ocr, pages, table_finder
 from ..operators import tables as table_rules
@@ -62,6 +62,8 @@ class Options:
     recogniser: Recogniser | None = None
     #: How tables are found: auto (by lines, else by gaps), ruled, unruled, or None.
     tables: str | None = "auto"
+    #: Whether embedded images become files, and slides of the JSON deck.
+    images: bool = False
     #: Further finders, for pages where those before have found none.
     table_finders: tuple[TableFinder, ...] = ()
 
@@ -81,6 +83,7 @@ class Result:
     errors: DataFrame
     options: Options
     decoded: DataFrame
+    source: DataFrame
     #: What Spark has counted while decoding, once that has run: pages, errors and seconds in tasks.
     observed: Observation | None = None
 
@@ -99,14 +102,27 @@ class Result:
             front = info.join(titles, "doc_id").select("doc_id", markdown.frontmatter({"title": F.col("title"), "source": F.col("source")}, {"languages": F.col("languages")}).alias("front")) if o.frontmatter else None
             out["md"] = markdown.markdown(self.merged, front, t, o.page_markers).withColumnRenamed("markdown", "content")
         if "json" in o.export:
-            slides = deck.deck_slides(self.merged, t, o.brand.logo)
+            placed = None
+            if o.images:
+                own = self.decoded.where("error is null").select(F.col("path").alias("doc_id"), "page_num", F.explode("images").alias("i"))
+                placed = elements.place_images(own.select("doc_id", "page_num", "i.y0", _image_name(F.col("doc_id"), F.col("i")).alias("image")), self.merged)
+            slides = deck.deck_slides(self.merged, t, o.brand.logo, placed)
             out["json"] = deck.deck_json(slides, info.select("doc_id", "source", "pages", "languages"), o.brand.column()).withColumnRenamed("json", "content")
         if "docx" in o.export:
             out["docx"] = docx.docx(self.merged, self.tables)
         out["metrics"] = metrics.metrics_json(self.document_metrics, self.page_metrics).withColumnRenamed("json", "content")
         for k in {"json", "metrics"} & out.keys():
             out[k] = out[k].withColumn("content", indented("content"))
-        return {k: d.select(F.col("doc_id").alias("path"), output_name(F.col("doc_id"), k).alias("name"), F.col("content").cast("binary").alias("content")) for k, d in out.items()}
+        files_ = {k: d.select(F.col("doc_id").alias("path"), output_name(F.col("doc_id"), k).alias("name"), F.col("content").cast("binary").alias("content")) for k, d in out.items()}
+        if o.images:  # their bytes aren't kept in the cache, so they are decoded again
+            i = pdf.decode_pages(self.source, o.wanted()).where("error is null").select("path", "page_num", F.explode("images").alias("i"))
+            files_["images"] = i.select("path", _image_name(F.col("path"), F.col("i")).alias("name"), "i.content")
+        return files_
+
+
+def _image_name(path: Column, image: Column) -> Column:
+    """The file name of an image of the column ``page_num``."""
+    return F.concat(path_stem(path), F.format_string(".p%d-%d.", F.col("page_num") + 1, image["img_idx"] + 1), image["ext"])
 
 
 @F.pandas_udf(StringType())
@@ -138,14 +154,15 @@ def process(source: DataFrame, options: Options = Options(), decoded: DataFrame
     observed = Observation()
     # the mark keeps Spark from taking an earlier run's cache for this one, which may see other files
     decoded = pdf.decode_pages(source, options.wanted()) if decoded is None else decoded
-    decoded = decoded.drop("images").withColumn("run", F.lit(uuid.uuid4().hex)).observe(observed, F.count("page_num").alias("pages"), F.count("error").alias("errors"), F.sum("seconds").alias("seconds")).persist()
+    boxes = F.transform("images", lambda i: i.dropFields("content")) if options.images else F.lit(None)
+    decoded = decoded.withColumn("images", boxes).withColumn("run", F.lit(uuid.uuid4().hex)).observe(observed, F.count("page_num").alias("pages"), F.count("error").alias("errors"), F.sum("seconds").alias("seconds")).persist()
     p = decoded.where("error is null").select(F.col("path").alias("doc_id"), "page_num", "width", "height", "seconds")
     spans = pdf.spans(decoded).repartition("doc_id")  # once; what follows goes by document
     dense = pages.page_density(spans, p)
     repeated = pages.repeated_texts(spans, p)
     native = dense.where(~F.col("needs_ocr")).select("doc_id", "page_num")
     kept = pages.strip_repeated(spans, repeated).join(native, pages.PAGE, "left_semi")
-    found = elements.span_elements(kept, options.sizes).select("doc_id", "page_num", "pos", "type", "text", "level")
+    found = elements.span_elements(kept, options.sizes).select("doc_id", "page_num", "pos", "type", "text", "level", "y0")
     scanned = dense.where("needs_ocr").select("doc_id", "page_num")
     errors = decoded.where("error is not null").select("path", "page_num", "error")
     if options.recogniser is None:
@@ -159,9 +176,9 @@ def process(source: DataFrame, options: Options = Options(), decoded: DataFrame
         pictures = pictures.withColumns({"languages": F.lit("+".join(options.languages)), "dpi": F.lit(options.dpi)})
         words = _checked(options.recogniser(pictures), WORDS, "recogniser").select(F.col("path").alias("doc_id"), "page_num", "words")
         texts = ocr.recognised_pages(words, options.min_confidence)
-        found = found.unionByName(elements.recognised_elements(texts, options.line_mode))
+        found = found.unionByName(elements.recognised_elements(texts, options.line_mode), allowMissingColumns=True)
         read = texts.select("doc_id", "page_num", "ocr_confidence", count_hyphens(F.col("text")).alias("corrections"))
-    found = elements.with_position(found.withColumnRenamed("pos", "_own"), "_own").drop("_own").select("doc_id", "page_num", "pos", "type", "text", "level")
+    found = elements.with_position(found.withColumnRenamed("pos", "_own"), "_own").drop("_own").select("doc_id", "page_num", "pos", "type", "text", "level", "y0")
     tables = table_finder.find_tables(spans, pdf.segments(decoded), options.tables) if options.tables else None
     for finder in options.table_finders:
         own = _checked(finder(_by_file(decoded.where("error is null"), source)), TABLES, "table finder")
@@ -171,7 +188,7 @@ def process(source: DataFrame, options: Options = Options(), decoded: DataFrame
     full = dense.select("doc_id", "page_num", "text_density", "seconds").join(read, pages.PAGE, "left")
     by_page = metrics.page_metrics(full, tables, options.exact_metrics)
     langs = language.with_languages(elements.document_text(found)).select("doc_id", "languages")
-    return Result(dense, found, elements.merge_paragraphs(found), tables, langs, by_page, metrics.document_metrics(by_page), errors, options, decoded, observed)
+    return Result(dense, found, elements.merge_paragraphs(found), tables, langs, by_page, metrics.document_metrics(by_page), errors, options, decoded, source, observed)
 
 
 def process_path(spark: SparkSession, path: str, options: Options = Options(), split_bytes: int | None = None) -> Result:

@@ -195,7 +195,7 @@ def ocr_line_elements(spark, sf_dir):
 
 @query(_F + _ELEMENTS + "SELECT * FROM elements")
 def layout_elements(spark, sf_dir):
-    return elements.span_elements(spans(spark, sf_dir)).drop("font_size", "is_bold")
+    return elements.span_elements(spans(spark, sf_dir)).drop("font_size", "is_bold", "y0")
 
 
 @query(_F + _MERGED + "SELECT doc_id, page_num, pos, type, text, level FROM merged")
@@ -303,6 +303,29 @@ def deck_slides(spark, sf_dir):
     return s.select("doc_id", "slide_idx", "type", "title", "subtitle", F.array_join("items", "\x1f").alias("items"), "notes")
 
 
+#: Images at two heights of some pages of the scan; between elements they are under the last heading above.
+_IMAGES = """SELECT doc_id, page_num, 20e0 * (1 + (doc_id + page_num) % 9) + 5 AS y0, concat('page-', CAST(page_num AS VARCHAR(9)), '-a.png') AS image FROM {spans} WHERE span_no = 0 AND (doc_id + page_num) % 5 = 2
+  UNION ALL SELECT doc_id, page_num, 20e0 * (1 + (doc_id + page_num) % 9) + 5, concat('page-', CAST(page_num AS VARCHAR(9)), '-b.png') FROM {spans} WHERE span_no = 0 AND (doc_id + page_num) % 10 = 2
+  UNION ALL SELECT doc_id, page_num, 5e0, concat('page-', CAST(page_num AS VARCHAR(9)), '-top.png') FROM {spans} WHERE span_no = 0 AND (doc_id + page_num) % 7 = 0"""
+_PLACED = f"""
+, im AS ({_IMAGES.format(spans="spans")})
+, sy AS (SELECT doc_id, page_num, row_number() OVER (PARTITION BY doc_id ORDER BY page_num, span_no) - 1 AS pos, y0 FROM spans WHERE {_strip("text")} <> '')
+, yy AS (SELECT doc_id, page_num, y0, pos, NULL AS image FROM merged JOIN sy USING (doc_id, page_num, pos) UNION ALL SELECT doc_id, page_num, y0, NULL, image FROM im)
+, ya AS (SELECT *, coalesce(last_value(pos IGNORE NULLS) OVER w, -1) AS above, count(image) OVER w AS nth FROM yy WINDOW w AS (PARTITION BY doc_id ORDER BY page_num, y0, image NULLS FIRST, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+, yh AS (SELECT y.doc_id, y.image, y.above, y.nth, (SELECT arg_max(m.text, m.pos) FROM merged m WHERE m.doc_id = y.doc_id AND m.type = 'heading' AND m.pos <= y.above) AS head FROM ya y WHERE y.image IS NOT NULL)
+, si AS (SELECT doc_id, k1, k2, 0 AS k3, type, title, subtitle, items, notes, NULL AS image FROM s UNION ALL SELECT doc_id, above, 2, nth, 'image', coalesce(head, title), NULL, NULL, NULL, image FROM yh JOIN titles USING (doc_id))
+"""
+
+
+@query(_F + _MERGED + _TITLES + _SLIDES + _PLACED + "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2, k3) - 1)::INT AS slide_idx, type, title, items, image FROM si")
+def deck_images(spark, sf_dir):
+    sp = spans(spark, sf_dir)
+    m = elements.merge_paragraphs(elements.span_elements(sp))
+    images = spark.sql(_IMAGES, spans=sp)
+    s = deck.deck_slides(m, images=elements.place_images(images, m))
+    return s.select("doc_id", "slide_idx", "type", "title", F.array_join("items", "\x1f").alias("items"), "image")
+
+
 _Q = lambda x: f"to_json({x})::VARCHAR"
 _JSON = f"""
 , j AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2) AS n, '{{"type":"' || type || '"' || coalesce(',"title":' || {_Q("title")}, '') || coalesce(',"subtitle":' || {_Q("subtitle")}, '')

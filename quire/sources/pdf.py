@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import filters, glyphs, raster
 
 SPAN = "struct<span_no:int,text:string,x0:double,y0:double,x1:double,y1:double,font_size:double,font_name:string,is_bold:boolean,is_italic:boolean>"
-IMAGE = "struct<img_idx:int,ext:string,content:binary>"
+IMAGE = "struct<img_idx:int,ext:string,content:binary,x0:double,y0:double,x1:double,y1:double>"
 META = "struct<title:string,author:string,subject:string,creator:string,producer:string,creation_date:string,page_count:int>"
 SEGMENT = "struct<x0:double,y0:double,x1:double,y1:double>"
 #: ``seconds`` is what decoding the page took.
@@ -505,10 +505,12 @@ def page_content(pdf: Pdf, page: dict) -> tuple[list[dict], list[dict], list[dic
                     if isinstance(o, Stream) and get(o.info.get("Subtype")) == "Image":
                         f = get(o.info.get("Filter"))
                         f = get(f[-1]) if isinstance(f, list) and f else f
+                        corners = [placed(*c) for c in ((0, 0), (1, 0), (0, 1), (1, 1))]
+                        at = {f"{k}{n}": pick(c[j] for c in corners) for j, k in enumerate("xy") for n, pick in ((0, min), (1, max))}
                         if f in ("DCTDecode", "JPXDecode"):
-                            images.append({"img_idx": len(images), "ext": "jpeg" if f == "DCTDecode" else "jp2", "content": o.raw})
+                            images.append({"img_idx": len(images), "ext": "jpeg" if f == "DCTDecode" else "jp2", "content": o.raw} | at)
                         elif (png := raster.png(pdf, o)) is not None:
-                            images.append({"img_idx": len(images), "ext": "png", "content": png})
+                            images.append({"img_idx": len(images), "ext": "png", "content": png} | at)
                     elif isinstance(o, Stream) and depth < 8:
                         m = tuple(float(get(v)) for v in get(o.info.get("Matrix")) or _ONE)
                         run(pdf.bytes(o), get(o.info.get("Resources")) or resources, _times(m, state["ctm"]), depth + 1)
