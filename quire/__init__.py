@@ -1 +1,3 @@
 """Document-structure analytics on Spark."""
+
+__version__ = "0.1.0"

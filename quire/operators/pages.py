@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import count_hyphens, strip
 
 PAGE = ["doc_id", "page_num"]
 
@@ -24,6 +24,13 @@ def page_density(spans: DataFrame, pages: DataFrame, threshold: float = 0.01) ->
     return out.withColumn("needs_ocr", (F.col("text_density") < threshold) | ~F.col("has_native_text"))
 
 
+def counted_pages(spans: DataFrame, width: float, height: float) -> DataFrame:
+    """(doc_id, page_num, text_density, hyphens) of the pages of one size that have spans: density of the non-blank ones, broken words of all, in one aggregate."""
+    area = F.when(strip(F.col("text")) != "", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+    p = spans.groupBy(*PAGE).agg(F.sum(area).alias("ink"), F.sum(count_hyphens(F.col("text"))).alias("hyphens"))
+    return p.select(*PAGE, (F.coalesce("ink", F.lit(0.0)) / (width * height)).alias("text_density"), "hyphens")
+
+
 def repeated_texts(spans: DataFrame, pages: DataFrame, share: float = 0.6, least_pages: int = 3) -> DataFrame:
     """(doc_id, kind, text): top and bottom texts that at least ``share`` of a document's pages with text have.
 

@@ -77,6 +77,28 @@ def markdown_slides(docs: DataFrame, skipped: tuple[str, ...] = SKIPPED) -> Data
     return s.select("doc_id", idx.cast("int").alias("slide_idx"), F.when(F.col("section"), "section").otherwise("content").alias("type"), F.when(F.col("section"), F.get("items", F.lit(0))).otherwise(F.col("title")).alias("title"), "part", F.when(~F.col("section"), F.col("items")).alias("items"))
 
 
+# The line below the brand on the Markdown deck's cover, and what its last line counts.
+COVER, MAIN_SLIDES = "Fundamentos de Testing de Software", "slides principales"
+
+
+def markdown_deck(docs: DataFrame, brand: str, title: Column | None = None, below: str = COVER, **rules) -> DataFrame:
+    """(doc_id, deck, slides): the text of the slides of Markdown, with cover and closing slide.
+
+    ``title`` is an expression over the columns of ``docs``, by default the id.
+    Further parts of a slide are marked as continued, and only first parts count.
+    A document without slides has cover and closing slide.
+    """
+    titles = docs.select("doc_id", (F.col("doc_id").cast("string") if title is None else title).alias("cover"))
+    heading = F.concat(F.lit("## "), "title", F.when(F.col("part") > 0, " (cont.)").otherwise(""), F.lit("\n\n"))
+    body = F.concat(heading, F.array_join(F.transform("items", lambda x: F.concat(x, F.lit("\n"))), ""), F.lit("\n---\n\n"))
+    s = markdown_slides(docs, **rules)
+    s = s.select("doc_id", "slide_idx", "part", F.when(F.col("type") == "section", F.concat(F.lit("# "), "title", F.lit("\n\n---\n\n"))).otherwise(body).alias("t"))
+    s = s.groupBy("doc_id").agg(joined("t", "slide_idx", "").alias("t"), F.count_if(F.col("part") == 0).alias("n"))
+    d = titles.join(s, "doc_id", "left").select("doc_id", "cover", F.coalesce("t", F.lit("")).alias("t"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    cover = F.concat(F.lit("# "), "cover", F.lit(f"\n\n**{brand}**\n\n{below}\n\n---\n\n"))
+    return d.select("doc_id", F.concat(cover, "t", F.lit(f"# {THANKS}\n\n**{brand}**\n\nTotal: "), F.col("n").cast("string"), F.lit(f" {MAIN_SLIDES}\n")).alias("deck"), F.col("n").alias("slides"))
+
+
 def section_slides(docs: DataFrame, skipped: tuple[str, ...] = SKIPPED, longest: int = 500) -> DataFrame:
     """(doc_id, slide_idx, section, divider, part, items): items grouped by numbered section, numbered in order of the section's text and part.
 

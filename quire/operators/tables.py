@@ -12,27 +12,29 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 
 
-def clean_cells(cells: Column, blank_is_null: bool = False) -> Column:
-    """(columns, cells): without all-null rows and columns; the first of several rows becomes the header if over half of it is filled; cells are stripped, nulls empty."""
+def clean_tables(tables: DataFrame, least: float = 0.5, blank_is_null: bool = False) -> DataFrame:
+    """Tables of at least that confidence, clean.
+
+    All-null rows and columns go; the first of several rows becomes the header if
+    over half of it is filled, else columns are numbered; cells are stripped,
+    nulls empty. In steps, so that each is made once: the places of filled cells
+    first, whose distinct ones are the columns that stay.
+    """
+    t = tables.where(F.col("confidence") >= least)
+    cells = F.col("cells")
     if blank_is_null:
         cells = F.transform(cells, lambda r: F.transform(r, lambda c: F.when(strip(c) != "", c)))
-    rows = F.filter(cells, lambda r: F.exists(r, lambda c: c.isNotNull()))
-    width = F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))
-    indexes = F.when(width > 0, F.sequence(F.lit(0), width - 1)).otherwise(F.array().cast("array<int>"))
-    used = F.filter(indexes, lambda j: F.exists(rows, lambda r: F.get(r, j).isNotNull()))
-    full = F.transform(rows, lambda r: F.transform(used, lambda j: F.get(r, j)))
-    head = F.get(full, F.lit(0))
-    promote = (F.size(full) > 1) & (F.size(F.filter(head, lambda c: c.isNotNull())) > F.size(used) * 0.5)
-    text = lambda r: F.transform(r, lambda c: F.coalesce(strip(c), F.lit("")))
-    numbers = F.transform(used, lambda j: j.cast("string"))
-    body = F.when(promote, F.slice(full, 2, F.greatest(F.size(full) - 1, F.lit(0)))).otherwise(full)
-    return F.struct(F.when(promote, F.transform(head, lambda c: F.coalesce(c, F.lit("")))).otherwise(numbers).alias("columns"), F.transform(body, text).alias("cells"))
-
-
-def clean_tables(tables: DataFrame, least: float = 0.5, blank_is_null: bool = False) -> DataFrame:
-    """Tables of at least that confidence, clean."""
-    kept = tables.where(F.col("confidence") >= least).withColumn("_c", clean_cells(F.col("cells"), blank_is_null))
-    return kept.withColumn("columns", F.col("_c.columns")).withColumn("cells", F.col("_c.cells")).drop("_c")
+    t = t.withColumn("_rows", F.filter(cells, lambda r: F.exists(r, lambda c: c.isNotNull())))
+    places = F.flatten(F.transform("_rows", lambda r: F.filter(F.transform(r, lambda c, j: F.when(c.isNotNull(), j)), lambda j: j.isNotNull())))
+    t = t.withColumn("_used", F.array_sort(F.array_distinct(places)))
+    head = F.transform("_used", lambda j: F.get(F.get("_rows", F.lit(0)), j))
+    promote = (F.size("_rows") > 1) & (F.size(F.filter(head, lambda c: c.isNotNull())) > F.size("_used") * 0.5)
+    t = t.withColumn("_promote", promote)
+    body = F.when(F.col("_promote"), F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0)))).otherwise(F.col("_rows"))
+    columns = F.when(F.col("_promote"), F.transform(head, lambda c: F.coalesce(c, F.lit("")))).otherwise(F.transform("_used", lambda j: j.cast("string")))
+    t = t.withColumn("columns", columns)
+    t = t.withColumn("cells", F.transform(body, lambda r: F.transform("_used", lambda j: F.coalesce(strip(F.get(r, j)), F.lit("")))))
+    return t.drop("_rows", "_used", "_promote")
 
 
 def table_markdown(columns: Column, cells: Column) -> Column:

@@ -411,6 +411,15 @@ _MD_SLIDES = rf"""
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run, part) - 1)::INT AS slide_idx, CASE WHEN sec THEN 'section' ELSE 'content' END AS type, CASE WHEN sec THEN one ELSE title END AS title, part, CASE WHEN NOT sec THEN items END AS items FROM mp"""
 
 
+@query(_F + _MERGED + _MD_TEXT + _MD_SLIDES.replace("SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run, part)", ", mx AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY run, part)", 1) + """)
+, mw AS (SELECT doc_id, count(*) FILTER (part = 0) AS n, string_agg(CASE type WHEN 'section' THEN '# ' || title || chr(10) || chr(10) ELSE '## ' || title || CASE WHEN part > 0 THEN ' (cont.)' ELSE '' END || chr(10) || chr(10)
+    || array_to_string(list_transform(string_split(items, chr(31)), lambda x: x || chr(10)), '') || chr(10) END || '---' || chr(10) || chr(10), '' ORDER BY slide_idx) AS body FROM mx GROUP BY doc_id)
+SELECT doc_id, '# Document ' || doc_id || chr(10) || chr(10) || '**Brand**' || chr(10) || chr(10) || 'Fundamentos de Testing de Software' || chr(10) || chr(10) || '---' || chr(10) || chr(10) || coalesce(body, '')
+  || '# Gracias' || chr(10) || chr(10) || '**Brand**' || chr(10) || chr(10) || 'Total: ' || coalesce(n, 0) || ' slides principales' || chr(10) AS deck, coalesce(n, 0)::BIGINT AS slides FROM txt LEFT JOIN mw USING (doc_id)""")
+def markdown_deck(spark, sf_dir):
+    return scripts.markdown_deck(_as_markdown(spark, sf_dir), "Brand", F.concat(F.lit("Document "), F.col("doc_id").cast("string")))
+
+
 @query(_F + _MERGED + _MD_TEXT + _MD_SLIDES)
 def markdown_to_slides(spark, sf_dir):
     s = scripts.markdown_slides(_as_markdown(spark, sf_dir))
@@ -450,12 +459,9 @@ _PM = _F + f"""
 
 
 def _pages(spark, sf_dir):
-    s = spans(spark, sf_dir)
-    p = pages.page_density(s, scan.pages(s)).select("doc_id", "page_num", "text_density")
-    joins = s.groupBy("doc_id", "page_num").agg(F.sum(T.count_hyphens(F.col("text"))).alias("j"))
+    p = pages.counted_pages(spans(spark, sf_dir), scan.WIDTH, scan.HEIGHT)
     read = F.col("page_num") % 3 == 1
-    p = p.join(joins, ["doc_id", "page_num"])
-    p = p.select("doc_id", "page_num", "text_density", F.when(read, (F.col("doc_id") % 5 * 20).cast("double")).alias("ocr_confidence"), F.when(read, F.col("j")).alias("corrections"))
+    p = p.select("doc_id", "page_num", "text_density", F.when(read, (F.col("doc_id") % 5 * 20).cast("double")).alias("ocr_confidence"), F.when(read, F.col("hyphens")).alias("corrections"))
     return metrics.page_metrics(p).withColumn("native_text_ratio", F.round("native_text_ratio", 9))
 
 

@@ -17,9 +17,9 @@ SPARK_HEAD = rf"""WITH lines AS (SELECT doc_id, lang, source, p AS line_no, l AS
 DUCK_HEAD = f"""WITH cut AS (SELECT doc_id, lang, source,
   flatten(list_transform(string_split(text, chr(10)), lambda x: list_transform(range(0, greatest(0, (length(x) - 1) // {WIDEST}) + 1), lambda k: substr(x, k * {WIDEST} + 1, {WIDEST})))) AS c FROM documents),
 lines AS (SELECT doc_id, lang, source, CAST(unnest(range(len(c))) AS INT) AS line_no, unnest(c) AS line FROM cut)"""
-TAIL = """
+_TAIL = """
 , body AS (
-  SELECT doc_id, CAST(FLOOR(line_no / 8.0) AS INT) AS page_num, CAST(line_no % 8 + 1 AS INT) AS span_no,
+  SELECT doc_id, source, CAST(FLOOR(line_no / 8.0) AS INT) AS page_num, CAST(line_no % 8 + 1 AS INT) AS span_no,
     CASE (doc_id + line_no) % 12
       WHEN 0 THEN concat('• ', line) WHEN 1 THEN concat('1) ', line)
       WHEN 2 THEN concat('2.3 ', line) WHEN 3 THEN concat('- ', line)
@@ -31,20 +31,32 @@ TAIL = """
     CASE WHEN line_no = 0 THEN 18.0e0 WHEN line_no % 11 = 3 THEN 14.5e0 WHEN line_no % 11 = 5 THEN 12.0e0 ELSE 10.0e0 END AS font_size,
     (line_no % 17 = 9) AS is_bold
   FROM lines)
-, pg AS (SELECT doc_id, source, CAST(FLOOR(line_no / 8.0) AS INT) AS page_num FROM lines WHERE line_no % 8 = 0)
+{marked}, spans AS (SELECT doc_id, page_num, span_no, text, CAST(font_size AS DOUBLE) AS font_size, is_bold, CAST(y0 AS DOUBLE) AS y0,
+  CAST(40 AS DOUBLE) AS x0, CAST(40 + 5 * length(text) AS DOUBLE) AS x1, CAST(y0 + font_size AS DOUBLE) AS y1 FROM marked)
+"""
+#: Headers and footers for the oracle, each from the lines that begin a page.
+_DUCK_MARKED = """, pg AS (SELECT doc_id, source, CAST(FLOOR(line_no / 8.0) AS INT) AS page_num FROM lines WHERE line_no % 8 = 0)
 , marked AS (
   SELECT doc_id, page_num, span_no, text, font_size, is_bold, 40.0e0 + 20.0e0 * span_no AS y0 FROM body
   UNION ALL SELECT doc_id, page_num, 0, CASE WHEN doc_id % 4 = 3 THEN concat('Header ', source, ' ', CAST(page_num AS VARCHAR(9))) ELSE concat('Header ', source) END, 9.0e0, false, 20.0e0 FROM pg
   UNION ALL SELECT doc_id, page_num, 99, CASE WHEN page_num % 3 = 2 THEN concat('Footer ', CAST(page_num AS VARCHAR(9))) ELSE 'Footer' END, 9.0e0, false, 780.0e0 FROM pg)
-, spans AS (SELECT doc_id, page_num, span_no, text, CAST(font_size AS DOUBLE) AS font_size, is_bold, CAST(y0 AS DOUBLE) AS y0,
-  CAST(40 AS DOUBLE) AS x0, CAST(40 + 5 * length(text) AS DOUBLE) AS x1, CAST(y0 + font_size AS DOUBLE) AS y1 FROM marked)
 """
+#: The same in one pass over the lines, each of which is its own span and, where it begins a page, the page's header and footer too.
+_SPARK_MARKED = """
+, marked AS (
+  SELECT doc_id, page_num, m.span_no, m.text, m.font_size, m.is_bold, m.y0 FROM (
+    SELECT doc_id, page_num, explode(filter(array(
+      named_struct('span_no', span_no, 'text', text, 'font_size', font_size, 'is_bold', is_bold, 'y0', 40.0e0 + 20.0e0 * span_no),
+      CASE WHEN span_no = 1 THEN named_struct('span_no', 0, 'text', CASE WHEN doc_id % 4 = 3 THEN concat('Header ', source, ' ', CAST(page_num AS VARCHAR(9))) ELSE concat('Header ', source) END, 'font_size', 9.0e0, 'is_bold', false, 'y0', 20.0e0) END,
+      CASE WHEN span_no = 1 THEN named_struct('span_no', 99, 'text', CASE WHEN page_num % 3 = 2 THEN concat('Footer ', CAST(page_num AS VARCHAR(9))) ELSE 'Footer' END, 'font_size', 9.0e0, 'is_bold', false, 'y0', 780.0e0) END), x -> x IS NOT NULL)) AS m FROM body))
+"""
+TAIL = _TAIL.replace("{marked}", _DUCK_MARKED)
 WIDTH, HEIGHT = 595.0, 842.0
 
 
 def spans(documents: DataFrame) -> DataFrame:
     """(doc_id, page_num, span_no, text, font_size, is_bold, x0, y0, x1, y1)."""
-    return documents.sparkSession.sql(SPARK_HEAD + TAIL + "SELECT * FROM spans", documents=documents.select("doc_id", "lang", "source", "text"))
+    return documents.sparkSession.sql(SPARK_HEAD + _TAIL.replace("{marked}", _SPARK_MARKED) + "SELECT * FROM spans", documents=documents.select("doc_id", "lang", "source", "text"))
 
 
 def pages(spans_: DataFrame) -> DataFrame:

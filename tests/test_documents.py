@@ -137,6 +137,17 @@ def test_markdown_slides(spark):
     assert got == [("section", "1. Part one", 0, 0), ("content", "Alpha", 0, 8), ("content", "Alpha", 1, 6), ("content", "Beta", 0, 2)]
 
 
+def test_markdown_deck_text(spark):
+    """Cover, sections, slides of eight items with continuations, and the number of main slides."""
+    md = "# 1. Part one\n\n## Topic\n\n" + "\n".join(f"- item number {i}" for i in range(18)) + "\n\n## Next topic\n\n- last item\n"
+    d = spark.createDataFrame([(7, md), (8, "plain")], "doc_id long, text string")
+    got = {r.doc_id: (r.deck, r.slides) for r in scripts.markdown_deck(d, "Brand", F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))).collect()}
+    cover, close = "# Doc {}\n\n**Brand**\n\nFundamentos de Testing de Software\n\n---\n\n", "# Gracias\n\n**Brand**\n\nTotal: {} slides principales\n"
+    items = lambda a, b: "".join(f"- item number {i}\n" for i in range(a, b)) + "\n---\n\n"
+    body = "# 1. Part one\n\n---\n\n## Topic\n\n" + items(0, 8) + "## Topic (cont.)\n\n" + items(8, 16) + "## Topic (cont.)\n\n" + items(16, 18) + "## Next topic\n\n- last item\n\n---\n\n"
+    assert got == {7: (cover.format(7) + body + close.format(3), 3), 8: (cover.format(8) + close.format(0), 0)}
+
+
 def test_section_slides(spark):
     text = "---\nx\n---\n# 1.2 Two\nold words\n# 1.10 Ten\nwords ten\n# 1.2 Two\n" + "".join(f"item {i}\n" for i in range(9)) + "#### no\n# 1.3 Long\n" + "y" * 600
     d = spark.createDataFrame([(1, text)], "doc_id long, text string")

@@ -51,3 +51,32 @@ def test_listing_reads_no_content(spark, tmp_path):
 def test_merging_lines_is_one_expression(spark):
     plan = queries.QUERIES["merge_lines"](spark, SF).select(F.length("text"))._jdf.queryExecution().executedPlan().toString()
     assert "aggregate(" not in plan and "Exchange" not in plan
+
+
+def scans(df) -> int:
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return len(re.findall("FileScan parquet", plan))
+
+
+def test_the_scan_is_read_once_for_each_use(spark):
+    """Body, headers and footers come from one pass over the lines, density and broken words from one aggregate."""
+    for name, most in (("clean_text", 1), ("layout_elements", 1), ("page_metrics", 1), ("document_metrics", 1), ("metrics_json", 2), ("deck_slides", 1)):
+        assert scans(queries.QUERIES[name](spark, SF)) <= most, name
+
+
+def test_clean_tables_need_no_shuffle(spark):
+    plan = queries.QUERIES["table_clean"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_pages_of_tables_are_dealt_by_page(spark):
+    """No step of finding tables gathers more than a page's rows by one key."""
+    from quire.operators import table_finder
+    from quire.plans import reports
+
+    sf = SF.replace("0.001", "0.01")
+    for df in (table_finder.unruled_tables(reports.spans(spark, sf)), table_finder.ruled_tables(reports.spans(spark, sf), reports.segments(spark, sf))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "SinglePartition" not in plan
+        own = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan.split("Initial Plan")[0]) if "custkey" not in x and "_w0" not in x]  # the report's own numbering apart
+        assert own and all("doc_id" in x and "page_num" in x for x in own), own
