@@ -125,7 +125,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col="doc_i
     ``score`` is the cosine with the chosen prototype, at least 0; ties go to
     the first name. ``und`` with score 0 where the text is null, empty or
     without a letter, or where no language was learned. Repeated rows get equal
-    results; null ids stay null; further columns are ignored.
+    results; null ids stay null; further columns are ignored. Texts of any length
+    are read as wholes, in parts; no rows give no rows.
     """
     names, protos = model
     dim = protos.shape[1]

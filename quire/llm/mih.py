@@ -136,7 +136,8 @@ def nearest(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id
     components and zero vectors take no part. Of rows with one id the smallest
     vector counts, so repeated rows count once; other ids with an equal vector
     are candidates like any. Vectors of fewer components are read as filled up
-    with zeros. No rows, or a single one, give no rows.
+    with zeros. Further columns are ignored. No rows, or a single one, give no
+    rows.
     """
     spark = rows.sparkSession
     v = vectors.clean(rows, id_col, vec_col).where("norm2 > 0")

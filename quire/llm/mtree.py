@@ -123,8 +123,8 @@ def top_k(rows: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id",
     ids with an equal vector are candidates like any. Vectors of fewer
     components are read as filled up with zeros. Scores are long: ``component``
     makes whole numbers, whose products are summed in doubles where no sum can
-    reach 2**53 and in 64-bit integers otherwise. No rows, or a single one, give
-    no rows.
+    reach 2**53 and in 64-bit integers otherwise. Further columns are ignored. No
+    rows, or a single one, give no rows.
     """
     spark = rows.sparkSession
     v = vectors.clean(rows, id_col, vec_col, component)

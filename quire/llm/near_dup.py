@@ -302,7 +302,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with nothing; texts of fewer than five words have one, their whole
     sequence. Rows with one id are one node, linked by the text of any of them.
     Rows with a null id are linked with nothing: their component is null and
-    they are kept. Further columns are ignored, no rows give no rows.
+    they are kept. Texts of any length are compared as wholes; a tile or a hub's
+    group has a bound in shingles, beside which it holds one text more at most.
+    Further columns are ignored, no rows give no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     signed = cut(docs.mapInArrow(_sign, "id long, n long, h1 long, h2 long, sig binary, keys array<long>"))

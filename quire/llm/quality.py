@@ -104,7 +104,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col="doc_id", tex
 
     ``score`` is a logistic function of the strength that is 0.3 at the
     threshold. Null and empty texts have no features, so all get one score.
-    Repeated rows get equal scores; null ids stay null.
+    Texts of any length are read as wholes. Repeated rows get equal scores; null
+    ids stay null; further columns play no part; no rows give no rows.
     """
     w, t = model
     shift = np.log(THRESHOLD / (1 - THRESHOLD)) - t

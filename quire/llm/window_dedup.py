@@ -196,7 +196,8 @@ def dedup_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     as empty and texts of fewer than 50 words lose nothing. Rows with one id are
     one document, whose windows aren't later than each other; each row loses
     the windows of its own text. Rows with a null id are neither earlier nor later
-    than any, and lose nothing. Further columns are ignored, no rows give no rows.
+    than any, and lose nothing. Texts of any length are read as wholes, in parts.
+    Further columns are ignored, no rows give no rows.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     known = docs.where("id is not null and t is not null")

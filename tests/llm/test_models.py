@@ -104,6 +104,34 @@ def test_quality_against_brute_force(spark):
         assert np.isclose(got[i], 1 / (1 + np.exp(-(x @ w - t + np.log(0.3 / 0.7)))))
 
 
+def test_fit_against_gradient_descent():
+    """All pairs of a good and a bad row, by plain steps down the loss; the threshold leaves as many rows below as are bad."""
+    rng = np.random.RandomState(5)
+    x = rng.randn(70, 3)
+    y = (x @ [1.5, -1, 0.2] + rng.randn(70) > 0.4).astype(int)
+    d = np.array([g - b for g in x[y == 1] for b in x[y == 0]])
+    want = np.zeros(3)
+    for _ in range(4000):
+        want -= 0.5 * (-(d / (1 + np.exp(d @ want))[:, None]).mean(0) + 1e-3 * want)
+    w, t = quality.fit(x, y, pairs=400000)
+    assert np.allclose(w, want, rtol=0.03, atol=0.02), (w, want)
+    assert (x @ w < t).sum() == (y == 0).sum()
+
+
+def test_learning_takes_labelled_rows_only(spark):
+    """The rows that count are those with a label of 0 or 1, each once, whatever their order."""
+    d = spark.createDataFrame([(i, ("good words " if i % 2 else "bad!!! ") * (3 + i)) for i in range(40)] + [(99, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(99, None), (None, 1), (3, 7)], "doc_id long, quality int")
+    w, t = quality.learn(d, labels)
+    texts = [("good words " if i % 2 else "bad!!! ") * (3 + i) for i in range(40)]
+    x = quality.features(pa.array(texts))
+    order = np.lexsort(x.T)
+    plain = quality.fit(x[order], np.array([i % 2 for i in range(40)])[order])
+    assert np.allclose(w, plain[0]) and np.isclose(t, plain[1])
+    again = quality.learn(d.repartition(7).union(d.limit(3)), labels)
+    assert np.allclose(again[0], w) and np.isclose(again[1], t)
+
+
 def test_quality_on_held_out(spark):
     label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     rows = queries.QUERIES["op4_bradley_terry_quality"](spark, SF).collect()

@@ -65,4 +65,15 @@ def test_stages_of_empty_and_odd_tables(spark):
     odd = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "a b c", "en", None, 5), (2, "", "en", "s", 0), (3, "x y\n" * 50, None, "s", 200)], schema)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0, name
-        stage(spark, odd, SF).collect()
+        got = stage(spark, odd, SF)
+        ids = sorted((r.doc_id for r in got.select("doc_id").collect()), key=str)
+        if name == "line_dedup":
+            assert ids == [1, 1, 2, 3, None] and {r.doc_id: r.text for r in got.collect()} == {1: None, 2: "", None: "a b c", 3: "x y\n"}
+        elif name == "near_duplicates":
+            assert ids == [1, 1, 2, 3, None]  # nothing is linked
+        elif name == "mixing":
+            assert 2 not in ids and 1 not in ids and {3, None} >= set(ids)  # without words, in no mix
+        elif name == "packing":
+            assert ids == [1, 1, 2, 3, None] and sum(r.n_tokens for r in got.collect()) == 103
+        else:
+            assert ids.count(1) in (0, 2) and got.columns == odd.columns  # null texts go or stay alike
