@@ -33,10 +33,9 @@ def test_extract(spark, tmp_path):
     top.mkdir()
     (top / "a.pdf").write_bytes(pdf(BODY))
     run = lambda *more: main(["extract", "--input", str(top), "--out", str(out), *more])
-    assert run("--pages", "1,3", "--export", "md,json", "--split-mb", "0.001", "--log-file", str(tmp_path / "log")) == 0
-    assert {p.name for p in out.iterdir() if not p.name.startswith((".", "_"))} == {"a.md", "a.gamma.json", "a.metrics.json"}
-    assert json.loads((out / "a.metrics.json").read_text())["total_pages"] == 2
     (top / "b.pdf").write_bytes(b"junk")
-    assert run() == 1  # what can be read is written
+    assert run("--pages", "1,3", "--tables", "none", "--split-mb", "0.001", "--log-file", str(tmp_path / "log")) == 1  # what can be read is written
+    assert {p.name for p in out.iterdir() if not p.name.startswith((".", "_"))} == {"a.md", "a.metrics.json"}
+    assert json.loads((out / "a.metrics.json").read_text())["total_pages"] == 2 and "b.pdf" in (tmp_path / "log").read_text()
     assert main(["extract", "--input", str(tmp_path / "none"), "--out", str(out)]) == 2
-    assert run("--export", "odt") == 2 and "wrote" in (tmp_path / "log").read_text()
+    assert run("--export", "odt") == 2
