@@ -1,13 +1,14 @@
 """Collocations by contiguous pattern growth over projected occurrences.
 
-Three passes read the texts. The first counts words, the second pairs of frequent
-words by hash, and the third projects: every occurrence of a frequent prefix
-becomes a pointer with what it can grow into, the words to its right as far as
-neighbouring pairs are frequent. Equal projections of a task are one row with a
-count. Each prefix goes to one task, which walks its sorted pointers depth
-first: the pointers of a longer prefix are a run of them, so a stack of the
-words on the way is all that the task holds, and prefixes that aren't frequent
-end there.
+Four passes read the texts. The first counts words, the second pairs of frequent
+words. The third finds which three words in sequence may be frequent: it counts
+those of two frequent pairs in cells by hash, which can only say too much. The
+fourth projects: every occurrence of a prefix that can grow becomes a pointer with
+what it can grow into, the words to its right as long as each three may be
+frequent. Equal projections of a task are one row with a count. Each prefix goes
+to one task, which walks its sorted pointers depth first: the pointers of a longer
+prefix are a run of them, so a stack of the words on the way is all that the task
+holds, and prefixes that aren't frequent end there.
 
 A prefix that has over a share of one in ``HOT`` of all words is grown before it
 is dealt: such words by their next word, and such pairs by all words. What
@@ -36,6 +37,9 @@ LONGEST, LEAST, FIRST = 5, 100, 2000
 HOT = 1 << 14
 _LOWER = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _CHUNK, _HELD = 1 << 20, 1 << 18
+#: Cells that count three words: one for so many words of the texts, but at most 2 to the power of MOST_BITS, 32 MB a task.
+WORDS_A_CELL, LEAST_BITS, MOST_BITS = 64, 16, 25
+_BLOCK = 1 << 16
 _UND = "und"
 _STRING = pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True)
 
@@ -99,6 +103,18 @@ class _Chunk:
         self.near = piece[1:] == piece[:-1]
         self.pairs = sequence_hashes(self.h, 2)
 
+    def threes(self, bits: int) -> np.ndarray:
+        """The cells of three words, for each word but the last two."""
+        return (sequence_hashes(self.h, 3) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def spaced(self) -> tuple[bytes, np.ndarray]:
+        """The words with a space behind each, and where each begins, with an end."""
+        gap = (self.data == 10) | (self.data == 32)
+        kept = ~gap
+        kept[self.ends] = True  # the first of the gap behind each word
+        text = np.where(gap, np.uint8(32), self.data)[kept].tobytes()
+        return text, np.concatenate(([0], np.cumsum(self.ends - self.starts + 1)))
+
 
 def _place(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(FILTER_BITS - 1)).astype(np.int64)
@@ -113,39 +129,111 @@ def _bitmap(hashes: DataFrame):
     return hashes.sparkSession.sparkContext.broadcast(bits)
 
 
-def _count_pairs(frequent):
-    """(h, n): pairs of frequent words, those of a few megabytes counted."""
+class _Pairs:
+    """Pairs of one language, counted: their hashes, numbers and texts."""
+
+    def __init__(self):
+        self.parts: list[tuple] = []
+        self.size = 0
+
+    def add(self, h: np.ndarray, n: np.ndarray, texts: np.ndarray) -> None:
+        self.parts.append((h, n, texts))
+        self.size += len(h)
+
+    def merge(self) -> None:
+        h, n, texts = (np.concatenate([p[k] for p in self.parts]) for k in range(3))
+        u, first, of = np.unique(h, return_index=True, return_inverse=True)
+        self.parts = [(u, np.bincount(of, n, len(u)).astype(np.int64), texts[first])]
+        self.size = len(u)
+
+    def rows(self, lang: str) -> pa.RecordBatch:
+        self.merge()
+        ((h, n, texts),) = self.parts
+        self.__init__()
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), _strings(texts.tolist()), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "phrase", "h", "n"])
 
-    def rows(parts):
-        h = np.concatenate([p[0] for p in parts])
-        order = np.argsort(h, kind="stable")
-        h, n = h[order], np.concatenate([p[1] for p in parts])[order]
-        first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-        return h[first], np.add.reduceat(n, first) if len(h) else n
+
+def _count_pairs(frequent):
+    """(lang, phrase, h, n): pairs of frequent words with their hashes, those of some megabytes counted."""
 
     def run(batches):
-        parts, size = [], 0
+        held: dict[str, _Pairs] = {}
         for lang, data in _texts(batches):
             c = _Chunk(lang, data)
             keep = holds(frequent.value, _place(c.h))
-            h = c.pairs[c.near & keep[:-1] & keep[1:]]
-            parts.append((h, np.ones(len(h), np.int64)))
-            size += len(h)
-            if size > 1 << 21:
-                parts = [rows(parts)]
-                size = len(parts[0][0])
-                if size > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(parts[0][0].view(np.int64)), pa.array(parts[0][1])], ["h", "n"])
-                    parts, size = [], 0
-        if size:
-            h, n = rows(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+            at = np.flatnonzero(c.near & keep[:-1] & keep[1:])
+            h, first, n = np.unique(c.pairs[at], return_index=True, return_counts=True)
+            at = at[first]
+            spaced, begins = c.spaced()
+            texts = np.empty(len(at), object)
+            texts[:] = [spaced[a:b] for a, b in zip(begins[at].tolist(), (begins[at + 2] - 1).tolist(), strict=True)]
+            own = held.setdefault(lang, _Pairs())
+            own.add(h, n, texts)
+            if sum(p.size for p in held.values()) > 2 * _HELD:
+                for p in held.values():
+                    if p.size:
+                        p.merge()
+                if sum(p.size for p in held.values()) > _HELD:
+                    yield from (p.rows(k) for k, p in held.items() if p.size)
+                    held.clear()
+        yield from (p.rows(k) for k, p in held.items() if p.size)
+
+    return run
+
+
+def _sift(frequent, bits: int):
+    """(block, cells): how often three words of two frequent pairs fall on each cell, up to 255."""
+
+    def run(batches):
+        cells = np.zeros(1 << bits, np.uint8)
+        for lang, data in _texts(batches):
+            c = _Chunk(lang, data)
+            grows = c.near & holds(frequent.value, _place(c.pairs))
+            at, n = np.unique(c.threes(bits)[grows[:-1] & grows[1:]], return_counts=True)
+            cells[at] = np.minimum(cells[at] + n, 255)
+        for k in range(0, len(cells), _BLOCK):
+            if cells[k : k + _BLOCK].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // _BLOCK], pa.int32()), pa.array([cells[k : k + _BLOCK].tobytes()], pa.binary())], ["block", "cells"])
+
+    return run
+
+
+def _add(least: int):
+    """(block, bits): a bit for each cell of which all tasks together have counted ``least``, from rows sorted by block."""
+
+    def run(batches):
+        block, total = None, None
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(total >= min(least, 255)).tobytes()], pa.binary())], ["block", "bits"])
+
+        for batch in batches:
+            for k, cells in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                own = np.frombuffer(cells, np.uint8).astype(np.int64)
+                if k != block:
+                    if block is not None:
+                        yield packed()
+                    block, total = k, np.zeros(len(own), np.int64)
+                total += own
+        if block is not None:
+            yield packed()
 
     return run
 
 
-def _project(frequent, hot_words: np.ndarray, hot_pairs: np.ndarray, longest: int):
-    """(lang, depth, pointer, n): the words from a prefix on, each with a space behind it, that neighbouring pairs let grow; ``depth`` of them say where it is dealt."""
+def _threes(rows: DataFrame, pairs, bits: int, least: int):
+    """A broadcast of a bit for each cell that three words in sequence may be frequent in, of 4 MB at most."""
+    spark = rows.sparkSession
+    blocks = rows.mapInArrow(_sift(pairs, bits), "block int, cells binary").repartition(partitions(spark), "block").sortWithinPartitions("block")
+    found = blocks.mapInArrow(_add(least), "block int, bits binary").toArrow()
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for k, x in zip(found.column("block").to_pylist(), found.column("bits").to_pylist(), strict=True):
+        out[k * _BLOCK // 8 :][: len(x)] = np.frombuffer(x, np.uint8)
+    return spark.sparkContext.broadcast(out)
+
+
+def _project(pairs, threes, bits: int, hot_words: np.ndarray, hot_pairs: np.ndarray, longest: int):
+    """(lang, depth, pointer, n): three words or more from a prefix on, each with a space behind it, that may grow; ``depth`` of them say where it is dealt."""
 
     def rows(held):
         for (lang, depth), c in held.items():
@@ -156,20 +244,17 @@ def _project(frequent, hot_words: np.ndarray, hot_pairs: np.ndarray, longest: in
         held: dict[tuple[str, int], Counter] = {}
         for lang, data in _texts(batches):
             c = _Chunk(lang, data)
-            grows = c.near & holds(frequent.value, _place(c.pairs)) if len(c.pairs) else np.zeros(0, bool)
+            grows = c.near & holds(pairs.value, _place(c.pairs))
+            cell = c.threes(bits)
+            grows = grows[:-1] & grows[1:] & (threes.value[cell >> 3] >> (7 - (cell & 7)) & 1).astype(bool)
             at = np.flatnonzero(grows)
-            size, more = np.full(len(at), 2), np.ones(len(at), bool)
-            for k in range(1, longest - 1):
+            size, more = np.full(len(at), 3), np.ones(len(at), bool)
+            for k in range(1, longest - 2):
                 more &= np.append(grows, np.zeros(k, bool))[at + k]
                 size += more
             depth = np.where(np.isin(c.h[at], hot_words), np.where(np.isin(c.pairs[at], hot_pairs), longest, 2), 1)
-            n = c.ends - c.starts
-            gap = (c.data == 10) | (c.data == 32)
-            kept = ~gap
-            kept[c.ends] = True  # the first of the gap behind each word
-            text = np.where(gap, np.uint8(32), c.data)[kept].tobytes()
-            begins = np.cumsum(n + 1) - n - 1
-            starts, ends = begins[at], np.append(begins, len(text))[at + size]
+            text, begins = c.spaced()
+            starts, ends = begins[at], begins[at + size]
             for d in (1, 2, longest):
                 own = depth == d
                 if own.any():
@@ -183,7 +268,7 @@ def _project(frequent, hot_words: np.ndarray, hot_pairs: np.ndarray, longest: in
 
 
 def _grow(least: int):
-    """(lang, phrase, n) of the prefixes of pointers sorted by (lang, pointer): frequent ones, and of those dealt to several tasks this task's share."""
+    """(lang, phrase, n) of the prefixes of three words or more of pointers sorted by (lang, pointer): frequent ones, and of those dealt to several tasks this task's share."""
 
     def run(batches):
         stack: list[list] = []  # [word, count] from the first word on
@@ -191,7 +276,7 @@ def _grow(least: int):
 
         def close(depth):
             while len(stack) > depth:
-                if len(stack) > 1 and (stack[-1][1] >= least or len(stack) < deal):
+                if len(stack) > 2 and (stack[-1][1] >= least or len(stack) < deal):
                     out.append((lang, " ".join([w for w, _ in stack]), stack[-1][1]))
                 stack.pop()
 
@@ -231,16 +316,22 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     totals = counted.where("word is null").select("lang", F.col("n").alias("total"))
     share = (totals.agg(F.sum("total")).first()[0] or 0) / HOT
     hot = lambda c: np.sort(np.asarray(c.where(F.col("n") > share).select("h").toArrow().column("h"), np.int64).view(np.uint64))  # noqa: E731  fewer than HOT
-    pairs = rows.mapInArrow(_count_pairs(_bitmap(single)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    pairs = rows.mapInArrow(_count_pairs(_bitmap(single)), "lang string, phrase string, h long, n long").groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
     pairs = written(pairs.where(F.col("n") >= least))
-    pointers = rows.mapInArrow(_project(_bitmap(pairs), hot(single), hot(pairs), longest), "lang string, depth int, pointer string, n long")
+    two = single.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n").unionByName(pairs.select("lang", "phrase", F.lit(2).alias("words"), "n"))
+    if longest < 3:
+        return two.where(F.col("words") <= longest), totals
+    bits = min(MOST_BITS, max(LEAST_BITS, int(share * HOT / WORDS_A_CELL).bit_length()))
+    frequent = _bitmap(pairs)
+    threes = _threes(rows, frequent, bits, least)
+    pointers = rows.mapInArrow(_project(frequent, threes, bits, hot(single), hot(pairs), longest), "lang string, depth int, pointer string, n long")
     prefix = F.when(F.col("depth") < longest, F.expr("substring_index(pointer, ' ', depth)")).otherwise(F.col("pointer"))
     pointers = pointers.withColumn("prefix", F.xxhash64("lang", prefix))
     pointers = pointers.repartition(partitions(spark), "prefix").sortWithinPartitions("lang", "pointer")
     grown = pointers.select("lang", "depth", "pointer", "n").mapInArrow(_grow(least), "lang string, phrase string, n long")
     grown = grown.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     size = F.size(F.split("phrase", " ", -1))
-    phrases = grown.select("lang", "phrase", size.alias("words"), "n").unionByName(single.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n"))
+    phrases = grown.select("lang", "phrase", size.alias("words"), "n").unionByName(two)
     return written(phrases), totals
 
 
