@@ -150,11 +150,11 @@ class _Pairs:
         self.merge()
         ((h, n, texts),) = self.parts
         self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), _strings(texts.tolist()), pa.array(h.view(np.int64)), pa.array(n)], ["lang", "phrase", "h", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(h)), _strings(texts.tolist()), pa.array(n)], ["lang", "phrase", "n"])
 
 
 def _count_pairs(frequent):
-    """(lang, phrase, h, n): pairs of frequent words with their hashes, those of some megabytes counted."""
+    """(lang, phrase, n): pairs of frequent words, those of some megabytes counted."""
 
     def run(batches):
         held: dict[str, _Pairs] = {}
@@ -169,11 +169,11 @@ def _count_pairs(frequent):
             texts[:] = [spaced[a:b] for a, b in zip(begins[at].tolist(), (begins[at + 2] - 1).tolist(), strict=True)]
             own = held.setdefault(lang, _Pairs())
             own.add(h, n, texts)
-            if sum(p.size for p in held.values()) > 2 * _HELD:
+            if sum(p.size for p in held.values()) > 4 * _HELD:
                 for p in held.values():
                     if p.size:
                         p.merge()
-                if sum(p.size for p in held.values()) > _HELD:
+                if sum(p.size for p in held.values()) > 2 * _HELD:
                     yield from (p.rows(k) for k, p in held.items() if p.size)
                     held.clear()
         yield from (p.rows(k) for k, p in held.items() if p.size)
@@ -181,6 +181,17 @@ def _count_pairs(frequent):
     return run
 
 
+def _with_hashes(batches):
+    """(lang, phrase, h, n) of pairs (lang, phrase, n); hashes are made again for the few that are frequent, not dealt with all."""
+    for batch in batches:
+        langs = np.array(batch.column("lang").to_pylist(), object)
+        for lang in sorted(set(langs)):
+            own = batch.filter(pa.array(langs == lang))
+            texts = own.column("phrase").cast(pa.binary()).to_pylist()
+            c = _Chunk(lang, b"\n".join(texts) + b"\n")
+            yield pa.RecordBatch.from_arrays([own.column("lang"), own.column("phrase"), pa.array(c.pairs[c.near].view(np.int64)), own.column("n")], ["lang", "phrase", "h", "n"])
+
+
 def _sift(frequent, bits: int):
     """(block, cells): how often three words of two frequent pairs fall on each cell, up to 255."""
 
@@ -316,8 +327,8 @@ def frequent_phrases(docs: DataFrame, lang_col: str = "lang", text_col: str = "t
     totals = counted.where("word is null").select("lang", F.col("n").alias("total"))
     share = (totals.agg(F.sum("total")).first()[0] or 0) / HOT
     hot = lambda c: np.sort(np.asarray(c.where(F.col("n") > share).select("h").toArrow().column("h"), np.int64).view(np.uint64))  # noqa: E731  fewer than HOT
-    pairs = rows.mapInArrow(_count_pairs(_bitmap(single)), "lang string, phrase string, h long, n long").groupBy("lang", "phrase", "h").agg(F.sum("n").alias("n"))
-    pairs = written(pairs.where(F.col("n") >= least))
+    pairs = rows.mapInArrow(_count_pairs(_bitmap(single)), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    pairs = written(pairs.where(F.col("n") >= least).mapInArrow(_with_hashes, "lang string, phrase string, h long, n long"))
     two = single.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n").unionByName(pairs.select("lang", "phrase", F.lit(2).alias("words"), "n"))
     if longest < 3:
         return two.where(F.col("words") <= longest), totals
