@@ -2,10 +2,11 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import deck, pages, scripts
-from quire.plans import queries
+from quire.plans import queries, scan
 from quire.sources import files
 from tests.conftest import SF
 
@@ -64,6 +65,18 @@ def test_the_scan_is_read_once_for_each_use(spark):
         assert scans(queries.QUERIES[name](spark, SF)) <= most, name
 
 
+def test_upper_case_of_the_scan_is_that_of_sql(spark):
+    """Characters with several in upper case, among others."""
+    duckdb = pytest.importorskip("duckdb")
+    line = "Straße ŉ ᾀ ᾲ ﬁ ΰ ÿ é 😀 ﬃß"
+    docs = spark.createDataFrame([(5, "en", "a", line), (17, "en", "a", "plain"), (29, "de", "a", line)], "doc_id long, lang string, source string, text string")
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE documents (doc_id BIGINT, lang VARCHAR, source VARCHAR, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", [tuple(r) for r in docs.collect()])
+        want = con.execute(scan.DUCK_HEAD + scan.TAIL + "SELECT doc_id, span_no, text FROM spans").fetchall()
+    assert sorted(map(tuple, scan.spans(docs).select("doc_id", "span_no", "text").collect())) == sorted(want)
+
+
 def test_clean_tables_need_no_shuffle(spark):
     plan = queries.QUERIES["table_clean"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
