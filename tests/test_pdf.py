@@ -2,6 +2,7 @@ import base64
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -121,3 +122,21 @@ def test_images_and_raw_text(spark, tmp_path):
     assert [(r.img_idx, r.ext) for r in i] == [(0, "png")] and zlib.decompress(i[0].content[41:-16]) == b"".join(b"\0" + row.tobytes() for row in image)
     assert [r.text for r in pdf_source.page_texts(decoded).collect()] == ["t\n"]
     assert [r.path[-5:] for r in files.pdf_listing(spark, str(tmp_path)).collect()] == ["a.pdf"] and "content" not in files.pdf_listing(spark, str(tmp_path)).columns
+
+
+def test_many_files_are_few_batches(spark):
+    """Rows of many files go to Spark together, not each file's on its own."""
+    from quire.plans import paper
+
+    docs = spark.createDataFrame([(i, f"text of {i}\n\U0001f600") for i in range(60)], "doc_id long, text string").coalesce(1)
+    pages = pdf_source.decode_pages(paper.pdfs(docs)).select("path", pdf_source.page_text().alias("t"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    assert [r.n for r in pages.mapInArrow(sizes, "n long").collect()] == [60]
+    assert {r.t for r in pages.collect()} == {f"text of {i}\n?\n" for i in range(60)}
+    font = pdf_source.Font.__new__(pdf_source.Font)
+    font.wide, font.map, font.ranges, font.widths, font.default = True, {}, [(0, 65535, "\0")], {65: 0.25}, 0.5
+    assert font.show(b"\0A\0B\0") == ("AB\0", 1.25, 3, 0)
