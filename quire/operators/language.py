@@ -15,6 +15,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -59,41 +61,115 @@ def profile(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(seed_weights(), PROFILE)
 
 
-def grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with a row for each trigram ``gram`` of the text's words, in lower case and between spaces, or one with null."""
-    word = F.explode_outer(F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+"), lambda w: w != "")).alias("_word")
-    rows = docs.select("*", word)
-    at = F.explode_outer(F.sequence(F.lit(1), F.length("_word"))).alias("_at")
-    return rows.select("*", at).withColumn("gram", F.substring(F.concat(F.lit(" "), "_word", F.lit(" ")), F.col("_at"), F.lit(3))).drop("_word", "_at")
+#: Texts are counted in pieces of about so many letters, and of so many texts at most.
+PIECE, TEXTS = 1 << 20, 1024
+
+
+def letters(text: Column) -> Column:
+    """The words of a text in lower case, with one space for whatever is between them."""
+    return F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")
+
+
+def _pieces(texts: pa.Array):
+    """(first, strings) of neighbouring texts, null ones empty."""
+    first, held, size = 0, [], 0
+    for k, text in enumerate(texts):
+        held.append(text.as_py() or "")
+        size += len(held[-1])
+        if size >= PIECE or len(held) == TEXTS:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
+
+
+def _keys(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(key, number of its text) of the trigram around each letter, words being between spaces."""
+    codes = np.frombuffer(f" {' '.join(texts)} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    own = np.repeat(np.arange(len(texts)), [len(x) + 1 for x in texts])
+    keys = codes[:-2] << 42 | codes[1:-1] << 21 | codes[2:]
+    letter = codes[1:-1] != 32
+    return keys[letter], own[: len(keys)][letter]
+
+
+def _key(gram: str) -> int:
+    a, b, c = map(ord, gram)
+    return a << 42 | b << 21 | c
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", most: int = GRAMS) -> DataFrame:
     """A profile of the languages of labelled documents: ``most`` trigrams each; rows without a language are passed over."""
-    rows = grams(docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")))
-    n = rows.where("gram is not null").groupBy("lang", "gram").agg(F.count("*").alias("n"))
+
+    def count(batches):
+        for batch in batches:
+            langs = batch["lang"].dictionary_encode()
+            names, numbers = langs.dictionary, langs.indices.to_numpy(zero_copy_only=False)
+            for first, texts in _pieces(batch["text"]):
+                keys, own = _keys(texts)
+                own = numbers[first + own]
+                for k in np.unique(own):
+                    found, n = np.unique(keys[own == k], return_counts=True)
+                    points = np.stack([found >> 42, found >> 21 & 0x1FFFFF, found & 0x1FFFFF], axis=1).astype(np.uint32)
+                    grams = points.view("U3").ravel().tolist()
+                    yield pa.RecordBatch.from_arrays([pa.repeat(names[int(k)], len(grams)), pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
+
+    rows = docs.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), letters(F.col(text_col)).alias("text"))
+    n = rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     own = Window.partitionBy("lang")
     n = n.withColumn("total", F.sum("n").over(own)).withColumn("nth", F.row_number().over(own.orderBy(F.desc("n"), "gram"))).where(F.col("nth") <= most)
     weight = F.round(1000 * F.ln(F.greatest(F.col("n") / F.col("total"), F.lit(FLOOR)) / FLOOR)).cast("long")
     return n.select("gram", "lang", weight.alias("weight"))
 
 
+def _matched(docs: DataFrame, model: list[tuple[str, str, int]], known: list[str]) -> DataFrame:
+    """(doc_id, short, n, lang, score): a row for each language that a text has trigrams of, or one with null; ``n`` is in a text's first row, else 0."""
+    place = {lang: k for k, lang in enumerate(known)}
+    listed = sorted((_key(gram), place[lang], weight) for gram, lang, weight in model if len(gram) == 3)
+    keys, langs, weights = (np.array([x[k] for x in listed], np.int64) for k in range(3))
+    grams, first, entries = np.unique(keys, return_index=True, return_counts=True)
+
+    def run(batches):
+        names = pa.array(known, pa.string())
+        for batch in batches:
+            n = batch["n"].to_numpy(zero_copy_only=False)
+            for start, texts in _pieces(batch["text"]):
+                found, own = _keys(texts)
+                at = np.searchsorted(grams, found)
+                hit = at < len(grams)
+                hit[hit] = grams[at[hit]] == found[hit]
+                at, own = at[hit], own[hit]
+                many = entries[at]
+                entry = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                pair, slot = np.unique(np.repeat(own, many) * len(known) + langs[entry], return_inverse=True)
+                scores = np.bincount(slot, weights[entry], len(pair)).astype(np.int64)  # exact below 2^53
+                row, lang = pair // max(len(known), 1), pair % max(len(known), 1)
+                bare = np.setdiff1d(np.arange(len(texts)), row)
+                row, begins = np.concatenate([row, bare]), np.concatenate([np.diff(row, prepend=-1) > 0, np.ones(len(bare), bool)])
+                lang, scores = (np.concatenate([x, np.zeros(len(bare), np.int64)]) for x in (lang, scores))
+                none = np.arange(len(row)) >= len(pair)
+                ids, short = (batch[c].take(pa.array(start + row)) for c in ("doc_id", "short"))
+                yield pa.RecordBatch.from_arrays([ids, short, pa.array(np.where(begins, n[start + row], 0)), names.take(pa.array(lang, mask=none)), pa.array(scores, mask=none)], ["doc_id", "short", "n", "lang", "score"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(run, f"doc_id {kind}, short boolean, n long, lang string, score long")
+
+
 def scored(docs: DataFrame, model: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, short, scores) for each id: whether the text is too short, and (lang, prob) of every language of the model, the most probable first, ties by name.
 
     Probabilities add up to 1. A text without a trigram of the model has no
     scores, nor has any text if the model is empty. Rows of one id count
-    together, and are short if all are.
+    together, and are short if all are. The model, some hundred trigrams a
+    language, is read at once and sent along with the tasks.
     """
-    model = profile(docs.sparkSession) if model is None else model
-    known = sorted(r.lang for r in model.select("lang").distinct().collect())  # a name for each language
-    size = F.length(F.regexp_replace(F.lower(F.col(text_col)), r"[^\p{L}]+", ""))
+    weights = seed_weights() if model is None else [tuple(r) for r in model.select("gram", "lang", "weight").collect()]
+    known = sorted({lang for _, lang, _ in weights})
     short = F.coalesce(F.length(strip(F.col(text_col))) < SHORTEST, F.lit(True))
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = grams(d).drop("text").join(model, "gram").groupBy("doc_id", "lang").agg(F.sum("weight").alias("score"))
-    # trigrams are as many as letters, so they are counted without a row for each
-    whole = d.groupBy("doc_id").agg(F.sum(F.coalesce(size, F.lit(0))).alias("n"), F.min(short).alias("short"))
-    own = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("lang", "score"))).alias("own"))
-    d = whole.join(own, "doc_id", "left")
+    d = docs.select(F.col(id_col).alias("doc_id"), short.alias("short"), letters(F.col(text_col)).alias("text"))
+    d = d.withColumn("n", F.coalesce(F.length(F.translate("text", " ", "")), F.lit(0)).cast("long"))
+    d = _matched(d, weights, known).groupBy("doc_id", "lang").agg(F.sum("score").alias("score"), F.sum("n").alias("n"), F.min("short").alias("short"))
+    pairs = F.collect_list(F.when(F.col("lang").isNotNull(), F.struct("lang", "score")))
+    d = d.groupBy("doc_id").agg(F.sum("n").alias("n"), F.min("short").alias("short"), pairs.alias("own")).withColumn("own", F.when(F.size("own") > 0, F.map_from_entries("own")))
     mean = lambda lang: F.coalesce(F.try_element_at("own", lang), F.lit(0)) / (1000.0 * F.col("n"))
     names = F.array(*[F.lit(x) for x in known]) if known else F.array().cast("array<string>")
     d = d.withColumn("e", F.when(F.col("own").isNotNull(), F.transform(names, lambda x: F.struct(F.exp(SHARPNESS * mean(x)).alias("e"), x.alias("lang")))))

@@ -1,9 +1,11 @@
 import io
 import json
+import math
 import zipfile
 from xml.etree import ElementTree
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -212,6 +214,21 @@ def test_texts_of_two_languages(spark):
     assert got[2][0][0] == "deu" and got[3][0][0] == got[4][0][0] == "eng" and got[4][1]["de"] > 0.01, got
 
 
+def test_trigrams_are_counted_without_a_row_each(spark):
+    """Texts go through in pieces, in one pass over the rows; rows of one id, null texts and rare characters count as before."""
+    pieces = list(language._pieces(pa.array(["ab", None] * 1500)))
+    assert [k for k, _ in pieces] == [0, 1024, 2048] and sum(len(x) for _, x in pieces) == 3000
+    d = spark.createDataFrame([(1, "en", "ab ab"), (1, "en", "AB, x"), (2, "de", "abc"), (3, None, "abab"), (4, "de", None), (5, "en", "😀𐐨")], "doc_id long, lang string, text string")
+    learned = language.learn(d)
+    got = {(r.lang, r.gram): r.weight for r in learned.collect()}
+    assert set(got) == {("en", " ab"), ("en", "ab "), ("en", " x "), ("en", " 𐐨 "), ("de", " ab"), ("de", "abc"), ("de", "bc ")}
+    assert got["en", " ab"] == round(1000 * math.log(3 / 8 / 1e-4))
+    out = language.scored(d, learned)
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "Generate" not in plan and "Join" not in plan
+    assert {r.doc_id: len(r.scores) for r in out.collect()} == {1: 2, 2: 2, 3: 2, 4: 0, 5: 2}
+
+
 def test_language_accuracy(spark):
     """Of the four languages of the table, by the built-in model and by one learned from the other half."""
     d = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet").where("lang is not null and length(text) > 40").cache()
