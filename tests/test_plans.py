@@ -26,6 +26,18 @@ def test_decks_shuffle_by_document_once(spark):
         assert len(exchanges(rows)) == 1
 
 
+def test_markdown_decks_make_their_documents_once(spark):
+    """Covers go along with the lines, which are stripped once, in the generator."""
+    d = spark.createDataFrame([(1, "# Some title\n- an item"), (1, "x"), (2, None)], "doc_id long, text string")
+    deck_ = scripts.markdown_deck(d.repartition(3), "B", F.concat(F.lit("Doc "), F.col("text")))
+    plan = deck_._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    lines = scripts.markdown_slides(d)._jdf.queryExecution().optimizedPlan()
+    assert all(x.count("regexp_replace") < 16 for x in lines.toString().split("\n"))
+    got = sorted((r.doc_id, r.slides, (r.deck or "None").count("Some title")) for r in deck_.collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (2, 0, 0)]
+
+
 def test_headers_shuffle_by_document_once(spark):
     d = spark.createDataFrame([(1, 0, 0, "x", 1.0)], "doc_id long, page_num int, span_no int, text string, y0 double").repartition("doc_id")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
