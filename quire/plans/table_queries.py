@@ -86,7 +86,7 @@ def unruled_tables(spark, sf_dir):
 
 @query(_RULED + f"SELECT {_PAGE}, table_idx, {_CELLS} AS cells, round(confidence, 9)::DOUBLE AS confidence, 'ruled' AS method FROM found")
 def ruled_tables(spark, sf_dir):
-    return _joined(table_finder.ruled_tables(reports.spans(spark, sf_dir), reports.segments(spark, sf_dir)))
+    return _joined(table_finder.ruled_tables(reports.spans(spark, sf_dir), reports.segments(spark, sf_dir), partitions=reports.partitions(spark, sf_dir)))
 
 
 #: Lines are drawn for every third customer only; the others' tables are found by gaps.
@@ -94,7 +94,7 @@ def ruled_tables(spark, sf_dir):
 SELECT {_PAGE}, table_idx, {_CELLS} AS cells, round(confidence, 9)::DOUBLE AS confidence, method FROM (
   SELECT *, 'ruled' AS method FROM ruled UNION ALL SELECT *, 'unruled' FROM unruled u WHERE NOT EXISTS (SELECT 1 FROM ruled r WHERE r.doc_id = u.doc_id AND r.page_num = u.page_num)) q""")
 def table_fallback(spark, sf_dir):
-    return _joined(table_finder.find_tables(reports.spans(spark, sf_dir), reports.segments(spark, sf_dir).where("doc_id % 3 = 0")))
+    return _joined(table_finder.find_tables(reports.spans(spark, sf_dir), reports.segments(spark, sf_dir).where("doc_id % 3 = 0"), partitions=reports.partitions(spark, sf_dir)))
 
 
 @query(_UNRULED + """

@@ -105,3 +105,20 @@ def test_pages_of_tables_are_dealt_by_page(spark):
         assert "CartesianProduct" not in plan and "SinglePartition" not in plan
         own = [x for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan.split("Initial Plan")[0]) if "custkey" not in x and "_w0" not in x]  # the report's own numbering apart
         assert own and all("doc_id" in x and "page_num" in x for x in own), own
+
+
+def test_tasks_of_tables_grow_in_number_not_in_size(spark, monkeypatch):
+    """Orders, spans and tables are dealt to as many tasks as there are so many orders, and move no more after that; no page is a call of Python."""
+    from quire.operators import table_finder
+    from quire.plans import reports
+
+    sf = SF.replace("0.001", "0.01")
+    monkeypatch.setattr(reports, "ORDERS", 1000)
+    n = reports.partitions(spark, sf)
+    assert n == -(-spark.read.parquet(f"{sf}/orders.parquet").count() // 1000) > 4
+    spans, segments = reports.spans(spark, sf), reports.segments(spark, sf)
+    for df, most in ((table_finder.unruled_tables(spans), 4), (table_finder.ruled_tables(spans, segments, partitions=n), 5)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        own = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+        assert 0 < len(own) <= most and all(int(x.split(", ")[-1]) == n for x in own), own
+        assert "InPandas" not in plan

@@ -116,3 +116,40 @@ def test_pages_without_anything(spark):
     none, lines = spans(spark, [(1, 0, " ", 0, 0)]), spark.createDataFrame([], SEGMENTS)
     assert tf.unruled_tables(none).count() == 0 and tf.unruled_tables(none.limit(0)).count() == 0 and tf.ruled_tables(none, lines).count() == 0
     assert tf.ruled_tables(none, spark.createDataFrame(box(1, 0, (10, 60, 110), (10, 25, 45)), SEGMENTS)).count() == 0  # a grid without text
+
+
+def test_grids_of_pages_are_those_of_a_plain_search(monkeypatch):
+    """Whatever the number of pairs looked at at once, and with lines that meet nothing or only in a chain."""
+    pa, random = pytest.importorskip("pyarrow"), __import__("random").Random(5)
+    close = 1.5
+    line = lambda: (float(random.randrange(60)), *(lambda a: (float(a), float(a + random.randrange(3, 25))))(random.randrange(60)))
+    pages = [[sorted({line() for _ in range(random.randrange(12))}) for _ in range(2)] for _ in range(60)]
+    pages[7] = [[(float(10 * k), 10.0 * k, 10.0 * k + 10) for k in range(40)], [(float(10 * k), 10.0 * k - 10, 10.0 * k) for k in range(1, 40)]]
+    want = []
+    for levels, ups in pages:
+        left, own = [(0, v) for v in levels] + [(1, v) for v in ups], []
+        meet = lambda a, b: a[0] != b[0] and all(p[0] >= q[1] - close and p[0] <= q[2] + close for p, q in ((a[1], b[1]), (b[1], a[1])))
+        while left:
+            group, new = [], [left.pop(0)]
+            while new:
+                group.append(new.pop())
+                new += [x for x in left if meet(group[-1], x)]
+                left = [x for x in left if x not in new]
+            if len(group) > 1:
+                own.append({"levels": sorted(v for k, v in group if not k), "ups": sorted(v for k, v in group if k)})
+        want.append(own)
+    kind = pa.list_(pa.struct([(k, pa.float64()) for k in ("at", "low", "high")]))
+    sides = [pa.array([[dict(zip(("at", "low", "high"), v)) for v in p[k]] for p in pages], kind) for k in range(2)]
+    for pairs in (1, 7, 1 << 20):
+        monkeypatch.setattr(tf, "PAIRS", pairs)
+        got = tf._crossed(*sides, close).to_pylist()
+        assert [[{k: [tuple(v.values()) for v in vs] for k, vs in g.items()} for g in p] for p in got] == want
+    assert sum(map(len, want)) > 50 and tf._crossed(*(s[:0] for s in sides), close).to_pylist() == []
+
+
+def test_texts_are_stripped_alike(spark):
+    from quire.functions.text import strip
+
+    odd = [c + "a" + c + "b" + c for c in map(chr, [*range(1, 0x300), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF])] + [" \t　\n", "", " ​ "]
+    df = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert not df.where(strip(df.t) != tf._bare(df.t)).collect()
