@@ -6,7 +6,7 @@ method), with ``columns`` once it is clean; ragged widths are why cells are arra
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -53,5 +53,6 @@ def table_records(columns: Column, cells: Column) -> Column:
 
 def first_found(ruled: DataFrame, fallback: DataFrame) -> DataFrame:
     """The tables of the first finder, and those of the second on pages where the first has none, whatever their confidence."""
-    page = ["doc_id", "page_num"]
-    return ruled.unionByName(fallback.join(ruled.select(*page).distinct(), page, "left_anti"))
+    both = ruled.withColumn("_turn", F.lit(0)).unionByName(fallback.withColumn("_turn", F.lit(1)))
+    first = F.min("_turn").over(Window.partitionBy("doc_id", "page_num"))
+    return both.withColumn("_first", first).where("_turn = _first").drop("_turn", "_first")
